@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, chat, langid, simhash, toxicity
 
-MODULES = [bpe, simhash]
+MODULES = [bpe, langid, chat, toxicity, simhash]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
