@@ -33,7 +33,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = tiktoken_cache(path, pattern)
         for batch in batches:
-            parts = [cache.ids(x.as_py() or "") for x in batch]
+            parts = cache.many(x.as_py() for x in batch)
             ends = np.cumsum([0] + [len(x) // 4 for x in parts])
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

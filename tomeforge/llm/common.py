@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,23 +62,39 @@ def safe_chunks(text: str) -> list[str]:
 
 
 class ChunkCache(dict):
-    """Token ids (as bytes of one integer type) by chunk, filled on demand, at most ``limit`` entries."""
+    """Token ids (as bytes of one integer type) by chunk; emptied when it is over ``limit`` entries.
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000):
+    ``encode`` takes a list of distinct chunks and returns the bytes of each.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = ids
+    def many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text; null texts are empty."""
+        found: list[bytes] = []
+        part: list[list[str]] = []
+        size = 0
+        for text in texts:
+            part.append(safe_chunks(text or ""))
+            size += len(part[-1])
+            if size > 200_000:
+                found += self._part(part)
+                part, size = [], 0
+        return found + self._part(part)
+
+    def _part(self, part: list[list[str]]) -> list[bytes]:
+        if len(self) > self.limit:
+            self.clear()
+        new = list(set(chain.from_iterable(part)).difference(self))
+        self.update(zip(new, self.encode(new)))
+        ids = [b"".join(map(self.__getitem__, chunks)) for chunks in part]
+        for chunk in new:
+            if len(chunk) > 256:
+                del self[chunk]
         return ids
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, safe_chunks(text)))
-
 
 _loaded: dict = {}
 
@@ -98,19 +116,37 @@ def tiktoken_cache(path: str, pattern: str, dtype: str = "<i4") -> ChunkCache:
     if key not in _loaded:
         import numpy as np
 
-        encoding = tiktoken_encoding(path, pattern)
-        _loaded[key] = ChunkCache(lambda chunk: np.array(encoding.encode_ordinary(chunk), dtype).tobytes())
+        encode = tiktoken_encoding(path, pattern).encode_ordinary
+        _loaded[key] = ChunkCache(lambda chunks: [np.array(encode(chunk), dtype).tobytes() for chunk in chunks])
     return _loaded[key]
 
 
 def json_cache(path: str, dtype: str = "<u4") -> ChunkCache:
-    """A chunk cache over a tokenizers file; its special tokens are ordinary text inside documents."""
+    """A chunk cache over a byte-level tokenizers file; its special tokens are ordinary text inside documents.
+
+    New chunks are encoded together, each as a word of its own; as every token stands
+    for a known number of bytes, their ids are cut at the chunks' lengths.
+    """
     key = (path, dtype)
     if key not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _loaded[key] = ChunkCache(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype).tobytes())
+        lengths = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
+
+        def encode(chunks: list[str]) -> list[bytes]:
+            found: list[bytes] = []
+            for at in range(0, len(chunks), 5000):
+                part = chunks[at : at + 5000]
+                ids = np.array(tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+                ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
+                data = ids.astype(dtype).tobytes()
+                cuts = [0, *(ends * np.dtype(dtype).itemsize).tolist()]
+                found += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            return found
+
+        _loaded[key] = ChunkCache(encode)
     return _loaded[key]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, simhash, toxicity
+from . import bpe, chat, decontaminate, html, langid, simhash, sketch, tokencounts, toxicity, wavelet
 
-MODULES = [bpe, langid, chat, toxicity, simhash]
+MODULES = [bpe, langid, chat, decontaminate, html, toxicity, simhash, sketch, tokencounts, wavelet]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
