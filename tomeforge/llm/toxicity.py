@@ -73,7 +73,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, decay: float = 1
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
     slot[able] = np.arange(len(able))
     parts = [(k := slot[row])[k >= 0] for row in rows]
-    sizes = np.array([len(x) for x in parts])
+    sizes = np.array([len(x) for x in parts], np.int64)
     owner, index = np.repeat(np.arange(len(parts)), sizes), np.concatenate([*parts, np.empty(0, np.int32)])
     scale = ratio[index]
     rate = y.mean() if len(y) else 0.0
