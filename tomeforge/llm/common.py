@@ -46,10 +46,12 @@ def id_hash(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-# A cut between a character that is not white space and one that is never falls
-# inside a match of the tokenizer pattern: every alternative holds white space
-# only at its start, and the look-ahead of white-space runs looks forwards.
-_CHUNK = re.compile(r"\S+|\s+\S*")
+# Two kinds of cuts never fall inside a match of the tokenizer pattern: between a
+# character that is not white space and one that is, as every alternative holds white
+# space only at its start and the look-ahead of white-space runs looks forwards; and
+# between a letter or number and ASCII punctuation other than the apostrophe, which no
+# alternative holds together.
+_CHUNK = re.compile(r"\s*[^\W\d_]++(?![^\s!-&(-/:-@\[-`{-~])|\s*\S+|\s+")
 # Python counts these four as white space; the tokenizers do not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -62,14 +64,16 @@ def safe_chunks(text: str) -> list[str]:
 
 
 class ChunkCache(dict):
-    """Token ids (as bytes of one integer type) by chunk; emptied when it is over ``limit`` entries.
+    """Token ids (as bytes of one integer type) by chunk.
 
-    ``encode`` takes a list of distinct chunks and returns the bytes of each.
+    ``encode`` takes a list of distinct chunks and returns the bytes of each. Over
+    ``limit`` entries become the old generation, from which chunks in use are taken
+    over; the rest goes when the next generation is full.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def many(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; null texts are empty."""
@@ -86,8 +90,14 @@ class ChunkCache(dict):
 
     def _part(self, part: list[list[str]]) -> list[bytes]:
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
-        new = list(set(chain.from_iterable(part)).difference(self))
+        new = set(chain.from_iterable(part)).difference(self)
+        if self.old:
+            kept = new.intersection(self.old)
+            self.update(zip(kept, map(self.old.__getitem__, kept)))
+            new -= kept
+        new = list(new)
         self.update(zip(new, self.encode(new)))
         ids = [b"".join(map(self.__getitem__, chunks)) for chunks in part]
         for chunk in new:
