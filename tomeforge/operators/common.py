@@ -26,7 +26,7 @@ def prioritised(branches: list[DataFrame], keys: list[str], *order: Column) -> D
 
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if the optimizer's size estimate is within the bound, else as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 

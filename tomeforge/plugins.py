@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import tokens
-from .functions.vector import normalized
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """The default embedder: token counts hashed into ``dims`` signed buckets, at unit length. Native."""
-    pairs = F.transform(tokens(text), lambda w: F.struct(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int").alias("h")))
-    counts = F.aggregate(
-        pairs,
-        F.array_repeat(F.lit(0.0), dims),
-        lambda acc, p: F.transform(acc, lambda x, i: F.when(i == F.pmod(p["h"], F.lit(dims)), x + F.when(p["h"] % 2 == 0, 1.0).otherwise(-1.0)).otherwise(x)),
-    )
-    return normalized(counts)
+def hashed_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
+    """The default embedder: token counts hashed into ``dims`` signed buckets, at unit length."""
+    found = []
+    for text in texts:
+        counts = [0.0] * dims
+        for word in re.findall(r"\w+", text.lower()):
+            h = crc32(word.encode())
+            counts[h % dims] += 1.0 if h & 4096 else -1.0
+        length = math.sqrt(sum(x * x for x in counts))
+        found.append([x / length for x in counts] if length >= 1e-8 else counts)
+    return found
 
 
 def lexical_overlap(query: Column, doc: Column) -> Column:
@@ -57,12 +61,11 @@ def scorer_udf(score: Scorer):
     return run
 
 
-def embed_with_cache(df: DataFrame, text: str, cache: DataFrame, embed: Embedder | None = None) -> DataFrame:
+def embed_with_cache(df: DataFrame, text: str, cache: DataFrame, embed: Embedder = hashed_embedder) -> DataFrame:
     """``df`` with text_sha256 and embedding; only distinct texts that ``cache`` (text_sha256, embedding) lacks are embedded."""
     from .functions.text import strip
 
     keyed = df.withColumn("text_sha256", F.sha2(strip(F.col(text)), 256))
     new = keyed.select("text_sha256", F.col(text).alias("__text")).dropDuplicates(["text_sha256"]).join(cache.select("text_sha256"), "text_sha256", "left_anti")
-    vectors = hashed_embedding(F.col("__text")) if embed is None else embedder_udf(embed)(F.col("__text"))
-    made = new.select("text_sha256", vectors.alias("embedding"))
+    made = new.select("text_sha256", embedder_udf(embed)(F.col("__text")).alias("embedding"))
     return keyed.join(cache.select("text_sha256", "embedding").unionByName(made), "text_sha256", "left")
