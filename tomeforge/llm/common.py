@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import accumulate, chain, compress, count, repeat
+from operator import is_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,18 +93,23 @@ class ChunkCache(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        new = set(chain.from_iterable(part)).difference(self)
+        flat = list(chain.from_iterable(part))
+        ids = list(map(self.get, flat))
+        gaps = list(compress(count(), map(is_, ids, repeat(None))))
+        new = {flat[k] for k in gaps}
         if self.old:
             kept = new.intersection(self.old)
             self.update(zip(kept, map(self.old.__getitem__, kept)))
             new -= kept
         new = list(new)
         self.update(zip(new, self.encode(new)))
-        ids = [b"".join(map(self.__getitem__, chunks)) for chunks in part]
+        for k in gaps:
+            ids[k] = self[flat[k]]
         for chunk in new:
             if len(chunk) > 256:
                 del self[chunk]
-        return ids
+        ends = list(accumulate(map(len, part)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 _loaded: dict = {}
