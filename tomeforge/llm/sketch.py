@@ -53,9 +53,8 @@ def sketch(df: DataFrame, *texts: str, words: int = WORDS, scale: int = SCALE) -
             ends = np.cumsum([0] + [len(x) for x in parts])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
-    for name in texts:
-        df = df.withColumn(f"{name}_sketch", sketched.asNondeterministic()(F.col(f"`{name}`")))
-    return df
+    one = sketched.asNondeterministic()
+    return df.withColumns({f"{name}_sketch": one(F.col(f"`{name}`")) for name in texts})  # all in one Python worker
 
 
 def digits(hashes: Column) -> Column:
