@@ -56,16 +56,18 @@ def reconcile(index: DataFrame, extracted: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [equal, partial, none, extra])
 
 
-def locate_names(index: DataFrame, docs: DataFrame, fuzzy: float = 0.75) -> DataFrame:
-    """(name, doc_id, method, confidence): where a name occurs, by the best of: exactly, whatever the case, without accents, nearly (Levenshtein on a shared first word)."""
+def locate_names(index: DataFrame, docs: DataFrame, fuzzy: float = 0.75, longest: int = 4) -> DataFrame:
+    """(name, doc_id, method, confidence): where a name occurs, by the best of: exactly, whatever the case, without accents, nearly (Levenshtein from a place with the same first two letters, names of up to ``longest`` words)."""
     named = index.select("name").distinct()
     texts = docs.select("doc_id", "text")
-    by_fold = contains_join(named.withColumn("f", fold(F.col("name"))), texts.withColumn("t", fold(F.col("text"))), "f", "t")
+    by_fold = contains_join(named.withColumn("f", fold(F.col("name"))), texts.withColumn("t", fold(F.col("text"))), "f", "t", "doc_id")
     level = F.when(F.contains("text", "name"), 1.0).when(F.contains(F.lower("text"), F.lower("name")), 0.9).otherwise(0.8)
     found = by_fold.select("name", "doc_id", level.alias("confidence"))
-    words = texts.select("doc_id", F.posexplode(tokens(fold(F.col("text")))).alias("pos", "w"), tokens(fold(F.col("text"))).alias("all"))
-    rest = named.join(found.select("name").distinct(), "name", "left_anti").select("name", fold(F.col("name")).alias("f"), tokens(fold(F.col("name"))).alias("nw"))
-    near = words.join(rest.withColumn("w", F.col("nw")[0]), "w").withColumn("span", F.array_join(F.slice("all", F.col("pos") + 1, F.size("nw")), " "))
+    rest = named.join(found.select("name").distinct(), "name", "left_anti").select("name", fold(F.col("name")).alias("f"), tokens(fold(F.col("name"))).alias("nw")).where(F.size("nw").between(1, longest))
+    spans = texts.select("doc_id", tokens(fold(F.col("text"))).alias("w"))
+    spans = spans.select("doc_id", F.explode(F.transform("w", lambda x, i: F.struct(F.substring(x, 1, 2).alias("two"), F.slice("w", i + 1, longest).alias("next")))).alias("s")).select("doc_id", "s.*")
+    near = spans.join(small(rest.withColumn("two", F.substring("f", 1, 2))), "two")
+    near = near.withColumn("span", F.array_join(F.slice("next", 1, F.size("nw")), " "))
     share = 1 - F.levenshtein("span", "f") / F.greatest(F.length("span"), F.length("f"))
     fuzzy_hits = near.select("name", "doc_id", F.round(share * 0.8, 6).alias("confidence")).where(F.col("confidence") >= fuzzy * 0.8)
     method = F.when(F.col("confidence") == 1.0, "exact").when(F.col("confidence") == 0.9, "case").when(F.col("confidence") == 0.8, "accent").otherwise("fuzzy")
@@ -188,7 +190,7 @@ def dedup_first(df: DataFrame, name: str, book: str, order: str) -> DataFrame:
 
 def text_after_name(names: DataFrame, docs: DataFrame, marker: str = r"\n\s*\n", most: int = 1500, least: int = 30) -> DataFrame:
     """(name, doc_id, description): the text after a name, to the next marker or ``most`` characters, if long enough."""
-    both = contains_join(names.select("name"), docs.select("doc_id", "text"), "name", "text")
+    both = contains_join(names.select("name"), docs.select("doc_id", "text"), "name", "text", "doc_id")
     after = F.substring(F.col("text"), F.position(F.lower("name"), F.lower("text")) + F.length("name"), F.lit(most))
     return both.select("name", "doc_id", strip(F.split(after, marker, 2)[0]).alias("description")).where(F.length("description") >= least)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 #: A side up to this size is broadcast by hint; beyond it the join is by key, or by blocks of the small side.
 BROADCAST_BYTES = 32 << 20
 
@@ -35,17 +37,18 @@ def draw(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def contains_join(names: DataFrame, texts: DataFrame, name: str, text: str, token: Column | None = None) -> DataFrame:
-    """Pairs where the lower-cased ``text`` holds the lower-cased ``name``.
+def contains_join(names: DataFrame, texts: DataFrame, name: str, text: str, text_id: str | None = None) -> DataFrame:
+    """Pairs where the lower-cased ``text`` holds the lower-cased ``name``, whose longest word is a word of the text.
 
-    A name can only occur where its longest token's letters do, so texts are joined by
-    their distinct tokens first and the whole name is checked afterwards. Names whose
-    longest token is inside a longer token of the text are found only if ``token``
-    (an array of keys of a text) yields them; by default words alone match.
+    Distinct words of texts are joined to the longest words of names; the whole name is
+    checked afterwards. With ``text_id`` only ids and words take part in that join and
+    texts come back by id, so that no text is multiplied by its words.
     """
-    from ..functions.text import tokens
-
     words = F.sort_array(F.transform(tokens(F.col(name)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)
     keyed = names.withColumn("__key", F.get(words, F.lit(0))["w"]).where("__key is not null")
-    spread = texts.withColumn("__key", F.explode(F.array_distinct(tokens(F.col(text)) if token is None else token)))
-    return spread.join(keyed, "__key").where(F.contains(F.lower(F.col(text)), F.lower(F.col(name)))).drop("__key")
+    key = F.explode(F.array_distinct(tokens(F.col(text)))).alias("__key")
+    if text_id is None:
+        pairs = texts.select("*", key).join(keyed, "__key")
+    else:
+        pairs = texts.select(text_id, key).join(small(keyed), "__key").join(texts, text_id)
+    return pairs.where(F.contains(F.lower(F.col(text)), F.lower(F.col(name)))).drop("__key")

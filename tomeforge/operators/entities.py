@@ -284,8 +284,9 @@ def span_examples(entities: DataFrame, n: int = 500, seed: int = 42) -> DataFram
 
 def link_mentions(df: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 4) -> DataFrame:
     """(key, pos, name): longest catalogue name at each word of a text, whatever the case, by joining word n-grams; overlapped later starts go."""
-    words = df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "w"), tokens(F.col(text)).alias("all"))
-    grams = words.select(key, "pos", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("all", F.col("pos") + 1, n), " ").alias("gram")))).alias("g")).select(key, "pos", "g.n", "g.gram")
+    words = df.select(key, tokens(F.col(text)).alias("w"))
+    grams = words.select(key, F.posexplode(F.transform("w", lambda x, i: F.slice("w", i + 1, longest))).alias("pos", "next"))
+    grams = grams.select(key, "pos", F.explode(F.sequence(F.lit(1), F.size("next"))).alias("n"), "next").select(key, "pos", "n", F.array_join(F.slice("next", 1, F.col("n")), " ").alias("gram"))
     named = names.select(F.array_join(tokens(F.col("name")), " ").alias("gram"), F.col("name")).where(F.length("name") >= 2).dropDuplicates(["gram"])
     hits = first_by(grams.join(named, "gram").where((F.size(F.split("gram", " ")) == F.col("n"))), [key, "pos"], F.desc("n"))
     reach = F.max(F.col("pos") + F.col("n")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))

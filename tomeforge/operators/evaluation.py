@@ -17,7 +17,7 @@ def ground_truth(queries: DataFrame, docs: DataFrame) -> DataFrame:
     from .common import contains_join
 
     targets = queries.select("query_id", F.explode("targets").alias("target"), F.when(F.col("comparison"), 2).otherwise(1).alias("least"))
-    hits = contains_join(targets, docs.select("doc_id", "text"), "target", "text")
+    hits = contains_join(targets, docs.select("doc_id", "text"), "target", "text", "doc_id")
     found = hits.groupBy("query_id", "doc_id", "least").agg(F.count_distinct("target").alias("n"))
     return found.where("n >= least").select("query_id", "doc_id")
 

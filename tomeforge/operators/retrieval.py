@@ -176,7 +176,7 @@ def infer_entities(queries: DataFrame, names: DataFrame, patterns: list[str]) ->
     by_pattern = queries.select("query_id", F.explode(caught).alias("entity")).select("query_id", F.trim("entity").alias("entity")).where("entity <> ''")
     from .common import contains_join
 
-    by_name = contains_join(names.select("name"), queries, "name", "query").select("query_id", F.lower("name").alias("entity"))
+    by_name = contains_join(names.select("name"), queries, "name", "query", "query_id").select("query_id", F.lower("name").alias("entity"))
     return by_pattern.unionByName(by_name).groupBy("query_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
 
 

@@ -154,7 +154,7 @@ def merged_advantages(spark, sf):
     return catalog.merge_advantages(a, p.where("p_size % 2 > 0").select(F.upper("p_name").alias("name"), F.col("p_brand").alias("source")), ["#1", "Brand#2"])
 
 
-@R.add("SELECT regexp_extract(text, '^[\\p{L}]{4,55}') AS name, min(doc_id) AS doc_id FROM documents WHERE regexp_extract(text, '^[\\p{L}]{4,55}') NOT IN ('', 'That') GROUP BY lower(regexp_extract(text, '^[\\p{L}]{4,55}')), 1".replace("\\\\", "\\"))
+@R.add(r"""WITH n AS (SELECT regexp_extract(text, '^[\p{L}]{4,55}') AS name, doc_id FROM documents) SELECT name, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id, name) AS o FROM n WHERE length(name) >= 4 AND lower(name) <> 'that') WHERE o = 1""")
 def discovered_items(spark, sf):
     return catalog.discover_items(table(spark, sf, "documents"), [r"^([\p{L}]{4,55})"], ["that"], gate=1.0)
 

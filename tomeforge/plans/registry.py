@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import analytics, catalog, documents, evaluation, knowledge, retrieval, tables
 
-QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
-ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+MODULES = [documents, tables, retrieval, evaluation, knowledge, catalog, analytics]
+
+QUERIES = {name: query for module in MODULES for name, query in module.R.queries.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.R.oracles.items()}
