@@ -53,7 +53,7 @@ def knn_topk(spark, sf):
 @R.add()
 def knn_by_cells(spark, sf):
     asked, vectors = _vectors(spark, sf)
-    return retrieval.knn_cells(asked, vectors, cells=8, probes=4)
+    return retrieval.knn_cells(asked, vectors, cells=8, probes=6)
 
 
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"

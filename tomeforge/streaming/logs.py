@@ -9,9 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import chunking
 
 
+def timed(stream: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """With a watermark on the event time, which must be a zoned timestamp."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def deduplicated(stream: DataFrame, ts: str, key: str, delay: str = "1 hour") -> DataFrame:
     """Each key once: within the watermark in a stream, at all in a table."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+    return timed(stream, ts, delay).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
 
 
 def feedback_means(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -23,13 +28,13 @@ def feedback_means(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 def event_windows(stream: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "2 hours") -> DataFrame:
     """(start, user_id, events, value) in tumbling or sliding windows; late rows beyond the watermark are left out of closed windows."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    rows = stream.withWatermark("ts", delay).groupBy(window.alias("w"), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+    rows = timed(stream, "ts", delay).groupBy(window.alias("w"), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
     return rows.select(F.col("w.start").alias("start"), "user_id", "events", "value")
 
 
 def event_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
     """(start, end, user_id, events, value) in sessions that end after a gap."""
-    rows = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+    rows = timed(stream, "ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
     return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "events", "value")
 
 
