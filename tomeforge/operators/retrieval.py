@@ -20,15 +20,24 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     combined before the shuffle; term frequencies are kept for words of queries only.
     A negative idf becomes a quarter of the mean idf over all words.
     """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.crossJoin(F.broadcast(totals.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+
+    def rows(of) -> Column:
+        """Structs made of a document's words, which the lambda's variable holds so that they are found once."""
+        return F.inline(F.flatten(F.transform(F.array(tokens(F.col("text"))), of)))
+
+    def counted(w: Column) -> Column:
+        """A row for each distinct word, and one for the document with its length."""
+        each = F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("term"), F.lit(0).alias("length"), F.lit(0).alias("whole")))
+        return F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(w).alias("length"), F.lit(1).alias("whole"))))
+
+    frequency = docs.select(rows(counted)).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"), F.max("whole").alias("whole"))
+    totals = frequency.where("whole = 1").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    idf = frequency.where("whole = 0").crossJoin(F.broadcast(totals.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     used = asked.select("term").distinct()
     weights = asked.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))).alias("weight"))
-    found = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(used), "term", "left_semi")
+    found = docs.select("doc_id", rows(lambda w: F.transform(w, lambda x: F.struct(F.size(w).alias("dl"), x.alias("term"))))).join(small(used), "term", "left_semi")
     tf = found.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(totals.select("avgdl")))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = tf.join(small(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
