@@ -108,12 +108,7 @@ WEAK_ABILITIES = ["inculto", "modelo especial", "vulnerabilidade", "fobia", "dep
 #: Titles by lower-cased spelling.
 TITLES = {
     "manual da magia": "Manual da Magia",
-    "manual da magia 3dt": "Manual da Magia",
-    "manual 3d&t turbinado": "Manual 3D&T Turbinado",
-    "manual 3d&t turbinado digital": "Manual 3D&T Turbinado",
-    "manual turbinado": "Manual 3D&T Turbinado",
     "manual do aventureiro": "Manual do Aventureiro",
-    "manual do aventureiro 3dt": "Manual do Aventureiro",
     "manual alpha": "Manual Alpha",
     "manual dos monstros": "Manual dos Monstros",
     "bestiario alpha": "Bestiário Alpha",
