@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import id_hash, table
 
 ORDERS = (3, 4, 5)
-BUCKET_BITS = 22
+BUCKET_BITS = 21
 #: Bounds of the fit: rows per class, characters of a row that may be drawn, features kept.
-PER_CLASS, MAX_CHARS, FEATURES = 2500, 12_000, 40_000
+PER_CLASS, MAX_CHARS, FEATURES = 1500, 10_000, 30_000
 THRESHOLD = 0.7
 
 
@@ -72,9 +72,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, decay: float = 1
     able, ratio = able[best], ratio[best].astype(np.float32)
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
     slot[able] = np.arange(len(able))
-    parts = [(k := slot[row])[k >= 0] for row in rows]
+    parts = []
+    rows.reverse()
+    while rows:  # the full rows go as their kept features come
+        kept = slot[rows.pop()]
+        parts.append(kept[kept >= 0])
+    del counts, df, slot
     sizes = np.array([len(x) for x in parts], np.int64)
-    owner, index = np.repeat(np.arange(len(parts)), sizes), np.concatenate([*parts, np.empty(0, np.int32)])
+    owner, index = np.repeat(np.arange(len(parts), dtype=np.int32), sizes), np.concatenate([*parts, np.empty(0, np.int32)])
+    del parts
     scale = ratio[index]
     rate = y.mean() if len(y) else 0.0
     w = np.zeros(len(able), np.float32)
