@@ -72,7 +72,7 @@ class ChunkCache(dict):
     over; the rest goes when the next generation is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
