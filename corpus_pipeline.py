@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm import bpe, decontaminate, langid, simhash, toxicity
@@ -25,14 +25,18 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group linked by SimHash, one row of it; a row without id counts as the least."""
+    """Keep one row of each group linked by SimHash: the one with the least id, of rows that share it the least digest.
+
+    A row without id counts as the least. A survivor is known by its id and the digest of the whole row, so that rows which
+    share an id or have none stand or fall with their own group. Exact copies go before the texts are shuffled.
+    """
     small_batches(spark)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    classes = simhash.near_duplicates(keyed, "__key")
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
-    first = Window.partitionBy("__key").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])  # rows that share an id
-    kept = keyed.join(keep, "__key", "left_semi").withColumn("__row", F.row_number().over(first))
-    return kept.where("__row = 1").drop("__row", "__key")
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__digest": digest})
+    prints = simhash.fingerprints(keyed.select("__key", "__digest", "text"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min(F.struct("__key", "__digest")).alias("least")))
+    keep = simhash.rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return keyed.dropDuplicates(["__key", "__digest"]).join(keep, ["__key", "__digest"], "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

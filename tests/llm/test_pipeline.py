@@ -51,3 +51,13 @@ def test_stages_with_odd_rows(spark):
             assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 2, 4]
         if name == "language_id":
             assert sorted(r.doc_id for r in out.collect()) == [2, 2, 3]
+
+
+def test_near_copies_keep_every_group(spark):
+    """Unlinked texts that share an id or have none all stay; a near copy with a smaller id does not cost the other text."""
+    a, b, c, d = ("".join(f"{w}{k} " for k in range(30)) for w in ("ant", "bee", "cow", "dog"))
+    rows = [(None, a), (None, a), (None, b), (9, b.upper()), (5, c), (5, d), (5, d), (3, d.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    key = lambda r: (r[0] or -1, r[1])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted([(None, a), (None, b), (5, c), (3, d.upper())], key=key)

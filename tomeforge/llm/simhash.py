@@ -233,6 +233,12 @@ def _joined(parts: list[DataFrame], limit: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
+def rooted(nodes: DataFrame, limit: int = 3) -> DataFrame:
+    """Add ``root``, the least ``fp`` reachable over links, to a table of distinct ``fp``."""
+    roots = components(links(nodes.select("fp"), limit))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", limit: int = 3) -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id reachable over links.
 
@@ -243,8 +249,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     rows = materialize(fingerprints(df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", "fp"))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), limit))
-    named = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = materialize(rooted(nodes, limit))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(named.join(ids, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
