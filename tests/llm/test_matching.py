@@ -165,6 +165,14 @@ def test_html_rules():
     assert html.main_text("<article><p>" + "a " * 500_000) == "a " * 499_999 + "a"
 
 
+def test_html_text_after_the_last_tag():
+    text = "It is one of the things that if a < b then this is the text of the page, and that is not all of it."
+    assert html.main_text(f"<article><p>{text}") == html.main_text(f"<article><p>{text}</p></article>") == text
+    for end in ("<", "</", '<a href="http://x', "<a href='x y", "</p", "<!-- x", "<b"):
+        assert html.main_text(f"<article><p>{text} {end}") == text
+    assert html.main_text(f"<article><p>{text}</p><p><a href=x>{text}") == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "<article><p>x</p></article>", "u"), (2, "<article><p>x</p></article>", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == [(1, ""), (2, "x"), (2, "x")]

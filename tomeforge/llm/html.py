@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
+#: Start of a tag, or what is left of one at the end of a page.
+OPENED = re.compile(r"</?(?:[a-zA-Z]|\Z)")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -122,8 +124,12 @@ def blocks(html: str) -> list[Block]:
             links += name == "a"
             if name in BLOCKS:
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-    if at < len(html) and "<" not in html[at:]:
-        parts.append(html[at:])
+    rest = html[at:]
+    cut = OPENED.search(rest, rest.rfind(">") + 1)  # a tag cut inside a quoted attribute
+    rest = rest[: cut.start()] if cut else rest
+    parts.append(rest)
+    if links:
+        linked += len(rest.strip())
     close_block()
     return found
 
