@@ -187,3 +187,9 @@ def test_incremental_ingest(spark, tmp_path):
         logs.ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
         put(n + 1, f"text {n}")
+
+
+def test_taxonomy_reads_whole_texts(spark):
+    rows = [(f"n{k}", ["- " * 1500 + ("dragon fire cave" if k % 2 else "ship sea wind")]) for k in range(6)]
+    members, _ = entities.discover_taxonomy(spark.createDataFrame(rows, "name string, contexts array<string>"), k=2)
+    assert {r.name for r in members.collect()} == {n for n, _ in rows}

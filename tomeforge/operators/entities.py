@@ -207,7 +207,7 @@ def discover_taxonomy(entities: DataFrame, k: int = 10, features: int = 500, see
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StopWordsRemover
 
-    words = tokens(F.substring(F.array_join("contexts", " "), 1, 2000))
+    words = tokens(F.array_join("contexts", " "))
     docs = entities.select("name", words.alias("w")).where(F.size("w") > 0)
     n = docs.count()
     k = k if n >= k else max(1, n // 2)
