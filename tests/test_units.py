@@ -189,6 +189,15 @@ def test_incremental_ingest(spark, tmp_path):
         put(n + 1, f"text {n}")
 
 
+def test_attribute_triples_find_every_anchor(spark):
+    """One row in forty of another type: each anchor still gets its negative, round the end of the ring too."""
+    rows = [(f"n{k}", f"d{k}", "fire", "spell" if k == 7 else "monster") for k in range(40)] + [("alone", "x", "water", "spell")]
+    found = trainset.attribute_triples(spark.createDataFrame(rows, "name string, description string, element string, type string"), "element", "type", 1000, "element").collect()
+    kinds = {d: t for _, d, _, t in rows}
+    assert sorted(r.anchor for r in found) == sorted(f"n{k}" for k in range(40))
+    assert all(r.positive == f"d{r.anchor[1:]}" and kinds[r.positive] != kinds[r.negative] for r in found)
+
+
 def test_taxonomy_reads_whole_texts(spark):
     rows = [(f"n{k}", ["- " * 1500 + ("dragon fire cave" if k % 2 else "ship sea wind")]) for k in range(6)]
     members, _ = entities.discover_taxonomy(spark.createDataFrame(rows, "name string, contexts array<string>"), k=2)

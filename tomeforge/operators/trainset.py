@@ -136,12 +136,16 @@ def attribute_triples(described: DataFrame, same: str, unlike: str, n: int, stra
     With same bucket and other type: ambiguous names; same element, other type; same type,
     other function; and the like.
     """
-    ring = Window.partitionBy(same).orderBy(draw("name", seed=seed), "name")
-    rows = described.where(F.col(same).isNotNull())
-    rows = rows.withColumns({"pos": F.row_number().over(ring), "positive": F.col("description")})
-    near = rows.select(F.col(same), F.col("pos").alias("npos"), F.col("description").alias("negative"), F.col(unlike).alias("other"))
-    tries = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("t")).withColumn("npos", F.col("pos") + F.col("t"))
-    found = first_by(tries.join(near, [same, "npos"]).where(~F.col(unlike).eqNullSafe(F.col("other"))), ["name"], F.col("t"))
+    order = [draw("name", seed=seed), F.col("name"), F.col("description"), F.col(unlike)]
+    rows = described.where(F.col(same).isNotNull()).withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))  # the second lap closes the ring
+    ring = Window.partitionBy(same).orderBy("lap", *order)
+    rows = rows.withColumns({"pos": F.row_number().over(ring), "before": F.lag(unlike).over(ring)})
+    # the nearest row that differs is the first one of the next run of equal values; backwards, a running value holds it
+    start = F.when((F.col("pos") > 1) & ~F.col(unlike).eqNullSafe(F.col("before")), F.struct("pos", "description"))
+    back = Window.partitionBy(same).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", start).withColumn("next", F.last("start", ignorenulls=True).over(back))
+    found = rows.where("lap = 0 and next is not null").select(same, "name", "pos", F.col("description").alias("positive"), F.col("next.description").alias("negative"), (F.col("next.pos") - F.col("pos")).alias("t"))
+    found = first_by(found, ["name"], F.col("t"), F.col(same), F.col("pos"))
     out = found.select(F.col("name").alias("anchor"), "positive", "negative", F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy"))
     return out.orderBy(draw("anchor", "positive", seed=seed), "anchor").limit(n)
 
