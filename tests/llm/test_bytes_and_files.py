@@ -1,15 +1,18 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from tomeforge.llm import bpe, sketch, tokencounts, wavelet
-from tomeforge.llm.common import safe_chunks, shared_dir, tiktoken_encoding
+from tomeforge.llm.common import json_encoder, shared_dir, tiktoken_encoder, tiktoken_encoding
 
+SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "it's\n\n  x \t y", "\x1c a\x1f b ", "é 　 ß", "日本語 テキスト", "x" * 5000, "word " * 20_000, "<|endoftext|> #", "it's\n\n  x \t y"]
 
 
@@ -18,11 +21,31 @@ def odd(spark):
 
 
 def test_chunks_keep_matches_whole():
-    encoding = tiktoken_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    for text in filter(None, ODD):
-        chunks = safe_chunks(text)
-        assert "".join(chunks) == text
-        assert [i for c in chunks for i in encoding.encode_ordinary(c)] == encoding.encode_ordinary(text)
+    """Ids equal those of whole texts, over every order of white space, marks and letters, in batches and slices."""
+    plain = tiktoken_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).encode_ordinary
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rnd = random.Random(1)
+    signs = [*"ab1,.'s \n\t\r\x0b\x1c\x1f\x85\xa0\u3000\u2028\u1680é日#-_<|", "'re", "  ", "\n\n", "\u0301", "😀"]
+    batches = [pa.array(ODD), pa.array(ODD[::-1]).slice(3), pa.array([None, ""]), pa.array([], pa.string())]
+    batches += [pa.array(["".join(rnd.choices(signs, k=rnd.randrange(12))) for _ in range(200)]) for _ in range(60)]
+    whole = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    for encoder, want in ((tiktoken_encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), plain), (json_encoder(P.path("byte_bpe_50k.json")), whole)):
+        assert not encoder.whole
+        for batch in batches:
+            ends, ids = encoder(batch)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [want(x or "") for x in batch.to_pylist()]
+            encoder.limit = rnd.choice([50, 800_000])
+
+
+def test_other_patterns_and_tokenizers_take_whole_texts():
+    pattern = r"\S+\s*|\s+"  # white space at a match's end
+    encoding, encoder = (f(P.path("byte_bpe_multi_50k.tiktoken"), pattern) for f in (tiktoken_encoding, tiktoken_encoder))
+    ends, ids = encoder(pa.array(ODD))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [encoding.encode_ordinary(x or "") for x in ODD]
+    other = json_encoder(P.path("word_bpe_49k.json"))
+    ends, ids = other(pa.array(["Two Words", None]))
+    assert other.whole and ids.tolist() == Tokenizer.from_file(P.path("word_bpe_49k.json")).encode("Two Words", add_special_tokens=False).ids
 
 
 def test_bpe_by_brute_force_merges(spark):
@@ -48,13 +71,28 @@ def test_bpe_by_brute_force_merges(spark):
 
 def test_bpe_digests(spark):
     encoding = tiktoken_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    got = {r.doc_id: r for r in bpe.digests(odd(spark)).collect()}
+    got = {r.doc_id: r for r in bpe.digests(odd(spark), "doc_id").collect()}
     for i, text in enumerate(ODD):
         ids = encoding.encode_ordinary(text or "")
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
-    assert bpe.digests(odd(spark).limit(0)).count() == 0
+    assert bpe.digests(odd(spark).limit(0), "doc_id").count() == 0
+    coded = bpe.decode(bpe.encode(odd(spark))).collect()  # a clashing column "ids" is replaced, the others stay
+    assert coded[0].__fields__ == ["doc_id", "text", "ids", "decoded"]
+    assert all(r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in coded)
+    raw = spark.createDataFrame([([255],), ([],), (None,)], "ids array<int>")
+    assert [bytes(r.decoded) for r in bpe.decode(raw).collect()] == [encoding.decode_bytes([255]), b"", b""]
+    with pytest.raises(Exception, match="outside the rank file"):
+        bpe.decode(spark.createDataFrame([([50_256],)], "ids array<int>")).collect()
+
+
+def test_bpe_query_by_brute_force(spark):
+    encoding = tiktoken_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op1_bpe_roundtrip(spark, SF).collect()}
+    ids = {d["doc_id"]: encoding.encode_ordinary(d["text"] or "") for d in rows}
+    assert got == {d["doc_id"]: (len(ids[d["doc_id"]]), hashlib.sha256(",".join(map(str, ids[d["doc_id"]])).encode()).hexdigest(), hashlib.sha256((d["text"] or "").encode()).hexdigest()) for d in rows}
 
 
 @pytest.mark.parametrize("block", [2, 10, 8 << 20])
@@ -76,18 +114,68 @@ def test_scan_of_a_file_without_last_separator(spark, tmp_path):
         assert rows == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
 
 
+def token_arrays():
+    rng = np.random.default_rng(0)
+    yield from (rng.integers(0, 300, 5000).astype(np.uint16), np.zeros(700, np.uint16), np.array([7], np.uint16), np.array([1, 2] * 600, np.uint16))
+    yield from (rng.zipf(1.3, 20_000).clip(0, 60_000).astype(np.uint16), rng.integers(0, 200_000, 3000).astype(np.uint32))  # 200,000: beyond 16 bits
+
+
 def test_wavelet_access_count_find():
-    ids = np.random.default_rng(0).integers(0, 300, 5000).astype(np.uint16)
-    names, lengths, matrix = wavelet.unpack(b"".join(wavelet.pack([1, None], np.array([2000, 3000]), ids)))
-    assert names == [1, None] and lengths.tolist() == [2000, 3000]
-    assert (matrix.tokens() == ids).all() and (matrix.access(np.arange(5000)) == ids).all()
-    for token in range(0, 310, 7):
-        places = np.flatnonzero(ids == token)
-        assert matrix.count(token) == len(places) and matrix.count(token, 100, 200) == (ids[100:200] == token).sum()
-        assert (matrix.find(token, np.arange(len(places))) == places).all()
+    for ids in token_arrays():
+        ids[[len(ids) // 2, -1]] = 2
+        cut = len(ids) // 2 + 1
+        names, lengths, matrix = wavelet.unpack(b"".join(wavelet.pack([1, None], np.array([cut, len(ids) - cut]), ids))) if len(ids) > 1 else wavelet.unpack(b"".join(wavelet.pack([1], np.array([1]), ids)))
+        assert names == [1, None][: len(names)] and lengths.sum() == len(ids)
+        assert (matrix.tokens() == ids).all() and (matrix.access(np.arange(len(ids))) == ids).all()
+        for token in [*np.unique(ids)[:60].tolist(), 299_999]:
+            places = np.flatnonzero(ids == token)
+            assert matrix.count(token) == len(places) and matrix.count(token, 100, 200) == (ids[100:200] == token).sum()
+            if len(places):
+                assert (matrix.find(token, np.arange(len(places))) == places).all()
+            with pytest.raises(IndexError):
+                matrix.find(token, np.array([len(places)]))
     assert wavelet.unpack(b"".join(wavelet.pack([], np.array([], int), np.array([], np.uint16))))[2].n == 0
 
 
+def test_wavelet_codes_are_huffman_codes():
+    import heapq
+
+    counts = np.random.default_rng(2).zipf(1.5, 500).clip(1, 10**6)
+    heap, total = counts.tolist(), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        both = heapq.heappop(heap) + heapq.heappop(heap)
+        total += both
+        heapq.heappush(heap, both)
+    lengths = wavelet.code_lengths(counts)
+    assert int((lengths * counts).sum()) == total
+    codes = wavelet.deal_codes(lengths)
+    words = {f"{c:032b}"[:n] for c, n in zip(codes.tolist(), lengths.tolist())}
+    assert len(words) == 500 and not any(a != b and b.startswith(a) for a in words for b in words)
+    steep = np.array([1, 1] + [0] * 43)
+    for k in range(2, 45):
+        steep[k] = steep[k - 1] + steep[k - 2]
+    lengths = wavelet.code_lengths(steep)
+    assert lengths.max() <= wavelet.DEEPEST and (0.5 ** lengths.astype(float)).sum() <= 1
+
+
+def test_wavelet_shard_is_compressed():
+    encode = json_encoder(P.path("byte_bpe_50k.json"))
+    ends, ids = encode(pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks())
+    ids = np.insert(ids, ends[1:], wavelet.END).astype(np.uint16)
+    size = sum(map(len, wavelet.pack(list(range(len(ends) - 1)), np.diff(ends + np.arange(len(ends))), ids)))
+    assert size < 0.85 * 2 * len(ids)
+
+
+def test_wavelet_damaged_files():
+    ids = np.array([5, 2, 6, 7, 2], np.uint16)
+    data = b"".join(wavelet.pack([1, 2], np.array([2, 3]), ids))
+    assert wavelet.unpack(data)[2].tokens().tolist() == ids.tolist()
+    for bad in (b"", b"x" * 100, data[:20], data[:-9], b"".join(wavelet.pack([1, 2], np.array([1, 4]), ids))):
+        with pytest.raises(ValueError):
+            wavelet.unpack(bad)
+
+
 def test_wavelet_shards_round_trip(spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
@@ -105,6 +193,32 @@ def test_wavelet_shards_round_trip(spark):
     assert got == want
 
 
+def test_wavelet_query_by_brute_force(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    start, want = 0, {}
+    for d in sorted(pq.read_table(f"{SF}/documents.parquet").to_pylist(), key=lambda d: d["doc_id"]):
+        ids = [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, wavelet.END]
+        want[d["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in wavelet.op10_wavelet_shards(spark, SF).collect()} == want
+    odd(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert wavelet.op10_wavelet_shards(spark, str(tmp_path)).collect() == []
+
+
+def test_token_counts_query_by_brute_force(spark, tmp_path):
+    encoding = tiktoken_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rows = [(d["doc_id"], d["text"]) for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    rows += [(None, "null id"), (7, "a repeated row"), (7, "a repeated row"), (9000, None), (9001, "word " * 50_000)]
+    spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, ordinal string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, ((r.doc_id, r.n_tokens) for r in tokencounts.op9_token_counts(spark, str(tmp_path)).collect())))
+    assert got == sorted(str((i, len(encoding.encode_ordinary(t or "")))) for i, t in rows)
+    odd(spark).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert tokencounts.op9_token_counts(spark, f"{tmp_path}/none").collect() == []
+    with pytest.raises(Exception, match="end id must be free"):
+        tokencounts.write_flat(odd(spark), shared_dir(spark), end=11).count()
+
+
 def test_sketches_follow_descending_ids(spark):
     texts = ["one two three four five six seven", None, "", "a b", "x " * 3000, "a b", "é ü " * 50]
     docs = spark.createDataFrame([(10 * i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, next_text string")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tiktoken_cache, tiktoken_encoding
+from .common import table, tiktoken_encoder, token_bytes
 
 
 def _rank_file(path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -21,22 +22,20 @@ def _rank_file(path: str | None, pattern: str | None) -> tuple[str, str]:
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add the token ids of ``text`` as ``ids`` (array<int>).
 
-    Every text is cut at boundaries that no match of the pattern crosses, so a
-    text of any length is encoded in small chunks and frequent chunks only once.
-    No special tokens. Null and empty texts give an empty array; equal texts give
-    equal ids; other columns stay, a column already named ``ids`` is replaced; an
-    empty table stays empty.
+    With the public pattern every text is cut at boundaries that no match crosses, so
+    a text of any length is encoded in small chunks and frequent chunks only once;
+    with another pattern texts are encoded whole. No special tokens. Null and empty
+    texts give an empty array; equal texts give equal ids; other columns stay, a
+    column already named like ``ids`` is replaced; an empty table stays empty.
     """
     path, pattern = _rank_file(path, pattern)
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = tiktoken_cache(path, pattern)
+        encoder = tiktoken_encoder(path, pattern)
         for batch in batches:
-            parts = cache.many(x.as_py() for x in batch)
-            ends = np.cumsum([0] + [len(x) // 4 for x in parts])
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            ends, values = encoder(batch)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
     return df.withColumn(ids, encoded.asNondeterministic()(F.col(f"`{text}`")))
 
@@ -45,24 +44,36 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     """Add the raw bytes of ``ids`` as ``decoded`` (binary).
 
     Bytes are joined as they are, valid UTF-8 or not. A null or empty array gives
-    empty bytes; an id outside the rank file fails the job.
+    empty bytes; a null id or one outside the rank file fails the job.
     """
     path, pattern = _rank_file(path, pattern)
 
     @F.arrow_udf("binary")
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoding = tiktoken_encoding(path, pattern)
+        known = token_bytes(path, pattern)
         for batch in batches:
-            yield pa.array([encoding.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(batch)
+            if len(flat) and (flat.null_count or pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(known)):
+                raise ValueError("an id is outside the rank file")
+            values = known.take(flat)
+            if values.null_count:
+                raise ValueError("an id is outside the rank file")
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            ends = sizes[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])]
+            if not len(values):
+                yield pa.array([b""] * len(batch), pa.binary())
+            else:
+                yield pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), values.buffers()[2]])
 
     return df.withColumn(decoded, raw.asNondeterministic()(F.col(f"`{ids}`")))
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    coded = decode(encode(df.select("doc_id", "text")).select("doc_id", "ids"))
+def digests(df: DataFrame, *columns: str) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of each row, after ``columns`` (``ids`` and ``decoded`` among them, if named)."""
+    coded = decode(encode(df.select(*[c for c in columns if c not in ("ids", "decoded")], "text")))
     return coded.select(
-        "doc_id",
+        *columns,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -70,7 +81,7 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"), "doc_id")
 
 
 QUERIES = {"op1_bpe_roundtrip": op1_bpe_roundtrip}

@@ -16,16 +16,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small_batches, table, tiktoken_cache
+from .common import materialize, shared_dir, small_batches, table, tiktoken_encoder, token_bytes
 from .files import Committed, locate
 
-END, ITEM, BLOCK = 50256, 2, 8 << 20
+END, BLOCK = 50256, 8 << 20
 
 
 def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
     """Write the tokens of (doc_id, text) as one flat file for each partition; (file, ordinal, doc_id) of what was written.
 
-    Null and empty texts give the end id alone. Partitions without rows write no file.
+    Null and empty texts give the end id alone. Partitions without rows write no file. An ``end`` that is an id of the
+    rank file, or ids beyond 16 bits, fail the job.
     """
     import public_tokenizers
 
@@ -33,8 +34,10 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int =
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, stop = tiktoken_cache(path, pattern, "<u2"), np.array([end], "<u2").tobytes()
-        name, ordinal, stack = f"part-{TaskContext.get().partitionId():06d}.u16", 0, None
+        encoder, known = tiktoken_encoder(path, pattern), token_bytes(path, pattern)
+        if end < len(known) and known[end].is_valid or max(end, len(known) - 1) >= 1 << 16:
+            raise ValueError("the end id must be free, and all ids within 16 bits")
+        name, ordinal = f"part-{TaskContext.get().partitionId():06d}.u16", 0
         file = Committed(folder, name)
         batch = next(batches, None)
         while batch is not None and not batch.num_rows:
@@ -43,8 +46,8 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int =
             return
         with file as stream:
             while batch is not None:
-                for ids in cache.many(x.as_py() for x in batch.column(1)):
-                    stream.write(ids + stop)
+                ends, ids = encoder(batch.column(1))
+                stream.write(np.insert(ids, ends[1:], end).astype("<u2").tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0)], ["file", "ordinal", "doc_id"])
                 ordinal += n
