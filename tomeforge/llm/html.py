@@ -1,16 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by
-length, stop-word density and link density; blocks inside menus, footers, adverts
-and the like are decided as boilerplate, and short blocks stay ambiguous. The
-second pass gives each ambiguous block the label of the nearest decided
-neighbours; where an article or main element holds the block, the element's own
-ends count as decided text.
+length, stop-word density and link density; blocks in menus, footers, adverts and
+the like are boilerplate, and what is short or in between stays open. The second
+pass gives each open block the label of the nearest decided neighbours. An article
+or main element takes part in it: where it holds most of the dense text, blocks
+outside it are boilerplate and its ends count as decided text. Stop words count only
+on pages that have some, so that texts in other languages go by length and links.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -21,22 +23,36 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
-#: Start of a tag, or what is left of one at the end of a page.
-OPENED = re.compile(r"</?(?:[a-zA-Z]|\Z)")
+#: A comment, an element whose content is no text, a declaration, or a tag. A quoted value ends where a value may end; a
+#: quote that never does is a character of its tag.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][\w:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]|\Z)|[^>=]+|=)*)(?:>|\Z)",
+    re.S | re.I,
+)
+#: What is left of a tag at the end of a page.
+OPENED = re.compile(r"</?\Z")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold blocks of one subject: those in them take part in deciding each other.
+CONTAINERS = frozenset("article blockquote center details dir div dl fieldset figure header main ol section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never main text, and those that are by their class, id or role.
+#: Elements whose content is never main text.
 OUTSIDE = frozenset("nav footer aside form menu dialog head".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|alert|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side-bar|footer|"
-    r"masthead|comments?|comment-list|disqus|replies|share|social|related|recommended|newsletter|subscribe|popup|modal|login|search|pagination|pager|widget|"
-    r"contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
+#: Words that mark an element by a class, id or role: the whole name, or its first or last part.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent menu nav navbar navigation breadcrumb breadcrumbs sidebar footer "
+    "masthead newsletter popup modal pagination pager contentinfo complementary".split()
 )
+#: Words that mark it only as the whole name, or before a word for a part of a page.
+WEAK_MARKS = frozenset("alert notice notices login search share social related recommended subscribe widget".split())
+PARTS = frozenset("area bar block box buttons container form icons items links list panel section widget wrap wrapper".split())
+#: Names of reader comments, and words before a name that say what an element is without.
+COMMENTS = frozenset("comment comments disqus replies".split())
+NEGATIONS = frozenset("no not non without has with is".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 #: Frequent function words of English, German, French and Spanish.
@@ -47,7 +63,9 @@ STOP_WORDS = frozenset(
     "el los las del y que un una es por con para se no su lo como al".split()
 )
 SHORT, LONG, LINKS_MOST, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.05, 0.15
-SPACES = re.compile(r"\s+")
+SPACES, WORDS = re.compile(r"\s+"), re.compile(r"[^\W\d_]+")
+#: Scripts that write more in a character: Chinese, Japanese, Korean.
+DENSE_SCRIPTS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 @dataclass
@@ -55,36 +73,84 @@ class Block:
     text: str
     linked: int
     outside: bool
+    marked: bool
     content: int
     heading: bool
+    container: int
+    stops: int = 0
+    words: int = 0
+    size: int = 0
     label: str = ""
 
+    def measure(self) -> None:
+        """Words, stop words, and characters, those of dense scripts threefold."""
+        words = WORDS.findall(self.text.lower())
+        self.words, self.stops = len(words), sum(map(STOP_WORDS.__contains__, words))
+        self.size = len(self.text) if self.text.isascii() else len(self.text) + 2 * len(DENSE_SCRIPTS.findall(self.text))
+
+
+def marks(attributes: str) -> tuple[bool, bool]:
+    """(whether names mark an element as boilerplate, whether as reader comments)."""
+    marked = comments = False
+    for name in " ".join("".join(x) for x in ATTRIBUTE.findall(attributes)).lower().split():
+        parts = re.split(r"[-_]+", name.strip("-_"))
+        if parts[0] in NEGATIONS:
+            continue
+        comments |= parts[0] in COMMENTS or parts[-1] in COMMENTS
+        marked |= parts[0] in MARKS or parts[-1] in MARKS or name == "side-bar"
+        marked |= parts[-1] in WEAK_MARKS and len(parts) == 1 or parts[0] in WEAK_MARKS and parts[-1] in PARTS
+    return marked, comments
+
+
+def blocks(html: str) -> tuple[list[Block], list[int]]:
+    """Non-empty blocks in page order, and the container around each container.
 
-def blocks(html: str) -> list[Block]:
-    """Non-empty blocks in page order; ``content`` numbers the article or main element that holds one, 0 for none."""
+    ``content`` numbers the article or main element that holds a block, 0 for none, and ``container`` the innermost
+    container, 0 for the page.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    around, container = [0], 0
+    names: Counter = Counter()
     parts: list[str] = []
-    linked = links = content = opened = outside = 0
+    linked = links = content = opened = outside = marked = 0
     heading = False
 
     def close_block() -> None:
         nonlocal linked
         text = SPACES.sub(" ", unescape("".join(parts))).strip()
         if text:
-            found.append(Block(text, linked, outside > 0, content if opened else 0, heading))
+            # of the header of an article, its headings stay
+            apart = outside > 0 or bool(opened and names["header"] and not heading)
+            found.append(Block(text, linked, apart, marked > 0, content if opened else 0, heading, container))
         parts.clear()
         linked = 0
 
-    def leave(entry: tuple[str, bool, bool]) -> None:
-        nonlocal outside, opened, links
+    def leave(entry: tuple[str, bool, bool, bool, int]) -> None:
+        nonlocal outside, opened, links, marked, container
+        names[entry[0]] -= 1
         outside -= entry[1]
-        opened -= entry[2]
+        marked -= entry[2]
+        opened -= entry[3]
         links -= entry[0] == "a"
+        container = around[entry[4]] if entry[4] else container
+
+    def end(name: str) -> None:
+        """Close the innermost element of the name: a block with all inside it, another alone if blocks are open inside it."""
+        k = len(stack) - 1
+        crossed = False
+        while stack[k][0] != name:
+            crossed |= stack[k][0] in BLOCKS
+            k -= 1
+        if crossed and name not in BLOCKS:
+            leave(stack.pop(k))
+            return
+        while len(stack) > k:
+            leave(stack.pop())
 
     at = 0
     for match in TAG.finditer(html):
-        if match.start() > at:
+        if match.start() > at and not names["button"]:
             piece = html[at : match.start()]
             parts.append(piece)
             if links:
@@ -100,82 +166,157 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCKS:
             close_block()
         if match[2]:
-            if name == "a" and not any(x[0] == "a" for x in stack):
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for entry in stack[k:]:
-                        leave(entry)
-                    del stack[k:]
-                    break
-            heading = False if name in BLOCKS else heading
+            if names[name]:
+                end(name)
+            heading = heading and name not in BLOCKS
         elif name not in VOID and not match[4].rstrip().endswith("/"):
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
                 leave(stack.pop())
-            attributes = match[4]
-            marks = " ".join("".join(x) for x in ATTRIBUTE.findall(attributes)) if attributes else ""
-            apart = name in OUTSIDE or name == "header" and not opened or bool(marks and MARKED.search(marks)) and name not in ("html", "body", "article", "main") or bool(attributes and HIDDEN.search(attributes))
-            main = name in ("article", "main")
+            if name == "a" and names[name]:
+                end(name)
+            if names["button"] and (name in ("p", "article", "section") or name in HEADINGS):
+                end("button")  # it was never closed
+            attributes, main = match[4], name in ("article", "main")
+            by_name, comments = marks(attributes) if "=" in attributes else (False, False)
+            apart = name in OUTSIDE or comments or name == "header" and not opened or bool(attributes and HIDDEN.search(attributes))
+            if name in ("html", "body", "article", "main"):
+                apart, by_name = comments and name == "article", False
+            elif opened and (name == "p" or name in HEADINGS):
+                by_name = False
             if main and not opened:
                 content += 1
-            stack.append((name, apart, main))
+            if name in CONTAINERS:
+                around.append(container)
+                container = len(around) - 1
+            stack.append((name, apart, by_name, main, container if name in CONTAINERS else 0))
+            names[name] += 1
             outside += apart
+            marked += by_name
             opened += main
             links += name == "a"
             if name in BLOCKS:
-                heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-    rest = html[at:]
-    cut = OPENED.search(rest, rest.rfind(">") + 1)  # a tag cut inside a quoted attribute
-    rest = rest[: cut.start()] if cut else rest
+                heading = name in HEADINGS
+    rest = OPENED.sub("", html[at:])
     parts.append(rest)
     if links:
         linked += len(rest.strip())
     close_block()
-    return found
+    return found, around
 
 
-def decide(block: Block, has_content: bool) -> str:
-    """First pass: good, bad, or short where length alone leaves it open."""
-    if block.outside or has_content and not block.content:
-        return "bad"
+def decide(block: Block, density: bool) -> str:
+    """First pass: good, bad, or open where length and density leave it so; ``density`` tells whether stop words count."""
     if block.linked > LINKS_MOST * len(block.text):
         return "bad"
-    if block.heading or len(block.text) < SHORT:
-        return "short"
-    words = block.text.lower().split()
-    stop = sum(word.strip(".,;:!?\"'()") in STOP_WORDS for word in words) / len(words)
-    if stop >= STOP_HIGH:
+    if block.heading or block.size < SHORT:
+        return "open"
+    if not density:
+        return "good" if block.size > LONG else "open"
+    stop = block.stops / max(1, block.words)
+    if stop >= STOP_HIGH or stop >= STOP_LOW and block.size > LONG:
         return "good"
-    if stop >= STOP_LOW:
-        return "good" if len(block.text) > LONG else "short"
-    return "short" if block.content else "bad"
+    return "open"
 
 
-def main_text(html: str | None) -> str:
-    """Main-text blocks in page order, joined by one line feed."""
-    page = blocks(html or "")
-    has_content = any(block.content and not block.outside for block in page)
+def first_pass(page: list[Block]) -> bool:
+    """Label all blocks; whether an article or main element is trusted to hold the page's main text."""
+    rest = [block for block in page if not block.outside]
+    for block in rest:
+        block.measure()
+    density = sum(b.stops for b in rest) >= STOP_LOW * sum(b.words for b in rest)
+    for block in rest:
+        block.label = decide(block, density)
+
+    def size(some, *labels: str) -> int:
+        return sum(b.size for b in some if b.label in labels)
+
+    # names that would mark most of the text are those of the page, not of its boilerplate
+    plain = [block for block in rest if not block.marked]
+    if 5 * size(plain, "good", "open") < size((b for b in rest if b.marked), "good"):
+        plain = rest
+    inner = [block for block in plain if block.content]
+    trusted = 2 * size(inner, "good", "open") >= max(1, size(plain, "good"))
+    kept = set(map(id, inner if trusted else plain))
     for block in page:
-        block.label = decide(block, has_content)
-    labels = [block.label for block in page]
+        if id(block) not in kept:
+            block.label, block.outside = "bad", True
+    return trusted
+
+
+def second_pass(page: list[Block], around: list[int], trusted: bool) -> list[bool]:
+    """Whether each block is main text: open ones get the label of their nearest decided neighbours.
+
+    Those are looked for in the innermost container that has any. In a trusted article
+    its ends count as decided text; on the bare page blocks outside count as boilerplate.
+    """
+    n = len(page)
+    lively = {0}
+    for block in page:  # containers with a decided block
+        if not block.outside and block.label != "open":
+            k = block.container
+            while k not in lively:
+                lively.add(k)
+                k = around[k]
+    home = [0] * len(around)
+    for k in range(1, len(around)):
+        home[k] = k if k in lively else home[around[k]]
+    first, last = [n] * len(around), [-1] * len(around)
+    for k, block in enumerate(page):
+        c = block.container
+        while last[c] < k:
+            first[c], last[c] = min(first[c], k), k
+            if not c:
+                break
+            c = around[c]
 
-    def neighbour(k: int, step: int) -> tuple[str, int]:
-        j = k + step
-        while 0 <= j < len(page) and labels[j] == "short" and page[j].content == page[k].content:
-            j += step
-        if page[k].content and not (0 <= j < len(page) and page[j].content == page[k].content and not page[j].outside):
-            return "good", abs(j - k)
-        return (labels[j] if 0 <= j < len(page) and labels[j] != "short" else "bad"), abs(j - k)
+    def nearest(order: range) -> list[tuple[int, int, int]]:
+        """Of each place: the nearest decided block on one side, the same among those not outside, and where the article's run of open blocks ends."""
+        found, decided, inside, run = [(0, 0, 0)] * n, order.start - order.step, order.start - order.step, order.start - order.step
+        for k in order:
+            here = page[k]
+            before = page[k - order.step] if 0 <= k - order.step < n else None
+            if not before or before.content != here.content or before.label != "open":
+                run = k - order.step
+            found[k] = decided, inside, run
+            if here.label != "open":
+                decided = k
+                inside = inside if here.outside else k
+        return found
 
+    left, right = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    any_good = any(block.label == "good" for block in page)
+
+    def neighbour(k: int, places: tuple[int, int, int]) -> tuple[str | None, int]:
+        block, c = page[k], home[page[k].container]
+        if trusted and block.content:
+            j = places[2]
+            end = not 0 <= j < n or page[j].content != block.content or page[j].outside
+            return "good" if end else page[j].label, abs(j - k)
+        j = places[1] if c else places[0]
+        if c and not first[c] <= j <= last[c]:
+            return None, n
+        return page[j].label if 0 <= j < n else "bad", abs(j - k)
+
+    kept = []
     for k, block in enumerate(page):
-        if labels[k] != "short":
+        if block.label != "open":
+            kept.append(block.label == "good")
             continue
-        (before, up), (after, down) = neighbour(k, -1), neighbour(k, 1)
-        if block.heading:
-            block.label = after  # a heading belongs to what it heads
+        (before, up), (after, down) = neighbour(k, left[k]), neighbour(k, right[k])
+        if not any_good and not trusted:
+            kept.append(True)  # a page of short blocks alone
+        elif block.heading:
+            kept.append((after or before) == "good")  # a heading belongs to what it heads
         else:
-            block.label = before if before == after else before if up < down else after if down < up else "good"
-    return "\n".join(block.text for block in page if block.label == "good")
+            kept.append("good" == (before if up < down else after if down < up else "good" if "good" in (before, after) else "bad"))
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    """Main-text blocks in page order, joined by one line feed."""
+    page, around = blocks(html or "")
+    trusted = first_pass(page)
+    return "\n".join(block.text for block, kept in zip(page, second_pass(page, around, trusted)) if kept)
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
