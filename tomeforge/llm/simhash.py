@@ -1,13 +1,16 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
 Fingerprints that differ in at most three bits agree in one of four blocks of
-16 bits. Each distinct fingerprint is dealt to four groups, one for each block,
-with that block rotated to the top. Inside a group the fingerprints are sorted by
-Gray rank, runs of them become leaves, and leaves become upper nodes that hold
-the bits all members share. Two nodes are compared by the differing shared bits
-alone; as masks only grow downwards, a difference above the limit prunes the
-whole pair of groups. Groups beyond ``HOT`` members are dealt again by blocks of
-their remaining bits, so that no task gets an unbounded group.
+16 bits. Each distinct fingerprint is dealt four times, with each block rotated to
+the top, and goes to the group of its Gray range: the fingerprints whose Gray ranks
+share their first bits, as many bits as make groups of about ``GROUP``. Inside a
+group they are sorted by Gray rank; runs of them become leaves, leaves become upper
+nodes, and each node holds the bits that all its members share beyond those its
+parent holds. Pairs of nodes are followed from the top: each level adds the
+differences in the bits it fixes to those accumulated above, and a pair of whole
+groups is pruned once they exceed the limit, or lie in the block that must agree.
+Blocks that more than ``HOT`` fingerprints share are dealt again by blocks of their
+remaining bits, so that no task gets an unbounded group.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 from .graph import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-LEAF, FAN, HOT = 16, 8, 4096
+LEAF, FAN, GROUP, HOT = 16, 8, 2048, 4096
 #: Widths of the blocks that the levels of groups fix: 4 x 16 bits, then 4 x 12 of the other 48, then 4 x 9 of the other 36.
 LEVELS = (16, 12, 9)
 
@@ -75,47 +78,57 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of (pattern, mask) over codes in Gray order; level 0 is the codes themselves."""
+    """A tree over codes in Gray order: levels of (pattern, mask, own mask), level 0 the codes themselves.
+
+    ``mask`` marks the bits that all members of a node share and ``pattern`` has their
+    values; ``own`` marks those that its parent doesn't fix yet.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        self.levels = [(self.codes, np.full(len(codes), ~np.uint64(0)))]
-        self.fans = []
-        fan = LEAF
-        while len(self.levels[-1][0]) > 1:
-            pattern, mask = self.levels[-1]
+        pattern, mask = self.codes, np.full(len(codes), ~np.uint64(0))
+        self.levels, self.fans, fan = [], [], LEAF
+        while len(pattern) > 1:
             starts = np.arange(0, len(pattern), fan)
             shared = np.bitwise_and.reduceat(mask, starts)
             shared &= np.bitwise_and.reduceat(pattern, starts) | ~np.bitwise_or.reduceat(pattern, starts)
-            self.levels.append((pattern[starts] & shared, shared))
+            self.levels.append((pattern, mask, mask & ~np.repeat(shared, fan)[: len(mask)]))
             self.fans.append(fan)
-            fan = FAN
-
-    def near(self, limit: int, budget: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions i < j whose codes differ in at most ``limit`` bits, in bounded chunks."""
-        top = len(self.levels) - 1
-        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+            pattern, mask, fan = pattern[starts] & shared, shared, FAN
+        self.levels.append((pattern, mask, mask))
+        #: Pairs of nodes that were looked at so far, by level.
+        self.visited = [0] * len(self.levels)
+
+    def near(self, limit: int, same: int = 0, budget: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions i < j whose codes differ in at most ``limit`` bits, none of them in ``same``, in bounded chunks."""
+        top, same = len(self.levels) - 1, np.uint64(same)
+        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint8))]
         while stack:
-            level, a, b = stack.pop()
+            level, a, b, apart = stack.pop()
             if level == 0:
                 yield a, b
                 continue
             fan = self.fans[level - 1]
             step = max(1, budget // (fan * fan))
             if len(a) > step:
-                stack += [(level, a[x : x + step], b[x : x + step]) for x in range(0, len(a), step)]
+                stack += [(level, a[x : x + step], b[x : x + step], apart[x : x + step]) for x in range(0, len(a), step)]
                 continue
-            pattern, mask = self.levels[level - 1]
+            pattern, mask, own = self.levels[level - 1]
             i, j = np.divmod(np.arange(fan * fan), fan)
             left, right = (a[:, None] * fan + i).ravel(), (b[:, None] * fan + j).ravel()
-            keep = (left <= right if level > 1 else left < right) & (right < len(pattern)) & (left < len(pattern))
-            left, right = left[keep], right[keep]
-            keep = np.bitwise_count((pattern[left] ^ pattern[right]) & mask[left] & mask[right]) <= limit
-            stack.append((level - 1, left[keep], right[keep]))
-
-
-def spanning_links(codes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links within ``limit`` bits that join all codes they connect: at most len(codes) - 1."""
+            keep = np.flatnonzero((left <= right if level > 1 else left < right) & (right < len(pattern)) & (left < len(pattern)))
+            left, right, apart = left[keep], right[keep], apart[keep // (fan * fan)]
+            self.visited[level - 1] += len(left)
+            # bits that both nodes fix, but not both their parents
+            new = (own[left] & mask[right]) | (mask[left] & own[right])
+            new &= pattern[left] ^ pattern[right]
+            apart = apart + np.bitwise_count(new)
+            keep = (apart <= limit) & (new & same == 0)
+            stack.append((level - 1, left[keep], right[keep], apart[keep]))
+
+
+def spanning_links(codes: np.ndarray, limit: int, same: int = 0) -> list[tuple[int, int]]:
+    """Links within ``limit`` bits, none in ``same``, that join all codes they connect: at most len(codes) - 1."""
     index = GrayIndex(codes)
     root = np.arange(len(codes))
     found = []
@@ -126,7 +139,7 @@ def spanning_links(codes: np.ndarray, limit: int) -> list[tuple[int, int]]:
             x = root[x]
         return int(x)
 
-    for a, b in index.near(limit):
+    for a, b in index.near(limit, same):
         while (root[root] != root).any():
             root[:] = root[root]
         apart = root[a] != root[b]
@@ -139,23 +152,29 @@ def spanning_links(codes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return [(int(codes[x]), int(codes[y])) for x, y in found]
 
 
-def links(fps: DataFrame, limit: int = 3, hot: int = HOT) -> DataFrame:
+def links(fps: DataFrame, limit: int = 3, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that connect all distinct ``fp`` values within ``limit`` (at most 3) bits of each other."""
     if limit > 3:
         raise ValueError("four blocks find up to three differing bits")
-    rest = fps.select(F.lit("").alias("key"), F.col("fp").alias("code"))
+    rest = fps.select(F.lit("").alias("path"), F.col("fp").alias("code"))
+    size = fps.count()  # of the largest group to be dealt
     done, fixed = [], 0
     for level, width in enumerate(LEVELS):
         dealt = _deal(rest, fixed, width)
         fixed += width
-        sizes = dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
+        # groups of one block's values would be smaller than need be: take Gray ranges of about ``group`` codes
+        spare = width - min(width, max(0, (size // group).bit_length()))
+        ranges = dealt.withColumn("key", F.concat_ws(".", "path", F.shiftrightunsigned("value", spare).cast("string")))
+        sizes = dealt.groupBy("path", "value").count().where(F.col("count") > hot)
         sizes = materialize(sizes)
-        if level + 1 == len(LEVELS) or sizes.isEmpty():
-            done.append(dealt)
+        biggest = sizes.agg(F.max("count")).first()[0]
+        if level + 1 == len(LEVELS) or not biggest:
+            done.append(ranges)
             break
-        marked = dealt.join(sizes, "key", "left")
-        done.append(marked.where("hot is null").select(dealt.columns))
-        rest = materialize(marked.where("hot").select(dealt.columns))
+        marked = ranges.join(sizes, ["path", "value"], "left")
+        done.append(marked.where("count is null").select(ranges.columns))
+        rest = materialize(marked.where("count is not null").select(F.concat_ws(".", "path", F.col("value").cast("string")).alias("path"), "code"))
+        size = biggest
     return _joined(done, limit)
 
 
@@ -172,10 +191,11 @@ def _deal(groups: DataFrame, fixed: int, width: int) -> DataFrame:
         return head.bitwiseOR(F.shiftleft(body, cut).bitwiseAND(F.lit(whole))).bitwiseOR(F.shiftrightunsigned(body, rest - cut))
 
     choices = F.array(*[F.struct(F.lit(k).alias("k"), turned(k).alias("code")) for k in range(4)])
-    dealt = groups.select("key", F.explode(choices).alias("d"))
+    dealt = groups.select("path", F.explode(choices).alias("d"))
     value = F.shiftrightunsigned(F.col("d.code"), rest - width).bitwiseAND(F.lit((1 << width) - 1))
     return dealt.select(
-        F.concat_ws(".", "key", F.col("d.k").cast("string"), value.cast("string")).alias("key"),
+        F.concat_ws(".", F.expr("nullif(path, '')"), F.col("d.k").cast("string")).alias("path"),
+        value.alias("value"),
         F.col("d.code").alias("code"),
     )
 
@@ -197,10 +217,11 @@ def _joined(parts: list[DataFrame], limit: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(key: str, codes: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-            turns = [int(x) for x in key.strip(".").split(".")[::2]]
+            turns = [int(x) for x in key.split(".")[::2]]
+            fixed = sum(LEVELS[: len(turns)])
             codes = np.concatenate(codes).view(np.uint64)
             if len(codes) > 1:
-                for a, b in spanning_links(codes, limit):
+                for a, b in spanning_links(codes, limit, (1 << 64) - (1 << 64 - fixed)):
                     yield unturn(a & (1 << 64) - 1, turns), unturn(b & (1 << 64) - 1, turns)
 
         def table_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -245,13 +266,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     Copies share a fingerprint and are one node, so that a group of any size costs
     one row in the search. Rows without words have fingerprint 0 and are linked like
     any other. Repeated rows stay; a null id never becomes a component's id unless
-    the component has no other; an empty table stays empty.
+    the component has no other; an empty table stays empty. Other columns are left
+    out: join them by id.
     """
-    rows = materialize(fingerprints(df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", "fp"))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = materialize(rooted(nodes, limit))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(named.join(ids, "root").select("fp", "component_id"))
+    with scratch(df.sparkSession):
+        rows = fingerprints(df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", "fp")
+        rows = materialize(rows, keep=True)
+        nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        named = materialize(rooted(nodes, limit))
+        ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = materialize(named.join(ids, "root").select("fp", "component_id"), keep=True)
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
