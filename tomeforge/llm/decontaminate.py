@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialize, small_batches, table
 
 Q = 8
 ERROR_RATE = 0.1
@@ -51,7 +51,7 @@ def budget(m: int, rate: float) -> int:
 class Passages:
     """The passages of one slice with their q-gram table."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[str]
     rate: float
 
@@ -184,62 +184,97 @@ def align(passage: np.ndarray, text: str, low: int, high: int, limit: int, wante
     return (int(cost[d]), max(0, int(origin[d])), low + d + len(passage)) if cost[d] <= limit else None
 
 
-def search(docs: DataFrame, passages: list[tuple[int, str]], rate: float = ERROR_RATE) -> DataFrame:
-    """Occurrences of a bounded list of passages in ``docs`` (doc_id, text)."""
+def _loaded(passages: list[tuple[int | None, str]], rate: float) -> Passages:
     items = [(i, x) for i, x in ((i, normal(x)) for i, x in passages) if x]
+    return Passages([i for i, _ in items], [x for _, x in items], rate)
+
+
+def _found(held: Passages, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, passage, edits, start, end) over a batch of texts, searched in parts of about a million characters."""
+    part: list[str] = []
+    first = size = 0
+    for k in range(len(texts) + 1):
+        if k == len(texts) or size > 1 << 20:
+            for found in held.find(part):
+                yield (found[0] + first, *found[1:])
+            part, first, size = [], k, 0
+        if k < len(texts):
+            part.append(normal(texts[k].as_py()))
+            size += len(part[-1])
+
+
+def search(docs: DataFrame, passages: list[tuple[int | None, str]], rate: float = ERROR_RATE) -> DataFrame:
+    """Occurrences of a bounded list of passages in ``docs`` (doc_id, text)."""
     made: dict = {}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "p" not in made:
-            made["p"] = Passages([i for i, _ in items], [x for _, x in items], rate)
+            made["p"] = _loaded(passages, rate)
         held: Passages = made["p"]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows: list[tuple] = []
-            part: list[str] = []
-            first = size = 0
-            for k in range(len(ids) + 1):
-                if k == len(ids) or size > 1 << 20:
-                    rows += [(ids[first + t], held.ids[i], e, a, b) for t, i, e, a, b in held.find(part)]
-                    part, first, size = [], k, 0
-                if k < len(ids):
-                    part.append(normal(texts[k].as_py()))
-                    size += len(part[-1])
-            columns = list(zip(*rows)) or [[]] * 5
+            ids = batch.column(0).to_pylist()
+            columns = list(zip(*[(ids[t], held.ids[i], e, a, b) for t, i, e, a, b in _found(held, batch.column(1))])) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "edits", "start", "end"])
 
     return docs.select("doc_id", "text").mapInArrow(found, SCHEMA)
 
 
+def holds(passages: list[tuple[int | None, str]], rate: float = ERROR_RATE):
+    """A column function: whether a text holds a passage of a bounded list."""
+    made: dict = {}
+
+    @F.arrow_udf("boolean")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if "p" not in made:
+            made["p"] = _loaded(passages, rate)
+        for batch in batches:
+            found = np.zeros(len(batch), bool)
+            found[[t for t, *_ in _found(made["p"], batch)]] = True
+            yield pa.array(found)
+
+    return held.asNondeterministic()
+
+
+def slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct passages in lists of about ``SLICE_CHARS`` characters, dealt by a hash."""
+    items = benchmark.select("item_id", "text").where("length(text) > 0")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // SLICE_CHARS)
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield sorted({(x.item_id, x.text) for x in part.toLocalIterator()}, key=str)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the best occurrence of each passage in each document.
 
     Both sides are lower-cased and their white space is made single spaces; start and
     end count characters of that form. A passage is found with up to ``rate`` of its
     characters edited, one shorter than ``Q`` only unedited. Null and empty
-    passages and texts match nothing; repeated rows match each on its own; a null
-    item_id counts as -1. The benchmark goes to the tasks in slices of
-    ``SLICE_CHARS`` characters, each with its own pass over the documents, so that no
-    task holds more, whatever the benchmark's size.
+    passages and texts match nothing; null ids stay null; repeated documents match
+    each on its own, repeated passages once; other columns are left out. The
+    benchmark goes to the tasks in slices of ``SLICE_CHARS`` characters, each with its
+    own pass over the documents, so that no task holds more, whatever its size.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text").where("length(text) > 0")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = -(-total // SLICE_CHARS)
     found = None
-    for k in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        passages = sorted({(x.item_id, x.text) for x in part.toLocalIterator()})
+    for passages in slices(benchmark):
         some = search(docs, passages, rate)
         found = some if found is None else found.unionByName(some)
     return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The documents that hold no passage of the benchmark; rows with a null id stay."""
-    leaked = matches(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """The rows, with all their columns, whose text holds no passage of the benchmark; null ids and repeated rows are rows like others.
+
+    Each row is decided where it is, without a shuffle. Of a benchmark of several
+    slices, what one slice leaves is written before the next one is searched.
+    """
+    small_batches(docs.sparkSession)
+    for k, passages in enumerate(slices(benchmark)):
+        docs = (materialize(docs) if k else docs).where(~holds(passages, rate)(F.col("text")))
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
