@@ -1,7 +1,7 @@
 """Language of code-switched text by a linear-chain conditional random field over words.
 
-Emission scores of a word come from its affixes, its inner n-grams and whether it
-is in the learned lexicon; transitions between languages are learned. Forward-
+Emission scores of a word come from its affixes, its inner n-grams and the learned
+lexicons that hold it, one of each language; transitions between languages are learned. Forward-
 backward gives every word a distribution over the languages, whose mean over the
 text decides its language.
 """
@@ -9,15 +9,14 @@ text decides its language.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_hash, table
@@ -30,11 +29,12 @@ SEGMENT = 32
 UNKNOWN = "und"
 
 
-def hashed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the word, bucket) of every feature of every word.
+def hashed_features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, feature) of every feature of every word.
 
-    Features are the 2- and 3-grams of the word between its end marks, the prefixes
-    and suffixes of up to four letters with their mark, and the word itself.
+    Features are the 2- and 3-grams of the word between its end marks and the
+    prefixes and suffixes of up to four letters with their mark, all hashed; and,
+    behind the buckets, one for each language whose lexicon has the word.
     """
     codes = np.frombuffer("".join([f"<{word}>" for word in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -44,8 +44,9 @@ def hashed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     is_start[ends - sizes] = True
     is_end[ends - 1] = True
     prime, spread, shift = np.uint32(16777619), np.uint32(2654435761), np.uint32(32 - BUCKET_BITS)
-    owners = [np.arange(len(words))]
-    buckets = [np.fromiter((crc32(word.encode("utf-8", "surrogatepass")) for word in words), np.uint32, len(words)) >> shift]
+    known = [(k, lang) for k, word in enumerate(words) for lang in lexicon.get(word, ())]
+    owners = [np.array([k for k, _ in known], np.int64)]
+    features = [np.array([(1 << BUCKET_BITS) + lang for _, lang in known], np.uint32)]
     value = codes
     for n in range(2, 6):
         if len(codes) < n:
@@ -55,14 +56,8 @@ def hashed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n > 3:
             inside &= is_start[: 1 - n] | is_end[n - 1 :]
         owners.append(owner[: 1 - n][inside])
-        buckets.append(((value[inside] + np.uint32(n)) * spread) >> shift)
-    return np.concatenate(owners), np.concatenate(buckets)
-
-
-def summed(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Sum of the feature weights of each word, one column for each language."""
-    owner, bucket = hashed_features(words)
-    return np.stack([np.bincount(owner, weights[bucket, a], len(words)) for a in range(weights.shape[1])], axis=1)
+        features.append(((value[inside] + np.uint32(n)) * spread) >> shift)
+    return np.concatenate(owners), np.concatenate(features)
 
 
 def messages(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +130,29 @@ def posteriors(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.n
 
 @dataclass
 class Model:
+    """Languages, feature weights (features x languages), transitions, and the languages whose lexicon has a word."""
+
     langs: list[str]
     weights: np.ndarray
     trans: np.ndarray
+    lexicon: dict[str, list[int]]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Emission scores of words, each divided by the share of its features beyond those of 64 letters."""
-        damp = np.array([max(1.0, len(word) / 64) for word in words])
-        return summed(words, self.weights) / damp[:, None]
+        """Sum of the feature weights of each word, one column for each language."""
+        owner, feature = hashed_features(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[feature, a], len(words)) for a in range(self.weights.shape[1])], axis=1)
+
+
+def lexicons(texts: list[str], labels: list[int]) -> dict[str, list[int]]:
+    """Languages in at least two of whose texts a word occurs."""
+    seen: Counter = Counter()
+    for text, label in zip(texts, labels):
+        seen.update((word, label) for word in set(WORD.findall((text or "").lower())))
+    found = defaultdict(list)
+    for (word, label), n in sorted(seen.items()):
+        if n >= 2:
+            found[word].append(label)
+    return dict(found)
 
 
 class Tagger:
@@ -187,7 +197,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, seed: int = 2) ->
     names = sorted(set(langs))
     k = len(names)
     if not k:
-        return Model([UNKNOWN], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros((1, 1)))
+        return Model([UNKNOWN], np.zeros(((1 << BUCKET_BITS) + 1, 1), np.float32), np.zeros((1, 1)), {})
     rng = np.random.default_rng(seed)
     pools = defaultdict(list)
     for text, lang in zip(texts, langs):
@@ -205,7 +215,8 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, seed: int = 2) ->
         if at[a] >= len(pools[a]):
             del at[a]
     distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    owner, bucket = hashed_features(list(distinct)) if distinct else (np.empty(0, np.int64),) * 2
+    lexicon = lexicons(texts, [names.index(lang) for lang in langs])
+    owner, bucket = hashed_features(list(distinct), lexicon) if distinct else (np.empty(0, np.int64),) * 2
     used, feature = np.unique(bucket, return_inverse=True)
     number, gold = np.array([distinct[w] for w in words], np.int64), np.array(gold, np.int64)
     weights, trans = np.zeros((len(used), k)), np.eye(k)
@@ -233,26 +244,26 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, seed: int = 2) ->
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g**2
             x -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
-    table_of = np.zeros((1 << BUCKET_BITS, k), np.float32)
+    table_of = np.zeros(((1 << BUCKET_BITS) + k, k), np.float32)
     table_of[used] = weights
-    return Model(names, table_of, trans)
+    return Model(names, table_of, trans, lexicon)
 
 
 def train(docs: DataFrame, usable: Column | None = None) -> Model:
-    """Fit on at most ``PER_LANG`` rows of each language, drawn by a hash of their id.
+    """Fit on at most ``PER_LANG`` ids of each language, drawn by a hash of their id, with one text each.
 
-    Rows without language, and those longer than ``MAX_CHARS``, are not drawn.
+    Rows without language, and those longer than ``MAX_CHARS``, are not drawn; of
+    several rows with one id and language the least text counts. Without rows the
+    model knows no language.
     """
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS) & F.col("text").rlike(r"\p{L}"))
     if usable is not None:
         known = known.where(usable)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(2)).alias("draw"))
-    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANG).select("doc_id", "lang")
+    ids = ids.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= PER_LANG).select("doc_id", "lang").distinct()
     drawn = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])  # PER_LANG rows a language
-    rows = sorted({(x.doc_id, x.lang, x.text) for x in drawn.collect()})
+    rows = sorted((x.doc_id, x.lang, x.text) for x in drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect())
     return fit([x[2] for x in rows], [x[1] for x in rows])
 
 

@@ -17,11 +17,17 @@ BUCKET_BITS = 21
 #: Bounds of the fit: rows per class, characters of a row that may be drawn, features kept.
 PER_CLASS, MAX_CHARS, FEATURES = 1500, 10_000, 30_000
 THRESHOLD = 0.7
+#: Code points that are scored at a time; it changes no score.
+PIECE = 1 << 18
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Hash buckets of all 3- to 5-grams of the lower-cased text, with one space at either end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def coded(text: str | None) -> np.ndarray:
+    """Code points of the lower-cased text with one space at either end."""
+    return np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def ngram_buckets(codes: np.ndarray) -> np.ndarray:
+    """Hash buckets of all 3- to 5-grams of code points."""
     prime, spread, shift = np.uint32(16777619), np.uint32(2654435761), np.uint32(32 - BUCKET_BITS)
     found, value = [], codes
     for n in range(2, ORDERS[-1] + 1):
@@ -49,9 +55,9 @@ class Model:
 
         def score(text: str | None) -> float:
             seen[:] = False
-            text = text or ""
-            for at in range(0, max(1, len(text)), 1 << 18):  # pieces overlap by the longest n-gram
-                seen[slot[ngram_buckets(text[at : at + (1 << 18) + ORDERS[-1] - 1])]] = True
+            codes = coded(text)
+            for at in range(0, len(codes), PIECE):  # pieces overlap so that each n-gram is whole in one
+                seen[slot[ngram_buckets(codes[at : at + PIECE + ORDERS[-1] - 1])]] = True
             return float(1 / (1 + np.exp(-np.clip(self.bias + weights[seen].sum(), -30, 30))))
 
         return score
@@ -60,7 +66,7 @@ class Model:
 def fit(texts: list[str], labels: list[int], rounds: int = 120, decay: float = 1e-3) -> Model:
     """Fit on a bounded list of texts. With one class only, the model scores everything near that class."""
     y = np.array(labels, np.float32)
-    rows = [np.unique(ngram_buckets(x or "")) for x in texts]
+    rows = [np.unique(ngram_buckets(coded(x))) for x in texts]
     counts = np.zeros((2, 1 << BUCKET_BITS), np.float32)
     for row, label in zip(rows, labels):
         counts[label, row] += 1
