@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -7,6 +8,8 @@ import pyarrow as pa
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tomeforge.llm import bpe, sketch, tokencounts, wavelet
@@ -219,21 +222,61 @@ def test_token_counts_query_by_brute_force(spark, tmp_path):
         tokencounts.write_flat(odd(spark), shared_dir(spark), end=11).count()
 
 
+def sketch_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    shingles = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+    hashes = {xxhash.xxh64_intdigest(x.encode()) for x in shingles}
+    return {h for h in hashes if h < (1 << 64) // sketch.SCALE} or ({min(hashes)} if len(words) > 5 else hashes)
+
+
 def test_sketches_follow_descending_ids(spark):
     texts = ["one two three four five six seven", None, "", "a b", "x " * 3000, "a b", "é ü " * 50]
     docs = spark.createDataFrame([(10 * i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, next_text string")
-    rows = {r.doc_id: r for r in sketch.edited(sketch.with_next(docs.select("doc_id", "text"))).collect()}
-    ids = sorted(rows, reverse=True)
-    assert len(ids) == len(texts)
-    for k, i in enumerate(ids):
-        text, follow = texts[i // 10] or "", texts[ids[(k + 1) % len(ids)] // 10] or ""
-        half = len(text) // 2
-        assert rows[i].next_text == follow and rows[i].edited == text[: len(text) - half] + follow[:half]
+    for size in (1, 3, 100):
+        rows = {r.doc_id: r for r in sketch.edited(sketch.with_next(docs.repartition(3), size)).collect()}
+        ids = sorted(rows, reverse=True)
+        assert len(ids) == len(texts)
+        for k, i in enumerate(ids):
+            text, follow = texts[i // 10] or "", texts[ids[(k + 1) % len(ids)] // 10] or ""
+            half = len(text) // 2
+            assert rows[i].next_text == follow and rows[i].edited == text[: len(text) - half] + follow[:half]
     assert sketch.with_next(docs.limit(0)).count() == 0
     one = sketch.with_next(docs.where("doc_id = 0")).collect()
     assert one[0].next_text == texts[0]
 
 
+def test_sketches_of_a_hot_id(spark):
+    """Rows of one id, equal ones too, are dealt over ranges; each text has one successor and is one, null ids come last."""
+    rows = [(1, "same")] * 400 + [(1, f"text {k}") for k in range(300)] + [(k, f"own {k}") for k in range(2, 200)] + [(None, "none"), (-(1 << 63), "least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sketch.with_next(docs, 20)
+    got = out.select("*", F.spark_partition_id().alias("p")).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, rows)) and sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+    follow = {r.text: r.next_text for r in got if r.doc_id != 1}
+    assert all(follow[f"own {k}"] == f"own {k - 1}" for k in range(3, 200)) and {follow["none"], follow["least"]} <= {"none", "least", "own 199"}
+    assert sum(r.text == "same" and r.next_text != "same" for r in got) == 1
+    assert len({r.p for r in got if r.doc_id == 1 and r.text != "same"}) > 5 and len({r.p for r in got if r.text == "same"}) > 1
+
+
+def test_sketch_query_by_brute_force(spark, tmp_path):
+    rows = [(d["doc_id"], d["text"]) for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()] + [(90_000, None), (90_001, ""), (90_002, "two words"), (90_003, "é" * 70_000)]
+    spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, text_sketch string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in sketch.op8_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    rows.sort(key=lambda r: -r[0])
+    for k, (i, text) in enumerate(rows):
+        text, follow = text or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        edit = text[: len(text) - half] + follow[:half]
+        own, changed, after = map(sketch_by_hand, (text, edit, follow))
+        line = lambda x: "".join(f"{h:016x}" for h in sorted(x))
+        near = lambda a, b: len(a & b) / min(len(a), len(b))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edit.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (line(own), line(changed))
+        assert abs(r.near_edited - near(own, changed)) < 1e-12 and abs(r.near_next - near(own, after)) < 1e-12
+
+
 def test_sketch_estimates_containment(spark):
     rng = np.random.default_rng(1)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 20_000)]

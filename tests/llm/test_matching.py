@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import xxhash
+from pyspark.sql import functions as F
 
 from tomeforge.llm import chat, decontaminate, graph, html, simhash
 from tomeforge.llm.common import shared_dir
@@ -45,11 +46,32 @@ def test_gray_index_finds_all_components(spark):
     want = roots(len(codes), brute)
     assert roots(len(codes), [(number[a], number[b]) for a, b in simhash.spanning_links(codes, 3)]) == want
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for hot in (4096, 5):  # with and without hot groups dealt again
-        found = [(number[r.a], number[r.b]) for r in simhash.links(df, 3, hot).collect()]
+    for hot, group in ((4096, 2048), (5, 2048), (5, 4), (4096, 64)):  # with and without hot blocks dealt again, in wide and narrow Gray ranges
+        found = [(number[r.a], number[r.b]) for r in simhash.links(df, 3, hot, group).collect()]
         assert roots(len(codes), found) == want
 
 
+def test_gray_index_prunes_whole_groups():
+    """Upper nodes share bits, and most pairs of codes are never looked at; what is found are all pairs within the limit."""
+    rng = np.random.default_rng(4)
+    codes = np.unique(np.concatenate([planted_codes(), rng.integers(0, 2**63, 6000, dtype=np.uint64)]))
+    for same in (0, 0xFFFF << 48):
+        index = simhash.GrayIndex(codes)
+        assert len(index.levels) >= 4
+        pairs = {tuple(sorted((int(index.codes[x]), int(index.codes[y])))) for a, b in index.near(3, same) for x, y in zip(a, b)}
+        want = set()
+        for i in range(len(codes)):
+            apart = codes[i] ^ codes[i + 1 :]
+            want |= {(int(codes[i]), int(codes[j])) for j in np.flatnonzero((np.bitwise_count(apart) <= 3) & (apart & np.uint64(same) == 0)) + i + 1}
+        assert pairs == want
+    assert index.visited[0] < len(codes) ** 2 / 2 / 40  # with the block held equal, under 1 in 40 pairs is compared
+    for level in range(1, len(index.levels) - 1):
+        pattern, mask, own = index.levels[level]
+        parents = index.levels[level + 1][1].repeat(index.fans[level])[: len(mask)]
+        assert (own == mask & ~parents).all() and (mask & parents == parents).all()
+    assert (np.bitwise_count(index.levels[1][1]) > 0).mean() > 0.99
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -114,7 +136,10 @@ def test_decontamination_tables(spark):
     docs = spark.createDataFrame([(1, hit, "a"), (2, "nothing", "b"), (3, None, "c"), (4, "", "d"), (5, "a tiny thing", "e"), (None, "nothing", "f"), (6, "aaaa" * 20_000, "g")], "doc_id long, text string, item_id string")
     found = {(r.doc_id, r.item_id): r.edits for r in decontaminate.matches(docs, benchmark).collect()}
     assert found == {(1, 1): 2, (5, 4): 0}
-    assert sorted(r.item_id for r in decontaminate.clean(docs, benchmark).collect()) == ["b", "c", "d", "f", "g"]
+    clean = decontaminate.clean(docs.unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))), benchmark)
+    assert sorted(r.item_id for r in clean.collect()) == ["b", "c", "d", "f", "g"] and clean.columns == docs.columns
+    no_id = spark.createDataFrame([(None, "tiny words in here"), (-1, "words in there")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame([(None, "tiny words in here")], "doc_id long, text string"), no_id).collect()} == {(None, None)}
     assert decontaminate.matches(docs.limit(0), benchmark).count() == 0 and decontaminate.matches(docs, benchmark.limit(0)).count() == 0
 
 
@@ -123,6 +148,8 @@ def test_decontamination_in_slices(spark, monkeypatch):
     whole = sorted(map(tuple, decontaminate.matches(docs, benchmark).collect()))
     monkeypatch.setattr(decontaminate, "SLICE_CHARS", 3000)
     assert sorted(map(tuple, decontaminate.matches(docs, benchmark).collect())) == whole and whole
+    left = {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()}
+    assert left == {r.doc_id for r in docs.select("doc_id").collect()} - {r[0] for r in whole}
 
 
 def test_chat_equals_sql(spark):
@@ -161,7 +188,7 @@ def test_html_rules():
     page = f"""<html><body><div id="top">Home | <a href=x>About</a></div><header><h1>Site</h1></header><div class="content"><h2>Title</h2>
     <p>{text}</p><p>Short&nbsp;one.</p><p>{text}</p></div><section id="comments"><p>{text}</p></section><form><p>{text}</p></form><footer>(c)</footer></body></html>"""
     assert html.main_text(page) == f"Title\n{text}\nShort one.\n{text}"
-    assert [html.main_text(x) for x in (None, "", "plain", "<p", "<article><p>x</article>", "<script>a<p>b")] == ["", "", "", "", "x", ""]
+    assert [html.main_text(x) for x in (None, "", "plain", "<p", "<article><p>x</article>", "<script>a<p>b")] == ["", "", "plain", "", "x", ""]
     assert html.main_text("<article><p>" + "a " * 500_000) == "a " * 499_999 + "a"
 
 
@@ -173,6 +200,51 @@ def test_html_text_after_the_last_tag():
     assert html.main_text(f"<article><p>{text}</p><p><a href=x>{text}") == text
 
 
+def test_html_pages_without_article_tags():
+    """Density, neighbours and containers alone find the same blocks."""
+    for p in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        assert html.main_text(re.sub("(</?)article>", r"\1div>", p["html"])) == article_by_hand(p["html"])
+
+
+def test_html_markup_and_names():
+    text = "The cat of the house is in the garden and it is one of those that is for the dog."
+    assert html.main_text(f'<p title="a>{text}</p><p>{text}</p>') == f"{text}\n{text}"  # a quote that is never closed
+    assert html.main_text(f"<p title='a > b' data-x=\"<b>\">{text}</p>") == text
+    assert html.main_text(f'<div class="page no-sidebar"><article><p>{text}</article></div>') == text
+    assert html.main_text(f'<div class="sidebar-right"><article><p>{text}</article></div>') == text
+    assert html.main_text(f'<article><p>{text}<p class="alert">Mind the gap.<div class="social-science">Yes.</div></article>') == f"{text}\nMind the gap.\nYes."
+    for name in ("ad", "site-footer", "cookie_banner", "main-nav", "notice", "share-buttons", "comments", "comment-list"):
+        assert html.main_text(f'<article><p>{text}</p><div class="{name}">{text} {text}</div></article>') == text
+    assert html.main_text(f"<article><header><h1>Title</h1><p>By me</p><a href=/>Home</a></header><p>{text}</article>") == f"Title\n{text}"
+    assert html.main_text(f'<article><p>{text}</article><section id="comments"><article class="comment"><p>{text}</article></section>') == text
+    assert html.main_text(f"<b><article><p>{text}</b><p>{text}</article>") == f"{text}\n{text}"  # wrongly nested
+    assert html.main_text(f"<article><p>{text}<button>Press</button><p>{text}<button>Press<p>{text}") == "\n".join([text] * 3)
+    menu = "".join(f"<li><a href=/{k}>{w}</a>" for k, w in enumerate("the and of that".split()))
+    assert html.main_text(f"<ul>{menu}</ul><div><h2>Title</h2><p>{text}<p>Short.<ul><li>One<li>Two</ul></div><div>Note.</div><ul>{menu}</ul>") == f"Title\n{text}\nShort.\nOne\nTwo"
+
+
+def test_html_other_languages():
+    for text in ("日本語の文章はここにあります。" * 6, "Это длинный текст на русском языке о погоде и природе. " * 5, "هذا نص طويل باللغة العربية عن الطقس والطبيعة. " * 6):
+        page = f"<nav><a href=/>x</a></nav><div><h1>題</h1><p>{text}</p><p>{text}</p></div><footer>(c) {text}</footer>"
+        assert html.main_text(page) == "\n".join(["題", text.strip(), text.strip()])
+
+
+def test_html_many_blocks():
+    import time
+
+    began = time.process_time()
+    assert html.main_text("<div>" + "<p>short one</p>" * 100_000 + "</div>").count("\n") == 99_999
+    assert html.main_text("<article>" + "<li>short one" * 100_000).count("\n") == 99_999
+    assert html.main_text("<b>x" * 100_000 + "</i></p>" * 100_000).count("x") == 100_000
+    assert time.process_time() - began < 15
+
+
+def test_html_query_by_hand(spark):
+    want = {p["page_id"]: (p["url"], article_by_hand(p["html"])) for p in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
+    got = html.op5_html_text(spark, SF).collect()
+    assert {r.page_id: (r.url, r.text) for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "<article><p>x</p></article>", "u"), (2, "<article><p>x</p></article>", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == [(1, ""), (2, "x"), (2, "x")]

@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import public_tokenizers as P
 import pyarrow.parquet as pq
@@ -24,7 +25,9 @@ def test_pipeline_by_brute_force(spark):
     rows = [r for r in pq.read_table(f"{SF}/documents.parquet").to_pylist() if score(r["text"]) < toxicity.THRESHOLD]
     kept = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
     tagger = langid.Tagger(langid.train(kept, id_hash() % 4 != 2))
-    rows = [r for r, (lang, _) in zip(rows, tagger.predict([r["text"] for r in rows])) if lang != "und"]
+    found = tagger.predict([r["text"] for r in rows])
+    langs = {r["doc_id"]: r["lang"] or lang for r, (lang, _) in zip(rows, found)}
+    rows = [r for r, (lang, s) in zip(rows, found) if lang != "und" and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
     prints = {r.doc_id: r.fp for r in simhash.fingerprints(docs.select("doc_id", "text")).collect()}
     rows.sort(key=lambda r: r["doc_id"])
     group: list[set] = []
@@ -36,8 +39,30 @@ def test_pipeline_by_brute_force(spark):
     held = decontaminate.Passages(list(range(len(items))), items, decontaminate.ERROR_RATE)
     rows = [r for r in rows if r["doc_id"] in keep and not list(held.find([decontaminate.normal(r["text"])]))]
     encoding = tiktoken_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    want = {r["doc_id"]: hashlib.sha256(",".join(map(str, encoding.encode_ordinary(r["text"]))).encode()).hexdigest() for r in rows}
-    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()} == want
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: (r.lang, r.ids) for r in got} == {r["doc_id"]: (langs[r["doc_id"]], encoding.encode_ordinary(r["text"])) for r in rows}
+    assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got)
+
+
+def test_pipeline_leaves_its_last_input_alone(spark, tmp_path, monkeypatch):
+    """Tables that stages write are deleted, but for the one that the result reads."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len([x for x in set(folder.iterdir()) - before if x.name.startswith("tomeforge-")]) == 1
+
+
+def test_language_stage_decides(spark):
+    rows = [(k, "the cat of the house and the dog " * 3, None) for k in range(20)] + [(k, "der Hund und die Katze von dem Haus " * 3, "de") for k in range(20, 40)]
+    rows += [(k, "the cat of the house and the dog " * 3, "en") for k in range(40, 60)] + [(60, "the cat of the house and the dog " * 9 + "der Hund und die Katze von dem Haus " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang for r in corpus_pipeline.keep_known_language(spark, docs, SF).collect()}
+    assert all(out[k] == "en" for k in range(20)) and all(out[k] == "de" for k in range(20, 40))
+    corpus_pipeline_score, corpus_pipeline.LEAST_LANGUAGE_SCORE = corpus_pipeline.LEAST_LANGUAGE_SCORE, 0.8
+    try:
+        assert 60 not in {r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, SF).collect()}
+    finally:
+        corpus_pipeline.LEAST_LANGUAGE_SCORE = corpus_pipeline_score
 
 
 def test_stages_with_odd_rows(spark):
@@ -50,7 +75,7 @@ def test_stages_with_odd_rows(spark):
         if name == "simhash_near_dedup":
             assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 2, 4]
         if name == "language_id":
-            assert sorted(r.doc_id for r in out.collect()) == [2, 2, 3]
+            assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(2, "en"), (2, "en"), (3, "en")]
 
 
 def test_near_copies_keep_every_group(spark):

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -30,14 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="tomeforge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tomeforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_root()
     return f"{root.rstrip('/')}/tomeforge-{uuid.uuid4().hex}"
 
 

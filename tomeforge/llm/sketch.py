@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-WORDS, SCALE = 5, 8
-ROWS_A_BUCKET = 50_000
+WORDS, SCALE = 5, 4
+ROWS_A_RANGE = 10_000
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -43,13 +43,34 @@ def sketch_of(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.nd
     return np.unique(kept) if len(kept) else hashes.min(keepdims=True)
 
 
+class Memo:
+    """Sketches of the texts seen last, as a text is often another row's next one; forgotten beyond 2,000 texts or 16M characters."""
+
+    def __init__(self, words: int, scale: int):
+        self.words, self.scale = words, scale
+        self.known, self.size = {}, 0
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if text not in self.known:
+            if len(self.known) > 2000 or self.size > 16 << 20:
+                self.known, self.size = {}, 0
+            self.known[text] = sketch_of(text, self.words, self.scale)
+            self.size += len(text)
+        return self.known[text]
+
+
 def sketch(df: DataFrame, *texts: str, words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """Add ``<text>_sketch`` (array<long>, the hashes' 64 bits) for each text column; nulls are empty texts."""
+    """Add ``<text>_sketch`` (array<long>, the hashes' 64 bits) for each text column; nulls are empty texts.
+
+    Other columns stay; columns already named like the new ones are replaced.
+    """
+    memo = Memo(words, scale)  # a copy in each worker
 
     @F.arrow_udf("array<long>")
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [sketch_of(x.as_py(), words, scale).view(np.int64) for x in batch]
+            parts = [memo(x.as_py()).view(np.int64) for x in batch]
             ends = np.cumsum([0] + [len(x) for x in parts])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
@@ -72,45 +93,73 @@ def merge(df: DataFrame, key: str, hashes: str) -> DataFrame:
     return df.select(key, F.explode(hashes).alias("hash")).distinct()
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Add ``next_text``: the text of the next document in descending doc_id order, after the last the first.
+def with_next(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """(doc_id, text, next_text): next_text is that of the next document in descending doc_id order, after the last the first.
 
-    Ties are in the order of their texts, null ids come last. Documents are dealt into
-    ranges of ids; the first document of each range also goes to the range before it,
-    so that every range has all successors and no task more than its range.
+    Null texts become empty. Rows of one id are in the order of their texts' hashes,
+    null ids come last; other columns are left out. The order is cut into ranges of
+    about ``rows_a_range`` rows, found by a range shuffle of ids and hashes alone, so
+    that a repeated id is dealt over several ranges. The first row of each range also
+    goes to the range before it: every range has all successors, no task more than
+    its range, and texts are shuffled once. A row that is there more than
+    ``rows_a_range`` times goes that way once; the others are followed by their like.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"))
-    n = rows.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_BUCKET))
-    bounds = sorted(set(rows.select("key").approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-
-    @F.arrow_udf("int")
-    def bucket(keys: pa.Array) -> pa.Array:
-        return pa.array([len(bounds) - bisect_right(bounds, x) for x in keys.to_pylist()], pa.int32())
-
-    heads = sorted((x.bucket, x.key) for x in rows.select("key", bucket("key").alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).collect())
-    guests = [(key, heads[k - 1][0]) for k, (_, key) in enumerate(heads)]  # the first range's head goes to the last range
-    guests = F.broadcast(spark.createDataFrame(guests, "key long, host int"))  # one row of two numbers for each range
-    placed = rows.join(guests, "key", "left").withColumn("own", bucket("key"))
-    places = F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest")))
-    placed = placed.select("doc_id", "text", "key", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("p")).select("doc_id", "text", "key", "p.bucket", "p.guest")
-    placed = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), "text")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(
+        doc_id.alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.bitwise_not(doc_id), F.lit((1 << 63) - 1)).alias("place"),  # ascending, as ids descend
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
+    )
+    many = rows.groupBy("place", "tie").count().where(F.col("count") > rows_a_range).select("place", "tie").collect()
+    copies = None
+    if many:  # at most one for each ``rows_a_range`` rows
+        listed = F.broadcast(spark.createDataFrame(many, "place long, tie long"))
+        once = rows.join(listed, ["place", "tie"], "left_semi").groupBy("place", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
+        blocks = once.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1, F.lit(rows_a_range).cast("long"))).alias("first"))
+        last = F.least(F.col("first") + rows_a_range - 1, F.col("n") - 1)
+        copies = blocks.repartition("doc_id", "first").select("doc_id", "text", F.col("text").alias("next_text"), F.explode(F.sequence("first", last)).alias("k")).drop("k")
+        rows = rows.join(listed, ["place", "tie"], "left_anti").select(rows.columns).unionByName(once.select(rows.columns))
+    n = docs.count()
+    parts = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_a_range))))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                break
+
+    # two numbers for each range
+    heads = rows.select("place", "tie").repartitionByRange(parts, "place", "tie").sortWithinPartitions("place", "tie").mapInArrow(first, "place long, tie long")
+    bounds = sorted(tuple(x) for x in heads.collect())
+
+    @F.arrow_udf("array<int>")
+    def ranges(place: pa.Array, tie: pa.Array) -> pa.Array:
+        """The range of a row, and that before it if the row is its range's first."""
+        found = []
+        for row in zip(place.to_pylist(), tie.to_pylist()):
+            k = bisect_right(bounds, row) - 1
+            found.append([k, (k - 1) % len(bounds)] if bounds[k] == row else [k])
+        return pa.array(found, pa.list_(pa.int32()))
+
+    placed = rows.select("*", F.posexplode(ranges("place", "tie")).alias("guest", "range"))
+    placed = placed.repartitionById(max(1, len(bounds)), F.col("range")).sortWithinPartitions("guest", "place", "tie").select("doc_id", "text", "guest")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, place, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if held and held[2] == place:
-                    out.append((held[0], held[1], text))
-                held = None if guest else (doc_id, text, place)
+            for doc_id, text, guest in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if held:
+                    out.append((*held, text))
+                held = None if guest else (doc_id, text)
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "text", "next_text"])
 
-    return placed.mapInArrow(follow, "doc_id long, text string, next_text string")
+    found = placed.mapInArrow(follow, "doc_id long, text string, next_text string")
+    return found.unionByName(copies) if copies is not None else found
 
 
 def edited(df: DataFrame) -> DataFrame:
