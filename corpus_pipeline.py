@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages that filter and encode documents, each on what the one before kept."""
+"""The corpus pipeline: stages that filter and encode documents, each on what the one before kept.
+
+A stage takes any columns beside doc_id and text and returns them all; columns that
+it makes for itself have names that begin with two underscores. Null ids, ids that
+stand on several rows and repeated rows are rows like any other, except that of rows
+which are near copies, or the same, one stays. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -6,37 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm import bpe, decontaminate, langid, simhash, toxicity
-from tomeforge.llm.common import id_hash, materialize, small_batches, table
+from tomeforge.llm.common import delete, id_hash, materialize, scratch, shared_dir, small_batches, table
+
+#: Least mean posterior of the language that a document is kept for: mixtures without a majority are below.
+LEAST_LANGUAGE_SCORE = 0.5
+#: Most rows of a list of marks that goes to all executors (about 100 bytes each); a longer one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose toxicity is below the threshold."""
+    """Keep documents whose toxicity is below the threshold; null and empty texts are scored as empty ones."""
     small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_hash() % 3 != 1)
     return toxicity.score(docs, model, out="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which a language is found; those without text or letters go."""
+    """Keep documents of which one language has at least ``LEAST_LANGUAGE_SCORE``, and give it to those without ``lang``.
+
+    Texts without letters have no language and go.
+    """
     small_batches(spark)
     model = langid.train(docs, id_hash() % 4 != 2)
     found = langid.predict(docs, model, lang="__lang", score="__lang_score")
-    return found.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__lang_score")
+    found = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group linked by SimHash: the one with the least id, of rows that share it the least digest.
 
-    A row without id counts as the least. A survivor is known by its id and the digest of the whole row, so that rows which
-    share an id or have none stand or fall with their own group. Exact copies go before the texts are shuffled.
+    A row without id counts as the least. A row is known by its id and the digest of
+    all its columns, so that rows which share an id or have none stand or fall with
+    their own group. Texts stay where they are: only marks of the rows that go, and of
+    survivors that are there more than once, are joined to them.
     """
     small_batches(spark)
-    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
     keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__digest": digest})
-    prints = simhash.fingerprints(keyed.select("__key", "__digest", "text"))
-    nodes = materialize(prints.groupBy("fp").agg(F.min(F.struct("__key", "__digest")).alias("least")))
-    keep = simhash.rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    return keyed.dropDuplicates(["__key", "__digest"]).join(keep, ["__key", "__digest"], "left_semi").select(docs.columns)
+    with scratch(spark):
+        rows = materialize(simhash.fingerprints(keyed.select("__key", "__digest", "text"), out="__fp").select("__key", "__digest", "__fp"))
+        copies = rows.groupBy("__fp", "__key", "__digest").count()
+        nodes = materialize(copies.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct("__key", "__digest")).alias("least")))
+        named = materialize(simhash.rooted(nodes))
+        kept = named.join(named.groupBy("root").agg(F.min("least").alias("kept")), "root").select(F.col("fp").alias("__fp"), "kept")
+        marks = copies.join(kept, "__fp").withColumn("__stays", F.struct("__key", "__digest") == F.col("kept"))
+        marks = materialize(marks.where("not __stays or count > 1").select("__key", "__digest", "__stays"), keep=True)
+    marked = keyed.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, ["__key", "__digest"], "left")
+    out = marked.where("__stays is null").select(docs.columns)
+    if not marks.where("__stays").isEmpty():
+        again = marked.where("__stays").dropDuplicates(["__key", "__digest"])
+        out = out.unionByName(again.select(docs.columns))
+    return out
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +72,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token numbers and digests of the encoded and decoded documents."""
+    """doc_id and lang with the token ids of the text, their number and digest and that of the decoded bytes."""
     small_batches(spark)
-    return bpe.digests(docs)
+    return bpe.digests(docs, "doc_id", "lang", "ids")
 
 
 STAGES = [
@@ -63,7 +90,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    """All stages over documents. What a stage has written goes once the next one is written; the last stage's input stays for its result."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = shared_dir(spark)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
