@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tiktoken_encoder, token_bytes
+from .common import decimals, joined, table, tiktoken_encoder, token_bytes
 
 
 def _rank_file(path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -40,44 +41,57 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     return df.withColumn(ids, encoded.asNondeterministic()(F.col(f"`{text}`")))
 
 
+def decoder(path: str | None = None, pattern: str | None = None):
+    """A column function: the raw bytes of an array of ids."""
+    path, pattern = _rank_file(path, pattern)
+
+    @F.arrow_udf("binary")
+    def raw(batch: pa.Array) -> pa.Array:
+        known = token_bytes(path, pattern)
+        lengths, flat = runs_of(batch)
+        if len(flat) and (flat.null_count or pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(known)):
+            raise ValueError("an id is outside the rank file")
+        values = known.take(flat)
+        if values.null_count:
+            raise ValueError("an id is outside the rank file")
+        ends, data = joined(lengths, values)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+    return raw.asNondeterministic()
+
+
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add the raw bytes of ``ids`` as ``decoded`` (binary).
 
     Bytes are joined as they are, valid UTF-8 or not. A null or empty array gives
     empty bytes; a null id or one outside the rank file fails the job.
     """
-    path, pattern = _rank_file(path, pattern)
+    return df.withColumn(decoded, decoder(path, pattern)(F.col(f"`{ids}`")))
 
-    @F.arrow_udf("binary")
-    def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = token_bytes(path, pattern)
-        for batch in batches:
-            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            flat = pc.list_flatten(batch)
-            if len(flat) and (flat.null_count or pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(known)):
-                raise ValueError("an id is outside the rank file")
-            values = known.take(flat)
-            if values.null_count:
-                raise ValueError("an id is outside the rank file")
-            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False), dtype=np.int64)])
-            ends = sizes[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])]
-            if not len(values):
-                yield pa.array([b""] * len(batch), pa.binary())
-            else:
-                yield pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), values.buffers()[2]])
-
-    return df.withColumn(decoded, raw.asNondeterministic()(F.col(f"`{ids}`")))
+
+def runs_of(batch: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Length of each list (0 where null), and all values."""
+    return pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False), pc.list_flatten(batch)
+
+
+def ids_digest():
+    """A column function: the hex digest of ids (not negative) in decimal digits joined by commas; that of nothing for a null or empty array."""
+
+    @F.arrow_udf("string")
+    def digest(batch: pa.Array) -> pa.Array:
+        lengths, flat = runs_of(batch)
+        most = pc.max(flat).as_py() if len(flat) else 0
+        ends, data = joined(lengths, decimals(max(1 << 16, 1 << most.bit_length())).take(flat))
+        return pa.array([sha256(data[a : b - 1] if b > a else b"").hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
+
+    return digest.asNondeterministic()
 
 
 def digests(df: DataFrame, *columns: str) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each row, after ``columns`` (``ids`` and ``decoded`` among them, if named)."""
-    coded = decode(encode(df.select(*[c for c in columns if c not in ("ids", "decoded")], "text")))
-    return coded.select(
-        *columns,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = encode(df.select(*[c for c in columns if c not in ("ids", "decoded")], "text"))
+    coded = coded.withColumns({"decoded": decoder()(F.col("ids")), "ids_sha256": ids_digest()(F.col("ids"))})  # both in one Python worker
+    return coded.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,11 +130,11 @@ class Encoder:
     with white space parts from the one before it by itself, others are set off by
     a line feed, whose id is left out, and those that end in white space are alone. As each id stands for a known number of
     bytes, the ids are cut at the chunks' lengths. Known chunks are kept up to
-    ``limit`` chunks and 64 MB. With ``whole``, for tokenizers whose matches the cuts
+    ``limit`` chunks and 16 MB. With ``whole``, for tokenizers whose matches the cuts
     may cross, texts are encoded as they are.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], sizes: np.ndarray, whole: bool = False, limit: int = 800_000):
+    def __init__(self, encode: Callable[[str], list[int]], sizes: np.ndarray, whole: bool = False, limit: int = 500_000):
         self.encode, self.sizes, self.whole, self.limit = encode, sizes, whole, limit
         self._forget()
 
@@ -164,7 +164,7 @@ class Encoder:
 
     def _chunks(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids, ids) of the chunks between the cuts."""
-        if len(self.known) > self.limit or self.held > 64 << 20:
+        if len(self.known) > self.limit or self.held > 16 << 20:
             self._forget()
         chunks = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -229,6 +229,20 @@ def token_bytes(path: str, pattern: str) -> pa.Array:
     return _loaded[key]
 
 
+def decimals(n: int) -> pa.Array:
+    """Each number below ``n`` in decimal digits with a comma, made once per Python worker."""
+    if ("decimals", n) not in _loaded:
+        _loaded["decimals", n] = pa.array([b"%d," % i for i in range(n)], pa.binary())
+    return _loaded["decimals", n]
+
+
+def joined(lengths: np.ndarray, pieces: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Runs of binary pieces put together: places where each run begins and the last ends, and the bytes."""
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = sizes[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])]
+    return ends, memoryview(pieces.buffers()[2] or b"")
+
+
 def tiktoken_encoder(path: str, pattern: str) -> Encoder:
     """An encoder over tiktoken, one per Python worker. Texts are cut for the public pattern only."""
     key = (path, pattern, "encoder")

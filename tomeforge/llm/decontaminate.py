@@ -190,11 +190,11 @@ def _loaded(passages: list[tuple[int | None, str]], rate: float) -> Passages:
 
 
 def _found(held: Passages, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, passage, edits, start, end) over a batch of texts, searched in parts of about a million characters."""
+    """(text, passage, edits, start, end) over a batch of texts, searched in parts of about half a million characters."""
     part: list[str] = []
     first = size = 0
     for k in range(len(texts) + 1):
-        if k == len(texts) or size > 1 << 20:
+        if k == len(texts) or size > 1 << 19:
             for found in held.find(part):
                 yield (found[0] + first, *found[1:])
             part, first, size = [], k, 0

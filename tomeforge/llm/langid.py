@@ -139,8 +139,12 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Sum of the feature weights of each word, one column for each language."""
-        owner, feature = hashed_features(words, self.lexicon)
-        return np.stack([np.bincount(owner, self.weights[feature, a], len(words)) for a in range(self.weights.shape[1])], axis=1)
+        found = [np.empty((0, self.weights.shape[1]), np.float32)]
+        for at in range(0, len(words), 1 << 14):  # features of so many words are held at a time
+            some = words[at : at + (1 << 14)]
+            owner, feature = hashed_features(some, self.lexicon)
+            found.append(np.stack([np.bincount(owner, self.weights[feature, a], len(some)) for a in range(self.weights.shape[1])], axis=1).astype(np.float32))
+        return np.concatenate(found)
 
 
 def lexicons(texts: list[str], labels: list[int]) -> dict[str, list[int]]:
@@ -158,7 +162,7 @@ def lexicons(texts: list[str], labels: list[int]) -> dict[str, list[int]]:
 class Tagger:
     """Language and score of texts; keeps the emissions of distinct words, until they are over ``limit``."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.trans = np.exp(model.trans - model.trans.max())
         self.known: dict[str, int] = {}
@@ -174,7 +178,7 @@ class Tagger:
         new = list(set(flat).difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.table = np.concatenate([self.table, self.model.emissions(new).astype(np.float32)])
+            self.table = np.concatenate([self.table, self.model.emissions(new)])
         scores = self.table[np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))]
         lengths = np.array([len(x) for x in texts], np.int64)
         emit = np.exp((scores - scores.max(axis=1, keepdims=True)).astype(np.float64)) + 1e-30
@@ -285,7 +289,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
             for x in batch:
                 held.append(x.as_py())
                 size += len(held[-1] or "")
-                if size > 1 << 20:
+                if size > 1 << 19:
                     found += made["t"].predict(held)
                     held, size = [], 0
             found += made["t"].predict(held) if held else []

@@ -68,11 +68,10 @@ def sketch(df: DataFrame, *texts: str, words: int = WORDS, scale: int = SCALE) -
     memo = Memo(words, scale)  # a copy in each worker
 
     @F.arrow_udf("array<long>")
-    def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = [memo(x.as_py()).view(np.int64) for x in batch]
-            ends = np.cumsum([0] + [len(x) for x in parts])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
+    def sketched(batch: pa.Array) -> pa.Array:
+        parts = [memo(x.as_py()).view(np.int64) for x in batch]
+        ends = np.cumsum([0] + [len(x) for x in parts])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
     one = sketched.asNondeterministic()
     return df.withColumns({f"{name}_sketch": one(F.col(f"`{name}`")) for name in texts})  # all in one Python worker
