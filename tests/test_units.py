@@ -9,6 +9,10 @@ from tomeforge.sources import io
 from tomeforge.streaming import logs
 
 
+#: Rules of which the later ones see what the earlier ones leave.
+OCR = [(r"\bcon1\b", "com"), (r"con1(\d)", "com$1"), (r"en1([a-z])", "em$1"), (r"n1ais\b", "mais")]
+
+
 def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first().y
 
@@ -17,7 +21,7 @@ def one(spark, column, value, kind="string"):
     ("function", "text", "want"),
     [
         (T.clean_text, "pala-\nvra  dois \t\n fim  ", "palavra dois\n fim"),
-        (T.repair_ocr, "con1 en1boscadas n1ais", "com emboscadas mais"),
+        (lambda c: T.repair_ocr(c, OCR), "CON1 en1boscadas con10 n1ais", "com emboscadas com0 mais"),
         (T.make_readable, "pala- vra , fim.Novo", "palavra, fim. Novo"),
         (T.expand_acronyms, "F5, H6 PdF8 30 PEs", "Força(F) 5, Habilidade(H) 6 Poder de Fogo(PdF) 8 30 Pontos de Energia(PE)"),
         (T.fold, "Fênix Ação", "fenix acao"),
@@ -202,3 +206,106 @@ def test_taxonomy_reads_whole_texts(spark):
     rows = [(f"n{k}", ["- " * 1500 + ("dragon fire cave" if k % 2 else "ship sea wind")]) for k in range(6)]
     members, _ = entities.discover_taxonomy(spark.createDataFrame(rows, "name string, contexts array<string>"), k=2)
     assert {r.name for r in members.collect()} == {n for n, _ in rows}
+
+
+def test_paired_negatives_are_exact(spark, monkeypatch):
+    """Every anchor gets an eligible negative, though all its tries fail, its bucket is empty or its cluster has nearly all rows."""
+    rows = [(f"n{i}", "the same" if i % 2 else f"d{i}", 0 if i < 396 else i, "magia") for i in range(400)]
+    d = spark.createDataFrame(rows, "name string, description string, cluster_id int, type string")
+    clusters = {}
+    for _, text, c, _ in rows:
+        clusters.setdefault(text, set()).add(c)
+    for tries in (1, 20):
+        monkeypatch.setattr(trainset, "TRIES", tries)
+        found = {r.anchor: r for r in trainset.graph_triples(d, 1 << 30).collect()}
+        assert len(found) == 400
+        for name, _, c, _ in rows:
+            assert clusters[found[name].negative] - {c}
+    assert trainset.graph_triples(d.where("cluster_id = 0"), 10).count() == 0
+
+
+def test_synonym_pairs_by_brute_force(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    names = {" ".join(rnd.choices("a b c d e f g h i j k l".split(), k=rnd.randrange(1, 6))) for _ in range(80)}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for share in (0.3, 0.5, 0.8, 1.0):
+        words = {n: set(n.split()) for n in names}
+        want = {tuple(sorted(p)) for p in itertools.combinations(names, 2) if words[p[0]] & words[p[1]] and len(words[p[0]] & words[p[1]]) >= share * min(map(len, (words[p[0]], words[p[1]])))}
+        assert {(r.a, r.b) for r in trainset.synonym_pairs(df, share).collect()} == want
+
+
+def test_relevant_text(spark):
+    relevant = lambda text, most=12_000: one(spark, lambda c: T.relevant_text(c, "dano|ataque", ["Combate", "Magias?"], most=most), text)
+    text = "Vive na mata.  O seu ataque\né forte demais. Combate: usa espada . E foge. Magia: fogo. Dano curto. O seu ataque é forte demais."
+    assert relevant(text) == "Combate: usa espada. E foge. Magia: fogo. Dano curto. O seu ataque é forte demais. O seu ataque é forte demais."
+    assert relevant("O seu ataque é forte demais. O seu ataque é forte demais. Ataque.") == "O seu ataque é forte demais."
+    assert relevant("O seu ataque é forte demais. O ataque da noite é fraco.", 50) == "O seu ataque é forte demais."
+    assert relevant("Nada de mais por aqui hoje.") == "" and relevant(None) == ""
+
+
+def test_second_triples(spark):
+    rows = [(f"fogo{i % 7} s{i}", f"d{i} {'fogo' if i % 3 else 'gelo'} {'cura' if i % 2 else 'dano'} {'lendario' if i % 5 else 'fraco'}", i % 9, "magia" if i % 4 else "monstro") for i in range(200)]
+    d = spark.createDataFrame(rows, "name string, description string, cluster_id int, type string").withColumn("text", F.col("description"))
+    kind = {r[1]: r[3] for r in rows}
+    out = trainset.second_triples(d, 100).collect()
+    counts = {s: sum(r.strategy == s for r in out) for s in {r.strategy for r in out}}
+    assert counts == {"ambiguous": counts["ambiguous"], "element": 25, "function": 20, "power": 15, "synonym": counts["synonym"]} and counts["synonym"] <= 10
+    for r in out:
+        if r.strategy in ("element", "ambiguous", "synonym"):
+            assert kind[r.negative] != kind[r.positive] or r.strategy == "synonym"
+    first = trainset.graph_triples(d, 1 << 30)
+    assert trainset.second_triples(d, 150, first).count() == 150
+
+
+def test_queries_without_sql_by_brute_force(spark, sf):
+    import re
+
+    import pyarrow.parquet as pq
+
+    from tomeforge.functions import rules
+    from tomeforge.plans import registry
+
+    docs = {d["doc_id"]: d["text"] for d in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    mentions: dict = {}
+    for text in docs.values():
+        for name in {" ".join(m[1].split()) for p in entities.PATTERNS for m in re.finditer(p, text, re.M)}:
+            mentions[name] = mentions.get(name, 0) + 1
+    assert {r.name: r.mentions for r in registry.QUERIES["entity_mentions"](spark, sf).collect()} == mentions
+    for r in registry.QUERIES["acronym_expansion"](spark, sf).collect():
+        text = docs[r.doc_id]
+        for pattern, replacement in rules.ACRONYMS:
+            text = re.sub(pattern, replacement.replace("$1", r"\1"), text)
+        assert r.expanded == text
+    chats = {(c["conv_id"], c["turn"]): c["text"] for c in pq.read_table(f"{sf}/conversations.parquet").to_pylist()}
+    rows = registry.QUERIES["cached_embeddings"](spark, sf).collect()
+    assert len(rows) == len(chats)
+    for r, want in zip(rows, plugins.hashed_embedder([chats[r.conv_id, r.turn] for r in rows])):
+        assert max(abs(a - b) for a, b in zip(r.embedding, want)) < 1e-4
+    words = re.compile(r"\b(?:idiot|moron|loser)\b", re.I)
+    spans = [r for r in registry.QUERIES["weak_spans"](spark, sf).collect() if r.label == "RUDE"]
+    assert sorted((r.doc_id, r.start, r.end) for r in spans) == sorted((i, *m.span()) for i, t in docs.items() for m in words.finditer(t))
+    for r in registry.QUERIES["relevant_text"](spark, sf).collect():
+        line = re.sub(r"\s*\.\s*", ". ", re.sub(r"\s+", " ", docs[r.doc_id].strip() + " Combate: o ataque causa dano. Magias: nenhuma."))
+        kept = ["Combate: o ataque causa dano.", "Magias: nenhuma."]
+        if not re.search("combate *:|magias? *:", docs[r.doc_id], re.I):
+            for part in re.split(r"\.\s+", line[: line.rindex(" Combate:")]):
+                part = part.strip()
+                if len(part) >= 20 and re.search(r"tion|ment\b|ataque", part, re.I):
+                    kept.append(part if part.endswith(".") else part + ".")
+            whole = " ".join(dict.fromkeys(kept))
+            assert r.relevant == whole or len(whole) > 12_000
+
+
+def test_query_blocks_equal_one_broadcast(spark, sf, monkeypatch):
+    """Query sets beyond the bound go in several broadcasts, never as a Cartesian product."""
+    from tomeforge.operators import common
+    from tomeforge.plans import registry
+
+    whole = sorted(map(tuple, registry.QUERIES["knn_topk"](spark, sf).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 4000)
+    some = registry.QUERIES["knn_topk"](spark, sf)
+    plan = some._jdf.queryExecution().toString()
+    assert sorted(map(tuple, some.collect())) == whole and "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") > 1

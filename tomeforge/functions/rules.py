@@ -3,75 +3,58 @@
 Fixed values: word lists, names and patterns below must be as they are for results to agree.
 """
 
-#: Substitutions of OCR errors, in order (pattern, replacement), case-insensitive.
-OCR_RULES = [
-    (r";{3,}[;:·a-zA-Z\s_]*", " "),
-    (r":[;·]+[a-zA-Z\s]*", " "),
-    (r"\bcon1\b", "com"),
-    (r"con1([a-záéíóúâêôãõ])", "com$1"),
-    (r"\ben1\b", "em"),
-    (r"en1([a-záéíóúâêôãõ])", "em$1"),
-    (r"\bun1\b", "um"),
-    (r"un1([a-záéíóúâêôãõ])", "um$1"),
-    (r"\btên1\b", "têm"),
-    (r"\btcn1\b", "tem"),
-    (r"n1ais\b", "mais"),
-    (r"fo1tes\b", "fortes"),
-    (r"alén1\b", "além"),
-    (r"notmal\b", "normal"),
-    (r"inaiores", "maiores"),
-    (r"\b1er\b", "ler"),
-    (r"aqtti\b", "aqui"),
-    (r"(\d+)°10\b", "$1%"),
-    (r"\s{2,}", " "),
-]
-
 #: Acronyms and their expansions, in order (pattern, replacement).
 ACRONYMS = [
     (r"(?i)\bPdF\s*(\d+(?:\s*[-–]\s*\d+)?)", "Poder de Fogo(PdF) $1"),
     (r"(?i)\bPdF\b(?!\s*\))", "Poder de Fogo(PdF)"),
     (r"(?i)\bFA\s*[=:]?\s*(\d+)", "Força de Ataque(FA) $1"),
+    (r"(?i)\bFA\s*[=:]?\s*([FHRA]\+[\d+d+\s]+)", "Força de Ataque(FA) $1"),
     (r"(?i)\bFA\b(?!\s*\))", "Força de Ataque(FA)"),
     (r"(?i)\bFD\s*[=:]?\s*(\d+)", "Força de Defesa(FD) $1"),
+    (r"(?i)\bFD\s*[=:]?\s*([FHRA+=\d\s]+)", "Força de Defesa(FD) $1"),
     (r"(?i)\bFD\b(?!\s*\))", "Força de Defesa(FD)"),
     (r"\bF(\d+(?:\s*[-–]\s*\d+)?)\b", "Força(F) $1"),
     (r"\bH(\d+(?:\s*[-–]\s*\d+)?)\b", "Habilidade(H) $1"),
     (r"\bR(\d+(?:\s*[-–]\s*\d+)?)\b", "Resistência(R) $1"),
     (r"\bA(\d+(?:\s*[-–]\s*\d+)?)\b", "Armadura(A) $1"),
+    (r"\bF\b(?!\s*\))", "Força(F)"),
+    (r"\bH\b(?!\s*\))", "Habilidade(H)"),
+    (r"\bR\b(?!\s*\))", "Resistência(R)"),
+    (r"\bA\b(?!\s*\))", "Armadura(A)"),
     (r"(?i)\bPV\s*[=:]?\s*(\d+)", "Pontos de Vida(PV) $1"),
-    (r"(?i)\bPVs?\b(?!\s*\))", "Pontos de Vida(PV)"),
+    (r"(?i)\bPVs\b(?!\s*\))", "Pontos de Vida(PV)"),
+    (r"(?i)\bPV\b(?!\s*\))", "Pontos de Vida(PV)"),
     (r"(?i)\bPM\s*[=:]?\s*(\d+)", "Pontos de Magia(PM) $1"),
-    (r"(?i)\bPMs?\b(?!\s*\))", "Pontos de Magia(PM)"),
+    (r"(?i)\bPMs\b(?!\s*\))", "Pontos de Magia(PM)"),
+    (r"(?i)\bPM\b(?!\s*\))", "Pontos de Magia(PM)"),
     (r"(?i)\b(\d+)\s*PEs?\b", "$1 Pontos de Energia(PE)"),
-    (r"(?i)\bPEs?\b(?!\s*\))", "Pontos de Energia(PE)"),
+    (r"(?i)\bPEs\b(?!\s*\))", "Pontos de Energia(PE)"),
+    (r"(?i)\bPE\b(?!\s*\))", "Pontos de Energia(PE)"),
     (r"(?i)\bCD\s*[=:]?\s*(\d+)", "Classe de Dificuldade(CD) $1"),
     (r"(?i)\bCD\b(?!\s*\))", "Classe de Dificuldade(CD)"),
 ]
 
-#: Header spellings and the columns they stand for.
+#: Header spellings and the column each stands for.
 HEADERS = {
-    "forca": "FOR FORÇA F FORCA STR",
-    "habilidade": "HAB HABILIDADE H DES DESTREZA DEX",
-    "resistencia": "RES RESISTÊNCIA R RESISTENCIA CON CONSTITUIÇÃO",
-    "armadura": "ARM ARMADURA A DEF DEFESA",
-    "pv": "PV PVS VIDA HP",
-    "pm": "PM PMS MANA MP",
-    "custo_pm": "CUSTO CUSTOPM CUSTO_PM",
-    "circulo": "CÍRCULO CIRCULO NÍVEL NIVEL",
-    "duracao": "DURAÇÃO DURACAO DURAÇAO",
-    "alcance": "ALCANCE ALC",
-    "escola": "ESCOLA",
-    "elemento": "ELEMENTO ELEM",
-    "pe": "PE",
-    "preco": "PREÇO PRECO",
-    "bonus": "BÔNUS BONUS",
-    "dano": "DANO DAN DAMAGE",
-    "nome": "NOME NOM NAME",
-    "descricao": "DESCRIÇÃO DESCRICAO DESC",
-    "tipo": "TIPO TIP",
-    "habilidades_especiais": "HABILIDADES ESPECIAL",
-    "requisitos": "REQUISITO",
-}
+    "FOR": "forca", "FORÇA": "forca", "F": "forca", "FORCA": "forca", "STR": "forca",
+    "HAB": "habilidade", "HABILIDADE": "habilidade", "H": "habilidade", "DES": "habilidade", "DESTREZA": "habilidade", "DEX": "habilidade",
+    "RES": "resistencia", "RESISTÊNCIA": "resistencia", "R": "resistencia", "RESISTENCIA": "resistencia", "CON": "resistencia", "CONSTITUIÇÃO": "resistencia",
+    "ARM": "armadura", "ARMADURA": "armadura", "A": "armadura", "DEF": "armadura", "DEFESA": "armadura",
+    "PV": "pv", "PVS": "pv", "VIDA": "pv", "HP": "pv",
+    "PM": "pm", "PMS": "pm", "MANA": "pm", "MP": "pm",
+    "CUSTO": "custo_pm", "CUSTO PM": "custo_pm", "CUSTOPM": "custo_pm", "CUSTO_PM": "custo_pm",
+    "CÍRCULO": "circulo", "CIRCULO": "circulo", "NÍVEL": "circulo", "NIVEL": "circulo",
+    "DURAÇÃO": "duracao", "DURACAO": "duracao", "DURAÇAO": "duracao",
+    "ALCANCE": "alcance", "ALC": "alcance",
+    "ESCOLA": "escola", "ELEMENTO": "elemento", "ELEM": "elemento",
+    "PE": "pe", "PREÇO": "preco", "PRECO": "preco", "CUSTO PE": "pe",
+    "BÔNUS": "bonus", "BONUS": "bonus", "BÔNUS DE ATAQUE": "bonus",
+    "DANO": "dano", "DAN": "dano", "DAMAGE": "dano",
+    "NOME": "nome", "NOM": "nome", "NAME": "nome",
+    "DESCRIÇÃO": "descricao", "DESCRICAO": "descricao", "DESC": "descricao",
+    "TIPO": "tipo", "TIP": "tipo",
+    "HABILIDADES": "habilidades_especiais", "HAB. ESPECIAIS": "habilidades_especiais", "ESPECIAL": "habilidades_especiais", "REQUISITO": "requisitos",
+}
 
 #: Column sets that tell the kind of a table: (kind, headers, fewest of them), in order.
 TABLE_KINDS = [
@@ -105,15 +88,96 @@ STRONG_ABILITIES = [
 ]
 WEAK_ABILITIES = ["inculto", "modelo especial", "vulnerabilidade", "fobia", "dependente"]
 
-#: Titles by lower-cased spelling.
-TITLES = {
-    "manual da magia": "Manual da Magia",
-    "manual do aventureiro": "Manual do Aventureiro",
-    "manual alpha": "Manual Alpha",
-    "manual dos monstros": "Manual dos Monstros",
-    "bestiario alpha": "Bestiário Alpha",
-    "bestiário alpha": "Bestiário Alpha",
+#: Texts that look like names and are none.
+NOT_NAMES = [
+    "FA", "FD", "PV", "PM", "PE", "XP", "PO", "PP", "PC", "PL", "Alcance", "Duração", "Custo", "Função", "Além disso", "Por exemplo", "No entanto",
+    "Sentidos Especiais", "Código de Honra", "Combate", "O jogo", "A regra", "T Alpha", "por exemplo", "Se falhar", "Se passar", "veja abaixo", "veja adiante",
+    "por turno", "por rodada", "por minuto", "ou mais", "ou menos", "ou seja", "NÃO", "SIM", "não", "sim", "você pode", "você pode gastar", "você deve",
+    "isto é", "a saber", "Exemplo", "Exigências", "RPG", "para cada", "do Manual", "e assim por diante", "de altura", "no entanto", "Por outro lado",
+    "pelo custo normal em", "Magias", "Na verdade", "na verdade", "Na Verdade", "Na prática", "na prática", "Em geral", "em geral", "A seguir", "a seguir",
+    "De acordo", "de acordo", "Em resumo", "em resumo", "T Alpha pg", "a pg", "Por isso", "por isso", "APENAS", "QUALQUER", "TODAS", "sua escolha",
+    "Se for bem", "arredondado para baixo", "Escola", "Por fim",
+]
+
+#: Phrases that are no names, and fragments that parsing leaves.
+FRAGMENTS = [
+    r"(?i)^(se\s+(falhar|passar)|veja\s+(abaixo|adiante)|por\s+(turno|rodada|minuto)|ou\s+(mais|menos|seja)|voc[eê]\s+pode|voc[eê]\s+deve|isto\s+[ée]|a\s+saber|"
+    r"para\s+cada|do\s+Manual|e\s+assim\s+por\s+diante|de\s+altura|no\s+entanto|por\s+outro\s+lado|pelo\s+custo\s+normal|"
+    r"Na\s+verdade|Na\s+pr[áa]tica|Em\s+geral|A\s+seguir|De\s+acordo|Em\s+resumo)$",
+    r"^[a-záéíóúâêîôûãõç]+\s+[A-ZÁÉÍÓÚ]",
+    r"^[FHRA]-$",
+    r"(?i)^(padrão|tipo|modelo|exemplo)\s+",
+    r"-$",
+    r"(?i)^(e\s+|ou\s+|de\s+|da\s+|do\s+|em\s+|no\s+|na\s+)[A-ZÁÉÍÓÚ]",
+    r"(?i)^.*\b(pg|p[áa]g|p[áa]gina)\s*\d*$",
+    r"(?i)^a\s+at[eé]",
+    r"(?i)^arredondado",
+    r"(?i)^por\s+isso$",
+    r"(?i)^(para|sem)\s+",
+    r"^[A-Z]{4,}$",
+    r"(?i)^(sua|se)\s+",
+    r"(?i)^capacidade\s+de",
+    r"(?i)permanente.*alcance$",
+    r"(?i)^com\s+metade\s+do",
+    r"(?i)^Elemental\s+da?$",
+    r"(?i)^por\s+fim$",
+    r"^a\s+",
+    r"(?i)^uma\s+vez\s+por",
+    r"(?i)^ao\s+inv[eé]s\s+de",
+    r"(?i)^comer\s+ou",
+    r"(?i)^[ée]\s+automaticamente",
+    r"(?i)^eles\s+gastam",
+]
+
+#: Words that make no proper noun, and kinds of items without a name of their own.
+PHRASE_WORDS = (
+    "se falhar passar veja abaixo adiante por turno rodada ou mais menos seja não sim você pode gastar deve isto é saber função exemplo exigências"
+).split()
+ITEM_KINDS = "arma armadura escudo poção pocao anel amuleto bastão bastao cajado varinha pergaminho livro mapa chave equipamento".split()
+
+#: Contexts that state a rule, not a property.
+PHANTOMS = r"(?i)\b(teste\s+de|deve\s+ser|se\s+falhar|se\s+passar|rolagem\s+de|jogador\s+deve)\b"
+
+_STATS = r"(?i)\b(F[:\s]*\d+[\- ]*H[:\s]*\d+[\- ]*R[:\s]*\d+[\- ]*A[:\s]*\d+)\b"
+#: Property patterns by type; group 1 is the value.
+PROPERTIES = {
+    "monstro": {
+        "stats": _STATS,
+        "pv": r"(?i)\bPV[:\s]*(\d+)\b",
+        "pm": r"(?i)\bPM[:\s]*(\d+)\b",
+        "initiative": r"(?i)iniciativa[:\s]*([^\n,.]{3,30})",
+        "immunities": r"(?i)imune[s]?\s+a[:\s]*([^\n,.]{3,50})",
+        "weaknesses": r"(?i)(?:fraqueza[s]?|vulnerabilidade[s]?)[:\s]*([^\n,.]{3,50})",
+    },
+    "magia": {
+        "cost_pm": r"(?i)custa?[:\s]*(\d+)\s*PM",
+        "school": r"(?i)escola[:\s]*([^\n,.]{3,20})",
+        "element": r"(?i)elemento[:\s]*([^\n,.]{3,20})",
+        "duration": r"(?i)dura[cç][aã]o[:\s]*([^\n,.]{3,30})",
+        "range": r"(?i)alcance[:\s]*([^\n,.]{3,30})",
+        "damage": r"(?i)(\d+d\d+(?:\s*\+\s*\d+)?)",
+    },
+    "item": {"preco_pe": r"(?i)(\d+)\s*PEs?", "bonus": r"(?i)bônus[:\s]*([+-]?\d+)", "stats": _STATS},
 }
 
+_SIDE = r"[A-Za-záéíóúâêôãõçÀ-ÿ\s\-']+?"
+_WIDE = r"[A-Za-záéíóúâêôãõçÀ-ÿ0-9\s\-'+]+?"
+_STOP = r"(?:\.|,|;|\n|$)"
+#: Relation patterns in order (relation, pattern); of one group, the entity itself is the source.
+RELATIONS = [
+    ("is_a", rf"(?i)({_SIDE})\s+é\s+(?:um|uma|uns|umas)?\s*(?:tipo\s+de\s+)?({_SIDE}){_STOP}"),
+    ("is_a", rf"(?i)({_SIDE})\s+são\s+({_SIDE}){_STOP}"),
+    ("cost_pm", rf"(?i)({_SIDE})\s+custa\s+(\d+)\s*PM"),
+    ("cost_pm", rf"(?i)({_SIDE})\s+gasta\s+(\d+)\s*PM"),
+    ("cost_pm", r"(?i)custo\s*:?\s*(\d+)\s*PM"),
+    ("requires", rf"(?i)({_SIDE})\s+requer\s+({_WIDE}){_STOP}"),
+    ("requires", rf"(?i)({_SIDE})\s+necessita\s+({_WIDE}){_STOP}"),
+    ("school", rf"(?i)escola\s*:?\s*({_SIDE}){_STOP}"),
+    ("element", rf"(?i)elemento\s*:?\s*({_SIDE}){_STOP}"),
+    ("weakness", rf"(?i)({_SIDE})\s+é\s+fraco\s+contra\s+({_SIDE}){_STOP}"),
+    ("effect", rf"(?i)({_SIDE})\s+causa\s+({_SIDE}){_STOP}"),
+    ("effect", rf"(?i)({_SIDE})\s+inflige\s+({_SIDE}){_STOP}"),
+]
+
 #: Portuguese function words.
 STOP_WORDS = "a o e de da do das dos em no na nos nas um uma uns umas para por com sem que se os as ao aos à às ou".split()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import ACRONYMS, OCR_RULES
+from .rules import ACRONYMS
 
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
@@ -30,8 +30,8 @@ def clean_text(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 
-def repair_ocr(text: Column, rules: list[tuple[str, str]] = OCR_RULES) -> Column:
-    """Ordered OCR repairs, case-insensitive."""
+def repair_ocr(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Ordered OCR repairs, case-insensitive. The errors are those of a corpus: its rules come from a file (``sources.io.read_rules``)."""
     return substitute(text, rules, "(?iuU)")
 
 
@@ -46,7 +46,7 @@ def expand_acronyms(text: Column, rules: list[tuple[str, str]] = ACRONYMS) -> Co
     return substitute(text, rules, "(?U)")
 
 
-def sanitize(text: Column, rules: list[tuple[str, str]] = OCR_RULES) -> Column:
+def sanitize(text: Column, rules: list[tuple[str, str]] = ()) -> Column:
     """For display: control characters out, OCR repaired, spaces squeezed."""
     text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return strip(F.regexp_replace(repair_ocr(text, rules), r"[ \t]{2,}", " "))
@@ -84,3 +84,37 @@ def key_phrase(query: Column, prefixes: list[str]) -> Column:
     text = strip(F.regexp_replace(F.regexp_replace(F.lower(query), r"[?.!,•·—()]", " "), r"(?U)\s+", " "))
     opening = "|".join(rf"\Q{p}\E" for p in prefixes)
     return strip(F.regexp_replace(text, f"^(?:{opening})", "")) if prefixes else text
+
+
+def relevant_text(text: Column, patterns: str, sections: list[str], shortest: int = 20, most: int = 12_000) -> Column:
+    """The parts of a description that matter: named sections, then sentences that match ``patterns``, each once, in order.
+
+    White space is squeezed. A section goes from its header to the next one; a sentence
+    has ``shortest`` characters or more. What is longer than ``most`` is cut after its
+    last whole sentence.
+    """
+    line = F.regexp_replace(F.regexp_replace(strip(text), r"(?U)\s+", " "), r"\s*\.\s*", ". ")
+    header = rf"(?:{'|'.join(sections)})\s*:"
+    section = rf"(?iu)({header})\s*(.*?)\s*(?={header}|$)"
+    heads, bodies = (F.regexp_extract_all(line, F.lit(section), F.lit(k)) for k in (1, 2))
+    named = F.filter(F.zip_with(heads, bodies, lambda h, b: F.when(F.trim(b) != "", F.concat(h, F.lit(" "), F.trim(b)))), lambda x: x.isNotNull())
+    rest = F.regexp_replace(line, section.replace("(.*?)", "(.+?)", 1), " ")
+    sentences = F.filter(F.transform(F.split(rest, r"\.\s+"), lambda s: F.trim(s)), lambda s: (F.length(s) >= shortest) & s.rlike(f"(?iu){patterns}"))
+    sentences = F.transform(sentences, lambda s: F.when(s.endswith("."), s).otherwise(F.concat(s, F.lit("."))))
+    whole = F.trim(F.array_join(F.array_distinct(F.transform(F.concat(named, sentences), lambda s: F.regexp_replace(s, r"\s+", " "))), " "))
+    head = F.substring(whole, 1, most)
+    tail = F.length(F.substring_index(head, ". ", -1))
+    cut = F.when(F.contains(head, F.lit(". ")), F.concat(F.substring(head, F.lit(1), F.length(head) - tail - 2), F.lit("."))).otherwise(F.concat(head, F.lit(".")))
+    return F.coalesce(F.when(F.length(whole) > most, cut).otherwise(whole), F.lit(""))
+
+
+def normalize_fields(df: DataFrame, rules: list[tuple[str, str]], skip: tuple[str, ...] = ()) -> DataFrame:
+    """OCR repair and readability for every text column and list of texts; blank texts become null, blank list items go."""
+
+    def mend(text: Column) -> Column:
+        return F.nullif(make_readable(repair_ocr(text, rules)), F.lit(""))
+
+    kinds = {name: kind for name, kind in df.dtypes if name not in skip}
+    texts = {name: mend(F.col(f"`{name}`")) for name, kind in kinds.items() if kind == "string"}
+    lists = {name: F.filter(F.transform(F.col(f"`{name}`"), mend), lambda x: x.isNotNull()) for name, kind in kinds.items() if kind == "array<string>"}
+    return df.withColumns(texts | lists) if texts or lists else df

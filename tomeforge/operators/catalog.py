@@ -237,3 +237,12 @@ def term_counts(df: DataFrame, terms: list[str], source: str = "source", text: s
     """(source, term, n) of indicator terms that occur."""
     rows = df.select(source, F.inline(F.array(*[F.struct(F.lit(t).alias("term"), occurrences(F.col(text), t).alias("n")) for t in terms])))
     return rows.groupBy(source, "term").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def map_titles(df: DataFrame, mapping: DataFrame, column: str, out: str = "title") -> DataFrame:
+    """Add the controlled title of ``column`` by ``mapping`` (spelling, title): exactly, else whatever the case, else unchanged; null and blank become empty."""
+    exact = mapping.select(F.col("spelling").alias("__e"), F.col("title").alias("__et")).dropDuplicates(["__e"])
+    loose = first_by(mapping.select(F.lower(F.trim("spelling")).alias("__l"), F.col("title").alias("__lt"), "spelling"), ["__l"], F.col("spelling")).drop("spelling")
+    given = F.trim(F.col(f"`{column}`"))
+    both = df.join(small(exact), given == F.col("__e"), "left").join(small(loose), F.lower(given) == F.col("__l"), "left")
+    return both.withColumn(out, F.coalesce("__et", "__lt", given, F.lit(""))).drop("__e", "__et", "__l", "__lt")

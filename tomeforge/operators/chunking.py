@@ -153,10 +153,10 @@ def layout_chunks(pages: DataFrame, tables: DataFrame, size: int = 1000, overlap
     return table_chunks.unionByName(text_chunks.select("source", "page", F.lit("text").alias("kind"), "chunk_no", F.col("chunk").alias("content")))
 
 
-def reassemble(chunks: DataFrame) -> DataFrame:
-    """(source, text): chunks (source, page, chunk_no, content) joined in page order. A source is one row of the result."""
-    parts = chunks.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("page", "chunk_no", "content"))).alias("p"))
-    return parts.select("source", F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("text"))
+def reassemble(chunks: DataFrame, pages: int = 1000) -> DataFrame:
+    """(source, block, text): chunks (source, page, chunk_no, content) joined in page order, ``pages`` pages a block, so that no source is gathered whole."""
+    parts = chunks.groupBy("source", F.expr(f"page div {pages}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("page", "chunk_no", "content"))).alias("p"))
+    return parts.select("source", "block", F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("text"))
 
 
 def entity_chunks(df: DataFrame, name: str, header: Column, full: Column) -> DataFrame:

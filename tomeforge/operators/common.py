@@ -32,6 +32,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def blocks(df: DataFrame, key: str, row_bytes: int = 256) -> list[DataFrame]:
+    """``df`` with a broadcast hint if its rows, counted, are within the bound; else parts within it, dealt by a hash of ``key``.
+
+    For a stated query set that meets all rows of another table: each part is one pass over those.
+    """
+    n = max(1, -(-df.count() * row_bytes // BROADCAST_BYTES))
+    return [F.broadcast(df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)) for k in range(n)]
+
+
+def meet_all(rows: DataFrame, asked: DataFrame, key: str, row_bytes: int = 256) -> DataFrame:
+    """Every row with every row of a stated query set, which goes along in broadcast blocks."""
+    return reduce(DataFrame.unionByName, [rows.crossJoin(part) for part in blocks(asked, key, row_bytes)])
+
+
 def draw(*keys: str, seed: int = 42) -> Column:
     """An order that looks random and is the same in every run: md5 of the keys and the seed."""
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))

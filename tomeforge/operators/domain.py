@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..functions.rules import STRONG_ABILITIES, WEAK_ABILITIES
 from ..functions.text import fold, slug, tokens
-from .common import first_by, prioritised, small
+from .common import first_by, meet_all, prioritised, small
 
 #: Experience needed for each level, from level 1: of the campaign ledger and of the player's sheet.
 CAMPAIGN_LEVELS = [0, 1000, 3000, 6000, 10000, 15000, 21000, 28000, 36000, 45000]
@@ -115,7 +115,8 @@ def allowed_choices(builds: DataFrame, catalog: DataFrame, excluded: DataFrame,
     (name, other), those whose requirement isn't taken and those beyond ``budget`` go.
     """
     taken = builds.select("build_id", F.explode("choices").alias("name"))
-    every = builds.withColumn("budget", budget).select("build_id", "race", "budget").crossJoin(small(catalog))
+    every = builds.withColumn("budget", budget).select("build_id", "race", "budget")
+    every = meet_all(every, catalog, "name")
     rows = every.where(F.col("cost") <= F.col("budget"))
     rows = rows.join(taken, ["build_id", "name"], "left_anti").join(excluded, ["race", "name"], "left_anti")
     barred = taken.join(exclusive, "name").select("build_id", F.col("other").alias("name"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import STOP_WORDS
+from ..functions.rules import FRAGMENTS, ITEM_KINDS, NOT_NAMES, PHANTOMS, PHRASE_WORDS, PROPERTIES, RELATIONS, STOP_WORDS
 from ..functions.text import tokens
 from .common import draw, first_by
 
@@ -40,12 +40,12 @@ def entity_candidates(chunks: DataFrame, patterns: list[str] = PATTERNS, before:
     return chunks.select("chunk_id", "content").mapInPandas(find, f"chunk_id {kind}, name string, pos int, context string")
 
 
-def is_fragment(name: Column, blocked: list[str] = (), patterns: list[str] = (r"^\d", r"[.!?]$", r"^(?i:o|a|os|as|um|uma|de|do|da)\s")) -> Column:
-    """Names that are no entities: blocked ones, fragments, and long ones with fewer than two capitals."""
-    capitals = F.length(F.regexp_replace(name, r"[^\p{Lu}]", ""))
-    bad = F.lower(name).isin(*[b.lower() for b in blocked] or [""]) | ((F.length(name) > 40) & (capitals < 2))
+def is_fragment(name: Column, blocked: list[str] = NOT_NAMES, patterns: list[str] = FRAGMENTS) -> Column:
+    """Names that are no entities: blocked ones, fragments, and those over 40 characters with fewer than two capitalised words."""
+    capitals = F.size(F.filter(F.split(name, r"\s+"), lambda w: w.rlike(r"^\p{Lu}")))
+    bad = (F.trim(name) == "") | name.isin(*blocked or [""]) | ((F.length(name) > 40) & (capitals < 2))
     for p in patterns:
-        bad = bad | name.rlike(p)
+        bad = bad | name.rlike(p.replace("(?i)", "(?iu)"))
     return bad
 
 
@@ -86,18 +86,52 @@ def resolve_type(df: DataFrame, kinds: list[str]) -> DataFrame:
     return df.withColumns({"type": kind, "confidence": level})
 
 
-def post_rules(df: DataFrame, critical: dict[str, str] = {}, minimum: int = 2) -> DataFrame:  # noqa: B006
-    """Corrections in order: critical names get their type; spells with stats, spells without evidence, weak monsters of one word and generic items become unknown; ``review`` marks what changed."""
+def boost_scores(df: DataFrame, forced: str, names: list[str], known: str, kind: str = "magia", rivals: tuple[str, ...] = ("monstro", "item")) -> DataFrame:
+    """Add 20 to the score of ``kind`` and clear its rivals' for names in a list or that match ``forced``; add 10 where ``known`` matches."""
+    sure = F.lower("name").isin(*[n.lower() for n in names] or [""]) | F.col("name").rlike(forced)
+    more = F.when(sure, 20).when(F.col("name").rlike(known), 10).otherwise(0)
+    return df.withColumns({f"{kind}_score": F.col(f"{kind}_score") + more} | {f"{r}_score": F.when(sure, 0).otherwise(F.col(f"{r}_score")) for r in rivals})
+
+
+def proper_noun_score(name: Column, idle: list[str] = PHRASE_WORDS) -> Column:
+    """0 to 5: a word in capitals; a capitalised word; a hyphen or several words that aren't all idle; a word that isn't idle; several words or a capitalised one."""
+    words = F.split(F.trim(name), r"\s+")
+    several, real = F.size(words) >= 2, F.exists(words, lambda w: ~F.lower(w).isin(*idle))
+    signs = [
+        F.exists(words, lambda w: (F.length(w) >= 2) & (w == F.upper(w)) & (w != F.lower(w))),
+        F.exists(words, lambda w: (F.length(w) >= 2) & w.rlike(r"^\p{Lu}")),
+        F.contains(name, F.lit("-")) | several & real,
+        real,
+        several | words[0].rlike(r"^\p{Lu}"),
+    ]
+    total = F.lit(0)
+    for sign in signs:
+        total = total + sign.cast("int")
+    return F.when(F.length(F.trim(name)) < 2, 0).otherwise(total)
+
+
+def post_rules(df: DataFrame, critical: dict[str, str] = {}, promotions: list[tuple[str, str]] = (), item_kinds: list[str] = ITEM_KINDS) -> DataFrame:  # noqa: B006
+    """Corrections of ``type`` in order; ``review`` tells which rule changed it.
+
+    Critical names (lower case) get their type and keep it. Spells with stats or without
+    evidence, monsters without a proper noun and items named by their kind alone become
+    unknown; unknown names that match a promotion (pattern, type) get its type.
+    """
     given = F.create_map(*[F.lit(x) for pair in critical.items() for x in pair]) if critical else F.lit(None).cast("map<string,string>")
-    before = F.col("type")
-    forced = F.coalesce(given[F.lower("name")], before)
-    stats = F.exists("contexts", lambda c: c.rlike(r"\bF\d+,?\s*H\d+"))
-    evidence = F.exists("contexts", lambda c: c.rlike(r"(?i)escola|custo|PMs?\b"))
-    kind = F.when(given[F.lower("name")].isNotNull(), forced)
-    kind = kind.when((forced == "magia") & stats, "desconhecido").when((forced == "magia") & ~evidence, "desconhecido")
-    kind = kind.when((forced == "monstro") & (F.col("mentions") < minimum) & ~F.contains("name", F.lit(" ")), "desconhecido")
-    kind = kind.when((forced == "item") & (F.length("name") < 4), "desconhecido").otherwise(forced)
-    return df.withColumn("review", kind != before).withColumn("type", kind)
+    forced, kind, words = given[F.lower("name")], F.col("type"), F.split(F.lower(F.trim("name")), r"\s+")
+    stats = F.exists("contexts", lambda c: c.rlike(r"\bF\d+[-,\s]*H\d+"))
+    evidence = F.exists("contexts", lambda c: c.rlike(r"(?iu)escola|elemento|custa?\b|\bPMs?\b"))
+    generic = words[0].isin(*item_kinds) & ((F.size(words) == 1) | ((F.size(words) == 2) & words[1].isin("de", "do", "da", "e", "ou")))
+    reason = F.when(forced.isNotNull(), F.when(forced != kind, "critical"))
+    reason = reason.when((kind == "magia") & stats, "spell_with_stats").when((kind == "magia") & ~evidence, "spell_without_evidence")
+    reason = reason.when((kind == "monstro") & (proper_noun_score(F.col("name")) < 2), "monster_without_proper_noun").when((kind == "item") & generic, "generic_item")
+    unknown = forced.isNull() & (reason.isNotNull() | (kind == "desconhecido"))
+    promoted = F.lit(None).cast("string")
+    for pattern, wanted in reversed(promotions):
+        promoted = F.when(F.col("name").rlike(pattern), wanted).otherwise(promoted)
+    promoted = F.when(unknown, promoted)
+    out = F.coalesce(forced, promoted, F.when(reason.isNotNull(), "desconhecido"), kind)
+    return df.withColumns({"type": out, "review": F.when(promoted.isNotNull(), "promoted").otherwise(reason)})
 
 
 def min_mentions(df: DataFrame, limits: dict[str, int], default: int = 2) -> DataFrame:
@@ -168,33 +202,34 @@ def rollup_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("entities"), by.alias("by_label"))
 
 
-PROPERTIES = {"monstro": {"pv": r"PV\s*[:=]?\s*(\d+)", "forca": r"\bF(\d+)"}, "magia": {"custo": r"(\d+)\s*PMs?", "escola": r"(?i)escola:?\s*(\p{L}+)"}, "item": {"preco": r"(\d+)\s*PEs?"}}
-
-
-def infer_properties(entities: DataFrame, rules: dict[str, dict[str, str]] = PROPERTIES, phantom: list[str] = ()) -> DataFrame:
-    """(name, key, value, evidence): properties by the patterns of an entity's type; the first context that has one wins."""
-    rows = entities.select("name", "type", F.posexplode("contexts").alias("pos", "context"))
-    for phrase in phantom:
-        rows = rows.where(~F.contains(F.lower("context"), F.lit(phrase.lower())))
-    every = [F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.regexp_extract("context", pattern, 1).alias("value")) for kind, keys in rules.items() for key, pattern in keys.items()]
-    found = rows.select("name", "type", "pos", "context", F.inline(F.array(*every))).where((F.col("kind") == F.col("type")) & (F.col("value") != ""))
-    return first_by(found, ["name", "key"], F.col("pos")).select("name", "key", F.trim("value").alias("value"), F.col("context").alias("evidence"))
-
+def infer_properties(entities: DataFrame, rules: dict[str, dict[str, str]] = PROPERTIES, phantoms: str = PHANTOMS, most: int = 50) -> DataFrame:
+    """(name, key, value, evidence): properties by the patterns of an entity's type; the first context that has one wins.
 
-RELATIONS = {"is_a": rf"({NAME}) (?:é um|é uma|is a|is an) ([\p{{L}}]+)", "requires": rf"({NAME}) (?:requer|exige|requires) ([\p{{L}}]+)", "element": r"(?i)()elemento:?\s*(\p{L}+)", "school": r"(?i)()escola:?\s*(\p{L}+)"}
+    Contexts that state a rule are left out. Values of page numbers or over ``most``
+    characters don't count; spaces are squeezed, and a stray "a" before a number goes.
+    """
+    rows = entities.select("name", "type", F.posexplode("contexts").alias("pos", "context")).where(~F.col("context").rlike(phantoms.replace("(?i)", "(?iu)")))
+    every = [F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), F.trim(F.regexp_extract("context", pattern.replace("(?i)", "(?iu)"), 1)).alias("value")) for kind, keys in rules.items() for key, pattern in keys.items()]
+    found = rows.select("name", "type", "pos", "context", F.inline(F.array(*every))).where((F.col("kind") == F.col("type")) & F.length("value").between(1, most))
+    found = found.where(~F.col("value").rlike(r"(?i)^\s*(?:pg\.?|pág\.?)\s*\d+\s*$"))
+    value = F.regexp_replace(F.regexp_replace("value", r"(?i)^a\s+(\d+)$", "$1"), r"\s+", " ")
+    return first_by(found, ["name", "key"], F.col("pos")).select("name", "key", value.alias("value"), F.col("context").alias("evidence"))
 
 
-def extract_relations(entities: DataFrame, patterns: dict[str, str] = RELATIONS) -> DataFrame:
-    """(src, relation, dst, evidence): edges by patterns with groups 1 (source, or the entity itself if empty) and 2; each edge once."""
+def extract_relations(entities: DataFrame, patterns: list[tuple[str, str]] = RELATIONS) -> DataFrame:
+    """(src, relation, dst, evidence): edges by patterns with groups for source and target, or for the target of the entity itself; each edge once, the first context's."""
     rows = entities.select("name", F.posexplode("contexts").alias("pos", "context"))
-    def matches(relation: str, pattern: str) -> Column:
-        a, b = (F.regexp_extract_all("context", F.lit(pattern), F.lit(k)).alias("ab"[k - 1]) for k in (1, 2))
-        return F.transform(F.arrays_zip(a, b), lambda z: F.struct(F.lit(relation).alias("relation"), z["a"].alias("a"), z["b"].alias("b")))
 
-    parts = F.flatten(F.array(*[matches(*item) for item in patterns.items()]))
-    squeeze = lambda c: F.substring(F.regexp_replace(F.trim(c), r"\s+", " "), 1, 80)
-    found = rows.select("name", "pos", "context", F.inline(parts)).select(squeeze(F.when(F.col("a") == "", F.col("name")).otherwise(F.col("a"))).alias("src"), "relation", squeeze(F.col("b")).alias("dst"), F.col("context").alias("evidence"), "pos")
-    kept = found.where((F.length("src") >= 2) & (F.length("dst") >= 2))
+    def matches(relation: str, pattern: str) -> Column:
+        pattern = pattern.replace("(?i)", "(?iu)")
+        dst = F.regexp_extract_all("context", F.lit(pattern), F.lit(re.compile(pattern).groups))
+        src = F.regexp_extract_all("context", F.lit(pattern), F.lit(1)) if re.compile(pattern).groups > 1 else F.transform(dst, lambda _: F.col("name"))
+        return F.transform(F.arrays_zip(src.alias("a"), dst.alias("b")), lambda z: F.struct(F.lit(relation).alias("relation"), z["a"].alias("a"), z["b"].alias("b")))
+
+    parts = F.flatten(F.array(*[matches(*item) for item in patterns]))
+    squeeze = lambda c: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, 80)
+    found = rows.select("name", "pos", "context", F.inline(parts)).select(squeeze(F.col("a")).alias("src"), "relation", squeeze(F.col("b")).alias("dst"), F.col("context").alias("evidence"), "pos")
+    kept = found.where(((F.length("src") >= 2) & (F.length("dst") >= 2)) | ((F.col("relation") == "cost_pm") & (F.length("src") >= 2)))
     return first_by(kept, ["src", "relation", "dst"], F.col("pos"), F.col("evidence")).drop("pos")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
 from ..functions.vector import dot, norm, squared_distance
 from ..plugins import lexical_overlap
-from .common import first_by, prioritised, small
+from .common import first_by, meet_all, prioritised, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -16,9 +17,10 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 of each query (query_id, query) over docs (doc_id, text).
 
-    Document frequencies need one row for each distinct word of a document and are
-    combined before the shuffle; term frequencies are kept for words of queries only.
-    A negative idf becomes a quarter of the mean idf over all words.
+    Two passes over the documents: one for the frequencies of all words, combined
+    before the shuffle and kept, from which lengths and the mean idf come as numbers;
+    one for the words of queries alone. A negative idf becomes a quarter of the mean
+    idf over all words.
     """
 
     def rows(of) -> Column:
@@ -27,30 +29,35 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
 
     def counted(w: Column) -> Column:
         """A row for each distinct word, and one for the document with its length."""
-        each = F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("term"), F.lit(0).alias("length"), F.lit(0).alias("whole")))
-        return F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(w).alias("length"), F.lit(1).alias("whole"))))
-
-    frequency = docs.select(rows(counted)).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"), F.max("whole").alias("whole"))
-    totals = frequency.where("whole = 1").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
-    idf = frequency.where("whole = 0").crossJoin(F.broadcast(totals.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean"))
+        each = F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("term"), F.lit(0).alias("length")))
+        return F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(w).alias("length"))))
+
+    frequency = docs.select(rows(counted)).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")).persist(StorageLevel.DISK_ONLY)
+    whole = frequency.where("term is null").first()
+    n, avgdl = (whole.df, max(whole.length, 1) / whole.df) if whole else (0, 1.0)
+    idf = frequency.where("term is not null").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weights = asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, FLOOR * mean).otherwise(F.col("idf"))).alias("weight"))
     used = asked.select("term").distinct()
-    weights = asked.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))).alias("weight"))
     found = docs.select("doc_id", rows(lambda w: F.transform(w, lambda x: F.struct(F.size(w).alias("dl"), x.alias("term"))))).join(small(used), "term", "left_semi")
-    tf = found.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(totals.select("avgdl")))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    tf = found.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = tf.join(small(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return first_by(scored, ["query_id"], F.desc("score"), F.col("doc_id"), n=k, rank="rank")
 
 
+def _vector_bytes(queries: DataFrame) -> int:
+    return 64 + 8 * (queries.agg(F.max(F.size("embedding"))).first()[0] or 0)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, similarity, rank): nearest vectors by squared distance; similarity is 1 / (1 + d).
 
-    Every vector meets every query. The queries are broadcast only below the bound of
-    :func:`small`; larger query tables go through :func:`knn_cells`.
+    Exact: every vector meets every query of the stated set, which is broadcast in
+    blocks within the bound. For query sets as large as the vectors use :func:`knn_cells`.
     """
-    pairs = vectors.crossJoin(small(queries.select("query_id", F.col("embedding").alias("q"))))
+    pairs = meet_all(vectors.select("vec_id", "embedding"), queries.select("query_id", F.col("embedding").alias("q")), "query_id", _vector_bytes(queries))
     scored = pairs.select("query_id", "vec_id", F.round(squared_distance(F.col("q"), F.col("embedding")), 6).alias("d"))
     ranked = first_by(scored, ["query_id"], F.col("d"), F.col("vec_id"), n=k, rank="rank")
     return ranked.select("query_id", "vec_id", F.round(1 / (1 + F.col("d")), 6).alias("similarity"), "rank")
@@ -83,7 +90,7 @@ def cosine_rank(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, cosine, rank); a zero vector has length 1."""
     length = lambda c: F.when(norm(c) == 0, 1.0).otherwise(norm(c))
     asked = queries.select("query_id", F.col("embedding").alias("q"), length(F.col("embedding")).alias("nq"))
-    pairs = vectors.withColumn("nv", length(F.col("embedding"))).crossJoin(small(asked))
+    pairs = meet_all(vectors.select("vec_id", "embedding", length(F.col("embedding")).alias("nv")), asked, "query_id", _vector_bytes(queries))
     scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / F.col("nq") / F.col("nv"), 6).alias("cosine"))
     return first_by(scored, ["query_id"], F.desc("cosine"), F.col("vec_id"), n=k, rank="rank")
 
@@ -137,15 +144,28 @@ def retrieve(variants: DataFrame, docs: DataFrame, vectors: DataFrame, query_vec
     return rerank(fused.join(first, "query_id").join(docs.select("doc_id", "text"), "doc_id"), k)
 
 
-def retrieve_weighted(terms: DataFrame, docs: DataFrame, queries: DataFrame, candidates: int = 20, k: int = 5) -> DataFrame:
-    """Terms (query_id, term_no, term, weight) by BM25: best weighted score for each document, then reranked."""
-    scored = bm25(terms.select(F.struct("query_id", "term_no").alias("query_id"), F.col("term").alias("query")), docs, candidates)
-    keyed = scored.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.term_no").alias("term_no"), "doc_id", "score").join(terms.select("query_id", "term_no", "weight"), ["query_id", "term_no"])
-    best = keyed.groupBy("query_id", "doc_id").agg(F.max(F.round(F.col("score") * F.col("weight"), 6)).alias("score"))
+def retrieve_weighted(terms: DataFrame, vectors: DataFrame, docs: DataFrame, queries: DataFrame, candidates: int = 20, k: int = 5) -> DataFrame:
+    """Expanded terms (query_id, term_no, term, weight, embedding) by vectors (vec_id = doc_id, embedding), then reranked.
+
+    A document has its best similarity times the term's weight over all terms of a query.
+    """
+    asked = terms.groupBy(F.col("term").alias("query_id")).agg(F.first("embedding").alias("embedding"))  # each term once
+    near = knn(asked, vectors, candidates).select(F.col("query_id").alias("term"), F.col("vec_id").alias("doc_id"), "similarity")
+    scored = near.join(terms.select("query_id", "term", "weight"), "term")
+    best = scored.groupBy("query_id", "doc_id").agg(F.max(F.round(F.col("similarity") * F.col("weight"), 6)).alias("score"))
     ranked = first_by(best, ["query_id"], F.desc("score"), F.col("doc_id"), n=candidates, rank="rank")
     return rerank(ranked.join(queries.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id"), k)
 
 
+def overlap_rank(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents by the share of the query's distinct words that they hold, over all that hold any."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words"))
+    asked = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    shared = held.join(small(asked), "w").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("m"))
+    return first_by(shared.select("query_id", "doc_id", F.round(F.col("m") / F.col("n"), 6).alias("score")), ["query_id"], F.desc("score"), F.col("doc_id"), n=k, rank="rank")
+
+
 def name_search(names: DataFrame, rows: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """(query_id, item, score, source): table rows by name (0.98 exact, 0.85 partial, two a name), and hits (query_id, doc_id, text, d) that hold the name or two of its words (0.95 / (1 + d))."""
     from .tables import find_by_name
@@ -222,7 +242,7 @@ def recommend(items: DataFrame, constraints: DataFrame, k: int) -> DataFrame:
     """
     needs = F.coalesce(F.regexp_extract("requisitos", r"(\d+)", 1).try_cast("int"), F.lit(0))
     fit = (F.col("pe") <= F.coalesce("budget", F.lit(1 << 30))) & (needs <= F.coalesce("strength", F.lit(1 << 30))) & F.contains(F.lower("tipo"), F.lower(F.coalesce("kind", F.lit(""))))
-    kinds = items.select("tipo").distinct().crossJoin(small(constraints)).where(F.contains(F.lower("tipo"), F.lower(F.coalesce("kind", F.lit("")))))
+    kinds = meet_all(items.select("tipo").distinct(), constraints, "query_id").where(F.contains(F.lower("tipo"), F.lower(F.coalesce("kind", F.lit("")))))
     scored = items.join(kinds, "tipo").where(fit).withColumn("score", F.round(0.7 * F.col("efficiency") + 0.3 / (F.col("pe") + 1), 6))
     return first_by(scored, ["query_id"], F.desc("score"), F.col("row_id"), n=k, rank="rank")
 

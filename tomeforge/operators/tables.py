@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ STATS = ["forca", "habilidade", "resistencia", "armadura", "pv", "pm"]
 
 
 def header_name(header: Column, synonyms: dict[str, str] = rules.HEADERS) -> Column:
-    """The column a header stands for: its own spelling or the one without spaces, else the lower-cased header."""
-    known = F.create_map(*[F.lit(x) for column, spellings in synonyms.items() for s in spellings.split() for x in (s, column)])
+    """The column a header stands for: by its spelling without punctuation or the one without spaces too, else the lower-cased header."""
+    known = F.create_map(*[F.lit(x) for spelling, column in synonyms.items() for x in (re.sub(r"[^\w\s]", "", spelling), column)])
     upper = F.upper(F.trim(F.regexp_replace(header, r"(?U)[^\w\s]", "")))
     return F.coalesce(known[upper], known[F.regexp_replace(upper, r"\s+", "")], F.nullif(F.lower(F.trim(header)), F.lit("")))
 

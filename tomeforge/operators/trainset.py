@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, tokens
 from .common import draw, first_by
 
+#: Places that an anchor tries in its bucket of the shuffled others.
+TRIES = 20
+
 
 def describe(entities: DataFrame, properties: DataFrame, most: int = 500) -> DataFrame:
     """(name, description): name, type, contexts and the evidence of properties, cut to ``most`` characters."""
@@ -18,11 +21,13 @@ def describe(entities: DataFrame, properties: DataFrame, most: int = 500) -> Dat
     return rows.select("name", F.substring(F.concat_ws(" ", "name", "type", F.array_join("contexts", " "), F.array_join("e", " ")), 1, most).alias("description"))
 
 
-def _paired(anchors: DataFrame, others: DataFrame, n: int, strategy: str, weight: float, seed: int, unlike: list[str]) -> DataFrame:
+def _paired(anchors: DataFrame, others: DataFrame, n: int, strategy: str, weight: float, seed: int, unlike: str) -> DataFrame:
     """Each anchor (anchor, positive, <unlike>) with one of ``others`` (negative, <unlike>) that differs in ``unlike``.
 
     Anchors are dealt a place in the shuffled list of others; if that one is not eligible,
-    the next places are tried, so that no anchor meets all others.
+    the next ``TRIES`` places are tried, so that no anchor meets all others. Those left
+    over get the first eligible of six rows, two of each of the three values that come
+    first: whatever an anchor's own value and name, one of them is eligible if any is.
     """
     total = others.count()
     if not total:
@@ -33,26 +38,31 @@ def _paired(anchors: DataFrame, others: DataFrame, n: int, strategy: str, weight
     placed = others.withColumn("b", key).withColumn("p", F.row_number().over(Window.partitionBy("b").orderBy(draw("negative", seed=seed), "negative")) - 1)
     sizes = placed.groupBy("b").agg(F.count("*").alias("m"))
     drawn = F.conv(F.substring(draw("anchor", "positive", seed=seed), 1, 7), 16, 10).cast("long")
-    tries = anchors.withColumn("b", F.pmod(drawn, F.lit(buckets))).join(sizes, "b").select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("m"), F.lit(20)) - 1)).alias("t"))
+    tries = anchors.withColumn("b", F.pmod(drawn, F.lit(buckets))).join(sizes, "b").select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("m"), F.lit(TRIES)) - 1)).alias("t"))
     tries = tries.withColumn("p", F.pmod(F.floor(drawn / buckets) + F.col("t"), F.col("m")).cast("int"))
-    other = placed.select("b", "p", "negative", *[F.col(c).alias(f"n_{c}") for c in unlike])
-    fit = reduce(lambda x, c: x & ~F.col(c).eqNullSafe(F.col(f"n_{c}")), unlike, F.col("negative") != F.col("anchor"))
-    found = first_by(tries.join(other, ["b", "p"]).where(fit), ["anchor", "positive"], F.col("t"))
-    rows = found.select("anchor", "positive", "negative", F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy"))
+    fit = ~F.col(unlike).eqNullSafe(F.col("other")) & (F.col("negative") != F.col("anchor"))
+    found = first_by(tries.join(placed.select("b", "p", "negative", F.col(unlike).alias("other")), ["b", "p"]).where(fit), ["anchor", "positive"], F.col("t"))
+    found = found.select("anchor", "positive", "negative")
+    listed = others.select("negative", F.col(unlike).alias("other")).distinct().withColumn("d", draw("negative", seed=seed))
+    values = listed.groupBy("other").agg(F.min("d").alias("first")).orderBy("first", "other").limit(3)
+    spare = first_by(listed.join(F.broadcast(values.withColumnRenamed("other", "v")), F.col("other").eqNullSafe(F.col("v"))), ["other"], F.col("d"), F.col("negative"), n=2)
+    left = anchors.join(found, ["anchor", "positive"], "left_anti").crossJoin(F.broadcast(spare.select("negative", "other", "d"))).where(fit)  # six rows
+    rest = first_by(left, ["anchor", "positive"], F.col("d"), F.col("negative")).select("anchor", "positive", "negative")
+    rows = found.unionByName(rest).select("*", F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy"))
     return rows.orderBy(draw("anchor", "positive", seed=seed), "anchor").limit(n)
 
 
 def graph_triples(described: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Anchor, its own description, a description from another cluster. ``described`` has (name, description, cluster_id, type)."""
     a = described.select(F.col("name").alias("anchor"), F.col("description").alias("positive"), "cluster_id")
-    return _paired(a, described.select(F.col("description").alias("negative"), "cluster_id"), n, "graph", 1.0, seed, ["cluster_id"])
+    return _paired(a, described.select(F.col("description").alias("negative"), "cluster_id"), n, "graph", 1.0, seed, "cluster_id")
 
 
 def similarity_triples(described: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Anchor, a mate of its cluster (the next in a shuffled ring), a description from another cluster."""
     ring = Window.partitionBy("cluster_id").orderBy(draw("name", seed=seed), "name")
     mates = described.withColumn("positive", F.lead("description").over(ring)).where("positive is not null")
-    return _paired(mates.select(F.col("name").alias("anchor"), "positive", "cluster_id"), described.select(F.col("description").alias("negative"), "cluster_id"), n, "similarity", 0.9, seed, ["cluster_id"])
+    return _paired(mates.select(F.col("name").alias("anchor"), "positive", "cluster_id"), described.select(F.col("description").alias("negative"), "cluster_id"), n, "similarity", 0.9, seed, "cluster_id")
 
 
 def relation_triples(entities: DataFrame, opposite: dict[str, str], n: int, seed: int = 42) -> DataFrame:
@@ -66,7 +76,7 @@ def hard_triples(described: DataFrame, kind: str, positive_kind: str, n: int, se
     """Anchors of a kind with their description, and a negative of another kind."""
     a = described.where(F.col("type") == kind).select(F.col("name").alias("anchor"), F.col("description").alias("positive"), "type")
     others = described.where(F.col("type") == positive_kind).select(F.col("description").alias("negative"), "type")
-    return _paired(a, others, n, "hard", 1.2, seed, ["type"])
+    return _paired(a, others, n, "hard", 1.2, seed, "type")
 
 
 def mix(parts: list[tuple[DataFrame, float]], n: int, seed: int = 42) -> DataFrame:
@@ -150,12 +160,46 @@ def attribute_triples(described: DataFrame, same: str, unlike: str, n: int, stra
     return out.orderBy(draw("anchor", "positive", seed=seed), "anchor").limit(n)
 
 
+#: Strategies of the second set of triples with their share: like names of other types, like elements of other types, like types
+#: of other functions, like types of other power, and names that share half their words.
+SECOND_SET = [("ambiguous", "bucket", "type", 0.30), ("element", "element", "type", 0.25), ("function", "type", "function", 0.20), ("power", "type", "power", 0.15)]
+
+
+def second_triples(described: DataFrame, n: int, first: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """The second set (anchor, positive, negative, weight, strategy): each strategy's share of ``n``, the rest by synonyms, topped up from ``first``.
+
+    ``described`` has (name, description, type, text); anchors of a strategy need the attribute it holds alike.
+    """
+    rows = name_buckets(infer_attributes(described))
+    parts = [(attribute_triples(rows, same, unlike, n, strategy, seed=seed), share) for strategy, same, unlike, share in SECOND_SET]
+    names = rows.select("name", "description", "type")
+    a, b = names.select(F.col("name").alias("a"), F.col("description").alias("da"), F.col("type").alias("ta")), names.select(F.col("name").alias("b"), F.col("description").alias("db"), F.col("type").alias("tb"))
+    alike = synonym_pairs(names).join(a, "a").join(b, "b")
+    alike = first_by(alike, ["a"], draw("a", "b", seed=seed), F.col("b")).select(F.col("a").alias("anchor"), F.col("db").alias("positive"), F.col("ta").alias("type"))
+    parts.append((_paired(alike, names.select(F.col("description").alias("negative"), "type"), n, "synonym", 1.0, seed, "type"), round(1 - sum(share for *_, share in SECOND_SET), 6)))
+    mixed = mix(parts, n, seed)
+    return mixed if first is None else backfill(mixed, first, n, seed)
+
+
 def synonym_pairs(df: DataFrame, share: float = 0.5, name: str = "name") -> DataFrame:
-    """(a, b): names whose common words are ``share`` of the shorter name or more, by an inverted list of their rarest word."""
-    words = df.select(F.col(name).alias("a"), F.array_distinct(tokens(fold(F.col(name)))).alias("wa")).distinct()
-    listed = words.select("a", "wa", F.explode("wa").alias("w"))
-    pairs = listed.join(listed.select(F.col("a").alias("b"), F.col("wa").alias("wb"), "w"), "w").where("a < b").select("a", "b", "wa", "wb").distinct()
-    return pairs.where(F.size(F.array_intersect("wa", "wb")) >= share * F.least(F.size("wa"), F.size("wb"))).select("a", "b")
+    """(a, b): names whose common words are ``share`` of the shorter name's or more.
+
+    Prefix filter: two such names share one of the rarest words of either, those left
+    when as many as the share needs, less one, are taken off the commonest; so names
+    meet by these words alone, a pair at the first of them that both have.
+    """
+    words = df.select(F.col(name).alias("a"), F.array_distinct(tokens(fold(F.col(name)))).alias("wa")).where(F.size("wa") > 0).distinct()
+    each = words.select("a", F.explode("wa").alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("n"))
+    ranked = each.join(counts, "w").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("r"))  # words of one name
+    ranked = ranked.select("a", F.transform("r", lambda x: x["w"]).alias("wa"))
+    # a partner that is no shorter needs at least this many of the name's words
+    keyed = ranked.withColumn("key", F.explode(F.slice("wa", 1, F.greatest(F.lit(1), F.size("wa") - F.greatest(F.lit(1), F.ceil(share * F.size("wa"))).cast("int") + 1))))
+    every = ranked.select(F.col("a").alias("b"), F.col("wa").alias("wb"), F.explode("wa").alias("key"))
+    met = keyed.join(every, "key").where((F.col("a") != F.col("b")) & (F.size("wa") <= F.size("wb")))
+    first = F.get(F.filter("wa", lambda w: F.array_contains(F.col("wb"), w)), F.lit(0)) == F.col("key")
+    pairs = met.where(first & (F.size(F.array_intersect("wa", "wb")) >= share * F.size("wa")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def label_pairs(pairs: DataFrame) -> DataFrame:
@@ -171,9 +215,26 @@ def label_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("l", rule).where("l is not null").select("*", "l.label", "l.difficulty").drop("l")
 
 
-def balance_pairs(labelled: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """At most ``n`` pairs of each label, chosen by hash; more negatives are not taken than twice the positives allow."""
-    picked = first_by(labelled, ["label"], draw("query", "text", seed=seed), F.col("query"), F.col("text"), n=n)
+def balance_pairs(labelled: DataFrame, n: int = 500, least: int = 0, spare: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """At most ``n`` pairs of each label in a seeded order.
+
+    Where negatives are fewer than half the positives, rows of ``spare`` (candidates that
+    no rule labels) top them up to as many as positives, as easy ones. With ``least``,
+    pairs beyond ``n`` fill up to that many.
+    """
+    order = [draw("query", "text", seed=seed), F.col("query"), F.col("text")]
+    columns = ["query", "text", "label", "difficulty"]
+    rows = labelled.select(columns)
+    if spare is not None:
+        have = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        positives, negatives = have.get(1, 0), have.get(0, 0)
+        if 0 < 2 * negatives < positives:
+            more = spare.select("query", "text").distinct().join(rows.select("query", "text"), ["query", "text"], "left_anti")
+            rows = rows.unionByName(more.orderBy(*order).limit(positives - negatives).select("query", "text", F.lit(0).alias("label"), F.lit("facil").alias("difficulty")))
+    picked = first_by(rows, ["label"], *order, n=n)
+    if least:
+        rest = first_by(rows, ["label"], *order, n=n + least, rank="place").where(F.col("place") > n).drop("place")
+        picked = picked.unionByName(rest.orderBy(*order).limit(max(0, least - picked.count())))
     return picked
 
 

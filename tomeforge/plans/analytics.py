@@ -117,11 +117,12 @@ def progression(spark, sf):
 
 
 @R.add("""WITH q(query_id, w) AS (VALUES (1, 'purchase'), (2, 'u7')), s AS (SELECT query_id, CAST(event_id AS VARCHAR) AS item, CASE WHEN w = event_type THEN 3 ELSE 0 END + CASE WHEN w IN ('u' || user_id % 40, 'u' || event_id % 40) THEN 2 ELSE 0 END AS score FROM events, q),
-a AS (SELECT query_id, 'event' AS kind, item, score FROM s WHERE score > 0 UNION ALL SELECT 2, 'character', 'u7', 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, item) AS o FROM a) SELECT query_id, kind, item, CAST(score AS BIGINT) AS score FROM r WHERE o <= 5""")
+a AS (SELECT query_id, 'event' AS kind, item, score FROM s WHERE score > 0 UNION ALL SELECT 2, 'character', 'u7', 5 UNION ALL SELECT DISTINCT 1, 'thread', event_type, 4 FROM events WHERE event_type = 'purchase'), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, item) AS o FROM a) SELECT query_id, kind, item, CAST(score AS BIGINT) AS score FROM r WHERE o <= 5""")
 def event_recall(spark, sf):
     asked = spark.createDataFrame([(1, "purchase"), (2, "U7")], "query_id int, query string")
     names = spark.range(40).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"))
-    return domain.recall(asked, _events(spark, sf), names, names.limit(0))
+    threads = table(spark, sf, "events").select(F.col("event_type").alias("name")).distinct()
+    return domain.recall(asked, _events(spark, sf), names, threads)
 
 
 @R.add("WITH e AS (SELECT event_id, user_id % 10 AS campaign, CAST(date_trunc('day', ts) AS DATE) AS session, event_id % 6 AS importance FROM events) SELECT event_id FROM (SELECT *, dense_rank() OVER (PARTITION BY campaign ORDER BY session DESC) AS p FROM e) WHERE p <= 3 AND importance >= 3")
@@ -179,10 +180,10 @@ def dice_stats(spark, sf):
     return table(spark, sf, "part").select("p_partkey", d.alias("d")).select("p_partkey", "d.least", "d.mean", "d.greatest", F.round("d.extreme", 6).alias("extreme"))
 
 
-@R.add("SELECT p_partkey FROM part WHERE length(p_type) > 10 AND contains(p_name, 'ring') ORDER BY p_name, p_partkey LIMIT 50")
+@R.add("SELECT p_partkey FROM part WHERE length(p_type || ' ' || p_brand) > 10 AND contains(p_name, 'ring') ORDER BY p_name, p_partkey LIMIT 50")
 def catalog_view(spark, sf):
     """The first 50 of a catalogue search: the limit is the feature."""
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("name"), F.lit("x").alias("kind"), F.lit(True).alias("unique"), F.lit("-").alias("school"), F.col("p_type").alias("text"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("name"), F.lit("x").alias("kind"), F.lit(True).alias("unique"), F.lit("-").alias("school"), F.concat_ws(" ", "p_type", "p_brand").alias("text"))
     return domain.catalog_view(rows, search="Ring").select(F.col("row_id").alias("p_partkey"))
 
 
@@ -266,12 +267,20 @@ def synonym_pairs(spark, sf):
     return trainset.synonym_pairs(table(spark, sf, "part").select(F.col("p_name").alias("name")))
 
 
-@R.add()
+#: Every name has one triple, for each element holds both types.
+@R.add("SELECT 'element' AS strategy, count(*) AS n FROM embeddings")
 def attribute_triples(spark, sf):
     d = trainset.infer_attributes(_described(spark, sf), kind="type")
     return trainset.attribute_triples(d, "element", "type", 1 << 30, "element").groupBy("strategy").agg(F.count("*").alias("n"))
 
 
+@R.add("SELECT s AS strategy, n FROM (VALUES ('element', 50), ('synonym', 20), ('graph', 130)) v(s, n)")
+def second_triples(spark, sf):
+    """200 triples of the second set, topped up with those of the first: numbers and shares are the operator's parameters."""
+    d = _described(spark, sf).withColumn("name", F.concat_ws(" ", F.lit("e"), F.substring("name", 2, 9)))
+    return trainset.strategy_counts(trainset.second_triples(d, 200, trainset.graph_triples(d, 1 << 30)))
+
+
 PAIRS = """SELECT doc_id AS query, 'w' || doc_id % 30 || CASE WHEN quality = 1 THEN ' q' || doc_id % 10 || ' ' ELSE '' END AS text, doc_id % 25 AS rank, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS query_type, 'a' AS doc_type, 'q' || doc_id % 10 AS k, quality FROM labels"""
 LABELLED = f"""SELECT query, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS label, CASE WHEN quality = 1 THEN 'facil' WHEN query_type <> doc_type AND rank < 5 THEN 'dificil' WHEN rank >= 15 THEN 'facil' WHEN query_type <> doc_type THEN 'medio' END AS difficulty FROM ({PAIRS}) WHERE quality = 1 OR rank >= 15 OR query_type <> doc_type"""
 
@@ -299,6 +308,15 @@ def balanced_pairs(spark, sf):
     return trainset.balance_pairs(_labelled(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@R.add(f"WITH p AS (SELECT count(*) AS n FROM ({LABELLED}) WHERE label = 1) SELECT unnest([0, 1]) AS label, n FROM p")
+def topped_up_pairs(spark, sf):
+    """Few negatives are topped up, from candidates without a label, to as many as positives."""
+    rows = _labelled(spark, sf)
+    few = rows.where("label = 1").unionByName(rows.where("label = 0").orderBy("doc_id").limit(1))
+    spare = table(spark, sf, "documents").select(F.col("source").alias("query"), F.col("doc_id").cast("string").alias("text"))
+    return trainset.balance_pairs(few, 1 << 30, spare=spare).groupBy("label").agg(F.count("*").alias("n"))
+
+
 # streams: the same operators on the whole table; tests/test_streams.py runs them as streams
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from ..operators.catalog import map_titles
 from ..sources import io
 from .binding import Registry, table
 
@@ -41,17 +42,16 @@ def sanitized_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.sanitize(F.col("text"), NOISE[:1]).alias("shown"))
 
 
-@R.add(r"""SELECT doc_id, translate(lower(substr(text, 1, 200)), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy') AS folded,
-  regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+@R.add(r"""SELECT doc_id, translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy') AS folded,
+  regexp_replace(regexp_replace(translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
 def folded_slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.fold(F.substring("text", 1, 200)).alias("folded"), T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"), T.slug(F.col("text")).alias("slug"))
 
 
 @R.add("SELECT source, CASE lower(trim(source)) WHEN 'src0' THEN 'Source Zero' WHEN 'src1' THEN 'Source One' ELSE coalesce(source, '') END AS title, count(*) AS documents FROM documents GROUP BY 1, 2")
 def mapped_titles(spark, sf):
-    mapping = F.create_map(*[F.lit(x) for k, v in MAPPING.items() for x in (k.lower(), v)])
-    title = F.coalesce(mapping[F.lower(F.trim("source"))], F.col("source"), F.lit(""))
-    return table(spark, sf, "documents").groupBy("source", title.alias("title")).agg(F.count("*").alias("documents"))
+    mapping = spark.createDataFrame(list(MAPPING.items()), "spelling string, title string")
+    return map_titles(table(spark, sf, "documents"), mapping, "source").groupBy("source", "title").agg(F.count("*").alias("documents"))
 
 
 @R.add(r"""SELECT t AS token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents) GROUP BY 1""")
@@ -79,13 +79,19 @@ def acronym_expansion(spark, sf):
     return table(spark, sf, "documents").select("doc_id", expanded.alias("expanded"), (T.expand_acronyms(expanded) == expanded).alias("stable"))
 
 
-@R.add(r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]\s+')) AS s, generate_subscripts(string_split_regex(text, '[.!?]\s+'), 1) AS pos FROM documents)
-SELECT doc_id, count(*) AS kept, min(pos) AS first_pos FROM s WHERE length(s) >= 15 AND regexp_matches(lower(s), 'tion|ment') AND NOT starts_with(lower(s), 'the ') GROUP BY doc_id""")
-def relevant_sentences(spark, sf):
-    """Sentences of 15 characters or more that match a pattern and are not lore."""
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"[.!?]\s+")).alias("pos", "s"))
-    kept = s.where((F.length("s") >= 15) & F.lower("s").rlike("tion|ment") & ~F.lower("s").startswith("the "))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), (F.min("pos") + 1).cast("long").alias("first_pos"))
+@R.add()
+def relevant_text(spark, sf):
+    """The named sections and matching sentences of every document."""
+    d = F.concat(F.coalesce("text", F.lit("")), F.lit(" Combate: o ataque causa dano. Magias: nenhuma."))
+    return table(spark, sf, "documents").select("doc_id", T.relevant_text(d, r"tion|ment\b|ataque", ["Combate", "Magias?"]).alias("relevant"))
+
+
+@R.add(r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(text, '%%%', ' ', 'g'), '###', '', 'g') AS t, source FROM documents),
+m AS (SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\s+', '\1', 'g'), ' +', ' ', 'g'), '([.!?,;:])([A-Za-zÀ-ÿ])', '\1 \2', 'g'), ' +([.,;:!?])', '\1', 'g'), '^\s+|\s+$', '', 'g'), '') AS text, source FROM r)
+SELECT doc_id, text, CASE WHEN source IS NULL THEN '' ELSE source END AS names FROM m""")
+def normalized_fields(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.array("source", F.lit(" ")).alias("names"))
+    return T.normalize_fields(rows, [("%%%", " "), ("###", "")]).withColumn("names", F.array_join("names", "|"))
 
 
 @R.add(r"""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS start FROM documents WHERE length(text) > 0)
@@ -126,11 +132,10 @@ def doc_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", chunking.chunk_id(F.col("text"), F.col("source"), F.col("doc_id")).alias("doc_key"))
 
 
-@R.add("SELECT lang AS source, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS text_sha256 FROM documents WHERE length(text) < 100 GROUP BY lang")
+@R.add("SELECT lang AS source, doc_id // 50 AS block, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS text_sha256 FROM documents GROUP BY 1, 2")
 def reassembled_sources(spark, sf):
-    short = table(spark, sf, "documents").where("length(text) < 100")
-    whole = chunking.reassemble(short.select(F.col("lang").alias("source"), F.col("doc_id").alias("page"), F.lit(0).alias("chunk_no"), F.col("text").alias("content")))
-    return whole.select("source", F.sha2("text", 256).alias("text_sha256"))
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("page"), F.lit(0).alias("chunk_no"), F.col("text").alias("content"))
+    return chunking.reassemble(docs, 50).select("source", "block", F.sha2("text", 256).alias("text_sha256"))
 
 
 @R.add("""SELECT p_name AS name, unnest(['nome', 'cabecalho', 'completo']) AS kind, unnest([p_name, concat_ws(' ', p_name, p_brand), concat_ws(' ', p_name, p_brand, p_type)]) AS content FROM part""")
@@ -161,10 +166,91 @@ def missing_vectors(spark, sf):
     return io.missing_vectors(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id")), have).select(F.col("chunk_id").alias("doc_id"))
 
 
-@R.add("""SELECT row_number() OVER (ORDER BY c, item_id) AS place, item_id FROM benchmark, range(0, 1 + (100 - 1) // (SELECT count(*) FROM benchmark)) r(c) QUALIFY place <= 100""")
+@R.add("""SELECT c AS copy, item_id FROM benchmark, range(0, 1 + (100 - 1) // (SELECT count(*) FROM benchmark)) r(c) ORDER BY c, item_id LIMIT 100""")
 def repeated_queries(spark, sf):
     """The query list repeated up to 100 queries: the limit is the feature."""
-    from pyspark.sql import Window
-
-    rows = io.repeat_to(table(spark, sf, "benchmark").select("item_id"), "item_id", 100)
-    return rows.select(F.row_number().over(Window.orderBy("copy", "item_id")).cast("long").alias("place"), "item_id")
+    return io.repeat_to(table(spark, sf, "benchmark").select("item_id"), "item_id", 100).select(F.col("copy").cast("long").alias("copy"), "item_id")
+
+
+# sources and sinks: what is written to the shared folder is what is read back
+
+
+@R.add("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text AS content, source, CAST(doc_id % 10 AS INT) AS page, lang AS section FROM documents")
+def stored_chunks(spark, sf):
+    path = io.work_dir(spark)
+    docs = table(spark, sf, "documents")
+    io.write_chunks(docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), "source", (F.col("doc_id") % 10).cast("int").alias("page"), F.col("lang").alias("section")), path)
+    return io.read_chunks(spark, path)
+
+
+@R.add("SELECT doc_id, text, 'texto' AS kind, coalesce(lang, 'none') AS lang FROM documents")
+def stored_jsonl(spark, sf):
+    path = io.work_dir(spark)
+    io.write_jsonl(table(spark, sf, "documents"), path, {"doc_id": F.lit(0).cast("long"), "text": F.lit(""), "kind": F.lit("texto"), "lang": F.lit("none")})
+    return spark.read.schema("doc_id long, text string, kind string, lang string").json(path)
+
+
+@R.add("SELECT p_partkey, p_name FROM part")
+def review_csv(spark, sf):
+    path = io.work_dir(spark)
+    io.write_review(table(spark, sf, "part"), path, ["p_partkey", "p_name"])
+    return spark.read.option("header", True).schema("p_partkey long, p_name string").csv(path)
+
+
+@R.add("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model_id, len(embedding) AS dims FROM embeddings UNION ALL SELECT CAST(vec_id AS VARCHAR), 'a', len(embedding) FROM embeddings WHERE vec_id % 2 = 1")
+def stored_vectors(spark, sf):
+    """The vectors of two models are written, those of one again, and all chunks added to the other, which lacks half of them."""
+    path = io.work_dir(spark)
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "vec_id")
+    io.write_vectors(rows.where("vec_id % 2 = 0"), path, "a")
+    io.write_vectors(rows, path, "b")
+    io.write_vectors(rows.where("vec_id % 2 = 1"), path, "b")  # replaced
+    io.append_vectors(rows, path, "a")
+    both = io.read_vectors(spark, path, "a").unionByName(io.read_vectors(spark, path, "b"))
+    return both.select("chunk_id", "model_id", F.size("embedding").cast("long").alias("dims"))
+
+
+@R.add("SELECT event_id AS id, CAST(least(1, greatest(-1, user_id % 5 - 2)) AS INT) AS user_rating, '[{\"source\":\"' || event_type || '\",\"page\":3}]' AS chunks_used, '[0.5]' AS rerank_scores FROM events")
+def stored_feedback(spark, sf):
+    path = io.work_dir(spark)
+    e = table(spark, sf, "events")
+    chunk = F.struct(F.col("event_type").alias("source"), F.lit(3).alias("page"))
+    rows = e.select(F.col("event_id").alias("id"), "ts", F.lit("q").alias("query"), F.lit("r").alias("response"), (F.col("user_id") % 5 - 2).cast("int").alias("user_rating"), F.array(chunk).alias("chunks_used"), F.array(F.lit(0.5)).alias("rerank_scores"), F.array(F.lit("f")).alias("validation_flags"))
+    io.append_feedback(rows.where("event_id % 2 = 0"), path)
+    io.append_feedback(rows.where("event_id % 2 = 1"), path)
+    return spark.read.parquet(path).select("id", "user_rating", "chunks_used", "rerank_scores")
+
+
+@R.add("SELECT conv_id, turn, text AS answer, '{\"n\":' || turn || '}' AS metrics FROM conversations WHERE role = 'assistant'")
+def stored_responses(spark, sf):
+    path = io.work_dir(spark)
+    a = table(spark, sf, "conversations").where("role = 'assistant'")
+    rows = a.select(F.current_timestamp().alias("ts"), F.concat_ws("/", "conv_id", "turn").alias("question"), F.col("text").alias("answer"), F.struct(F.col("turn").alias("n")).alias("metrics"), F.array(F.lit("s")).alias("sources"))
+    io.append_responses(rows, path)
+    key = F.split("question", "/")
+    return spark.read.parquet(path).select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "answer", "metrics")
+
+
+@R.add("SELECT item_id AS query_id, text AS query, 'c' || item_id % 3 AS category FROM benchmark")
+def loaded_queries(spark, sf):
+    path = io.work_dir(spark)
+    row = F.struct(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"))
+    table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(row))).write.text(path)  # one array, the form of a query file
+    return io.read_queries(spark, path).select("query_id", "query", "category")
+
+
+@R.add("SELECT count(*) AS pages, 0 AS skipped, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages")
+def page_source(spark, sf):
+    path = io.work_dir(spark)
+    table(spark, sf, "pages").select(F.col("url").alias("path"), F.lit(1).alias("page"), F.col("html").alias("text")).write.json(f"{path}/a/b")
+    pages = io.read_pages(spark, path)
+    return io.page_counts(pages).crossJoin(pages.agg(F.sum(F.length("text")).alias("chars")))
+
+
+@R.add("SELECT replacement, count(*) AS n FROM (VALUES ('idiot', 'X'), ('moron', 'Y')) r(pattern, replacement) JOIN documents ON regexp_matches(text, '(?i)' || pattern) GROUP BY 1")
+def loaded_rules(spark, sf):
+    """OCR rules from a file, in order: here two words and what stands for them."""
+    path = io.work_dir(spark)
+    spark.createDataFrame([(1, "idiot", "<X>"), (2, "moron", "<Y>")], "place int, pattern string, replacement string").write.json(path)
+    mended = table(spark, sf, "documents").select(T.repair_ocr(F.col("text"), io.read_rules(spark, path)).alias("t"))
+    return mended.select(F.explode(F.filter(F.array(F.lit("X"), F.lit("Y")), lambda x: F.contains("t", F.concat(F.lit("<"), x, F.lit(">"))))).alias("replacement")).groupBy("replacement").agg(F.count("*").alias("n"))

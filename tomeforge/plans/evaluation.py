@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation
+from ..operators import evaluation, retrieval
 from .binding import Registry, table
+from .retrieval import BM25
 
 R = Registry()
 #: Ranked lists from embeddings: vectors of a residue class are a query's list, the label is its relevance.
@@ -71,18 +72,20 @@ def compare_models(spark, sf):
 
 
 PHRASE = "SELECT item_id AS query_id, lower(string_split(text, ' ')[2]) AS phrase FROM benchmark"
-LISTED = "SELECT doc_id % 40 AS query_id, doc_id, text, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank FROM documents"
+LISTED = BM25 + ", l AS (SELECT query_id, doc_id, text, rank FROM r JOIN documents USING (doc_id) WHERE rank <= 10)"
 
 
-@R.add(f"""WITH f AS (SELECT query_id, min(rank) AS rank FROM ({LISTED}) JOIN ({PHRASE}) USING (query_id) WHERE contains(lower(text), phrase) GROUP BY 1)
-SELECT round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM ({PHRASE}) LEFT JOIN f USING (query_id)""")
-def phrase_metrics(spark, sf):
-    from pyspark.sql import Window
+def _listed(spark, sf):
+    """The ten documents that BM25 ranks first for each benchmark query, with their texts."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return retrieval.bm25(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), docs).join(docs, "doc_id")
 
-    docs = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", "text")
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+
+@R.add(f"""{LISTED}, hit AS (SELECT query_id, min(rank) AS rank FROM l JOIN ({PHRASE}) USING (query_id) WHERE contains(lower(text), phrase) GROUP BY 1)
+SELECT round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM ({PHRASE}) LEFT JOIN hit USING (query_id)""")
+def phrase_metrics(spark, sf):
     phrases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.lower(F.split("text", " ")[1])).alias("phrases"))
-    return evaluation.phrase_metrics(ranked, phrases)
+    return evaluation.phrase_metrics(_listed(spark, sf), phrases)
 
 
 @R.add(r"""WITH t AS (SELECT item_id AS query_id, unnest([lower(string_split(text, ' ')[3]), lower(string_split(text, ' ')[5])]) AS target, item_id % 2 = 0 AS c FROM benchmark), w AS (SELECT doc_id, lower(text) AS l, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ws FROM documents),
@@ -94,17 +97,16 @@ def ground_truth(spark, sf):
     return evaluation.ground_truth(q, table(spark, sf, "documents"))
 
 
-@R.add(f"""WITH l AS ({LISTED}), q AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text[1:60]), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 4) AS words FROM benchmark),
-r AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY length(text), doc_id) AS final_rank, len(list_filter(words, lambda w: contains(lower(text), w))) > 0 AS rel FROM l JOIN q USING (query_id))
-SELECT query_id, count(*) FILTER (rel AND rank <= 5) AS before, count(*) FILTER (rel AND final_rank <= 5) AS after FROM r GROUP BY 1""")
+@R.add(LISTED + r""", lw AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 7) AS words FROM benchmark),
+x AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY length(text), doc_id) AS final_rank, len(list_filter(words, lambda w: contains(lower(text), w))) > 0 AS rel FROM l JOIN lw USING (query_id))
+SELECT query_id, count(*) FILTER (rel AND rank <= 5) AS before, count(*) FILTER (rel AND final_rank <= 5) AS after FROM x GROUP BY 1""")
 def rerank_lift(spark, sf):
+    """Lists by BM25, reranked by length; relevant is what holds a long word of the query."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("query_id")
-    docs = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", "text")
-    long = F.array_join(F.filter(F.regexp_extract_all(F.lower(F.substring("text", 1, 60)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) > 4), " ")
+    long = F.array_join(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) > 7), " ")
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), long.alias("query"))
-    ranked = docs.withColumns({"rank": F.row_number().over(w.orderBy("doc_id")), "final_rank": F.row_number().over(w.orderBy(F.length("text"), "doc_id"))})
+    ranked = _listed(spark, sf).withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("text"), "doc_id")))
     return evaluation.rerank_lift(ranked.join(q, "query_id"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import entities
+from ..functions import rules
+from ..operators import catalog, entities, trainset
+from ..sources import io
 from .binding import Registry, table
 
 R = Registry()
@@ -12,8 +14,11 @@ KINDS = ["alpha", "beta"]
 RULES = {"alpha": [("content", "tion"), ("secondary", "idiot"), ("section", "src1")], "beta": [("content", "ment"), ("section", "src2")]}
 SCORES = """SELECT doc_id AS chunk_id, CASE WHEN regexp_matches(text, '(?i)tion') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)idiot') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(source, '(?i)src1') THEN 3 ELSE 0 END AS alpha_score,
   CASE WHEN regexp_matches(text, '(?i)ment') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(source, '(?i)src2') THEN 3 ELSE 0 END AS beta_score FROM documents"""
-#: Names are the first words of documents; their contexts the first 80 characters.
-CANDIDATES = "SELECT doc_id AS chunk_id, regexp_extract(text, '^[\\p{L}]+') AS name, substr(text, 1, 80) AS context FROM documents WHERE regexp_extract(text, '^[\\p{L}]+') <> ''"
+#: Names: capitalised words between spaces, over whole texts, each once a document at its first place, with 20 characters before and 60 after.
+NAME_PATTERN = r"(?<![^ ])([A-Z][a-z]{4,})(?![^ ])"
+CANDIDATES = """SELECT doc_id AS chunk_id, name, substr(text, greatest(0, pos - 20) + 1, pos + length(name) + 60 - greatest(0, pos - 20)) AS context FROM (
+  SELECT doc_id, text, name, min(pos) AS pos FROM (SELECT doc_id, text, name, CAST(sum(length(name) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(name) - 1 AS pos
+    FROM (SELECT doc_id, text, unnest(string_split(text, ' ')) AS name, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) WHERE regexp_full_match(name, '[A-Z][a-z]{4,}') GROUP BY doc_id, text, name)"""
 
 
 def _chunks(spark, sf):
@@ -21,8 +26,7 @@ def _chunks(spark, sf):
 
 
 def _candidates(spark, sf):
-    name = F.regexp_extract("content", r"^[\p{L}]+", 0)
-    return _chunks(spark, sf).select("chunk_id", name.alias("name"), F.lit(0).alias("pos"), F.substring("content", 1, 80).alias("context")).where("name <> ''")
+    return entities.entity_candidates(_chunks(spark, sf), [NAME_PATTERN])
 
 
 def _entities(spark, sf):
@@ -51,9 +55,12 @@ def entity_mentions(spark, sf):
     return entities.entity_candidates(_chunks(spark, sf)).groupBy("name").agg(F.count("*").alias("mentions"))
 
 
-@R.add(AGG + " SELECT name FROM e WHERE NOT (lower(name) IN ('the', 'of') OR regexp_matches(name, '^(?i:o|a|os|as|um|uma|de|do|da)\\s') OR regexp_matches(name, 'ing$'))".replace("\\\\", "\\"))
+DROPPED = " OR ".join([f"name IN ({', '.join(repr(n) for n in [*rules.NOT_NAMES, 'There', 'Diese'])})", *[f"regexp_matches(name, '{p}')" for p in [*rules.FRAGMENTS, "ing$"]]])
+
+
+@R.add(AGG + f" SELECT name FROM e WHERE NOT ({DROPPED})")
 def kept_names(spark, sf):
-    return entities.drop_fragments(_entities(spark, sf).select("name"), blocked=["the", "of"], patterns=[r"ing$"])
+    return entities.drop_fragments(_entities(spark, sf).select("name"), blocked=[*rules.NOT_NAMES, "There", "Diese"], patterns=[*rules.FRAGMENTS, "ing$"])
 
 
 @R.add(AGG + " SELECT name, type FROM e WHERE mentions >= CASE type WHEN 'alpha' THEN 3 WHEN 'beta' THEN 2 ELSE 1 END")
@@ -66,9 +73,9 @@ def type_histogram(spark, sf):
     return entities.type_histogram(_entities(spark, sf), {"alpha": (1, 10), "gamma": (1, 5), "beta": (0, 100000)})
 
 
-@R.add(AGG + " SELECT n.name, CASE WHEN want IS NULL THEN CASE WHEN type IS NULL THEN 'ok' ELSE 'unwanted' END WHEN type IS NULL THEN 'absent' WHEN want = type THEN 'ok' ELSE 'wrong_type' END AS verdict FROM (VALUES ('The', 'alpha'), ('Is', 'beta'), ('Nothing', 'alpha'), ('Zzz', NULL), ('And', NULL)) n(name, want) LEFT JOIN e USING (name)")
+@R.add(AGG + " SELECT n.name, CASE WHEN want IS NULL THEN CASE WHEN type IS NULL THEN 'ok' ELSE 'unwanted' END WHEN type IS NULL THEN 'absent' WHEN want = type THEN 'ok' ELSE 'wrong_type' END AS verdict FROM (VALUES ('Their', 'alpha'), ('Eaument', 'beta'), ('Nothing', 'alpha'), ('Zzzzz', NULL), ('Thand', NULL)) n(name, want) LEFT JOIN e USING (name)")
 def entity_audit(spark, sf):
-    return entities.audit_entities(_entities(spark, sf), spark.createDataFrame([("The", "alpha"), ("Is", "beta"), ("Nothing", "alpha"), ("Zzz", None), ("And", None)], "name string, type string"))
+    return entities.audit_entities(_entities(spark, sf), spark.createDataFrame([("Their", "alpha"), ("Eaument", "beta"), ("Nothing", "alpha"), ("Zzzzz", None), ("Thand", None)], "name string, type string"))
 
 
 QUALITY = AGG + ", q AS (SELECT name, CASE WHEN lower(name) IN ('the', 'and', 'le', 'la', 'der', 'die') THEN 'stopword' WHEN mentions >= 4 THEN NULL WHEN length(name) < 3 OR length(name) > 60 THEN 'size' WHEN regexp_matches(name, '[0-9]{3,}') THEN 'pattern' WHEN NOT regexp_matches(name, '^\\p{Lu}') THEN 'proper_noun' END AS reason FROM e)".replace("\\\\", "\\")
@@ -102,30 +109,34 @@ def coverage_report(spark, sf):
     return entities.coverage_report({"documents": table(spark, sf, "documents"), "pages": table(spark, sf, "pages"), "none": table(spark, sf, "pages").limit(0)})
 
 
-#: Entities made of parts: their type is the last word of the name; contexts hold stats and relations.
+#: Entities made of part names: every other one a spell; the first context states a rule, the second one holds stats and relations.
 def _parts(spark, sf):
-    part = table(spark, sf, "part")
-    text = F.concat(F.lit("Golem"), F.col("p_partkey").cast("string"), F.lit(" is a "), F.element_at(F.split("p_name", " "), -1), F.lit(". PV: "), F.col("p_size").cast("string"), F.lit(" F"), (F.col("p_size") % 7).cast("string"))
-    return part.select(F.concat(F.lit("Golem"), F.col("p_partkey").cast("string")).alias("name"), F.lit("monstro").alias("type"), F.array(F.lit("no such"), text).alias("contexts"), F.lit(3).alias("mentions"))
+    part = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").alias("size"))
+    word, size = F.element_at(F.split("name", " "), -1), F.col("size").cast("string")
+    text = F.concat("name", F.lit(" é um "), word, F.lit(". "), "name", F.lit(" custa "), size, F.lit(" PM. "), "name", F.lit(" requer "), word, F.lit(" e fogo. escola: "), word, F.lit(". "), "name", F.lit(" causa dano. PV: "), size, F.lit(" F"), (F.col("size") % 7).cast("string"), F.lit("-H1-R2-A3."))
+    kind = F.when(F.col("size") % 2 == 0, "magia").otherwise("monstro")
+    return part.select("name", kind.alias("type"), F.array(F.lit("Um teste de PV: 99"), text).alias("contexts"), F.lit(3).alias("mentions"), "size")
 
 
-TEXT = "'Golem' || p_partkey || ' is a ' || string_split(p_name, ' ')[-1] || '. PV: ' || p_size || ' F' || p_size % 7"
+PARTS = """SELECT p_name AS name, min(p_size) AS size, string_split(p_name, ' ')[-1] AS word, CASE WHEN min(p_size) % 2 = 0 THEN 'magia' ELSE 'monstro' END AS type, p_name || ' é um ' || string_split(p_name, ' ')[-1] || '. ' || p_name || ' custa ' || min(p_size) || ' PM. ' || p_name || ' requer ' || string_split(p_name, ' ')[-1]
+  || ' e fogo. escola: ' || string_split(p_name, ' ')[-1] || '. ' || p_name || ' causa dano. PV: ' || min(p_size) || ' F' || min(p_size) % 7 || '-H1-R2-A3.' AS text FROM part GROUP BY p_name"""
 
 
-@R.add(f"SELECT 'Golem' || p_partkey AS name, unnest(['pv', 'forca']) AS key, unnest([CAST(p_size AS VARCHAR), CAST(p_size % 7 AS VARCHAR)]) AS value, {TEXT} AS evidence FROM part")
+@R.add(f"""WITH p AS ({PARTS}) SELECT name, unnest(CASE WHEN type = 'magia' THEN ['cost_pm', 'school'] ELSE ['pv', 'stats'] END) AS key,
+  unnest(CASE WHEN type = 'magia' THEN [CAST(size AS VARCHAR), word] ELSE [CAST(size AS VARCHAR), 'F' || size % 7 || '-H1-R2-A3'] END) AS value, text AS evidence FROM p""")
 def entity_properties(spark, sf):
     return entities.infer_properties(_parts(spark, sf))
 
 
-@R.add(f"SELECT 'Golem' || p_partkey AS src, 'is_a' AS relation, string_split(p_name, ' ')[-1] AS dst, {TEXT} AS evidence FROM part")
+@R.add(f"""WITH p AS ({PARTS}) SELECT name AS src, unnest(['is_a', 'cost_pm', 'requires', 'school', 'effect']) AS relation, unnest([word, CAST(size AS VARCHAR), word || ' e fogo', word, 'dano']) AS dst, text AS evidence FROM p""")
 def relations(spark, sf):
     return entities.extract_relations(_parts(spark, sf))
 
 
-@R.add("SELECT 'monstro' AS type, round(2 / 3.0, 6) AS completeness")
+@R.add(f"WITH p AS ({PARTS}) SELECT type, CASE type WHEN 'magia' THEN 1.0 ELSE round(2 / 3.0, 6) END AS completeness FROM p GROUP BY type")
 def property_completeness(spark, sf):
     parts = _parts(spark, sf)
-    return entities.property_completeness(parts, entities.infer_properties(parts), {"monstro": ["pv", "forca", "magia"]})
+    return entities.property_completeness(parts, entities.infer_properties(parts), {"monstro": ["pv", "stats", "immunities"], "magia": ["cost_pm", "school"]})
 
 
 @R.add("SELECT n_name AS name, 1 AS edges FROM nation UNION ALL SELECT r_name, 0 FROM region ORDER BY edges, name LIMIT 20")
@@ -162,10 +173,9 @@ def weak_spans(spark, sf):
     return entities.weak_spans(table(spark, sf, "documents"), {"RUDE": ["idiot", "moron", "loser"]})
 
 
-@R.add("SELECT doc_id, CAST(length(text) - length(replace(lower(text), 'idiot', 'idio')) AS INT) AS n FROM documents WHERE contains(lower(text), 'idiot') AND NOT regexp_matches(lower(text), '[\\p{L}\\p{N}_]idiot|idiot[\\p{L}\\p{N}_]')".replace("\\\\", "\\"))
+@R.add(r"SELECT doc_id, CAST(n AS INT) AS n FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: w = 'idiot' OR w = 'moron')) AS n FROM documents) WHERE n > 0")
 def linked_mentions(spark, sf):
-    docs = table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("idiot")) & ~F.lower("text").rlike(r"[\p{L}\p{N}_]idiot|idiot[\p{L}\p{N}_]"))
-    found = entities.link_mentions(docs, spark.createDataFrame([("Idiot",), ("no such name",)], "name string"))
+    found = entities.link_mentions(table(spark, sf, "documents"), spark.createDataFrame([("Idiot",), ("no such name",), ("moron",)], "name string"))
     return found.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -175,12 +185,47 @@ def span_rollup(spark, sf):
     return entities.rollup_spans(spans, "conv_id").select("conv_id", F.size("entities").cast("long").alias("n"), F.array_join(F.array_sort(F.map_keys("by_label")), ",").alias("labels"))
 
 
-@R.add("SELECT count(*) AS n, min(start) AS start FROM (SELECT 0 AS start FROM part LIMIT 500)")
+@R.add(f"WITH p AS ({PARTS}) SELECT name, text[1:512] AS text, 0 AS start, CAST(length(name) AS INT) AS \"end\", type AS label FROM p ORDER BY md5(name || '|1|42'), name LIMIT 500")
 def span_examples(spark, sf):
     """500 random span examples: the limit is the feature."""
-    return entities.span_examples(_parts(spark, sf)).agg(F.count("*").alias("n"), F.min("start").alias("start"))
+    return entities.span_examples(_parts(spark, sf))
+
+
+#: Entities of all the kinds that a rule corrects.
+CASES = """SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'Armadura' WHEN 1 THEN 'se falhar' WHEN 2 THEN 'Magia Branca' WHEN 3 THEN 'Corpo Mágico' ELSE p_name END AS name, CASE p_partkey % 4 WHEN 0 THEN 'magia' WHEN 1 THEN 'monstro' WHEN 2 THEN 'item' ELSE 'desconhecido' END AS type, p_size % 3 AS c FROM part"""
 
 
-@R.add("SELECT 'Golem' || p_partkey AS name, CASE WHEN p_partkey = 7 THEN 'item' ELSE 'desconhecido' END AS type, p_partkey <> 7 OR true AS review FROM part")
+@R.add(f"""WITH e AS ({CASES}), r AS (SELECT *, CASE WHEN lower(name) = 'magia branca' THEN CASE WHEN type <> 'magia' THEN 'critical' END WHEN type = 'magia' AND c = 0 THEN 'spell_with_stats' WHEN type = 'magia' AND c = 1 THEN 'spell_without_evidence'
+  WHEN type = 'monstro' AND name = 'se falhar' THEN 'monster_without_proper_noun' WHEN type = 'item' AND name = 'Armadura' THEN 'generic_item' END AS reason FROM e),
+u AS (SELECT *, name = 'Corpo Mágico' AND (reason IS NOT NULL OR type = 'desconhecido') AS promoted FROM r)
+SELECT id, CASE WHEN name = 'Magia Branca' THEN 'magia' WHEN promoted THEN 'vantagem' WHEN reason IS NOT NULL THEN 'desconhecido' ELSE type END AS type, CASE WHEN promoted THEN 'promoted' ELSE reason END AS review FROM u""")
 def post_rules(spark, sf):
-    return entities.post_rules(_parts(spark, sf).withColumn("mentions", F.lit(1)), {"golem7": "item"}).select("name", "type", "review")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    name = F.when(size % 5 == 0, "Armadura").when(size % 5 == 1, "se falhar").when(size % 5 == 2, "Magia Branca").when(size % 5 == 3, "Corpo Mágico").otherwise(F.col("p_name"))
+    kind = F.when(key % 4 == 0, "magia").when(key % 4 == 1, "monstro").when(key % 4 == 2, "item").otherwise("desconhecido")
+    text = F.when(size % 3 == 0, "F3, H2 custa 5 PMs").when(size % 3 == 1, "nada").otherwise("custa 5 PMs")
+    rows = table(spark, sf, "part").select(key.alias("id"), name.alias("name"), kind.alias("type"), F.array(text).alias("contexts"))
+    return entities.post_rules(rows, {"magia branca": "magia"}, [("^Corpo|Elemental", "vantagem")]).select("id", "type", "review")
+
+
+@R.add(f"""WITH e AS ({CASES}) SELECT id, CASE WHEN name = 'Magia Branca' THEN 21 WHEN name = 'Corpo Mágico' THEN 11 ELSE 1 END AS magia_score, CASE WHEN name = 'Magia Branca' THEN 0 ELSE 4 END AS monstro_score, CASE WHEN name = 'Magia Branca' THEN 0 ELSE 2 END AS item_score,
+  CASE name WHEN 'Armadura' THEN 3 WHEN 'se falhar' THEN 1 WHEN 'Magia Branca' THEN 4 WHEN 'Corpo Mágico' THEN 4 ELSE 3 END AS proper FROM e""")
+def boosted_scores(spark, sf):
+    size = F.col("p_size")
+    name = F.when(size % 5 == 0, "Armadura").when(size % 5 == 1, "se falhar").when(size % 5 == 2, "Magia Branca").when(size % 5 == 3, "Corpo Mágico").otherwise(F.col("p_name"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), F.lit(1).alias("magia_score"), F.lit(4).alias("monstro_score"), F.lit(2).alias("item_score"))
+    rows = entities.boost_scores(rows, r"^Magia (?:Elemental|Negra)", ["magia branca"], "Mágic[oa]")
+    return rows.select("id", "magia_score", "monstro_score", "item_score", entities.proper_noun_score(F.col("name")).alias("proper"))
+
+
+@R.add(f"WITH p AS ({PARTS}) SELECT name, (name || ' ' || type || ' Um teste de PV: 99 ' || text || ' ' || text)[1:500] AS description FROM p")
+def described_entities(spark, sf):
+    parts = _parts(spark, sf)
+    return trainset.describe(parts, entities.infer_properties(parts))
+
+
+@R.add("SELECT p_partkey, p_name FROM part WHERE p_size > 25")
+def published_rows(spark, sf):
+    path = io.work_dir(spark)
+    catalog.publish(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), path, F.col("p_size") > 25)
+    return spark.read.parquet(path).select("p_partkey", "p_name")

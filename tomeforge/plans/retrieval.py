@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.vector import is_normalized, normalized
 from ..operators import graph, retrieval
-from ..plugins import embed_with_cache, lexical_overlap
+from ..operators.common import first_by
+from ..plugins import embed_with_cache
 from .binding import EQUIPMENT_ROWS, Registry, duck, equipment_table, table
 
 R = Registry()
-BM25 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+
+
+def bm25_of(asked: str) -> str:
+    """CTEs for BM25 ranks ``r`` of queries (query_id, query)."""
+    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents), tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM f, tot), m AS (SELECT avg(idf) AS mean FROM i),
-q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS term FROM ({asked})) GROUP BY ALL),
 wt AS (SELECT query_id, term, times * CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS weight FROM q JOIN i USING (term), m),
 s AS (SELECT query_id, doc_id, round(sum(weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN wt USING (term), tot GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
+BM25 = bm25_of("SELECT item_id AS query_id, text AS query FROM benchmark")
+
+
 def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -72,17 +80,24 @@ def normalized_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), is_normalized(unit).alias("unit"))
 
 
-FUSED = BM25 + """, l AS (SELECT query_id, doc_id, score AS bm25 FROM r WHERE rank <= 20), c AS (SELECT query_id, doc_id, (doc_id % 97) / 97.0 AS sem FROM l),
-h AS (SELECT query_id, doc_id, CAST(coalesce(sem, 0) AS DOUBLE) AS sem, coalesce(bm25, 0) AS bm25 FROM l JOIN c USING (query_id, doc_id)),
+#: Documents and vectors share ids; a benchmark query has the vector of its own id.
+SEMANTIC = f"""sv AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id), sd AS (SELECT query_id, vec_id AS doc_id, round({DISTANCE}, 6) AS d FROM embeddings, sv),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM sd), c AS (SELECT query_id, doc_id, round(1 / (1 + d), 6) AS sem FROM sr WHERE rank <= 20)"""
+MIXED = """h AS (SELECT query_id, doc_id, coalesce(max(sem), 0) AS sem, coalesce(max(bm25), 0) AS bm25 FROM (SELECT query_id, doc_id, sem, NULL AS bm25 FROM c UNION ALL SELECT query_id, doc_id, NULL, bm25 FROM l) GROUP BY ALL),
 n AS (SELECT query_id, doc_id, CASE WHEN max(sem) OVER w = min(sem) OVER w THEN 0.5 ELSE (sem - min(sem) OVER w) / (max(sem) OVER w - min(sem) OVER w) END AS sem,
   CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 0.5 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS bm25 FROM h WINDOW w AS (PARTITION BY query_id)),
 u AS (SELECT query_id, doc_id, round(0.7 * sem + 0.3 * bm25, 6) AS score FROM n), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u)"""
+FUSED = BM25 + f", l AS (SELECT query_id, doc_id, score AS bm25 FROM r WHERE rank <= 20), {SEMANTIC}, {MIXED}"
+
+
+def _query_vectors(spark, sf):
+    return table(spark, sf, "embeddings").join(_queries(spark, sf).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
 
 
 def _fused(spark, sf):
     lexical = retrieval.bm25(_queries(spark, sf), _docs(spark, sf), 20).select("query_id", "doc_id", "score")
-    semantic = lexical.select("query_id", "doc_id", (F.col("doc_id") % 97 / 97.0).alias("score"))
-    return retrieval.fuse(retrieval.aggregate_hits(semantic, lexical))
+    near = retrieval.knn(_query_vectors(spark, sf), table(spark, sf, "embeddings"), 20)
+    return retrieval.fuse(retrieval.aggregate_hits(near.select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score")), lexical))
 
 
 @R.add(FUSED + " SELECT query_id, doc_id, score, rank FROM z WHERE rank <= 5")
@@ -100,20 +115,35 @@ def reranked(spark, sf):
     return retrieval.rerank(candidates, 5).select("query_id", "doc_id", "rerank_score", F.col("final_rank").cast("long"))
 
 
-@R.add()
+VARIANTS = r"""SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS variant_no, query FROM (
+  SELECT item_id, unnest([text, CASE WHEN lower(text) <> key THEN key END, CASE WHEN length(key) < 30 THEN 'regra de ' || key ELSE 'explicar ' || substr(key, 1, 40) END]) AS query, generate_subscripts([1, 2, 3], 1) AS pos
+  FROM (SELECT item_id, trim(text) AS text, trim(regexp_replace(regexp_replace(lower(text), '[?.!,•·—()]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM benchmark)) WHERE query IS NOT NULL"""
+
+
+@R.add(bm25_of(f"SELECT {{'q': item_id, 'v': variant_no}} AS query_id, query FROM ({VARIANTS})") + f""", l AS (SELECT query_id.q AS query_id, doc_id, max(score) AS bm25 FROM r WHERE rank <= 20 GROUP BY ALL), {SEMANTIC}, {MIXED},
+p AS (SELECT z.query_id, z.doc_id, z.rank, CASE WHEN count(*) OVER (PARTITION BY z.query_id) = 1 THEN 1.0 ELSE round({OVERLAP.format(q='trim(b.text)', d='d.text')}, 6) END AS rerank_score FROM z JOIN benchmark b ON b.item_id = z.query_id JOIN documents d ON d.doc_id = z.doc_id WHERE z.rank <= 40),
+fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, doc_id) AS final_rank FROM p) SELECT query_id, doc_id, rerank_score, final_rank FROM fin WHERE final_rank <= 5""")
 def hybrid_retrieve(spark, sf):
-    """Variants of the benchmark queries by BM25 and vectors, fused and reranked. Documents and vectors share ids."""
+    """Variants of the benchmark queries by BM25 and vectors, fused and reranked."""
     variants = graph.query_variants(_queries(spark, sf))
-    vectors = table(spark, sf, "embeddings")
-    asked = vectors.join(_queries(spark, sf).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
-    return retrieval.retrieve(variants, _docs(spark, sf), vectors, asked).select("query_id", "doc_id", "rerank_score", "final_rank")
+    rows = retrieval.retrieve(variants, _docs(spark, sf), table(spark, sf, "embeddings"), _query_vectors(spark, sf))
+    return rows.select("query_id", "doc_id", "rerank_score", F.col("final_rank").cast("long"))
 
 
-@R.add()
+@R.add(f"""WITH t AS (SELECT item_id AS query_id, unnest(string_split(text, ' ')[1:4]) AS term, generate_subscripts(string_split(text, ' ')[1:4], 1) AS term_no FROM benchmark),
+e AS (SELECT DISTINCT term AS query_id, embedding AS q FROM t JOIN embeddings ON vec_id = (ascii(term) * 31 + length(term)) % 100), sd AS (SELECT query_id AS term, vec_id AS doc_id, round({DISTANCE}, 6) AS d FROM embeddings, e),
+sr AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY d, doc_id) AS rank FROM sd), b AS (SELECT query_id, doc_id, max(round(round(1 / (1 + d), 6) * CASE WHEN term_no = 1 THEN 1.0 ELSE 0.8 END, 6)) AS score FROM sr JOIN t USING (term) WHERE rank <= 20 GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b),
+p AS (SELECT z.query_id, z.doc_id, z.rank, CASE WHEN count(*) OVER (PARTITION BY z.query_id) = 1 THEN 1.0 ELSE round({OVERLAP.format(q='b.text', d='d.text')}, 6) END AS rerank_score FROM z JOIN benchmark b ON b.item_id = z.query_id JOIN documents d ON d.doc_id = z.doc_id WHERE z.rank <= 20),
+fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, doc_id) AS final_rank FROM p) SELECT query_id, doc_id, rerank_score, final_rank FROM fin WHERE final_rank <= 5""")
 def weighted_retrieve(spark, sf):
+    """The first four words of queries as expanded terms, each with a vector of the vector table."""
     words = F.slice(F.split("query", " "), 1, 4)
     terms = _queries(spark, sf).select("query_id", F.posexplode(words).alias("term_no", "term")).withColumn("weight", F.when(F.col("term_no") == 0, 1.0).otherwise(0.8))
-    return retrieval.retrieve_weighted(terms, _docs(spark, sf), _queries(spark, sf)).select("query_id", "doc_id", "rerank_score", "final_rank")
+    vectors = table(spark, sf, "embeddings")
+    terms = terms.withColumn("vec_id", ((F.ascii("term") * 31 + F.length("term")) % 100).cast("long")).join(vectors.select("vec_id", "embedding"), "vec_id")
+    rows = retrieval.retrieve_weighted(terms, vectors, _docs(spark, sf), _queries(spark, sf))
+    return rows.select("query_id", "doc_id", "rerank_score", F.col("final_rank").cast("long"))
 
 
 @R.add("SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id % 7 ORDER BY embedding[1] DESC, vec_id) AS p FROM embeddings) WHERE p = 1")
@@ -137,9 +167,7 @@ def equipment_rank(spark, sf):
     return retrieval.recommend(items, asked, 10).select("query_id", "row_id", "score", F.col("rank").cast("long"))
 
 
-@R.add(r"""WITH q AS (SELECT item_id, trim(text) AS text, trim(regexp_replace(regexp_replace(lower(text), '[?.!,•·—()]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM benchmark),
-v AS (SELECT item_id, unnest([text, CASE WHEN lower(text) <> key THEN key END, CASE WHEN length(key) < 30 THEN 'regra de ' || key ELSE 'explicar ' || substr(key, 1, 40) END]) AS query, generate_subscripts([1, 2, 3], 1) AS pos FROM q)
-SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS variant_no, query FROM v WHERE query IS NOT NULL""")
+@R.add(f"SELECT item_id AS query_id, variant_no, query FROM ({VARIANTS})")
 def query_variants(spark, sf):
     return graph.query_variants(_queries(spark, sf)).withColumn("variant_no", F.col("variant_no").cast("long"))
 
@@ -209,13 +237,14 @@ def clusters_of(spark, sf):
 
 @R.add(f"""WITH g AS ({EDGES}), c AS (SELECT s_nationkey AS k, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS p FROM supplier)
 SELECT s_suppkey AS query_id, s_name AS entity, 'element ' || n_name AS relations, 'balance=' || CAST(round(s_acctbal) AS BIGINT) AS properties,
-  (SELECT count(*) FROM supplier x WHERE x.s_nationkey = s.s_nationkey AND x.s_name <> s.s_name) AS n_mates FROM supplier s JOIN nation ON s_nationkey = n_nationkey""")
+  least(5, (SELECT count(*) FROM supplier x WHERE x.s_nationkey = s.s_nationkey AND x.s_name <> s.s_name)) AS n_mates FROM supplier s JOIN nation ON s_nationkey = n_nationkey""")
 def enriched_queries(spark, sf):
+    """What the graph knows of each supplier, at most five of each kind: the limit is the feature."""
     s = table(spark, sf, "supplier")
     asked = s.select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("query"))
     props = s.select(F.col("s_name").alias("name"), F.lit("balance").alias("key"), F.round("s_acctbal").cast("long").cast("string").alias("value"))
     members = s.select(F.col("s_nationkey").alias("cluster_id"), F.col("s_name").alias("entity"))
-    rows = graph.enrich_queries(asked, _edges(spark, sf), props, members, _entities(spark, sf), limit=1000)
+    rows = graph.enrich_queries(asked, _edges(spark, sf), props, members, _entities(spark, sf))
     return rows.select("query_id", "entity", F.array_join("relations", ";").alias("relations"), F.array_join("properties", ";").alias("properties"), F.coalesce(F.size("mates"), F.lit(0)).cast("long").alias("n_mates"))
 
 
@@ -266,10 +295,10 @@ def entity_contexts(spark, sf):
 
 @R.add("SELECT c_custkey AS query_id, list_sort([lower(c_name), 'customer']) AS entities FROM customer")
 def inferred_entities(spark, sf):
+    """One entity by a question pattern, the other from the catalogue of names."""
     c = table(spark, sf, "customer")
-    asked = c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("what is customer? tell "), "c_name").alias("query"))
-    by_pattern = retrieval.infer_entities(asked, c.limit(0).select(F.col("c_name").alias("name")), [r"what is (\w+)\?", r"tell (\S+)"])
-    return by_pattern
+    asked = c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("what is customer? about "), "c_name", F.lit(" please")).alias("query"))
+    return retrieval.infer_entities(asked, c.select(F.col("c_name").alias("name")), [r"what is (\w+)\?"])
 
 
 @R.add("SELECT p_partkey AS asset_id FROM part WHERE (lower(p_brand) = 'brand#2' OR contains(lower(p_type || ' ' || p_brand), 'brand#2')) AND p_name LIKE '%ring%'")
@@ -284,21 +313,69 @@ def results_by_entity(spark, sf):
     return retrieval.retrieve_by_entity(rows, "Widget", "ner_names").select("p_partkey")
 
 
-@R.add("""WITH q(query_id, name, k) AS (VALUES (1, 'ring', 'ring'), (2, 'red widget', 'red widget')), n AS (SELECT p_partkey, lower(p_name) AS nome FROM part),
-f AS (SELECT query_id, p_partkey, nome = k AS exact FROM q JOIN n ON nome = k OR (contains(nome, k) AND k NOT IN (SELECT nome FROM n))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, p_partkey) AS p FROM f)
-SELECT query_id, CAST(p_partkey AS VARCHAR) AS item, CAST(CASE WHEN exact THEN 0.98 ELSE 0.85 END AS DOUBLE) AS score, 'table_rows' AS source FROM r WHERE p <= 2""")
-def name_search(spark, sf):
-    names = spark.createDataFrame([(1, "ring"), (2, "red widget")], "query_id int, name string")
+#: Names to search for, each with the vector of its id times 20 and the 50 texts nearest to that.
+NAMED = [(1, "ring"), (2, "red widget"), (3, "the house of"), (4, "idiot")]
+HITS = f"""n(query_id, name) AS (VALUES {", ".join(map(str, NAMED))}), v AS (SELECT query_id, embedding AS q FROM n JOIN embeddings ON vec_id = query_id * 20), vd AS (SELECT query_id, vec_id AS doc_id, round({DISTANCE}, 6) AS d FROM embeddings, v),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM vd), vs AS (SELECT query_id, doc_id, round(1 / (1 + d), 6) AS similarity FROM vr WHERE rank <= 50)"""
+BY_NAME = r"""pn AS (SELECT p_partkey, lower(p_name) AS nome FROM part), pf AS (SELECT query_id, p_partkey, nome = name AS exact FROM n JOIN pn ON nome = name OR (contains(nome, name) AND name NOT IN (SELECT nome FROM pn))),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, p_partkey) AS p FROM pf), ph AS (SELECT query_id, CAST(p_partkey AS VARCHAR) AS item, CAST(CASE WHEN exact THEN 0.98 ELSE 0.85 END AS DOUBLE) AS score, 'table_rows' AS source FROM pr WHERE p <= 2
+  UNION ALL SELECT query_id, CAST(vs.doc_id AS VARCHAR), round(0.95 / (1 + (1 / similarity - 1)), 6), 'vector_db' FROM vs JOIN n USING (query_id) JOIN documents USING (doc_id)
+  WHERE contains(lower(text), name) OR len(list_intersect(list_filter(regexp_extract_all(name, '[\p{L}\p{N}_]+'), lambda w: length(w) > 2), regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) >= 2),
+nk AS (SELECT query_id, item, score, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, item) AS o FROM ph) WHERE o <= 10)"""
+#: Rows of the kind that a query's words ask for.
+BY_KIND = """kq(query_id, kind, words) AS (VALUES (1, 'ring', ['which', 'small', 'ring', 'best']), (2, 'widget', ['red', 'widget', 'please'])), kn AS (SELECT p_partkey AS row_id, string_split(p_name, ' ')[-1] AS kind, list_distinct(string_split(lower(p_name), ' ')) AS ws FROM part),
+kh AS (SELECT query_id, row_id, len(words) AS n, unnest(list_intersect(words, ws)) AS w FROM kq JOIN kn USING (kind)),
+ku AS (SELECT query_id, row_id, 0.95 AS score, 0 AS pr FROM (SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY row_id) AS p FROM kh) WHERE p <= 2 UNION ALL SELECT query_id, row_id, round(0.5 + 0.4 * count(*) / n, 6), 1 FROM kh GROUP BY query_id, row_id, n
+  UNION ALL SELECT query_id, row_id, 0.5, 2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS p FROM kq JOIN kn USING (kind)) WHERE p <= {k}),
+kb AS (SELECT *, row_number() OVER (PARTITION BY query_id, row_id ORDER BY pr, score DESC) AS o FROM ku), ks AS (SELECT query_id, row_id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS p FROM kb WHERE o = 1) WHERE p <= {k})"""
+
+
+def _named(spark, sf):
+    return spark.createDataFrame(NAMED, "query_id int, name string")
+
+
+def _near(spark, sf, k):
+    vectors = table(spark, sf, "embeddings")
+    asked = _named(spark, sf).join(vectors, F.col("vec_id") == F.col("query_id") * 20).select("query_id", "embedding")
+    return retrieval.knn(asked, vectors, k).withColumnRenamed("vec_id", "doc_id")
+
+
+def _by_name(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("nome"))
-    hits = table(spark, sf, "documents").where("text is null").select(F.lit(1).alias("query_id"), "doc_id", "text", F.lit(0.0).alias("d"))
-    return retrieval.hybrid_query([retrieval.name_search(names, rows, hits, 10)], 10).select("query_id", "item", "score", "source")
+    hits = _near(spark, sf, 50).join(_docs(spark, sf), "doc_id").withColumn("d", 1 / F.col("similarity") - 1)
+    return retrieval.name_search(_named(spark, sf), rows, hits.select("query_id", "doc_id", "text", "d"), 10)
 
 
-@R.add()
-def structured_search(spark, sf):
+def _by_kind(spark, sf, k):
     rows = equipment_table(spark, sf).select("row_id", F.element_at(F.split("nome", " "), -1).alias("table_type"), "nome")
     asked = spark.createDataFrame([(1, "which small ring is best"), (2, "a red widget please")], "query_id int, query string")
-    return retrieval.structured_search(asked, rows, {"ring": ["ring"], "widget": ["widget"]}, 10)
+    return retrieval.structured_search(asked, rows, {"ring": ["ring"], "widget": ["widget"]}, k)
+
+
+@R.add(f"WITH {HITS}, {BY_NAME} SELECT * FROM nk")
+def name_search(spark, sf):
+    return _by_name(spark, sf).select("query_id", "item", "score", "source")
+
+
+@R.add("WITH " + BY_KIND.format(k=10) + " SELECT * FROM ks")
+def structured_search(spark, sf):
+    return _by_kind(spark, sf, 10)
+
+
+@R.add(f"""WITH {HITS}, {BY_NAME}, {BY_KIND.format(k=5)}, eo AS (SELECT DISTINCT query_id, p_partkey AS row_id, p_brand FROM n JOIN part ON lower(p_name) = name), ec AS (SELECT query_id, row_id, max(score) AS score FROM (SELECT query_id, row_id, 0.9 AS score FROM eo
+  UNION ALL SELECT DISTINCT query_id, p_partkey, 0.7 FROM (SELECT DISTINCT query_id, p_brand FROM eo) JOIN part USING (p_brand)) GROUP BY ALL),
+a AS (SELECT query_id, item, score, source, 0 AS pr FROM nk UNION ALL SELECT query_id, CAST(doc_id AS VARCHAR), similarity, 'vector_db', 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS o FROM vs) WHERE o <= 5
+  UNION ALL SELECT query_id, CAST(row_id AS VARCHAR), score, 'table_rows', 2 FROM ks UNION ALL SELECT query_id, CAST(row_id AS VARCHAR), CAST(score AS DOUBLE), 'context', 3 FROM ec),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, item ORDER BY pr, score DESC) AS o FROM a), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, item) AS p FROM m WHERE o = 1)
+SELECT query_id, item, CAST(score AS DOUBLE) AS score, source FROM f WHERE p <= 10""")
+def hybrid_search(spark, sf):
+    """Names, vectors, kinds of rows and rows around an entity, merged."""
+    near = first_by(_near(spark, sf, 50), ["query_id"], F.desc("similarity"), F.col("doc_id"), n=5).select("query_id", F.col("doc_id").cast("string").alias("item"), F.col("similarity").alias("score"), F.lit("vector_db").alias("source"))
+    kinds = _by_kind(spark, sf, 5).select("query_id", F.col("row_id").cast("string").alias("item"), "score", F.lit("table_rows").alias("source"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("nome"), F.col("p_brand").alias("table_id"))
+    around = retrieval.entity_contexts(_named(spark, sf).select("query_id", F.col("name").alias("entity")), part)
+    around = around.select("query_id", F.col("row_id").cast("string").alias("item"), "score", F.lit("context").alias("source"))
+    return retrieval.hybrid_query([_by_name(spark, sf), near, kinds, around], 10).select("query_id", "item", "score", "source")
 
 
 @R.add()
@@ -309,10 +386,11 @@ def cached_embeddings(spark, sf):
     return rows.select("conv_id", "turn", "text_sha256", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
-@R.add(f"SELECT b.item_id, d.doc_id, round({OVERLAP.format(q='b.text', d='d.text')}, 6) AS score FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
+@R.add(f"""WITH s AS (SELECT b.item_id AS query_id, d.doc_id, round({OVERLAP.format(q='b.text', d='d.text')}, 6) AS score FROM benchmark b, documents d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def lexical_scores(spark, sf):
-    pairs = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q")).join(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return pairs.select("item_id", "doc_id", F.round(lexical_overlap(F.col("q"), F.col("text")), 6).alias("score"))
+    """The ten documents that hold most of each query's words: the limit is the feature."""
+    return retrieval.overlap_rank(_queries(spark, sf), _docs(spark, sf), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @R.add("SELECT c_custkey, round_even(forca / CAST(forca + habilidade AS DOUBLE) * 1000, 0) / 10 AS share_a FROM (SELECT c_custkey, c_custkey % 23 AS forca, c_custkey % 17 AS habilidade FROM customer) WHERE forca + habilidade > 0")

@@ -105,12 +105,14 @@ def table_ids(spark, sf):
     return table(spark, sf, "part").groupBy(key.alias("table_id")).agg(F.count("*").alias("n"))
 
 
-@R.add("""WITH h AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ['F', 'H', 'R', 'x'] WHEN 1 THEN ['custo', 'pm', 'nome'] WHEN 2 THEN ['PE', 'Dano'] ELSE ['a'] END AS headers FROM orders),
-k AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'stats' WHEN 1 THEN 'magias' WHEN 2 THEN 'equipamentos' ELSE 'desconhecido' END AS kind, unnest(headers) AS header FROM h)
-SELECT kind, CASE header WHEN 'F' THEN 'forca' WHEN 'H' THEN 'habilidade' WHEN 'R' THEN 'resistencia' WHEN 'custo' THEN 'custo_pm' WHEN 'a' THEN 'armadura' ELSE lower(header) END AS name, count(*) AS n FROM k GROUP BY 1, 2""")
+@R.add("""WITH h AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ['F', 'H', 'R', 'x'] WHEN 1 THEN ['custo', 'pm', 'nome'] WHEN 2 THEN ['PE', 'Dano'] WHEN 3 THEN ['a'] WHEN 4 THEN ['CUSTO PE', 'Bônus de Ataque', 'HAB. ESPECIAIS'] ELSE ['Custo PM', ' escola ', 'Duração!', o_orderpriority] END AS headers FROM orders),
+k AS (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'stats' WHEN 1 THEN 'magias' WHEN 2 THEN 'equipamentos' ELSE 'desconhecido' END AS kind, unnest(headers) AS header FROM h)
+SELECT kind, CASE header WHEN 'F' THEN 'forca' WHEN 'H' THEN 'habilidade' WHEN 'R' THEN 'resistencia' WHEN 'custo' THEN 'custo_pm' WHEN 'a' THEN 'armadura' WHEN 'CUSTO PE' THEN 'pe' WHEN 'Bônus de Ataque' THEN 'bonus' WHEN 'HAB. ESPECIAIS' THEN 'habilidades_especiais'
+  WHEN 'Custo PM' THEN 'custo_pm' WHEN ' escola ' THEN 'escola' WHEN 'Duração!' THEN 'duracao' ELSE lower(header) END AS name, count(*) AS n FROM k GROUP BY 1, 2""")
 def header_kinds(spark, sf):
-    sets = [["F", "H", "R", "x"], ["custo", "pm", "nome"], ["PE", "Dano"], ["a"]]
-    headers = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in sets]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    sets = [["F", "H", "R", "x"], ["custo", "pm", "nome"], ["PE", "Dano"], ["a"], ["CUSTO PE", "Bônus de Ataque", "HAB. ESPECIAIS"], ["Custo PM", " escola ", "Duração!"]]
+    headers = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in sets]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    headers = F.when(F.col("o_orderkey") % 6 == 5, F.array_append(headers, F.col("o_orderpriority"))).otherwise(headers)
     rows = table(spark, sf, "orders").select(headers.alias("headers"))
     rows = rows.select(tables.table_kind(F.col("headers")).alias("kind"), F.explode("headers").alias("header"))
     return rows.groupBy("kind", tables.header_name(F.col("header")).alias("name")).agg(F.count("*").alias("n"))
@@ -143,9 +145,8 @@ def name_lookup(spark, sf):
 
 @R.add("SELECT p_partkey FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
 def type_lookup(spark, sf):
-    part = table(spark, sf, "part")
-    least = part.agg(F.min("p_type").alias("table_type"))
-    return part.withColumn("table_type", F.col("p_type")).join(F.broadcast(least), "table_type").select("p_partkey")
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("table_type"))
+    return tables.find_by_type(part, part.agg(F.min("table_type")).first()[0]).select("p_partkey")
 
 
 @R.add(f"""WITH e AS ({EQUIPMENT}) SELECT row_id, '**' || nome || '** (' || CASE WHEN dano <> '' THEN 'arma' WHEN defesa IS NOT NULL THEN 'armadura' ELSE 'item' END || '): Dano ' || coalesce(dano, '-') || ', Defesa ' || coalesce(CAST(defesa AS VARCHAR), '-') || ', PE ' || CAST(pe AS VARCHAR) || '. ' || substr(descricao, 1, 150) AS sentence FROM e""")

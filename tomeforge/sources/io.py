@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,22 @@ QUERY = "query_id long, query string, category string, targets array<string>"
 SECTION, CONTENT_TYPE = "Desconhecida", "texto"
 
 
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Substitution rules (pattern, replacement), one a line of a JSON-lines file, in the order of their ``place``."""
+    rows = spark.read.schema("place int, pattern string, replacement string").json(path)
+    return [(r.pattern, r.replacement) for r in rows.orderBy("place").collect()]  # rules written by hand
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local one only where that is unset and all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tomeforge-")
+    return f"{root.rstrip('/')}/tomeforge-{uuid.uuid4().hex}"
+
+
 def read_pages(spark: SparkSession, path: str, schema: str = "path string, page int, text string") -> DataFrame:
     """Pages from JSON lines below ``path``, folders within folders too; ``broken`` holds lines that can't be read."""
     reader = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
@@ -18,7 +38,8 @@ def read_pages(spark: SparkSession, path: str, schema: str = "path string, page
 
 def page_counts(pages: DataFrame) -> DataFrame:
     """Readable and broken lines."""
-    return pages.agg(F.count_if(F.col("broken").isNull()).alias("pages"), F.count_if(F.col("broken").isNotNull()).alias("skipped"))
+    broken = F.col("broken").isNotNull() & F.coalesce(F.length("path") >= 0, F.lit(True))  # Spark wants another column read beside it
+    return pages.agg(F.count_if(~broken).alias("pages"), F.count_if(broken).alias("skipped"))
 
 
 def enrich_metadata(df: DataFrame) -> DataFrame:
