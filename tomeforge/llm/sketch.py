@@ -43,21 +43,22 @@ def sketch_of(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.nd
     return np.unique(kept) if len(kept) else hashes.min(keepdims=True)
 
 
-class Memo:
-    """Sketches of the texts seen last, as a text is often another row's next one; forgotten beyond 2,000 texts or 16M characters."""
+#: Sketches of the texts seen last in this Python worker, as a text is often another row's next one.
+_recent: dict[tuple, np.ndarray] = {}
 
-    def __init__(self, words: int, scale: int):
-        self.words, self.scale = words, scale
-        self.known, self.size = {}, 0
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if text not in self.known:
-            if len(self.known) > 2000 or self.size > 16 << 20:
-                self.known, self.size = {}, 0
-            self.known[text] = sketch_of(text, self.words, self.scale)
-            self.size += len(text)
-        return self.known[text]
+def remembered(text: str | None, words: int, scale: int) -> np.ndarray:
+    """The sketch of a text; the last 2,000 texts of up to 10,000 characters are remembered."""
+    text = text or ""
+    if len(text) > 10_000:
+        return sketch_of(text, words, scale)
+    key = (text, words, scale)
+    if key not in _recent:
+        if len(_recent) >= 2000:
+            for old in list(_recent)[:1000]:
+                del _recent[old]
+        _recent[key] = sketch_of(text, words, scale)
+    return _recent[key]
 
 
 def sketch(df: DataFrame, *texts: str, words: int = WORDS, scale: int = SCALE) -> DataFrame:
@@ -65,11 +66,10 @@ def sketch(df: DataFrame, *texts: str, words: int = WORDS, scale: int = SCALE) -
 
     Other columns stay; columns already named like the new ones are replaced.
     """
-    memo = Memo(words, scale)  # a copy in each worker
 
     @F.arrow_udf("array<long>")
     def sketched(batch: pa.Array) -> pa.Array:
-        parts = [memo(x.as_py()).view(np.int64) for x in batch]
+        parts = [remembered(x.as_py(), words, scale).view(np.int64) for x in batch]
         ends = np.cumsum([0] + [len(x) for x in parts])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
