@@ -193,8 +193,10 @@ def test_incremental_ingest(spark, tmp_path):
         put(n + 1, f"text {n}")
 
 
-def test_attribute_triples_find_every_anchor(spark):
-    """One row in forty of another type: each anchor still gets its negative, round the end of the ring too."""
+@pytest.mark.parametrize("ring", [1000, 4])
+def test_attribute_triples_find_every_anchor(spark, monkeypatch, ring):
+    """One row in forty of another type: each anchor still gets its negative, round the end of the ring too, and from a ring of its own type alone."""
+    monkeypatch.setattr(trainset, "RING", ring)
     rows = [(f"n{k}", f"d{k}", "fire", "spell" if k == 7 else "monster") for k in range(40)] + [("alone", "x", "water", "spell")]
     found = trainset.attribute_triples(spark.createDataFrame(rows, "name string, description string, element string, type string"), "element", "type", 1000, "element").collect()
     kinds = {d: t for _, d, _, t in rows}

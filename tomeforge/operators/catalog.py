@@ -64,8 +64,10 @@ def locate_names(index: DataFrame, docs: DataFrame, fuzzy: float = 0.75, longest
     level = F.when(F.contains("text", "name"), 1.0).when(F.contains(F.lower("text"), F.lower("name")), 0.9).otherwise(0.8)
     found = by_fold.select("name", "doc_id", level.alias("confidence"))
     rest = named.join(found.select("name").distinct(), "name", "left_anti").select("name", fold(F.col("name")).alias("f"), tokens(fold(F.col("name"))).alias("nw")).where(F.size("nw").between(1, longest))
+    wanted = [r.two for r in rest.select(F.substring("f", 1, 2).alias("two")).distinct().collect()]  # pairs of letters
     spans = texts.select("doc_id", tokens(fold(F.col("text"))).alias("w"))
-    spans = spans.select("doc_id", F.explode(F.transform("w", lambda x, i: F.struct(F.substring(x, 1, 2).alias("two"), F.slice("w", i + 1, longest).alias("next")))).alias("s")).select("doc_id", "s.*")
+    starts = F.filter(F.transform("w", lambda x, i: F.when(F.substring(x, 1, 2).isin(*wanted or [""]), i)), lambda i: i.isNotNull())
+    spans = spans.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(F.substring(F.get(F.col("w"), i), 1, 2).alias("two"), F.slice("w", i + 1, longest).alias("next")))).alias("s")).select("doc_id", "s.*")
     near = spans.join(small(rest.withColumn("two", F.substring("f", 1, 2))), "two")
     near = near.withColumn("span", F.array_join(F.slice("next", 1, F.size("nw")), " "))
     share = 1 - F.levenshtein("span", "f") / F.greatest(F.length("span"), F.length("f"))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
-from .common import draw, first_by
+from .common import draw, first_by, small
 
 #: Places that an anchor tries in its bucket of the shuffled others.
 TRIES = 20
+#: Rows of one attribute value that stand in a ring.
+RING = 1000
 
 
 def describe(entities: DataFrame, properties: DataFrame, most: int = 500) -> DataFrame:
@@ -141,21 +143,31 @@ def name_buckets(df: DataFrame, name: str = "name") -> DataFrame:
 
 
 def attribute_triples(described: DataFrame, same: str, unlike: str, n: int, strategy: str, weight: float = 1.0, seed: int = 42) -> DataFrame:
-    """Anchor, the next row of the same attribute, and in that attribute's ring the nearest row that differs in ``unlike``.
+    """Anchor, its own description, and a description of the same attribute that differs in ``unlike``; one triple a name.
 
     With same bucket and other type: ambiguous names; same element, other type; same type,
-    other function; and the like.
+    other function; and the like. The rows of an attribute value are dealt into rings of
+    about ``RING`` rows, in which the nearest row that differs is taken; anchors whose ring
+    has none get the first row of one of the value's first two kinds, of which one differs if any
+    row of the value does.
     """
+    rows = described.where(F.col(same).isNotNull())
+    sizes = rows.groupBy(same).agg(F.ceil(F.count("*") / RING).cast("int").alias("rings"))
     order = [draw("name", seed=seed), F.col("name"), F.col("description"), F.col(unlike)]
-    rows = described.where(F.col(same).isNotNull()).withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))  # the second lap closes the ring
-    ring = Window.partitionBy(same).orderBy("lap", *order)
-    rows = rows.withColumns({"pos": F.row_number().over(ring), "before": F.lag(unlike).over(ring)})
+    dealt = rows.join(small(sizes), same).withColumn("ring", F.pmod(F.xxhash64("name", "description"), F.col("rings")))
+    dealt = dealt.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))  # the second lap closes the ring
+    ring = Window.partitionBy(same, "ring").orderBy("lap", *order)
+    dealt = dealt.withColumns({"pos": F.row_number().over(ring), "before": F.lag(unlike).over(ring)})
     # the nearest row that differs is the first one of the next run of equal values; backwards, a running value holds it
     start = F.when((F.col("pos") > 1) & ~F.col(unlike).eqNullSafe(F.col("before")), F.struct("pos", "description"))
-    back = Window.partitionBy(same).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", start).withColumn("next", F.last("start", ignorenulls=True).over(back))
-    found = rows.where("lap = 0 and next is not null").select(same, "name", "pos", F.col("description").alias("positive"), F.col("next.description").alias("negative"), (F.col("next.pos") - F.col("pos")).alias("t"))
-    found = first_by(found, ["name"], F.col("t"), F.col(same), F.col("pos"))
+    back = Window.partitionBy(same, "ring").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("start", start).withColumn("next", F.last("start", ignorenulls=True).over(back)).where("lap = 0")
+    near = dealt.where("next is not null").select(same, "name", F.col("description").alias("positive"), F.col("next.description").alias("negative"), (F.col("next.pos") - F.col("pos")).alias("t"))
+    values = rows.groupBy(same, unlike).agg(F.min(F.struct(draw("name", "description", seed=seed).alias("d"), F.col("description").alias("negative"))).alias("x"))
+    spare = first_by(values, [same], F.col("x"), n=2).select(same, F.col(unlike).alias("other"), "x.d", "x.negative")
+    rest = dealt.where("next is null").select(same, "name", F.col("description").alias("positive"), unlike).join(small(spare), same).where(~F.col(unlike).eqNullSafe(F.col("other")))
+    rest = rest.select(same, "name", "positive", "negative", F.lit(1 << 30).alias("t"))
+    found = first_by(near.unionByName(rest), ["name"], F.col("t"), F.col(same), F.col("positive"), F.col("negative"))
     out = found.select(F.col("name").alias("anchor"), "positive", "negative", F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy"))
     return out.orderBy(draw("anchor", "positive", seed=seed), "anchor").limit(n)
 

@@ -47,16 +47,18 @@ def embedder_udf(embed: Embedder):
     return run
 
 
-def scorer_udf(score: Scorer):
-    """A pair scorer over batches; a batch that fails scores 0."""
+def scorer_udf(score: Scorer, failed: float | None = 0.0):
+    """A pair scorer over batches; the pairs of a batch that fails score ``failed``, with None the job fails instead."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, docs in batches:
             try:
                 yield pd.Series(score(list(zip(queries.fillna(""), docs.fillna("")))), dtype="float64")
-            except Exception:  # a scorer is foreign code: its failure is a defined result
-                yield pd.Series([0.0] * len(queries))
+            except Exception:  # a scorer is foreign code: what its failure means is the caller's choice
+                if failed is None:
+                    raise
+                yield pd.Series([failed] * len(queries))
 
     return run
 

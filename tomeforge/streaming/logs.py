@@ -44,16 +44,20 @@ def last_seen(stream: DataFrame) -> DataFrame:
 
 
 def ingest(pages: DataFrame, path: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> StreamingQuery:
-    """Chunk new pages (source, page, text, section) and append the chunks that the table at ``path`` lacks."""
+    """Chunk new pages (source, page, text, section) and append the chunks that the table at ``path`` lacks.
+
+    The table is partitioned by source; of what it holds, a batch reads the ids of its own sources alone.
+    """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         chunks = chunking.chunk_documents(batch, size, overlap)
         try:
-            held = batch.sparkSession.read.parquet(path).select("chunk_id")
-            chunks = chunks.join(held, "chunk_id", "left_anti")
+            held = batch.sparkSession.read.parquet(path).select("chunk_id", "source")
+            mine = F.broadcast(batch.select("source").distinct())  # prunes partitions; as many sources as the batch has
+            chunks = chunks.join(held.join(mine, "source", "left_semi").select("chunk_id"), "chunk_id", "left_anti")
         except Exception as error:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        chunks.dropDuplicates(["chunk_id"]).write.mode("append").parquet(path)
+        chunks.dropDuplicates(["chunk_id"]).write.mode("append").partitionBy("source").parquet(path)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
