@@ -31,10 +31,26 @@ def spell_blocks(pages: DataFrame) -> DataFrame:
     return blocks(pages, SPELL_OPENER, SPELL_FIELDS)
 
 
-def stat_blocks(pages: DataFrame, layouts: list[tuple[str, dict[str, str]]] = ((STAT_OPENER, STAT_FIELDS),)) -> DataFrame:
-    """Stat blocks by several layouts, strict ones first; the first block of a name in a document stays."""
-    found = [blocks(pages, opener, fields) for opener, fields in layouts]
-    return prioritised(found, ["doc_id", "nome"], F.col("block_no")).drop("priority")
+#: Stats on the lines after the name, parted by commas, semicolons, spaces or line ends, with digits as OCR reads them.
+_N = r"([\dOolIS]+)"
+_GAP = r"\s*(?:[,;]|\s)\s*"
+LOOSE_OPENER = rf"(?m)^[^\n:]{{3,50}}\n\s*F\s*[\dOolIS]+{_GAP}H\s*[\dOolIS]+{_GAP}R\s*[\dOolIS]+{_GAP}A\s*[\dOolIS]+{_GAP}PdF\s*[\dOolIS]+"
+LOOSE_FIELDS = {"nome": r"^([^\n]+)", "forca": rf"\n\s*F\s*{_N}", "habilidade": rf"[,;\s]H\s*{_N}", "resistencia": rf"[,;\s]R\s*{_N}", "armadura": rf"[,;\s]A\s*{_N}", "pdf": rf"PdF\s*{_N}"}
+#: The other system's stats.
+CON_OPENER = rf"(?m)^[^\n:]{{3,50}}\n\s*CON\s*[\dOolIS-]+{_GAP}FR\s*[\dOolIS-]+{_GAP}DEX\s*[\dOolIS-]+"
+CON_FIELDS = {"nome": r"^([^\n]+)", "con": rf"CON\s*{_N}", "fr": rf"FR\s*{_N}", "dex": rf"DEX\s*{_N}", "agi": rf"(?:AGI|AG)\s*{_N}"}
+LAYOUTS = [(STAT_OPENER, STAT_FIELDS), (LOOSE_OPENER, LOOSE_FIELDS), (CON_OPENER, CON_FIELDS)]
+
+
+def stat_blocks(pages: DataFrame, layouts: list[tuple[str, dict[str, str]]] = LAYOUTS) -> DataFrame:
+    """Stat blocks by several layouts, strict ones first; the first block of a name in a document stays.
+
+    Fields that a layout lacks are null; letters that OCR reads for digits are mended in all fields but names and abilities.
+    """
+    numbers = sorted({name for _, fields in layouts for name in fields} - {"nome", "habilidades"})
+    found = [blocks(pages, opener, fields).withColumn("priority", F.lit(i)) for i, (opener, fields) in enumerate(layouts)]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
+    return first_by(rows.withColumns({name: ocr_digits(F.col(name)) for name in numbers}), ["doc_id", "nome"], F.col("priority"), F.col("block_no")).drop("priority")
 
 
 def ocr_digits(text: Column) -> Column:
@@ -42,13 +58,27 @@ def ocr_digits(text: Column) -> Column:
     return F.translate(text, "OolIS", "00115")
 
 
+def _held_names(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
+    """(s, l): distinct names that hold another one and share a word with it.
+
+    Of a name of three words or more, the inner ones are whole words of what holds it,
+    so the rarest of them is enough to meet by; shorter names meet by all their words.
+    """
+    held = long.select(l, F.explode(F.array_distinct(tokens(F.col(l)))).alias("w"))
+    each = short.select(s, tokens(F.col(s)).alias("ws")).select(s, F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "w"))
+    each = each.join(held.groupBy("w").agg(F.count("*").alias("c")), "w")
+    keys = each.where("n < 3").select(s, "w").unionByName(first_by(each.where("n >= 3 and pos > 0 and pos < n - 1"), [s], F.col("c"), F.col("w")).select(s, "w"))
+    return keys.join(held, "w").where(F.contains(l, s)).select(s, l).distinct()
+
+
 def reconcile(index: DataFrame, extracted: DataFrame) -> DataFrame:
     """(name, found, confidence, method): index names with an equal block (1.0), one whose name holds it or is in it (0.8), none (0.0); extracted names left over (0.9)."""
     i = index.select("name", F.lower("name").alias("k")).dropDuplicates(["k"])
     e = extracted.select(F.col("name").alias("found"), F.lower("name").alias("f")).dropDuplicates(["f"])
     equal = i.join(e, F.col("k") == F.col("f")).select("name", "found", F.lit(1.0).alias("confidence"), F.lit("delimitador").alias("method"))
     rest = i.join(equal.select("name"), "name", "left_anti")
-    near = rest.withColumn("w", F.explode(F.array_distinct(tokens(F.col("k"))))).join(e.withColumn("w", F.explode(F.array_distinct(tokens(F.col("f"))))), "w").where("contains(k, f) or contains(f, k)")
+    pairs = _held_names(rest, "k", e, "f").unionByName(_held_names(e, "f", rest, "k")).distinct()
+    near = pairs.join(rest, "k").join(e, "f")
     partial = first_by(near, ["name"], F.desc(F.length("f")), F.col("f")).select("name", "found", F.lit(0.8).alias("confidence"), F.lit("delimitador_parcial").alias("method"))
     none = rest.join(partial.select("name"), "name", "left_anti").select("name", F.lit(None).cast("string").alias("found"), F.lit(0.0).alias("confidence"), F.lit("indice_apenas").alias("method"))
     used = equal.select("found").unionByName(partial.select("found"))

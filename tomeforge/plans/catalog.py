@@ -16,11 +16,11 @@ def _names(spark, sf, condition):
 
 def _blocks(spark, sf):
     p = table(spark, sf, "part")
-    text = F.concat(F.lit("intro\n"), "p_name", F.lit(": F1, H2, R3, A"), (F.col("p_size") % 9).cast("string"), F.lit(", PdF5, "), "p_type", F.lit("\nmore\nOther: F9, H9, R9, A9, PdF9\n"), F.lit("Fogo\nEscola: "), "p_brand", F.lit("\nCusto: "), F.col("p_size").cast("string"), F.lit(" PMs\n"))
+    text = F.concat(F.lit("intro\n"), "p_name", F.lit(": F1, H2, R3, A"), (F.col("p_size") % 9).cast("string"), F.lit(", PdF5, "), "p_type", F.lit("\nmore\nOther: F9, H9, R9, A9, PdF9\nOgro Velho\nF 1O; H 2; R l\nA "), (F.col("p_size") % 7).cast("string"), F.lit("S PdF O\nAnão\nCON 1S, FR 4, DEX 7, AGI 8\n"), F.lit("Fogo\nEscola: "), "p_brand", F.lit("\nCusto: "), F.col("p_size").cast("string"), F.lit(" PMs\n"))
     return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
-@R.add("SELECT p_partkey AS doc_id, p_name AS nome, CAST(p_size % 9 AS VARCHAR) AS armadura, p_type AS habilidades FROM part UNION ALL SELECT p_partkey, 'Other', '9', NULL FROM part")
+@R.add("SELECT p_partkey AS doc_id, p_name AS nome, CAST(p_size % 9 AS VARCHAR) AS armadura, p_type AS habilidades FROM part UNION ALL SELECT p_partkey, 'Other', '9', NULL FROM part UNION ALL SELECT p_partkey, 'Ogro Velho', CAST(p_size % 7 AS VARCHAR) || '5', NULL FROM part UNION ALL SELECT p_partkey, 'Anão', NULL, NULL FROM part")
 def stat_blocks(spark, sf):
     return catalog.stat_blocks(_blocks(spark, sf)).select("doc_id", "nome", "armadura", "habilidades")
 
