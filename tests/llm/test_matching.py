@@ -170,6 +170,21 @@ def test_chat_edge_cases(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_templates_of_other_marks(spark):
+    import pytest
+
+    for marks in (("##", ": ", "</t>"), ("<a", ": ", "x<"), ("[[x", "[[", "]]"), ("a\\b", ": ", "</t>"), ("#", ": ", "</t>")):
+        with pytest.raises(ValueError):
+            chat.Template(*marks)
+    template = chat.Template("<|im|>", "::=", "\n<end>")
+    rnd = random.Random(5)
+    pieces = ["<|im|>", "::=", "\n<end>", "<|im", "|>", "::", "=", "\n", "<end>", "\\", "x", "end>"]
+    rows = [(k, t, rnd.choice(["user", "assistant"]), "".join(rnd.choices(pieces, k=rnd.randrange(8)))) for k in range(60) for t in range(3)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    for r in out.select("conv_id", chat.read_back(out.formatted, template).alias("back")).collect():
+        assert [tuple(x) for x in r.back] == [x[2:] for x in rows if x[0] == r.conv_id]
+
+
 def article_by_hand(page):
     from html import unescape
 

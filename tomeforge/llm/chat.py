@@ -44,6 +44,11 @@ class Template:
         for mark in (self.opening, self.middle, self.closing):
             if len(mark) < 2 or "\\" in mark:
                 raise ValueError("a mark has at least two characters and no backslash")
+        # else a mark could stand across an escaped one, or across a text's end and the mark behind it
+        for one in self.marks:
+            for other in self.marks:
+                if one != other and one in other or any(one[-k:] == other[:k] for k in range(1, min(len(one), len(other)))):
+                    raise ValueError("marks must not overlap or hold each other")
 
     @property
     def marks(self) -> tuple[str, ...]:
