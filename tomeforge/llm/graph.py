@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes. Each step
     aggregates a minimum before its shuffle and joins it back, so that a node with
-    very many neighbours is never gathered; every round is cut by a written table.
+    very many neighbours is never gathered; every round is cut by a written table. The
+    rounds grow with the logarithm of the longest chain, squared at worst.
     Loops and repeated edges do no harm; no edges give no rows.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())

@@ -12,7 +12,7 @@ on pages that have some, so that texts in other languages go by length and links
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -109,9 +109,10 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
     container, 0 for the page.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, bool, int] | None] = []  # None: an inline element that was closed across a block
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
+    open_blocks: list[int] = []
     around, container = [0], 0
-    names: Counter = Counter()
     parts: list[str] = []
     linked = links = content = opened = outside = marked = 0
     heading = False
@@ -121,36 +122,41 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
         text = SPACES.sub(" ", unescape("".join(parts))).strip()
         if text:
             # of the header of an article, its headings stay
-            apart = outside > 0 or bool(opened and names["header"] and not heading)
+            apart = outside > 0 or bool(opened and places["header"] and not heading)
             found.append(Block(text, linked, apart, marked > 0, content if opened else 0, heading, container))
         parts.clear()
         linked = 0
 
     def leave(entry: tuple[str, bool, bool, bool, int]) -> None:
         nonlocal outside, opened, links, marked, container
-        names[entry[0]] -= 1
+        places[entry[0]].pop()
         outside -= entry[1]
         marked -= entry[2]
         opened -= entry[3]
         links -= entry[0] == "a"
         container = around[entry[4]] if entry[4] else container
 
+    def drop() -> None:
+        """Close the innermost element."""
+        entry = stack.pop()
+        if entry:
+            if entry[0] in BLOCKS:
+                open_blocks.pop()
+            leave(entry)
+
     def end(name: str) -> None:
         """Close the innermost element of the name: a block with all inside it, another alone if blocks are open inside it."""
-        k = len(stack) - 1
-        crossed = False
-        while stack[k][0] != name:
-            crossed |= stack[k][0] in BLOCKS
-            k -= 1
-        if crossed and name not in BLOCKS:
-            leave(stack.pop(k))
+        k = places[name][-1]
+        if name not in BLOCKS and open_blocks and open_blocks[-1] > k:
+            leave(stack[k])
+            stack[k] = None
             return
         while len(stack) > k:
-            leave(stack.pop())
+            drop()
 
     at = 0
     for match in TAG.finditer(html):
-        if match.start() > at and not names["button"]:
+        if match.start() > at and not places["button"]:
             piece = html[at : match.start()]
             parts.append(piece)
             if links:
@@ -166,15 +172,17 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
         if name in BLOCKS:
             close_block()
         if match[2]:
-            if names[name]:
+            if places[name]:
                 end(name)
             heading = heading and name not in BLOCKS
         elif name not in VOID and not match[4].rstrip().endswith("/"):
+            while stack and not stack[-1]:
+                stack.pop()
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
-                leave(stack.pop())
-            if name == "a" and names[name]:
+                drop()
+            if name == "a" and places[name]:
                 end(name)
-            if names["button"] and (name in ("p", "article", "section") or name in HEADINGS):
+            if places["button"] and (name in ("p", "article", "section") or name in HEADINGS):
                 end("button")  # it was never closed
             attributes, main = match[4], name in ("article", "main")
             by_name, comments = marks(attributes) if "=" in attributes else (False, False)
@@ -189,7 +197,9 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
                 around.append(container)
                 container = len(around) - 1
             stack.append((name, apart, by_name, main, container if name in CONTAINERS else 0))
-            names[name] += 1
+            places[name].append(len(stack) - 1)
+            if name in BLOCKS:
+                open_blocks.append(len(stack) - 1)
             outside += apart
             marked += by_name
             opened += main
@@ -249,25 +259,19 @@ def second_pass(page: list[Block], around: list[int], trusted: bool) -> list[boo
     Those are looked for in the innermost container that has any. In a trusted article
     its ends count as decided text; on the bare page blocks outside count as boilerplate.
     """
-    n = len(page)
-    lively = {0}
-    for block in page:  # containers with a decided block
-        if not block.outside and block.label != "open":
-            k = block.container
-            while k not in lively:
-                lively.add(k)
-                k = around[k]
-    home = [0] * len(around)
-    for k in range(1, len(around)):
-        home[k] = k if k in lively else home[around[k]]
-    first, last = [n] * len(around), [-1] * len(around)
+    n, m = len(page), len(around)
+    lively, first, last = [False] * m, [n] * m, [-1] * m  # containers with a decided block, and the blocks inside each
     for k, block in enumerate(page):
         c = block.container
-        while last[c] < k:
-            first[c], last[c] = min(first[c], k), k
-            if not c:
-                break
-            c = around[c]
+        lively[c] |= not block.outside and block.label != "open"
+        first[c], last[c] = min(first[c], k), k
+    for c in range(m - 1, 0, -1):  # a container's number is above that of the one around it
+        p = around[c]
+        lively[p] |= lively[c]
+        first[p], last[p] = min(first[p], first[c]), max(last[p], last[c])
+    home = [0] * m
+    for c in range(1, m):
+        home[c] = c if lively[c] else home[around[c]]
 
     def nearest(order: range) -> list[tuple[int, int, int]]:
         """Of each place: the nearest decided block on one side, the same among those not outside, and where the article's run of open blocks ends."""
