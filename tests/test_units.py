@@ -301,6 +301,19 @@ def test_queries_without_sql_by_brute_force(spark, sf):
             assert r.relevant == whole or len(whole) > 12_000
 
 
+def test_chunk_documents_by_hand(spark):
+    """Ids, sections and the order of chunks; without overlap the chunks hold the whole text but for the separators between them."""
+    import hashlib
+
+    text = "Capítulo Um\n\n" + " ".join(f"palavra{k}." for k in range(400)) + "\n\nCapítulo Dois\n\n" + "x" * 1500
+    pages = spark.createDataFrame([("livro", 1, text, None), ("livro", 2, "curto", "Magias"), ("livro", 3, None, "")], "source string, page int, text string, section string")
+    rows = sorted(chunking.chunk_documents(pages, 300, 0).collect(), key=lambda r: (r.page, r.chunk_no))
+    plain = lambda t: "".join(t.replace(".", "").split())
+    assert plain("".join(r.content for r in rows if r.page == 1)) == plain(text)
+    assert [(r.content, r.section) for r in rows if r.page == 2] == [("curto", "Magias")] and not [r for r in rows if r.page == 3]
+    assert all(len(r.content) <= 300 and r.chunk_id == hashlib.sha256("\x1f".join([r.content, r.source, str(r.page)]).encode()).hexdigest() for r in rows)
+
+
 def test_query_blocks_equal_one_broadcast(spark, sf, monkeypatch):
     """Query sets beyond the bound go in several broadcasts, never as a Cartesian product."""
     from tomeforge.operators import common
