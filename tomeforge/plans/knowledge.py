@@ -73,13 +73,13 @@ def type_histogram(spark, sf):
     return entities.type_histogram(_entities(spark, sf), {"alpha": (1, 10), "gamma": (1, 5), "beta": (0, 100000)})
 
 
-@R.add(AGG + " SELECT n.name, CASE WHEN want IS NULL THEN CASE WHEN type IS NULL THEN 'ok' ELSE 'unwanted' END WHEN type IS NULL THEN 'absent' WHEN want = type THEN 'ok' ELSE 'wrong_type' END AS verdict FROM (VALUES ('Their', 'alpha'), ('Eaument', 'beta'), ('Nothing', 'alpha'), ('Zzzzz', NULL), ('Thand', NULL)) n(name, want) LEFT JOIN e USING (name)")
+@R.add(AGG + " SELECT n.name, CASE WHEN want IS NULL THEN CASE WHEN type IS NULL THEN 'ok' ELSE 'unwanted' END WHEN type IS NULL THEN 'absent' WHEN want = type THEN 'ok' ELSE 'wrong_type' END AS verdict FROM (VALUES ('Eriner', 'alpha'), ('Thedre', 'beta'), ('Nothing', 'alpha'), ('Zzzzz', NULL), ('Thble', NULL)) n(name, want) LEFT JOIN e USING (name)")
 def entity_audit(spark, sf):
-    return entities.audit_entities(_entities(spark, sf), spark.createDataFrame([("Their", "alpha"), ("Eaument", "beta"), ("Nothing", "alpha"), ("Zzzzz", None), ("Thand", None)], "name string, type string"))
+    return entities.audit_entities(_entities(spark, sf), spark.createDataFrame([("Eriner", "alpha"), ("Thedre", "beta"), ("Nothing", "alpha"), ("Zzzzz", None), ("Thble", None)], "name string, type string"))
 
 
-QUALITY = AGG + ", q AS (SELECT name, CASE WHEN lower(name) IN ('the', 'and', 'le', 'la', 'der', 'die') THEN 'stopword' WHEN mentions >= 4 THEN NULL WHEN length(name) < 3 OR length(name) > 60 THEN 'size' WHEN regexp_matches(name, '[0-9]{3,}') THEN 'pattern' WHEN NOT regexp_matches(name, '^\\p{Lu}') THEN 'proper_noun' END AS reason FROM e)".replace("\\\\", "\\")
-STOP = ["the", "and", "le", "la", "der", "die"]
+QUALITY = AGG + ", q AS (SELECT name, CASE WHEN lower(name) IN ('nicht', 'apache', 'eriner', 'thedre') THEN 'stopword' WHEN mentions >= 4 THEN NULL WHEN length(name) < 3 OR length(name) > 60 THEN 'size' WHEN regexp_matches(name, '[0-9]{3,}') THEN 'pattern' WHEN NOT regexp_matches(name, '^\\p{Lu}') THEN 'proper_noun' END AS reason FROM e)".replace("\\\\", "\\")
+STOP = ["nicht", "apache", "eriner", "thedre"]
 
 
 @R.add(QUALITY + " SELECT name, reason FROM q")
