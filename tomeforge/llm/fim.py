@@ -54,7 +54,9 @@ class Frames:
         def close(size: int) -> None:
             while 0 < size < len(held) and held[size] & 0xC0 == 0x80:
                 size -= 1
-            part = bytes(held[: size or len(held)])
+            while not size or size < len(held) and held[size] & 0xC0 == 0x80:  # a code point of more bytes than a frame
+                size += 1
+            part = bytes(held[:size])
             del held[: len(part)]
             made.data.append(_compressor.compress(part))
             made.units.append((made.units[-1] if made.units else 0) + len(starts_of(part)))

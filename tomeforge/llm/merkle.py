@@ -262,4 +262,45 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_merkle_manifest": op12_merkle_manifest}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op12_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, text, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS src,
+                concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b:
+                    list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) & 1 = 1 AS hit
+            FROM documents
+        ), leaves AS (
+            SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN hit THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS tampered FROM d
+        ), placed AS (
+            SELECT doc_id, src, leaf, coalesce(tampered, leaf) AS changed, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+        ), up AS (
+            SELECT src, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY src) AS n FROM placed
+            UNION ALL
+            SELECT src, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY src, level, pos // 3
+        ), subroots AS (
+            SELECT src, node, level AS height, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+        ), over AS (
+            SELECT 0 AS level, pos, node, n FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM over WHERE n > 1 GROUP BY level, pos // 3
+        ), runs AS (
+            SELECT src, level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM up WHERE n > 1 GROUP BY ALL
+            UNION ALL
+            SELECT '*', level, pos // 3, list(node ORDER BY pos) FROM over WHERE n > 1 GROUP BY ALL
+        ), walk AS (
+            SELECT doc_id, leaf, src AS home, src, 0 AS level, pos, changed AS node, '' AS proof FROM placed
+            UNION ALL
+            SELECT w.doc_id, w.leaf, w.home, CASE WHEN r.nodes IS NULL THEN '*' ELSE w.src END, CASE WHEN r.nodes IS NULL THEN 0 ELSE w.level + 1 END,
+                CASE WHEN r.nodes IS NULL THEN s.pos ELSE w.pos // 3 END,
+                CASE WHEN r.nodes IS NULL THEN w.node ELSE sha256(list_aggregate(r.nodes[:w.pos % 3] || [w.node] || r.nodes[w.pos % 3 + 2:], 'string_agg', '')) END,
+                CASE WHEN r.nodes IS NULL THEN w.proof ELSE w.proof || coalesce(list_aggregate(r.nodes[:w.pos % 3] || r.nodes[w.pos % 3 + 2:], 'string_agg', ''), '') END
+            FROM walk w LEFT JOIN runs r ON w.src = r.src AND w.level = r.level AND w.pos // 3 = r.run LEFT JOIN subroots s ON w.src = s.src
+            WHERE w.src <> '*' OR r.nodes IS NOT NULL
+        )
+        SELECT w.doc_id, w.leaf, s.node AS subroot, o.node AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = o.node AS verified
+        FROM walk w JOIN subroots s ON w.home = s.src JOIN over o ON o.n = 1
+        WHERE w.src = '*' AND w.level = o.level
+    """
+}

@@ -109,7 +109,7 @@ class Lists:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.used)]), pa.int32()), values)
 
 
-def shard_lists(vectors: DataFrame, block: pa.Table, k: int, scale: int) -> DataFrame:
+def shard_lists(vectors: DataFrame, block: pa.Table, k: int, scale: int, own: bool) -> DataFrame:
     """The best k of each shard (partition) of ``vectors`` for each query of a block (query_id, embedding, copies): ``LISTS``."""
     shared = vectors.sparkSession.sparkContext.broadcast(block)  # of bounded size
 
@@ -127,9 +127,9 @@ def shard_lists(vectors: DataFrame, block: pa.Table, k: int, scale: int) -> Data
                 for _, lists in tiles.get(matrix.shape[1], []):
                     lists.add(matrix, ids[rows], nameless[rows])
         for slots, lists in (tile for some in tiles.values() for tile in some):
-            own, _ = exact(lists.queries, lists.queries)
-            asked = queries.take(slots)
-            columns = [pa.array(slots, pa.int32()), *[asked[c].combine_chunks() for c in ("query_id", "copies")], pa.array(longs((own * own).sum(axis=1)), pa.int64())]
+            a, b = exact(lists.queries, lists.queries)
+            asked, itself = queries.take(slots), longs((a * b).sum(axis=1)) if own else np.zeros(len(slots), np.int64)
+            columns = [pa.array(slots, pa.int32()), *[asked[c].combine_chunks() for c in ("query_id", "copies")], pa.array(itself, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(slots), part), pa.int32()), lists.arrays()], ["slot", "query_id", "copies", "own", "part", "best"])
 
     return vectors.mapInArrow(met, LISTS)
@@ -154,9 +154,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = SCAL
     meets vectors of as many components as it has. ``own``: the queries are rows of
     ``vectors``, and each leaves out its own row, but not others that share its id.
     Queries that are there more than once are asked once and answered as often; a
-    query with fewer than k vectors gets all. Empty tables give no rows, and a score
-    beyond 64 bits fails the job. Blocks of queries are written, so that a lost
-    executor costs no more than its block's tasks.
+    query with fewer than k vectors gets all. Empty tables give no rows, and a product
+    beyond 64 bits, with ``own`` also that of a query and itself, fails the job. Blocks
+    of queries are written, so that a lost executor costs no more than its block's tasks.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -171,7 +171,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = SCAL
         blocks = -(-size // block_bytes)
         for number in range(blocks):
             block = asked.where(F.pmod("deal", F.lit(blocks)) == number).drop("deal").toArrow()
-            lists = shard_lists(vectors, block, k_found, scale)
+            lists = shard_lists(vectors, block, k_found, scale, own)
             tree_merged(lists, k_found, shards).select("query_id", "copies", "own", "best").write.mode("append").parquet(path)
     schema = "query_id long, copies long, own long, best array<struct<place: long, nameless: boolean, vec_id: long>>"
     found = spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame([], schema)
