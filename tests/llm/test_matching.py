@@ -238,6 +238,33 @@ def test_html_markup_and_names():
     assert html.main_text(f"<ul>{menu}</ul><div><h2>Title</h2><p>{text}<p>Short.<ul><li>One<li>Two</ul></div><div>Note.</div><ul>{menu}</ul>") == f"Title\n{text}\nShort.\nOne\nTwo"
 
 
+def test_html_attributes_hide_only_what_they_say():
+    text = "The cat of the house is in the garden and it is one of those that is for the dog."
+    for tag in ('data-title="The hidden truth"', 'title="a hidden gem"', 'style="overflow: hidden !important"', "data-x='aria-hidden=\"true\"'", 'title="display:none"', "aria-hidden=false"):
+        assert html.main_text(f"<div {tag}><article><p {tag}>{text}</p></article></div>") == text
+    for tag in ("hidden", 'hidden=""', "aria-hidden='true'", "aria-hidden=TRUE", 'style="color:red; DISPLAY : none !important"', "class=x hidden"):
+        assert html.main_text(f"<article><p>{text}</p><div {tag}>{text} {text}</div></article>") == text
+        assert html.main_text(f"<div {tag}><p>{text}</p></div>") == text  # the page's only text
+    assert html.main_text(f'<article><p>{text}</p><p title="a hidden gem>{text}</p></article>').startswith(text)
+
+
+def test_html_names_of_comments_and_marks():
+    text = "The cat of the house is in the garden and it is one of those that is for the dog."
+    assert html.main_text(f'<article class="post comments-open"><p>{text}</article>') == text
+    for name in ('class="comment-on-the-case"', 'id="comments-on-law"', 'class="ad-hoc-ruling"', 'id="menu-planning"', 'class="cookie-recipes"', 'class="banner-story"'):
+        assert html.main_text(f"<article><p>{text}</p><section {name}>{text} Two.</section></article>") == f"{text}\n{text} Two."
+    for name in ("comment-body", "user-comments", "comments_list", "comment-12", "disqus_thread", "ad-300x250", "menu-left", "cookie-bar", "sponsored-item", "top-nav"):
+        assert html.main_text(f'<article><p>{text}</p><section class="{name}">{text} {text} {text}</section></article>') == text
+    assert html.main_text(f'<article><p>Short.</p></article><div class="comments"><p>{text}</p><p>{text}</p></div>') == "Short."
+
+
+def test_html_page_in_a_form():
+    text = "The cat of the house is in the garden and it is one of those that is for the dog."
+    page = f'<body><form id="aspnet"><nav>Home</nav><input name=q><div><article><h1>Title</h1><p>{text}</p><p>Short.</p></article></div><footer>(c)</footer></form></body>'
+    assert html.main_text(page) == html.main_text(re.sub("</?article>", "", page)) == f"Title\n{text}\nShort."
+    assert html.main_text(f"<article><p>{text}</p><form><p>{text}</p><p>{text}</p></form></article>") == text
+
+
 def test_html_other_languages():
     for text in ("日本語の文章はここにあります。" * 6, "Это длинный текст на русском языке о погоде и природе. " * 5, "هذا نص طويل باللغة العربية عن الطقس والطبيعة. " * 6):
         page = f"<nav><a href=/>x</a></nav><div><h1>題</h1><p>{text}</p><p>{text}</p></div><footer>(c) {text}</footer>"

@@ -7,6 +7,8 @@ pass gives each open block the label of the nearest decided neighbours. An artic
 or main element takes part in it: where it holds most of the dense text, blocks
 outside it are boilerplate and its ends count as decided text. Stop words count only
 on pages that have some, so that texts in other languages go by length and links.
+Forms, reader comments and hidden elements are boilerplate too, unless the page has
+its text in them alone.
 """
 
 from __future__ import annotations
@@ -41,20 +43,28 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article blockquote center details dir div dl fieldset figure header main ol section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never main text.
-OUTSIDE = frozenset("nav footer aside form menu dialog head".split())
-#: Words that mark an element by a class, id or role: the whole name, or its first or last part.
+OUTSIDE = frozenset("nav footer aside menu dialog head".split())
+#: Why an element is boilerplate only if there is text elsewhere.
+FORM, HIDDEN, COMMENT = 1, 2, 4
+#: Words that mark an element by a class, id or role: the whole name, its last part, or its first before words for parts of a page.
 MARKS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent menu nav navbar navigation breadcrumb breadcrumbs sidebar footer "
     "masthead newsletter popup modal pagination pager contentinfo complementary".split()
 )
 #: Words that mark it only as the whole name, or before a word for a part of a page.
 WEAK_MARKS = frozenset("alert notice notices login search share social related recommended subscribe widget".split())
-PARTS = frozenset("area bar block box buttons container form icons items links list panel section widget wrap wrapper".split())
-#: Names of reader comments, and words before a name that say what an element is without.
+PARTS = frozenset(
+    "area bar block body bottom box buttons col column container content count dialog feed form group holder icons inner item items left link links list logo message "
+    "meta outer overlay panel reply respond right row section signup slot text thread threads title toggle top tree unit widget wrap wrapper".split()
+)
+SIZE = re.compile(r"\d+(?:x\d+)?")
+#: Names of reader comments, alone or before words for parts, or after words for whose they are.
 COMMENTS = frozenset("comment comments disqus replies".split())
+OWNERS = frozenset("all article blog customer facebook fb guest latest new page post reader readers recent site story user users view visitor visitors wp".split())
+#: Words before a name that say what an element is without.
 NEGATIONS = frozenset("no not non without has with is".split())
-ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+#: An attribute with its value, if any; a quote that is not closed holds the rest of the tag.
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in is it that for as with was on be by this are at from or an not have "
@@ -73,6 +83,7 @@ class Block:
     text: str
     linked: int
     outside: bool
+    soft: int
     marked: bool
     content: int
     heading: bool
@@ -89,16 +100,33 @@ class Block:
         self.size = len(self.text) if self.text.isascii() else len(self.text) + 2 * len(DENSE_SCRIPTS.findall(self.text))
 
 
-def marks(attributes: str) -> tuple[bool, bool]:
+def attributes_of(tag: str) -> dict[str, str]:
+    """Values by lower-cased name, empty without a value; of repeated names the first."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    """Whether an element says that it is not shown: by ``hidden``, ``aria-hidden`` or a ``display`` of none."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    rules = (rule.partition(":") for rule in attributes.get("style", "").lower().split(";"))
+    return any(name.strip() == "display" and value.partition("!")[0].strip() == "none" for name, _, value in rules)
+
+
+def marks(attributes: dict[str, str]) -> tuple[bool, bool]:
     """(whether names mark an element as boilerplate, whether as reader comments)."""
     marked = comments = False
-    for name in " ".join("".join(x) for x in ATTRIBUTE.findall(attributes)).lower().split():
-        parts = re.split(r"[-_]+", name.strip("-_"))
-        if parts[0] in NEGATIONS:
+    for name in " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower().split():
+        first, *rest = parts = re.split(r"[-_]+", name.strip("-_"))
+        if first in NEGATIONS:
             continue
-        comments |= parts[0] in COMMENTS or parts[-1] in COMMENTS
-        marked |= parts[0] in MARKS or parts[-1] in MARKS or name == "side-bar"
-        marked |= parts[-1] in WEAK_MARKS and len(parts) == 1 or parts[0] in WEAK_MARKS and parts[-1] in PARTS
+        of_parts = all(x in PARTS or SIZE.fullmatch(x) for x in rest)
+        comments |= first in COMMENTS and of_parts or parts[-1] in COMMENTS and OWNERS.issuperset(parts[:-1])
+        marked |= parts[-1] in MARKS or first in MARKS and of_parts or name == "side-bar"
+        marked |= first in WEAK_MARKS and (not rest or parts[-1] in PARTS)
     return marked, comments
 
 
@@ -109,12 +137,13 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
     container, 0 for the page.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int] | None] = []  # None: an inline element that was closed across a block
+    stack: list[tuple[str, bool, bool, bool, int, int] | None] = []  # None: an inline element that was closed across a block
     places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
     open_blocks: list[int] = []
     around, container = [0], 0
     parts: list[str] = []
     linked = links = content = opened = outside = marked = 0
+    softly = {FORM: 0, HIDDEN: 0, COMMENT: 0}  # open elements of each kind
     heading = False
 
     def close_block() -> None:
@@ -123,11 +152,12 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
         if text:
             # of the header of an article, its headings stay
             apart = outside > 0 or bool(opened and places["header"] and not heading)
-            found.append(Block(text, linked, apart, marked > 0, content if opened else 0, heading, container))
+            soft = sum(kind for kind, n in softly.items() if n)
+            found.append(Block(text, linked, apart, soft, marked > 0, content if opened else 0, heading, container))
         parts.clear()
         linked = 0
 
-    def leave(entry: tuple[str, bool, bool, bool, int]) -> None:
+    def leave(entry: tuple[str, bool, bool, bool, int, int]) -> None:
         nonlocal outside, opened, links, marked, container
         places[entry[0]].pop()
         outside -= entry[1]
@@ -135,6 +165,8 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
         opened -= entry[3]
         links -= entry[0] == "a"
         container = around[entry[4]] if entry[4] else container
+        for kind in softly if entry[5] else ():
+            softly[kind] -= entry[5] & kind > 0
 
     def drop() -> None:
         """Close the innermost element."""
@@ -184,11 +216,12 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
                 end(name)
             if places["button"] and (name in ("p", "article", "section") or name in HEADINGS):
                 end("button")  # it was never closed
-            attributes, main = match[4], name in ("article", "main")
-            by_name, comments = marks(attributes) if "=" in attributes else (False, False)
-            apart = name in OUTSIDE or comments or name == "header" and not opened or bool(attributes and HIDDEN.search(attributes))
+            attributes, main = attributes_of(match[4]) if match[4] else {}, name in ("article", "main")
+            by_name, comments = marks(attributes) if attributes else (False, False)
+            apart = name in OUTSIDE or name == "header" and not opened
+            soft = FORM * (name == "form") + HIDDEN * is_hidden(attributes) + COMMENT * comments
             if name in ("html", "body", "article", "main"):
-                apart, by_name = comments and name == "article", False
+                soft, by_name = COMMENT * (comments and name == "article"), False
             elif opened and (name == "p" or name in HEADINGS):
                 by_name = False
             if main and not opened:
@@ -196,11 +229,13 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
             if name in CONTAINERS:
                 around.append(container)
                 container = len(around) - 1
-            stack.append((name, apart, by_name, main, container if name in CONTAINERS else 0))
+            stack.append((name, apart, by_name, main, container if name in CONTAINERS else 0, soft))
             places[name].append(len(stack) - 1)
             if name in BLOCKS:
                 open_blocks.append(len(stack) - 1)
             outside += apart
+            for kind in softly if soft else ():
+                softly[kind] += soft & kind > 0
             marked += by_name
             opened += main
             links += name == "a"
@@ -240,6 +275,16 @@ def first_pass(page: list[Block]) -> bool:
     def size(some, *labels: str) -> int:
         return sum(b.size for b in some if b.label in labels)
 
+    # what a form, a hidden element or comments hold counts only where it is about all of the page's text
+    for kind, share in ((FORM, 5), (HIDDEN, 0), (COMMENT, 0)):
+        free = [block for block in rest if not block.soft and not block.marked]
+        held = [block for block in rest if block.soft == kind and not block.marked]
+        beside = size(free, "good")
+        if size(held, "good") > share * beside and (share or not beside and not any(block.content for block in free)):
+            for block in rest:
+                block.soft &= ~kind
+    rest = [block for block in rest if not block.soft]
+
     # names that would mark most of the text are those of the page, not of its boilerplate
     plain = [block for block in rest if not block.marked]
     if 5 * size(plain, "good", "open") < size((b for b in rest if b.marked), "good"):
