@@ -196,6 +196,22 @@ def test_wavelet_shards_round_trip(spark):
     assert got == want
 
 
+def test_wavelet_shards_of_a_hot_id(spark):
+    """Rows without id, equal ones too, are dealt over all parts, in one order with the others."""
+    rows = [(None, "same words here")] * 2000 + [(None, f"text {k}") for k in range(1600)] + [(k, f"own {k}") for k in range(400)]
+    docs, folder = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shared_dir(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = wavelet.write_shards(docs, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_tokens for r in shards.collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+    read = sorted((r.base + r.offset, r.doc_id, r.n_tokens) for r in wavelet.read_shards(spark, folder).join(wavelet.starts(shards), "name").collect())
+    assert len(read) == len(rows) and [r[1] for r in read] == [None] * 3600 + list(range(400))
+    assert [r[0] for r in read] == np.cumsum([0, *(r[2] for r in read)])[:-1].tolist()
+
+
 def test_wavelet_query_by_brute_force(spark, tmp_path):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True

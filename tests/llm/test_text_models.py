@@ -151,3 +151,15 @@ def test_toxicity_tables(spark):
     got = toxicity.score(docs, model).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_toxicity_of_repeated_and_conflicting_labels(spark):
+    """Any number of copies of a label or document changes nothing; of conflicting labels the toxic one counts."""
+    texts = {k: f"you stupid idiot number {k}" if k % 4 == 0 else f"a fine day in the garden number {k}" for k in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in texts], "doc_id long, toxic int")
+    many = labels.unionByName(spark.createDataFrame([(0, 1)] * 4000 + [(4, 0), (None, 1)], "doc_id long, toxic int"))
+    copies = docs.unionByName(spark.createDataFrame([(1, texts[1])] * 4000, "doc_id long, text string"))
+    one, other = toxicity.train(docs, labels), toxicity.train(copies, many)
+    assert (one.buckets == other.buckets).all() and (one.weights == other.weights).all() and one.bias == other.bias
+    assert other.scorer()("you stupid idiot") > toxicity.THRESHOLD > other.scorer()("a fine day")

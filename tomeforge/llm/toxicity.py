@@ -106,19 +106,20 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, decay: float = 1
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
-    """Fit on at most ``PER_CLASS`` labelled rows of each class, drawn by a hash of their id.
+    """Fit on at most ``PER_CLASS`` labelled documents of each class, drawn by a hash of their id.
 
-    Only rows for which ``usable`` (over doc_id) holds are drawn, and none longer
-    than ``MAX_CHARS``. Rows without text or label are left out; a label repeated
-    for an id counts once.
+    Only ids for which ``usable`` (over doc_id) holds are drawn, and no texts longer
+    than ``MAX_CHARS``. Rows without text or label are left out. An id counts once,
+    before any are drawn: as toxic if one of its labels is, and with the least of its texts.
     """
     labels = labels.select("doc_id", "toxic").where("toxic in (0, 1)")
     if usable is not None:
         labels = labels.where(usable)
-    labels = labels.withColumn("draw", F.xxhash64("doc_id", F.lit(6)))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id", F.lit(6)))
     drawn = [labels.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(2 * PER_CLASS) for k in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 4 * PER_CLASS rows of two numbers
     texts = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS).join(drawn, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
     parts = [texts.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(PER_CLASS) for k in (0, 1)]
     rows = {x.doc_id: (x.text, x.toxic) for x in parts[0].unionByName(parts[1]).collect()}
     kept = [rows[k] for k in sorted(rows)]

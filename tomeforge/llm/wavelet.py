@@ -251,8 +251,9 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode (doc_id, text) and write shards in ascending doc_id order; (part, shard, name, n_tokens) of each.
 
-    Documents are dealt by ranges of doc_id, nulls first, ties by text; a shard ends
-    after the document that reaches ``shard_tokens``. Null and empty texts give the
+    Documents are dealt by ranges of doc_id, nulls first, then the hash of the text, then
+    the place of the row, so that neither one id nor equal rows go to one task; a shard
+    ends after the document that reaches ``shard_tokens``. Null and empty texts give the
     end id alone; repeated rows are documents each. An empty table writes nothing. A
     code table serves vocabularies of any size.
     """
@@ -297,8 +298,9 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
         if names:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(rows.mapInArrow(write, "part int, shard int, name string, n_tokens long"))
 
 
