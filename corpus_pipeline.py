@@ -1,14 +1,14 @@
 """The corpus pipeline: stages that filter and encode documents, each on what the one before kept.
 
-A stage takes any columns beside doc_id and text and returns them all; columns that
-it makes for itself have names that begin with two underscores. Null ids, ids that
+A stage takes any columns beside doc_id and text, of any name, and returns them all;
+columns that it makes for itself have names that begin with two underscores. Null ids, ids that
 stand on several rows and repeated rows are rows like any other, except that of rows
 which are near copies, or the same, one stays. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm import bpe, decontaminate, langid, simhash, toxicity
@@ -20,6 +20,15 @@ LEAST_LANGUAGE_SCORE = 0.5
 BROADCAST_ROWS = 100_000
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in df.columns]
+
+
+def has_lang(df: DataFrame) -> bool:
+    return "lang" in map(str.lower, df.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity is below the threshold; null and empty texts are scored as empty ones."""
     small_batches(spark)
@@ -30,13 +39,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of which one language has at least ``LEAST_LANGUAGE_SCORE``, and give it to those without ``lang``.
 
-    Texts without letters have no language and go.
+    Texts without letters have no language and go. Where no row has a ``lang``, or the
+    table has no such column, no language can be learned: only those texts go then.
     """
     small_batches(spark)
-    model = langid.train(docs, id_hash() % 4 != 2)
+    known = docs if has_lang(docs) else docs.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.train(known, id_hash() % 4 != 2)
+    if model.langs == [langid.UNKNOWN]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, model, lang="__lang", score="__lang_score")
     found = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     survivors that are there more than once, are joined to them.
     """
     small_batches(spark)
-    digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*columns(docs))), 256))
     keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__digest": digest})
     with scratch(spark):
         rows = materialize(simhash.fingerprints(keyed.select("__key", "__digest", "text"), out="__fp").select("__key", "__digest", "__fp"))
@@ -59,10 +72,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         marks = copies.join(kept, "__fp").withColumn("__stays", F.struct("__key", "__digest") == F.col("kept"))
         marks = materialize(marks.where("not __stays or count > 1").select("__key", "__digest", "__stays"), keep=True)
     marked = keyed.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, ["__key", "__digest"], "left")
-    out = marked.where("__stays is null").select(docs.columns)
+    out = marked.where("__stays is null").select(columns(docs))
     if not marks.where("__stays").isEmpty():
         again = marked.where("__stays").dropDuplicates(["__key", "__digest"])
-        out = out.unionByName(again.select(docs.columns))
+        out = out.unionByName(again.select(columns(docs)))
     return out
 
 
@@ -72,8 +85,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and lang with the token ids of the text, their number and digest and that of the decoded bytes."""
+    """doc_id and lang (null, if there is none) with the token ids of the text, their number and digest and that of the decoded bytes."""
     small_batches(spark)
+    docs = docs if has_lang(docs) else docs.withColumn("lang", F.lit(None).cast("string"))
     return bpe.digests(docs, "doc_id", "lang", "ids")
 
 
