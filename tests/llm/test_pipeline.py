@@ -3,6 +3,7 @@ from pathlib import Path
 
 import public_tokenizers as P
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_near_dedup", "decontamination", "byte_level_bpe"]
 
 
@@ -78,6 +79,21 @@ def test_stages_with_odd_rows(spark):
             assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(2, "en"), (2, "en"), (3, "en")]
 
 
+@pytest.mark.parametrize("lang", [True, False])
+def test_stages_take_any_columns(spark, lang):
+    """Names with dots, quotes and those of other stages, and tables without lang, go through every stage."""
+    docs = spark.createDataFrame([(k, f"the cat and the dog of house {k} " * 9, "en") for k in range(9)] + [(9, "12 34", "en")], "doc_id long, text string, lang string")
+    docs = docs.withColumns({name: F.lit(k) for k, name in enumerate(("a.b", "c`d", "x y", "fp", "score", "n_tokens"))})
+    docs = docs if lang else docs.drop("lang")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in out.collect()} >= ({0} if name == "simhash_near_dedup" else set(range(9)))
+    assert corpus_pipeline.encode(spark, docs, SF).select("doc_id", "lang").collect()[0] == (0, "en" if lang else None)
+    bare = docs.select("doc_id", "text")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, bare, SF).collect()) == list(range(9))
+
+
 def test_near_copies_keep_every_group(spark):
     """Unlinked texts that share an id or have none all stay; a near copy with a smaller id does not cost the other text."""
     a, b, c, d = ("".join(f"{w}{k} " for k in range(30)) for w in ("ant", "bee", "cow", "dog"))
