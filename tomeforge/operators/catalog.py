@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, garbage_share, occurrences, strip, tokens
-from .common import contains_join, first_by, prioritised, small
+from .common import contains_join, dropped_in_turn, first_by, held_names, prioritised, small
 
 
 def blocks(pages: DataFrame, opener: str, fields: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,26 +58,13 @@ def ocr_digits(text: Column) -> Column:
     return F.translate(text, "OolIS", "00115")
 
 
-def _held_names(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
-    """(s, l): distinct names that hold another one and share a word with it.
-
-    Of a name of three words or more, the inner ones are whole words of what holds it,
-    so the rarest of them is enough to meet by; shorter names meet by all their words.
-    """
-    held = long.select(l, F.explode(F.array_distinct(tokens(F.col(l)))).alias("w"))
-    each = short.select(s, tokens(F.col(s)).alias("ws")).select(s, F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "w"))
-    each = each.join(held.groupBy("w").agg(F.count("*").alias("c")), "w")
-    keys = each.where("n < 3").select(s, "w").unionByName(first_by(each.where("n >= 3 and pos > 0 and pos < n - 1"), [s], F.col("c"), F.col("w")).select(s, "w"))
-    return keys.join(held, "w").where(F.contains(l, s)).select(s, l).distinct()
-
-
 def reconcile(index: DataFrame, extracted: DataFrame) -> DataFrame:
     """(name, found, confidence, method): index names with an equal block (1.0), one whose name holds it or is in it (0.8), none (0.0); extracted names left over (0.9)."""
     i = index.select("name", F.lower("name").alias("k")).dropDuplicates(["k"])
     e = extracted.select(F.col("name").alias("found"), F.lower("name").alias("f")).dropDuplicates(["f"])
     equal = i.join(e, F.col("k") == F.col("f")).select("name", "found", F.lit(1.0).alias("confidence"), F.lit("delimitador").alias("method"))
     rest = i.join(equal.select("name"), "name", "left_anti")
-    pairs = _held_names(rest, "k", e, "f").unionByName(_held_names(e, "f", rest, "k")).distinct()
+    pairs = held_names(rest, "k", e, "f").unionByName(held_names(e, "f", rest, "k")).distinct()
     near = pairs.join(rest, "k").join(e, "f")
     partial = first_by(near, ["name"], F.desc(F.length("f")), F.col("f")).select("name", "found", F.lit(0.8).alias("confidence"), F.lit("delimitador_parcial").alias("method"))
     none = rest.join(partial.select("name"), "name", "left_anti").select("name", F.lit(None).cast("string").alias("found"), F.lit(0.0).alias("confidence"), F.lit("indice_apenas").alias("method"))
@@ -106,16 +93,22 @@ def locate_names(index: DataFrame, docs: DataFrame, fuzzy: float = 0.75, longest
     return first_by(found.unionByName(fuzzy_hits), ["name"], F.desc("confidence"), F.col("doc_id")).select("name", "doc_id", method.alias("method"), "confidence")
 
 
-def cascade_merge(strategies: list[DataFrame]) -> DataFrame:
-    """Rows (name, …) of strategies in order; a later row goes if an earlier strategy has a name equal to it, holding it or inside it.
+def cascade_merge(strategies: list[DataFrame], order: str | None = None) -> DataFrame:
+    """Rows (name, …) of strategies in order, those of one by ``order`` or else by name; a row goes if the names kept so far have one equal to it, holding it or inside it.
 
-    Differs from a sequential pass only in chains, where the row that drops another is dropped itself.
+    All of the first strategy stays, equal names once. Names are compared without
+    accents, case and hyphens, and only if they share a word. The result is that of one
+    pass in order, chains included.
     """
     rows = reduce(DataFrame.unionByName, [df.withColumn("priority", F.lit(i)) for i, df in enumerate(strategies)])
-    rows = first_by(rows.withColumn("k", fold(F.trim("name"))), ["k"], F.col("priority"), F.col("name"))
-    keys = rows.select(F.col("k").alias("o"), F.col("priority").alias("p")).withColumn("w", F.explode(F.array_distinct(tokens(F.col("o")))))
-    near = rows.select("k", "priority", F.explode(F.array_distinct(tokens(F.col("k")))).alias("w")).join(keys, "w").where("p < priority and (contains(k, o) or contains(o, k))").select("k").distinct()
-    return rows.join(near, "k", "left_anti").drop("k")
+    place = F.struct("priority", *[F.col(c) for c in ([order] if order else []) + ["name"]])
+    rows = first_by(rows.withColumns({"k": F.regexp_replace(fold(F.trim("name")), "[- ]+", " "), "place": place}), ["k"], F.col("place"))
+    keys = rows.select("k", "place")
+    pairs = held_names(keys.withColumnRenamed("k", "a"), "a", keys.withColumnRenamed("k", "b"), "b").where("a <> b")
+    placed = pairs.join(keys.select(F.col("k").alias("a"), F.col("place").alias("p")), "a").join(keys.select(F.col("k").alias("b"), F.col("place").alias("q")), "b")
+    early = placed.select(F.when(F.col("p") < F.col("q"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("late"), F.greatest("p", "q")["priority"].alias("turn"))
+    gone = dropped_in_turn(early.where("turn > 0"))
+    return rows.join(gone.withColumnRenamed("late", "k"), "k", "left_anti").drop("k", "place")
 
 
 def fill_stats(df: DataFrame, *others: DataFrame, key: str = "nome", fields: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.io import scratch, written
 
 #: A side up to this size is broadcast by hint; beyond it the join is by key, or by blocks of the small side.
 BROADCAST_BYTES = 32 << 20
@@ -66,3 +67,51 @@ def contains_join(names: DataFrame, texts: DataFrame, name: str, text: str, text
     else:
         pairs = texts.select(text_id, key).join(small(keyed), "__key").join(texts, text_id)
     return pairs.where(F.contains(F.lower(F.col(text)), F.lower(F.col(name)))).drop("__key")
+
+
+def name_keys(name: Column) -> Column:
+    """What a name may hold of another one: its words, and of words that follow each other a whole one with a start, or an end with a whole one."""
+    words = tokens(name)
+    follow = F.greatest(F.size(words) - 1, F.lit(0))
+    firsts, seconds = F.slice(words, F.lit(1), follow), F.slice(words, F.lit(2), follow)
+    starts = F.zip_with(firsts, seconds, lambda a, b: F.transform(F.sequence(F.lit(1), F.length(b)), lambda k: F.concat_ws(" ", a, F.substring(b, F.lit(1), k))))
+    ends = F.zip_with(firsts, seconds, lambda a, b: F.transform(F.sequence(F.lit(1), F.length(a)), lambda k: F.concat_ws(" ", F.substring(a, k, F.length(a)), b)))
+    return F.array_distinct(F.concat(words, F.flatten(starts), F.flatten(ends)))
+
+
+def held_names(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
+    """(s, l): distinct lower-cased names ``l`` that hold ``s`` in a place where one of its words is whole.
+
+    Of a held name of several words, two that follow each other stand in the holding
+    name, the first one whole or the second one: names of two words meet by them, longer
+    ones by the rarest pair behind their first word. A common word alone brings no names
+    together, but for names that are this word.
+    """
+    held = long.select(l, F.explode(name_keys(F.col(l))).alias("__key"))
+    words = short.select(s, tokens(F.col(s)).alias("__ws")).where(F.size("__ws") > 0).distinct()
+    few = words.where(F.size("__ws") < 3).select(s, F.array_join("__ws", " ").alias("__key"))
+    pairs = F.transform(F.sequence(F.lit(2), F.size("__ws") - 1), lambda k: F.array_join(F.slice("__ws", k, F.lit(2)), " "))
+    many = words.where(F.size("__ws") >= 3).select(s, F.explode(F.array_distinct(pairs)).alias("__key"))
+    many = many.join(held.groupBy("__key").agg(F.count("*").alias("__n")), "__key")
+    rarest = first_by(many, [s], F.col("__n"), F.col("__key")).select(s, "__key")
+    return few.unionByName(rarest).join(held, "__key").where(F.contains(l, s)).select(s, l).distinct()
+
+
+def dropped_in_turn(pairs: DataFrame) -> DataFrame:
+    """(late): what a pass in order drops, of pairs (early, late) of which the late one goes if the early one stays.
+
+    Whatever has no earlier partner left stays and drops its later ones; those take
+    their own pairs with them, and so on in rounds, each a written table. The result is
+    that of one pass over all in order; the rounds are at most the longest chain of
+    pairs, and few where chains are short.
+    """
+    spark = pairs.sparkSession
+    gone = None
+    with scratch(spark) as keep:
+        left = keep(pairs.select("early", "late").distinct())
+        while not left.isEmpty():
+            stay = left.select("early").distinct().join(left.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+            go = keep(left.join(stay, "early", "left_semi").select("late").distinct())
+            gone = go if gone is None else gone.unionByName(go)
+            left = keep(left.join(go, "late", "left_anti").join(go.select(F.col("late").alias("early")), "early", "left_anti"))
+        return written(gone if gone is not None else left.select("late"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import FRAGMENTS, ITEM_KINDS, NOT_NAMES, PHANTOMS, PHRASE_WORDS, PROPERTIES, RELATIONS, STOP_WORDS
 from ..functions.text import tokens
-from .common import draw, first_by
+from ..sources.io import written
+from .common import draw, dropped_in_turn, first_by
 
 NAME = r"[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ][\wáàâãéêíóôõúç'-]+"
 PATTERNS = [rf"({NAME}(?:\s+{NAME}){{0,3}}) (?:é|is|est|ist|es) (?:um|uma|a|an|un|une|ein|eine)\b", rf"^({NAME}(?:\s+{NAME}){{0,3}}):", rf"^[•*-]\s*({NAME}(?:\s+{NAME}){{0,3}})", r"\b([A-ZÁÉÍÓÚÇ]{4,}(?:\s+[A-ZÁÉÍÓÚÇ]{2,}){0,3})\b", rf"\b({NAME}(?:\s+{NAME}){{1,3}})\b"]
@@ -264,11 +265,15 @@ def name_clusters(terms: DataFrame, stop_words: list[str] = STOP_WORDS, keep: in
 
 
 def merge_clusters(members: DataFrame, share: float = 0.7) -> DataFrame:
-    """(cluster_id, merged): clusters whose overlap is ``share`` of the smaller one go to the first of them."""
+    """(cluster_id, merged): in the order of clusters, each one left over takes in all later ones whose overlap with it is ``share`` of the smaller one."""
+    members = members.select("cluster_id", "entity").distinct()
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
     pairs = members.join(members.withColumnRenamed("cluster_id", "other"), "entity").where("other < cluster_id").groupBy("cluster_id", "other").agg(F.count("*").alias("common"))
     both = pairs.join(sizes, "cluster_id").join(sizes.select(F.col("cluster_id").alias("other"), F.col("n").alias("m")), "other")
-    into = both.where(F.col("common") >= share * F.least("n", "m")).groupBy("cluster_id").agg(F.min("other").alias("into"))
+    near = written(both.where(F.col("common") >= share * F.least("n", "m")).select(F.col("other").alias("early"), F.col("cluster_id").alias("late")))
+    gone = dropped_in_turn(near)
+    kept = near.join(gone.withColumnRenamed("late", "early"), "early", "left_anti")  # by those that stay themselves
+    into = kept.groupBy(F.col("late").alias("cluster_id")).agg(F.min("early").alias("into"))
     return sizes.join(into, "cluster_id", "left").select("cluster_id", F.coalesce("into", "cluster_id").alias("merged"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
-from .common import draw, first_by
+from .common import draw, first_by, held_names
 
 
 def ground_truth(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,8 +222,8 @@ def fuzzy_coverage(index: DataFrame, names: DataFrame, aliases: dict[str, str],
     b = names.select(F.col("name").alias("found"), key(F.col("name")).alias("kf")).distinct()
     equal = first_by(a.join(b, F.col("k") == F.col("kf")), ["name"], F.col("found")).select("name", "found", F.lit("covered").alias("status"))
     rest = a.join(equal.select("name"), "name", "left_anti")
-    by_word = rest.withColumn("w", F.explode(F.array_distinct(tokens(F.col("k"))))).join(b.withColumn("w", F.explode(F.array_distinct(tokens(F.col("kf"))))), "w")
-    partial = first_by(by_word.where("contains(k, kf) or contains(kf, k)"), ["name"], F.desc(F.length("kf")), F.col("found")).select("name", "found", F.lit("partial").alias("status"))
+    pairs = held_names(rest, "k", b, "kf").unionByName(held_names(b, "kf", rest, "k")).distinct()
+    partial = first_by(rest.join(pairs, "k").join(b, "kf"), ["name"], F.desc(F.length("kf")), F.col("found")).select("name", "found", F.lit("partial").alias("status"))
     missing = rest.join(partial.select("name"), "name", "left_anti").select("name", F.lit(None).cast("string").alias("found"), F.lit("missing").alias("status"))
     return equal.unionByName(partial).unionByName(missing)
 

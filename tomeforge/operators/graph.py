@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.rules import QUESTION_PREFIXES, STOP_WORDS, SYNONYMS
 from ..functions.text import key_phrase, strip, tokens
-from .common import contains_join, first_by
+from ..sources.io import work_dir, written
+from .common import contains_join, first_by, held_names
 
 FRAGMENT_PREFIXES = ["e", "de", "ou", "que", "com", "para"]
 
@@ -23,12 +25,22 @@ def relations_for(queries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def match_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, entity): the entity equal to, in, or holding the query; the longest, then the first by alphabet."""
+    """(query_id, entity): the entity equal to, in, or holding the query, of which one holds the other with a whole word; equal first, then the longest, then the first by alphabet.
+
+    Of the entities that hold a query of one word, only the best of each word takes part.
+    """
     asked = queries.select("query_id", F.lower("query").alias("q"))
-    named = entities.select(F.col("name").alias("entity"), F.lower("name").alias("e"))
-    tokened = asked.withColumn("w", F.explode(F.array_distinct(tokens(F.col("q")))))
-    pairs = tokened.join(named.withColumn("w", F.explode(F.array_distinct(tokens(F.col("e"))))), "w").where("contains(q, e) or contains(e, q)")
-    return first_by(pairs.select("query_id", "entity", (F.col("q") == F.col("e")).alias("same")).distinct(), ["query_id"], F.desc("same"), F.desc(F.length("entity")), F.col("entity")).select("query_id", "entity")
+    texts = asked.select("q").distinct()
+    named = entities.select(F.col("name").alias("entity"), F.lower("name").alias("e")).distinct()
+    names = named.select("e").distinct()
+    one_word = tokens(F.col("q")) == F.array("q")
+    inside = held_names(names, "e", texts, "q")
+    around = held_names(texts.where(~one_word), "q", names, "e")
+    best = first_by(names.select("e", F.explode(F.array_distinct(tokens(F.col("e")))).alias("q")), ["q"], F.desc(F.length("e")), F.col("e"))
+    alone = texts.where(one_word).join(best, "q")
+    pairs = inside.select("q", "e").unionByName(around.select("q", "e")).unionByName(alone.select("q", "e")).join(named, "e")
+    found = first_by(pairs, ["q"], F.desc(F.col("q") == F.col("e")), F.desc(F.length("entity")), F.col("entity"))
+    return asked.join(found, "q").select("query_id", "entity")
 
 
 def cluster_of(entities: DataFrame, members: DataFrame) -> DataFrame:
@@ -42,14 +54,15 @@ def members_of(clusters: DataFrame, members: DataFrame) -> DataFrame:
 def valid_terms(terms: DataFrame, entities: DataFrame, prefixes: list[str] = FRAGMENT_PREFIXES, stop_words: list[str] = STOP_WORDS, generic: list[str] = (), share: float = 0.3, legacy_prefix: bool = False) -> DataFrame:
     """Terms (term) fit to expand a query.
 
-    Fragments (a first word from ``prefixes``; with ``legacy_prefix`` any text that starts
-    so), digits, stop words alone and generic words go; what stays has two words or is an
-    entity, and occurs as a word in at most ``share`` of the entity names.
+    Single characters, fragments (a first word from ``prefixes``; with ``legacy_prefix``
+    any text that starts so), digits, stop words alone and generic words go; what stays
+    has two words or is an entity, and occurs as a word in at most ``share`` of the
+    entity names.
     """
     words = tokens(F.col("term"))
     lowered = F.lower(F.trim("term"))
     fragment = reduce(lambda a, p: a | lowered.startswith(p if legacy_prefix else f"{p} "), prefixes, F.lit(False))
-    idle = fragment | lowered.rlike(r"^\d+$") | (F.size(F.filter(words, lambda w: ~w.isin(*stop_words))) == 0) | lowered.isin(*(generic or [""]))
+    idle = (F.length(lowered) < 2) | fragment | lowered.rlike(r"^\d+$") | (F.size(F.filter(words, lambda w: ~w.isin(*stop_words))) == 0) | lowered.isin(*(generic or [""]))
     kept = terms.where(~idle).withColumn("key", lowered)
     names = entities.select(F.lower("name").alias("key")).distinct()
     known = kept.join(names.withColumn("known", F.lit(True)), "key", "left")
@@ -61,22 +74,53 @@ def valid_terms(terms: DataFrame, entities: DataFrame, prefixes: list[str] = FRA
     return kept.select("term").distinct().join(rarest, "term").crossJoin(F.broadcast(n)).where(F.col("df") <= share * F.col("n")).select("term")
 
 
-def expand_with_graph(queries: DataFrame, edges: DataFrame, entities: DataFrame, members: DataFrame, limit: int = 5) -> DataFrame:
-    """(query_id, term, weight): the query at 1.0, targets of its entity's edges and its cluster mates.
+def mates_of(members: DataFrame, clusters: DataFrame, limit: int) -> DataFrame:
+    """(cluster_id, entity): the first ``limit`` + 1 members of each of some clusters, by alphabet; the cut is made before any shuffle gathers a cluster."""
+    return first_by(members.join(clusters.select("cluster_id").distinct(), "cluster_id", "left_semi").select("cluster_id", "entity").distinct(), ["cluster_id"], F.col("entity"), n=limit + 1)
+
+
+def coherent(members: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Members of clusters whose ``label``, if there is one, has four characters or more and a word that is no stop word."""
+    if "label" not in members.columns:
+        return members
+    words = F.split(F.replace(F.lower("label"), F.lit("_"), F.lit(" ")), " ")
+    return members.where((F.length("label") >= 4) & F.exists(words, lambda w: (w != "") & ~w.isin(*stop_words)))
+
 
-    is_a, school and element targets that are entities weigh 0.9, cost, effect and other
-    targets 0.8, cluster mates 0.7; at most ``limit`` terms, best first.
+def expand_with_graph(queries: DataFrame, edges: DataFrame, entities: DataFrame, members: DataFrame, limit: int = 5, **fit) -> DataFrame:
+    """(query_id, term, weight): at most ``limit`` terms for each query, itself first at 1.0.
+
+    For the query's entity there follow, in this order: targets of is_a, school and
+    element that are entities (0.9); mates of its first cluster, if that is coherent
+    (0.7); costs as "… PM" and effects (0.8); targets of is_a, school and element that
+    are no entities (0.8); each by alphabet. Only terms that ``valid_terms`` passes
+    (``fit``: its parameters) and that are new whatever the case count, and bare
+    numbers are no costs. Candidates are cut to ``limit`` (mates to one more) for each
+    entity or cluster before they meet the queries, which is as many as can be needed.
     """
-    found = match_entity(queries, entities)
-    targets = found.join(edges, F.upper("entity") == F.upper("src")).select("query_id", "entity", "relation", F.col("dst").alias("term"))
-    known = targets.join(entities.select(F.lower("name").alias("k")).distinct(), F.lower("term") == F.col("k"), "left")
-    close = F.col("relation").isin("is_a", "school", "element") & F.col("k").isNotNull()
-    related = known.select("query_id", "term", F.when(close, 0.9).otherwise(0.8).alias("weight"))
-    own = found.join(members.withColumnRenamed("entity", "member"), F.lower("entity") == F.lower("member")).select("query_id", "entity", "cluster_id")
-    mates = own.join(members.withColumnRenamed("entity", "term"), "cluster_id").where("lower(term) <> lower(entity)").select("query_id", "term", F.lit(0.7).alias("weight"))
-    rows = queries.select("query_id", F.col("query").alias("term"), F.lit(1.0).alias("weight")).unionByName(related).unionByName(mates)
-    best = first_by(rows.withColumn("k", F.lower("term")), ["query_id", "k"], F.desc("weight"), F.col("term"))
-    return first_by(best, ["query_id"], F.desc("weight"), F.col("term"), n=limit).select("query_id", "term", "weight")
+    found = written(match_entity(queries, entities))
+    asked = found.select(F.upper("entity").alias("key")).distinct()
+    known = entities.select(F.lower("name").alias("low")).distinct().withColumn("known", F.lit(True))
+    target = F.trim("dst")
+    own = edges.withColumn("key", F.upper("src")).join(asked, "key", "left_semi").select("key", "relation", target.alias("dst"), F.lower(target).alias("low")).join(known, "low", "left")
+    kind = F.col("relation").isin("is_a", "school", "element")
+    cost = F.when(~F.col("dst").rlike(r"^\d+$"), F.concat("dst", F.lit(" PM")))
+    term = F.when(F.col("relation") == "cost_pm", cost).when(kind | (F.col("relation") == "effect"), F.col("dst"))
+    tier = F.when(kind & F.col("known"), 1).when(kind, 4).otherwise(3)
+    own = written(own.select("key", term.alias("term"), tier.alias("tier")).where("term is not null").distinct())
+    held = members.withColumn("key", F.upper("entity")).join(asked, "key", "left_semi")
+    clusters = written(first_by(coherent(held, fit.get("stop_words", STOP_WORDS)).select("key", "cluster_id"), ["key"], F.col("cluster_id")))
+    candidates = members.join(clusters.select("cluster_id").distinct(), "cluster_id", "left_semi").select("cluster_id", F.col("entity").alias("term")).distinct()
+    terms = written(own.select("term").unionByName(candidates.select("term")).distinct())
+    fit_terms = written(valid_terms(terms, entities, **fit))
+    own = first_by(own.join(fit_terms, "term", "left_semi"), ["key", "tier"], F.col("term"), n=limit)
+    mates = mates_of(candidates.join(fit_terms, "term", "left_semi").withColumnRenamed("term", "entity"), clusters, limit).withColumnRenamed("entity", "term")
+    mates = clusters.join(mates, "cluster_id").where("key <> upper(term)").select("key", "term", F.lit(2).alias("tier"))
+    related = found.select("query_id", F.upper("entity").alias("key")).join(own.unionByName(mates), "key").select("query_id", "term", "tier")
+    rows = queries.select("query_id", F.trim("query").alias("term"), F.lit(0).alias("tier")).unionByName(related)
+    best = first_by(rows.withColumn("low", F.lower("term")), ["query_id", "low"], F.col("tier"), F.col("term"))
+    weight = F.element_at(F.array(*map(F.lit, (1.0, 0.9, 0.7, 0.8, 0.8))), F.col("tier") + 1)
+    return first_by(best, ["query_id"], F.col("tier"), F.col("term"), n=limit).select("query_id", "term", weight.alias("weight"))
 
 
 def synonyms(queries: DataFrame, phrases: dict[str, list[str]] = SYNONYMS, limit: int = 2) -> DataFrame:
@@ -99,28 +143,39 @@ def query_variants(queries: DataFrame, phrases: dict[str, list[str]] = SYNONYMS,
 
 def enrich_queries(queries: DataFrame, edges: DataFrame, properties: DataFrame, members: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:
     """(query_id, entity, relations, properties, mates): at most ``limit`` of each for the matched entity."""
-    found = match_entity(queries, entities)
+    found = written(match_entity(queries, entities))
+    asked = found.select("entity").distinct()
 
     def some(rows: DataFrame, text: Column, name: str) -> DataFrame:
-        picked = first_by(rows.select("query_id", text.alias("x")).distinct(), ["query_id"], F.col("x"), n=limit)
-        return picked.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias(name))
+        """The first texts of each entity, before they meet the queries."""
+        picked = first_by(rows.select("entity", text.alias("x")).distinct(), ["entity"], F.col("x"), n=limit)
+        return picked.groupBy("entity").agg(F.sort_array(F.collect_list("x")).alias(name))
 
-    related = some(found.join(edges, F.upper("entity") == F.upper("src")), F.concat_ws(" ", "relation", "dst"), "relations")
-    props = some(found.join(properties, F.lower("entity") == F.lower("name")), F.concat_ws("=", "key", "value"), "properties")
-    own = found.join(members.withColumnRenamed("entity", "member"), F.lower("entity") == F.lower("member")).select("query_id", "entity", "cluster_id")
-    mates = some(own.join(members.withColumnRenamed("entity", "mate"), "cluster_id").where("lower(mate) <> lower(entity)"), F.col("mate"), "mates")
-    return found.join(related, "query_id", "left").join(props, "query_id", "left").join(mates, "query_id", "left")
+    related = some(asked.join(edges, F.upper("entity") == F.upper("src")), F.concat_ws(" ", "relation", "dst"), "relations")
+    props = some(asked.join(properties, F.lower("entity") == F.lower("name")), F.concat_ws("=", "key", "value"), "properties")
+    own = asked.join(members.withColumnRenamed("entity", "member"), F.lower("entity") == F.lower("member")).select("entity", "cluster_id")
+    near = own.join(mates_of(members, own, limit).withColumnRenamed("entity", "mate"), "cluster_id").where("lower(mate) <> lower(entity)")
+    mates = some(near, F.col("mate"), "mates")
+    return found.join(related, "entity", "left").join(props, "entity", "left").join(mates, "entity", "left").select("query_id", "entity", "relations", "properties", "mates")
 
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, hop): nodes within ``hops`` steps of each seed over undirected edges (src, dst), at the fewest steps."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop"))
-    frontier = reached
+    """(seed, node, hop): nodes within ``hops`` steps of each seed over undirected edges (src, dst), at the fewest steps.
+
+    Each hop is written and joined from there, so that its plan holds the last frontier
+    and the nodes reached so far as files; an empty frontier ends the search.
+    """
+    spark = seeds.sparkSession
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null").distinct()
+    path = work_dir(spark)
+    start = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    schema = StructType(start.schema.fields).add("hop", "integer")
+    start.write.parquet(f"{path}/hop=0")
     for hop in range(1, hops + 1):
+        frontier = spark.read.schema(start.schema).parquet(f"{path}/hop={hop - 1}")
+        if frontier.isEmpty():
+            break
+        reached = spark.read.schema(schema).parquet(path).select("seed", "node")
         step = frontier.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        reached = reached.unionByName(frontier)
-    return reached
-
-
+        step.join(reached, ["seed", "node"], "left_anti").write.parquet(f"{path}/hop={hop}")
+    return spark.read.schema(schema).parquet(path)

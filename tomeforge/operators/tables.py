@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, rules
-from .common import first_by
+from .common import first_by, held_names
 
 STATS = ["forca", "habilidade", "resistencia", "armadura", "pv", "pm"]
 
@@ -135,17 +135,15 @@ def accept_tables(df: DataFrame, kinds: list[str], least_rows: int) -> DataFrame
 def find_by_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     """(query, ...row, exact): rows whose lower-cased name equals the query; where none does, rows whose name holds it or is in it.
 
-    The second step takes only queries without an exact row and pairs them by a shared token.
+    The second step takes only queries without an exact row, and names that share a word.
     """
-    from ..functions.text import tokens
-
     keyed = rows.withColumn("key", F.lower("nome"))
     asked = names.select("query", F.lower("query").alias("key")).distinct()
     exact = asked.join(keyed, "key").withColumn("exact", F.lit(True))
-    rest = asked.join(exact.select("query").distinct(), "query", "left_anti")
-    by_token = rest.withColumn("w", F.explode(F.array_distinct(tokens(F.col("key"))))).withColumnRenamed("key", "asked")
-    rows_by_token = keyed.withColumn("w", F.explode(F.array_distinct(tokens(F.col("key")))))
-    partial = by_token.join(rows_by_token, "w").where("contains(key, asked) or contains(asked, key)").drop("w", "asked").distinct()
+    rest = asked.join(exact.select("query").distinct(), "query", "left_anti").withColumnRenamed("key", "asked")
+    known = keyed.select("key").distinct()
+    pairs = held_names(rest, "asked", known, "key").unionByName(held_names(known, "key", rest, "asked")).distinct()
+    partial = rest.join(pairs, "asked").join(keyed, "key").drop("asked").distinct()
     return exact.unionByName(partial.withColumn("exact", F.lit(False)))
 
 

@@ -46,8 +46,9 @@ def located_names(spark, sf):
     return catalog.locate_names(names, table(spark, sf, "documents"))
 
 
-@R.add("""WITH a AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name LIKE 'red%'), b AS (SELECT DISTINCT p_name || ' two' AS name FROM part WHERE p_size > 10)
-SELECT name FROM a UNION ALL SELECT name FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(b.name, a.name))""")
+@R.add("""WITH a AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name LIKE 'red%'), b AS (SELECT DISTINCT p_name || ' two' AS name FROM part WHERE p_size > 10),
+c AS (SELECT name FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(b.name, a.name)))
+SELECT name FROM a UNION ALL SELECT name FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.name < c.name AND (contains(c.name, x.name) OR contains(x.name, c.name)))""")
 def cascade_merge(spark, sf):
     return catalog.cascade_merge([_names(spark, sf, "p_name like 'red%'"), _names(spark, sf, "p_size > 10").select(F.concat("name", F.lit(" two")).alias("name"))]).select("name")
 

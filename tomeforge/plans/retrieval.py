@@ -204,14 +204,24 @@ def matched_entities(spark, sf):
     return graph.match_entity(asked, part.select(F.col("p_name").alias("name")).distinct())
 
 
-@R.add(f"""WITH g AS ({EDGES}), e AS (SELECT src AS name FROM g UNION SELECT dst FROM g), q AS (SELECT s_suppkey AS query_id, s_name AS query, s_nationkey FROM supplier),
-t AS (SELECT query_id, query AS term, 1.0 AS weight FROM q UNION ALL SELECT query_id, dst, 0.9 FROM q JOIN g ON src = query UNION ALL SELECT q.query_id, s.s_name, 0.7 FROM q JOIN supplier s ON s.s_nationkey = q.s_nationkey AND s.s_name <> q.query),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS p FROM t) SELECT query_id, term, CAST(weight AS DOUBLE) AS weight FROM r WHERE p <= 5""")
+@R.add(f"""WITH g AS ({EDGES}), s AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+t AS (SELECT s_suppkey AS query_id, s_name AS term, 1.0 AS weight, 0 AS tier FROM s UNION ALL SELECT s_suppkey, n_name, 0.9, 1 FROM s
+  UNION ALL SELECT q.s_suppkey, m.s_name, 0.7, 2 FROM s q JOIN s m ON m.s_nationkey = q.s_nationkey AND m.s_name <> q.s_name
+  UNION ALL SELECT s_suppkey, '1 a ' || s_suppkey || ' PM', 0.8, 3 FROM s WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 'heals ' || n_name, 0.8, 3 FROM s
+  UNION ALL SELECT s_suppkey, 'school of ' || r_name, 0.8, 4 FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, term) AS p FROM t) SELECT query_id, term, CAST(weight AS DOUBLE) AS weight FROM r WHERE p <= 8""")
 def expand_graph(spark, sf):
-    s = table(spark, sf, "supplier")
+    """Suppliers as queries: their nation, mates, costs (bare numbers among them, which are none), effects and a school that is no entity."""
+    s, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
     asked = s.select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("query"))
     members = s.select(F.col("s_nationkey").alias("cluster_id"), F.col("s_name").alias("entity"))
-    return graph.expand_with_graph(asked, _edges(spark, sf), _entities(spark, sf), members)
+    placed = s.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("s_suppkey").cast("string")
+    more = {"cost_pm": F.when(F.col("s_suppkey") % 2 == 0, key).otherwise(F.concat(F.lit("1 a "), key)), "effect": F.concat(F.lit("heals "), "n_name"), "school": F.concat(F.lit("school of "), "r_name")}
+    edges = _edges(spark, sf)
+    for relation, target in more.items():
+        edges = edges.unionByName(placed.select(F.col("s_name").alias("src"), F.lit(relation).alias("relation"), target.alias("dst")))
+    return graph.expand_with_graph(asked, edges, _entities(spark, sf), members, limit=8)
 
 
 @R.add(f"""WITH RECURSIVE g AS ({EDGES}), u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), w AS (SELECT r_name AS seed, r_name AS node, 0 AS hop FROM region UNION SELECT seed, dst, hop + 1 FROM w JOIN u ON src = node WHERE hop < 3)

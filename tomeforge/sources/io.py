@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,35 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tomeforge-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder of its own and read back: its lineage ends in files. They stay until the folder is cleared."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function like ``written``, whose tables are deleted at the end of the block."""
+    root, n = work_dir(spark), 0
+
+    def keep(df: DataFrame) -> DataFrame:
+        nonlocal n
+        path, n = f"{root}/{n}", n + 1
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        delete(spark, root)
+
+
 def read_pages(spark: SparkSession, path: str, schema: str = "path string, page int, text string") -> DataFrame:
     """Pages from JSON lines below ``path``, folders within folders too; ``broken`` holds lines that can't be read."""
     reader = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
