@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, garbage_share, occurrences, strip, tokens
+from ..sources.io import scratch, written
 from .common import contains_join, dropped_in_turn, first_by, held_names, prioritised, small
 
 
@@ -23,34 +24,96 @@ def blocks(pages: DataFrame, opener: str, fields: dict[str, str], key: str = "do
 
 SPELL_OPENER = r"(?m)^[^\n:]{3,60}\n\s*Escola:"
 SPELL_FIELDS = {"nome": r"^([^\n]+)", "escola": r"Escola:\s*([^\n]+)", "custo": r"Custo:\s*([^\n]+)", "alcance": r"Alcance:\s*([^\n]+)", "duracao": r"Duração:\s*([^\n.;]+)"}
-STAT_OPENER = r"(?m)^[^\n:]{3,50}:\s*F\d+,\s*H\d+,\s*R\d+,\s*A\d+,\s*PdF\d+"
+#: A digit as OCR reads it, and what parts stats.
+_D = r"[\dOolIS]+"
+_GAP = r"\s*(?:[,;]|\s)\s*"
+STAT_LINE = r"(?m)^[^\n:]{3,50}:\s*F\d+,\s*H\d+,\s*R\d+,\s*A\d+,\s*PdF\d+(?:,\s*[^\n.]+)?"
 STAT_FIELDS = {"nome": r"^([^\n:]+):", "forca": r"F(\d+)", "habilidade": r"H(\d+)", "resistencia": r"R(\d+)", "armadura": r",\s*A(\d+)", "pdf": r"PdF(\d+)", "habilidades": r"PdF\d+,\s*([^\n.]+)"}
+#: Stats parted by commas, semicolons, spaces or line ends; the name is on a line before them.
+LOOSE_STATS = rf"(?<![\p{{L}}\d])F\s*{_D}{_GAP}H\s*{_D}{_GAP}R\s*{_D}{_GAP}A\s*{_D}{_GAP}PdF\s*{_D}"
+LOOSE_FIELDS = {"forca": rf"^F\s*({_D})", "habilidade": rf"[,;\s]H\s*({_D})", "resistencia": rf"[,;\s]R\s*({_D})", "armadura": rf"[,;\s]A\s*({_D})", "pdf": rf"PdF\s*({_D})"}
+#: The other system's stats.
+CON_STATS = rf"(?<![\p{{L}}\d])CON\s*{_D}{_GAP}FR\s*{_D}{_GAP}DEX\s*{_D}(?:{_GAP}(?:AGI|AG)\s*{_D})?"
+CON_FIELDS = {"con": rf"CON\s*({_D})", "fr": rf"FR\s*({_D})", "dex": rf"DEX\s*({_D})", "agi": rf"(?:AGI|AG)\s*({_D})"}
+#: Strict layouts first.
+LAYOUTS = [(STAT_LINE, STAT_FIELDS), (LOOSE_STATS, LOOSE_FIELDS), (CON_STATS, CON_FIELDS)]
+#: Lines that can be a name, and those that are attacks or other stats.
+NAME_LINE, NO_NAME = r"^\p{L}[\p{L} '-]{2,49}$", r"(?iu)^(?:con |mordida|garras|pancada|pinça|asfixia|bicada|cauda|bico)"
 
 
 def spell_blocks(pages: DataFrame) -> DataFrame:
     return blocks(pages, SPELL_OPENER, SPELL_FIELDS)
 
 
-#: Stats on the lines after the name, parted by commas, semicolons, spaces or line ends, with digits as OCR reads them.
-_N = r"([\dOolIS]+)"
-_GAP = r"\s*(?:[,;]|\s)\s*"
-LOOSE_OPENER = rf"(?m)^[^\n:]{{3,50}}\n\s*F\s*[\dOolIS]+{_GAP}H\s*[\dOolIS]+{_GAP}R\s*[\dOolIS]+{_GAP}A\s*[\dOolIS]+{_GAP}PdF\s*[\dOolIS]+"
-LOOSE_FIELDS = {"nome": r"^([^\n]+)", "forca": rf"\n\s*F\s*{_N}", "habilidade": rf"[,;\s]H\s*{_N}", "resistencia": rf"[,;\s]R\s*{_N}", "armadura": rf"[,;\s]A\s*{_N}", "pdf": rf"PdF\s*{_N}"}
-#: The other system's stats.
-CON_OPENER = rf"(?m)^[^\n:]{{3,50}}\n\s*CON\s*[\dOolIS-]+{_GAP}FR\s*[\dOolIS-]+{_GAP}DEX\s*[\dOolIS-]+"
-CON_FIELDS = {"nome": r"^([^\n]+)", "con": rf"CON\s*{_N}", "fr": rf"FR\s*{_N}", "dex": rf"DEX\s*{_N}", "agi": rf"(?:AGI|AG)\s*{_N}"}
-LAYOUTS = [(STAT_OPENER, STAT_FIELDS), (LOOSE_OPENER, LOOSE_FIELDS), (CON_OPENER, CON_FIELDS)]
+def matches(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, match, gap): all matches of a pattern, left to right, with their offsets and the text since the one before."""
+    cut, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = texts.select(key, F.posexplode(F.arrays_zip(F.slice(cut, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))).alias("place", "x")).select(key, "place", "x.*")
+    size = F.length("gap") + F.length("match")
+    rows = rows.withColumn("end", F.sum(size).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.select(key, (F.col("end") - F.length("match")).alias("start"), "end", "match", "gap")
+
+
+def uncovered(taken: DataFrame, more: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``taken`` and those of ``more`` that overlap none of it, by [start, end) inside a key; ``taken`` must not overlap itself."""
+    rows = taken.withColumn("__taken", F.lit(True)).unionByName(more.withColumn("__taken", F.lit(False)), allowMissingColumns=True)
+    by = Window.partitionBy(key).orderBy("start")
+    before = F.max(F.when(F.col("__taken"), F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(F.col("__taken"), F.col("start"))).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumns({"__before": before, "__after": after})
+    free = (F.coalesce("__before", F.lit(0)) <= F.col("start")) & (F.coalesce("__after", F.col("end")) >= F.col("end"))
+    return rows.where(F.col("__taken") | free).drop("__taken", "__before", "__after")
+
+
+def page_offsets(pages: DataFrame, key: str = "doc_id", gap: int = 2) -> DataFrame:
+    """(key, page, start): where each page begins in the text of all pages of its key, joined by ``gap`` characters."""
+    before = Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return pages.select(key, "page", F.coalesce(F.sum(F.length("text") + gap).over(before), F.lit(0)).alias("start"))
 
 
-def stat_blocks(pages: DataFrame, layouts: list[tuple[str, dict[str, str]]] = LAYOUTS) -> DataFrame:
-    """Stat blocks by several layouts, strict ones first; the first block of a name in a document stays.
+def on_pages(rows: DataFrame, offsets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add the ``page`` that holds each row's ``start``: the last one that begins at or before it."""
+    marks = offsets.select(key, "start", F.col("page").alias("__page"), F.lit(0).alias("__kind"))
+    both = rows.withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    last = F.last("__page", ignorenulls=True).over(Window.partitionBy(key).orderBy("start", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("page", last).where("__kind = 1").drop("__page", "__kind")
 
-    Fields that a layout lacks are null; letters that OCR reads for digits are mended in all fields but names and abilities.
+
+def name_before(gap: Column, line: str = NAME_LINE, no_name: str = NO_NAME) -> Column:
+    """The nearest line at the end of a text that can be a name; null if none can."""
+    lines = F.transform(F.split(gap, r"\n"), lambda x: strip(x))
+    return F.try_element_at(F.filter(lines, lambda x: x.rlike(line) & ~x.rlike(no_name)), F.lit(-1))
+
+
+def stat_blocks(texts: DataFrame, layouts: list[tuple[str, dict[str, str]]] = LAYOUTS, offsets: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, layout, nome, <fields>, description[, page]): stat blocks by several layouts, strict ones first.
+
+    A later layout takes only places that no earlier one covers. The name is a field of
+    the match, or else the nearest line before it, since the block before, that can be
+    one; blocks without a name of 3 to 50 characters, or of digits alone, are none. The
+    first block of a name stays in each text, whatever the case; by layouts, then by
+    place. Fields that a layout lacks are null, and letters that OCR reads for digits
+    are mended in all but names and abilities. The description runs to the next block.
+    ``offsets`` (key, page, start) of the pages in the texts give the page.
     """
     numbers = sorted({name for _, fields in layouts for name in fields} - {"nome", "habilidades"})
-    found = [blocks(pages, opener, fields).withColumn("priority", F.lit(i)) for i, (opener, fields) in enumerate(layouts)]
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
-    return first_by(rows.withColumns({name: ocr_digits(F.col(name)) for name in numbers}), ["doc_id", "nome"], F.col("priority"), F.col("block_no")).drop("priority")
+    names = list(dict.fromkeys(name for _, fields in layouts for name in fields))
+    taken = None
+    for i, (pattern, fields) in enumerate(layouts):
+        found = matches(texts, pattern, key)
+        nome = F.trim(F.regexp_extract("match", fields["nome"], 1)) if "nome" in fields else name_before(F.col("gap"))
+        kinds = {name: F.nullif(F.trim(F.regexp_extract("match", p, 1)), F.lit("")) for name, p in fields.items()} | {"nome": nome}
+        found = found.select(key, "start", "end", F.lit(i).alias("layout"), *[value.alias(name) for name, value in kinds.items()])
+        taken = found if taken is None else uncovered(taken, found, key)
+    rows = taken.where(F.length("nome").between(3, 50) & ~F.col("nome").rlike(r"^[\d\s-]+$"))
+    rows = rows.withColumns({name: ocr_digits(F.col(name)) for name in numbers})
+    rows = rows.withColumn("next", F.lead("start").over(Window.partitionBy(key).orderBy("start")))
+    rows = first_by(rows.withColumn("low", F.lower("nome")), [key, "low"], F.col("layout"), F.col("start")).drop("low")
+    if offsets is not None:
+        rows = on_pages(rows, offsets, key)
+    held = rows.groupBy(key).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != key])).alias("b"))  # of one text
+    rows = held.join(texts.select(key, "text"), key).select(key, F.explode(F.transform("b", lambda b: F.struct(b.alias("b"), strip(F.substring("text", b["end"] + 1, F.coalesce(b["next"], F.length("text").cast("long")) - b["end"])).alias("d")))).alias("x"))
+    return rows.select(key, *[f"x.b.{c}" for c in ("start", "end", "layout", *(["nome"] if "nome" not in names else []), *names)], F.col("x.d").alias("description"), *(["x.b.page"] if offsets is not None else []))
 
 
 def ocr_digits(text: Column) -> Column:
@@ -93,6 +156,102 @@ def locate_names(index: DataFrame, docs: DataFrame, fuzzy: float = 0.75, longest
     return first_by(found.unionByName(fuzzy_hits), ["name"], F.desc("confidence"), F.col("doc_id")).select("name", "doc_id", method.alias("method"), "confidence")
 
 
+#: Fields of an entry, as written and as OCR reads them; these words are those of the books and fixed.
+_SCHOOL, _COST, _TIME = r"(?:Escola|Ex[i!1l]g[eê6]n[cç][ilu1]a?s?)", r"(?:Custo|Custa|Cu1to|Culto)", r"(?:Dura[çc][ãa]o|Our[1l]{1,2}[Çc]io|Dunçio|Duraçlo|Our19Ao)"
+_HEAD = rf"(?:{_SCHOOL}|{_COST}):"
+ENTRY_FIELDS = {
+    "escola": rf"(?iu){_SCHOOL}:\s*([^.\n]+)",
+    "custo": rf"(?iu){_COST}[:.]\s*([^.\n]+)",
+    "alcance": r"(?iu)(?:Alcance|A1CanC11|Alcanct|Alcara):\s*([^;.\n]+)",
+    "duracao": rf"(?iu){_TIME}:\s*([^.\n]+)",
+    "descricao": rf"(?isu){_TIME}:[^.\n]+(.*?)(?=\n\s*[\p{{L}}][\p{{L}}\s'-]{{4,50}}\s*\n\s*{_HEAD}|\z)",
+}
+INDICATOR, HEADING = rf"(?iu){_HEAD}", rf"(?iu)([\p{{L}}][\p{{L}} '-]{{3,50}}?)\s*\n\s*{_HEAD}"
+BEFORE, AFTER, NEAR = 100, 2500, 300
+
+
+def entry_at(text: Column, at: Column, fields: dict[str, str]) -> Column:
+    """(at, confidence, <fields>) of the entry whose name stands at an offset: the share of the fields that its surroundings fill."""
+    first = F.greatest(at - BEFORE, F.lit(0))
+    near = F.substring(text, first + 1, at + AFTER - first)
+    values = {name: F.nullif(strip(F.regexp_extract(near, p, 1)), F.lit("")) for name, p in fields.items()}
+    filled = sum((v.isNotNull().cast("int") for v in values.values()), F.lit(0))
+    return F.struct(at.alias("at"), (filled / len(fields)).alias("confidence"), *[v.alias(n) for n, v in values.items()])
+
+
+def best_entry(text: Column, places: Column, fields: dict[str, str], floor: float, enough: float) -> Column:
+    """Of the entries at some offsets the first that is sure enough, or else the surest one above the floor, or else null."""
+    entries = F.transform(places, lambda at: entry_at(text, at, fields))
+    sure = F.get(F.filter(entries, lambda e: e["confidence"] >= enough), F.lit(0))
+    ranked = F.array_sort(F.transform(F.filter(entries, lambda e: e["confidence"] > floor), lambda e: F.struct((-e["confidence"]).alias("c"), e["at"].alias("a"), e.alias("e"))))
+    return F.coalesce(sure, F.get(ranked, F.lit(0))["e"])
+
+
+def places_of(text: Column, name: Column, most: int) -> Column:
+    """Offsets of the first occurrences of a name, at most ``most``, left to right without overlaps."""
+    gaps = F.split(text, F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), most + 1)
+    sizes = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g))
+    return F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * F.length(name))
+
+
+def locate_entries(index: DataFrame, books: DataFrame, fields: dict[str, str] = ENTRY_FIELDS, order: str = "doc_id", floor: float = 0.3, enough: float = 0.8, fuzzy: float = 0.75, most: int = 15) -> DataFrame:
+    """(name, doc_id, method, at, confidence, <fields>): the entry of each index name in the first book, by ``order``, that has one above the floor; method "missing" without one.
+
+    In each book the first of these steps that finds an entry decides: the name as it
+    is, whatever the case, without accents (of its first ``most`` places the surest, or
+    the first that is sure enough); its first word, of four letters or more, where one
+    of the indicators follows within 300 characters; the heading of an entry that is
+    nearly the name (1 - Levenshtein distance / longer length of ``fuzzy`` or more, and a
+    word or the first two letters in common). Confidence is the share of the fields
+    found. A step passes over books behind the one that an earlier step has settled on.
+    """
+    spark = index.sparkSession
+    named = index.select("name").where("trim(name) <> ''").distinct()
+    books = books.select("doc_id", F.col(order).alias("turn"), "text").where("text is not null")
+    kinds = [F.col("name"), F.lower("name"), fold(F.col("name"))]
+    texts = [F.col("text"), F.lower("text"), fold(F.col("text"))]
+    with scratch(spark) as keep:
+        held = contains_join(named.withColumn("f", fold(F.col("name"))), books.withColumn("t", fold(F.col("text"))), "f", "t", "doc_id")
+        tried = [F.when(F.contains(t, n), best_entry(F.col("text"), places_of(t, n, most), fields, floor, enough)) for t, n in zip(texts, kinds)]
+        method = F.coalesce(*[F.when(e.isNotNull(), F.lit(m)) for e, m in zip(tried, ("exact", "case", "accent"))])
+        found = keep(held.select("name", "doc_id", "turn", method.alias("method"), F.coalesce(*tried).alias("entry")).where("entry is not null"))
+
+        def open_pairs(pairs: DataFrame) -> DataFrame:
+            """Those of books before the one that a name is settled on, without a result of their own."""
+            settled = found.where(F.col("entry.confidence") > floor).groupBy("name").agg(F.min("turn").alias("settled"))
+            pairs = pairs.join(found.select("name", "doc_id"), ["name", "doc_id"], "left_anti").join(settled, "name", "left")
+            return pairs.where("settled is null or turn < settled").drop("settled")
+
+        marks = matches(books, INDICATOR).select("doc_id", "end")
+        marks = marks.join(books, "doc_id").withColumn("first", F.greatest(F.col("end") - NEAR, F.lit(0)))
+        windows = keep(marks.select("doc_id", "turn", "first", F.substring("text", F.col("first") + 1, F.col("end") - F.col("first")).alias("window")))
+        first_word = F.get(F.split(F.trim("name"), r"\s+"), F.lit(0))
+        headed = named.withColumn("w", F.lower(first_word)).where("length(w) > 3")
+        keys = windows.select("doc_id", "first", F.explode(F.array_distinct(tokens(F.col("window")))).alias("w"))
+        near = keys.join(headed.select("name", F.get(tokens(F.col("w")), F.lit(0)).alias("w"), first_word.alias("word")), "w").drop("w")
+        near = open_pairs(near.join(windows, ["doc_id", "first"]))
+        spot = F.regexp_instr("window", F.concat(F.lit("(?iuU)(?<!\\w)\\Q"), F.col("word"), F.lit("\\E(?!\\w)")))
+        near = near.withColumn("spot", spot).where("spot > 0").groupBy("name", "doc_id", "turn").agg(F.min(F.col("first") + F.col("spot") - 1).alias("at"))
+        near = near.join(books.select("doc_id", "text"), "doc_id").select("name", "doc_id", "turn", F.lit("first word").alias("method"), entry_at(F.col("text"), F.col("at"), fields).alias("entry"))
+        found = keep(found.unionByName(near))
+
+        heads = books.select("doc_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(HEADING), F.lit(1)))).alias("head"))
+        heads = heads.select("doc_id", "turn", strip(F.col("head")).alias("head")).where("length(head) >= 4").distinct()
+
+        def keyed(df: DataFrame, column: str) -> DataFrame:
+            folded = fold(F.col(column))
+            return df.withColumn("w", F.explode(F.array_distinct(F.concat(tokens(folded), F.array(F.concat(F.lit("^"), F.substring(folded, 1, 2)))))))
+
+        close = keyed(named, "name").join(keyed(heads, "head"), "w").drop("w").distinct()
+        share = 1 - F.levenshtein("name", "head") / F.greatest(F.length("name"), F.length("head"))
+        close = first_by(open_pairs(close.withColumn("share", share).where(F.col("share") >= fuzzy)), ["name", "doc_id"], F.desc("share"), F.col("head"))
+        close = close.join(books.select("doc_id", "text"), "doc_id").withColumn("at", F.instr("text", F.col("head")) - 1)
+        close = close.select("name", "doc_id", "turn", F.lit("fuzzy").alias("method"), entry_at(F.col("text"), F.col("at"), fields).alias("entry"))
+        best = first_by(found.unionByName(close).where(F.col("entry.confidence") > floor), ["name"], F.col("turn"), F.col("doc_id"))
+        rows = named.join(best, "name", "left").select("name", "doc_id", F.coalesce("method", F.lit("missing")).alias("method"), "entry.*")
+        return written(rows)
+
+
 def cascade_merge(strategies: list[DataFrame], order: str | None = None) -> DataFrame:
     """Rows (name, …) of strategies in order, those of one by ``order`` or else by name; a row goes if the names kept so far have one equal to it, holding it or inside it.
 

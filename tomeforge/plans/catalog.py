@@ -20,9 +20,15 @@ def _blocks(spark, sf):
     return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
-@R.add("SELECT p_partkey AS doc_id, p_name AS nome, CAST(p_size % 9 AS VARCHAR) AS armadura, p_type AS habilidades FROM part UNION ALL SELECT p_partkey, 'Other', '9', NULL FROM part UNION ALL SELECT p_partkey, 'Ogro Velho', CAST(p_size % 7 AS VARCHAR) || '5', NULL FROM part UNION ALL SELECT p_partkey, 'Anão', NULL, NULL FROM part")
+@R.add("""WITH p AS (SELECT *, p_partkey AS doc_id, length(p_name) + length(p_type) + length(CAST(p_size % 9 AS VARCHAR)) AS n FROM part)
+SELECT doc_id, p_name AS nome, CAST(p_size % 9 AS VARCHAR) AS armadura, p_type AS habilidades, 0 AS layout, 1 AS page, 6 AS start, 'more' AS description FROM p
+UNION ALL SELECT doc_id, 'Other', '9', NULL, 0, 1, n + 35, 'Ogro Velho' FROM p UNION ALL SELECT doc_id, 'Ogro Velho', CAST(p_size % 7 AS VARCHAR) || '5', NULL, 1, 2, n + 74, 'Anão' FROM p
+UNION ALL SELECT doc_id, 'Anão', NULL, NULL, 2, 2, n + 105, 'Fogo' || chr(10) || 'Escola: ' || p_brand || chr(10) || 'Custo: ' || p_size || ' PMs' FROM p""")
 def stat_blocks(spark, sf):
-    return catalog.stat_blocks(_blocks(spark, sf)).select("doc_id", "nome", "armadura", "habilidades")
+    """Blocks of three layouts on two pages; the loose layout also fits the strict block of Other, which is covered."""
+    blocks = _blocks(spark, sf)
+    offsets = blocks.select("doc_id", F.inline(F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start")), F.struct(F.lit(2).alias("page"), F.locate("Ogro", F.col("text")).alias("start")))))
+    return catalog.stat_blocks(blocks, offsets=offsets).select("doc_id", "nome", "armadura", "habilidades", "layout", "page", F.col("start").cast("int"), "description")
 
 
 @R.add("SELECT p_partkey AS doc_id, 'Fogo' AS nome, p_brand AS escola, CAST(p_size AS VARCHAR) || ' PMs' AS custo FROM part")
@@ -46,6 +52,20 @@ def located_names(spark, sf):
     return catalog.locate_names(names, table(spark, sf, "documents"))
 
 
+@R.add("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_partkey AS doc_id, p_name AS t, p_partkey % 3 AS k FROM part WHERE p_partkey % 3 < 2),
+m AS (SELECT name, doc_id, CASE WHEN contains(t, name) THEN CASE k WHEN 0 THEN 'exact' ELSE 'case' END
+  WHEN length(split_part(name, ' ', 1)) > 3 AND list_contains(string_split(t, ' '), split_part(name, ' ', 1)) THEN 'first word'
+  WHEN k = 0 AND 1 - CAST(levenshtein(name, t) AS DOUBLE) / greatest(length(name), length(t)) >= 0.75 THEN 'fuzzy' END AS method FROM n, b)
+SELECT n.name, min(doc_id) AS doc_id, coalesce(arg_min(method, doc_id), 'missing') AS method, CASE WHEN min(doc_id) IS NOT NULL THEN CAST(0.4 AS DOUBLE) END AS confidence FROM n LEFT JOIN m ON n.name = m.name AND method IS NOT NULL GROUP BY n.name""")
+def located_entries(spark, sf):
+    """Parts as books in order: entries as they are, in capitals, and mentions without fields, which are no entries."""
+    p = table(spark, sf, "part")
+    entry = F.concat(F.lit("\nEscola: "), "p_brand", F.lit(".\nCusto: "), F.col("p_size").cast("string"), F.lit(" PMs.\n"))
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", entry)).when(F.col("p_partkey") % 3 == 1, F.concat(F.upper("p_name"), entry)).otherwise(F.concat(F.lit("see "), "p_name", F.lit(" here")))
+    found = catalog.locate_entries(p.select(F.col("p_name").alias("name")), p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    return found.select("name", "doc_id", "method", "confidence")
+
+
 @R.add("""WITH a AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name LIKE 'red%'), b AS (SELECT DISTINCT p_name || ' two' AS name FROM part WHERE p_size > 10),
 c AS (SELECT name FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(b.name, a.name)))
 SELECT name FROM a UNION ALL SELECT name FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.name < c.name AND (contains(c.name, x.name) OR contains(x.name, c.name)))""")
