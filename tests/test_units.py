@@ -92,7 +92,7 @@ def test_entities(spark):
     assert [(s.start, s.end, s.label) for s in spans][:2] == [(0, 6, "M"), (21, 31, "M")]
     docs = spark.createDataFrame([(1, "o goblin rei e o goblin")], "doc_id long, text string")
     linked = entities.link_mentions(docs, spark.createDataFrame([("Goblin",), ("Goblin Rei",)], "name string")).collect()
-    assert sorted((r.pos, r["name"]) for r in linked) == [(1, "Goblin Rei"), (5, "Goblin")]
+    assert sorted((r.start, r.piece, r["name"]) for r in linked if r["name"]) == [(2, "goblin rei", "Goblin Rei"), (17, "goblin", "Goblin")]
 
 
 def test_variants_and_scorers(spark):

@@ -181,3 +181,14 @@ RELATIONS = [
 
 #: Portuguese function words.
 STOP_WORDS = "a o e de da do das dos em no na nos nas um uma uns umas para por com sem que se os as ao aos à às ou".split()
+#: What marks a chunk as one of spells, creatures or items, and the stats in it: fixed values.
+HINTS = {
+    "magia_has_cost_pm": r"(?iu)(custa?|gasta?|gasto)\s*[:]?\s*(\d+)\s*(PM|pontos?\s*de\s*man[áa])",
+    "magia_has_element": r"(?iu)(elemento|elemental)\s*[:]?.*?(fogo|[áa]gua|ar|terra|luz|trevas|gelo|rel[âa]mpago|natureza)|(escola|escolas)\s*[:]?.*?(elemental|branca|negra|arcana|divina|ilusionismo|necromancia)",
+    "magia_has_school": r"(?iu)(escola|escolas)\s*[:]?.*?(elemental|branca|negra|arcana|divina|ilusionismo|necromancia)",
+    "monstro_has_stats": r"(?iu)\bF\s*[:.]?\s*(\d+)[-–]?\d*\s*[,;]?\s*H\s*[:.]?\s*(\d+)[-–]?\d*\s*[,;]?\s*R\s*[:.]?\s*(\d+)[-–]?\d*\s*[,;]?\s*A\s*[:.]?\s*(\d+)[-–]?\d*\b",
+    "monstro_has_pv": r"(?iu)\b(PV|pontos?\s*de\s*vida)\s*[:.]?\s*(\d+)\b",
+    "item_has_preco": r"(?iu)(\d+)\s*(PEs?|PO|PP|PC|PL)\b",
+    "item_has_bonus": r"(?iu)b[ôo]nus\s*[:]?.*?([+-]?\d+)\s*(em\s+)?(FA|FD|PV|PM|teste|dano)",
+}
+STATS = r"(?iu)\b(?:F|Força|H|Habilidade|R|Resistência|A|Agilidade)[\s:]*\d+|\bPV\s*:?\s*\d+|\bPM\s*:?\s*\d+"

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import FRAGMENTS, ITEM_KINDS, NOT_NAMES, PHANTOMS, PHRASE_WORDS, PROPERTIES, RELATIONS, STOP_WORDS
+from ..functions.rules import FRAGMENTS, HINTS, ITEM_KINDS, NOT_NAMES, PHANTOMS, PHRASE_WORDS, PROPERTIES, RELATIONS, STATS, STOP_WORDS
 from ..functions.text import tokens
 from ..sources.io import written
 from .common import draw, dropped_in_turn, first_by
@@ -67,16 +69,41 @@ def score_chunks(chunks: DataFrame, rules: dict[str, list[tuple[str, str]]]) ->
     return chunks.select("chunk_id", *[total(of).alias(f"{kind}_score") for kind, of in rules.items()])
 
 
+def hint_chunks(chunks: DataFrame, hints: dict[str, str] = HINTS, stats: str = STATS, most: int = 8) -> DataFrame:
+    """(chunk_id, <hint>…, stats): for each chunk whether each hint's pattern is in it, and its first stats in one text, null if it has none."""
+    found = F.slice(F.regexp_extract_all("content", F.lit(stats), F.lit(0)), 1, most)
+    held = [F.coalesce(F.col("content").rlike(pattern), F.lit(False)).alias(name) for name, pattern in hints.items()]
+    return chunks.select("chunk_id", *held, F.nullif(F.array_join(found, " "), F.lit("")).alias("stats"))
+
+
 def aggregate_entities(candidates: DataFrame, scores: DataFrame, kinds: list[str], contexts: int = 5) -> DataFrame:
-    """(name, mentions, contexts, sources, <type>_score…): one row a name; first contexts in the order of chunks."""
-    both = candidates.join(scores, "chunk_id")
+    """(name, mentions, contexts, sources, <type>_score…, <hint>…, stats): one row a name; first contexts in the order of chunks.
+
+    Sources are the distinct values of a ``source`` column of the scores (a book and
+    page, say), else the chunks. Boolean columns of the scores are hints, true for a
+    name if they are for any of its chunks; of a ``stats`` column the first text by
+    chunk stays. Candidates are made once, joined and written, then read by both
+    aggregates: that of the sums and that of the first contexts.
+    """
+    both = written(candidates.join(scores, "chunk_id"))
+    given = dict(scores.dtypes)
     sums = [F.sum(f"{k}_score").alias(f"{k}_score") for k in kinds]
-    totals = both.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("chunk_id").alias("sources"), *sums)
-    first = first_by(both, ["name"], F.col("chunk_id"), F.col("pos"), n=contexts, rank="p")  # bounded before anything is collected
-    held = first.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.substring("context", 1, 300).alias("c")))), lambda x: x["c"]).alias("contexts"))
+    hints = [F.bool_or(name).alias(name) for name, kind in given.items() if kind == "boolean"]
+    stats = [F.min_by("stats", F.when(F.col("stats").isNotNull(), F.col("chunk_id"))).alias("stats")] if "stats" in given else []
+    source = "source" if "source" in given else "chunk_id"
+    totals = both.groupBy("name", F.col(source).alias("__source")).agg(F.count("*").alias("n"), *sums, *hints, *stats, *([F.min(F.when(F.col("stats").isNotNull(), F.col("chunk_id"))).alias("at")] if stats else []))
+    merged = [F.sum(f"{k}_score").alias(f"{k}_score") for k in kinds] + [F.bool_or(name).alias(name) for name, kind in given.items() if kind == "boolean"]
+    totals = totals.groupBy("name").agg(F.sum("n").alias("mentions"), F.count("*").alias("sources"), *merged, *([F.min_by("stats", "at").alias("stats")] if stats else []))
+    first = first_by(both.select("name", "chunk_id", "pos", F.substring("context", 1, 300).alias("context")), ["name"], F.col("chunk_id"), F.col("pos"), n=contexts, rank="p")  # bounded before anything is collected
+    held = first.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.col("context").alias("c")))), lambda x: x["c"]).alias("contexts"))
     return totals.join(held, "name")
 
 
+def entity_sources(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(name, source): each distinct source of a name, as rows, so that no name is gathered."""
+    return candidates.join(chunks.select("chunk_id", "source"), "chunk_id").select("name", "source").distinct()
+
+
 def resolve_type(df: DataFrame, kinds: list[str]) -> DataFrame:
     """Add type and confidence: best score 8 high, 5 medium, 3 with a lead of 2 promoted, 2 unknown, else generic; ties by the order of ``kinds``."""
     ordered = F.array_sort(F.array(*[F.struct((-F.col(f"{k}_score")).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(kinds)]))
@@ -322,12 +349,88 @@ def span_examples(entities: DataFrame, n: int = 500, seed: int = 42) -> DataFram
     return found.orderBy(draw("name", "pos", seed=seed), "name", "pos").limit(n).select("name", "text", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("name")).alias("end"), "label")
 
 
-def link_mentions(df: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 4) -> DataFrame:
-    """(key, pos, name): longest catalogue name at each word of a text, whatever the case, by joining word n-grams; overlapped later starts go."""
-    words = df.select(key, tokens(F.col(text)).alias("w"))
-    grams = words.select(key, F.posexplode(F.transform("w", lambda x, i: F.slice("w", i + 1, longest))).alias("pos", "next"))
-    grams = grams.select(key, "pos", F.explode(F.sequence(F.lit(1), F.size("next"))).alias("n"), "next").select(key, "pos", "n", F.array_join(F.slice("next", 1, F.col("n")), " ").alias("gram"))
-    named = names.select(F.array_join(tokens(F.col("name")), " ").alias("gram"), F.col("name")).where(F.length("name") >= 2).dropDuplicates(["gram"])
-    hits = first_by(grams.join(named, "gram").where((F.size(F.split("gram", " ")) == F.col("n"))), [key, "pos"], F.desc("n"))
-    reach = F.max(F.col("pos") + F.col("n")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    return hits.withColumn("reach", reach).where("reach is null or reach <= pos").select(key, "pos", "name")
+#: Bytes of names that one automaton holds; a larger table is searched in several passes.
+NAME_BYTES = 8 << 20
+
+
+def same_length_lower(text: str) -> str:
+    """Lower case, except for the few letters whose lower case is longer, so that offsets stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def longest_starts(names: list[tuple[str, str]]) -> Callable[[str], dict[int, tuple[int, str]]]:
+    """A search for the longest name (lower-cased, name) that begins at each place of a text."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for low, name in names:
+        machine.add_word(low, (len(low), name))
+    if names:
+        machine.make_automaton()
+
+    def search(text: str) -> dict[int, tuple[int, str]]:
+        found: dict[int, tuple[int, str]] = {}
+        for end, (size, name) in machine.iter(same_length_lower(text)) if names else ():
+            start = end - size + 1
+            if size > found.get(start, (0, ""))[0]:
+                found[start] = size, name
+        return found
+
+    return search
+
+
+def mention_pieces(text: str, found: dict[int, tuple[int, str]]) -> list[dict]:
+    """The text in pieces, left to right: at each place the longest name that begins there, and the text between."""
+    pieces, done = [], 0
+    for start in sorted(found):
+        size, name = found[start]
+        if start >= done:
+            if start > done:
+                pieces.append({"start": done, "piece": text[done:start], "name": None})
+            pieces.append({"start": start, "piece": text[start : start + size], "name": name})
+            done = start + size
+    if done < len(text):
+        pieces.append({"start": done, "piece": text[done:], "name": None})
+    return pieces
+
+
+def mention_search(shared: Broadcast, last: bool) -> Callable:
+    """The search for one part of the names: (text, places found so far) to pieces if it is the last part, else to all places."""
+
+    def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        find = longest_starts(shared.value)
+        for texts, before in batches:
+            out = []
+            for text, known in zip(texts.to_pylist(), before.to_pylist()):
+                found = find(text or "")
+                for start, x in known or ():
+                    if x["size"] > found.get(start, (0, ""))[0]:
+                        found[start] = x["size"], x["name"]
+                out.append(mention_pieces(text or "", found) if last else [(start, {"size": n, "name": name}) for start, (n, name) in found.items()])
+            entry = pa.struct([("start", pa.int32()), ("piece", pa.string()), ("name", pa.string())])
+            yield pa.array(out, pa.list_(entry) if last else pa.map_(pa.int32(), pa.struct([("size", pa.int32()), ("name", pa.string())])))
+
+    return search
+
+
+def link_mentions(df: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_bytes: int = NAME_BYTES) -> DataFrame:
+    """(key, place, start, piece, name): every text cut into mentions of catalogue names and the text between them, which has no name.
+
+    From left to right the longest name of two characters or more at each place is
+    taken, whatever the case; of names alike but for it the first by alphabet. The
+    pieces of a text put together are the text; null and empty texts have none. Names
+    go to the tasks as automata of at most ``name_bytes``, dealt by a hash of the name,
+    each a pass over the texts that keeps the longest name of every place.
+    """
+    kept, pieces = "map<int,struct<size:int,name:string>>", "array<struct<start:int,piece:string,name:string>>"
+    named = names.select(F.lower("name").alias("low"), "name").where(F.length("low") >= 2).groupBy("low").agg(F.min("name").alias("name"))
+    size = named.agg(F.sum(F.octet_length("low") + F.octet_length("name") + 64)).first()[0] or 0
+    parts = max(1, -(-size // name_bytes))
+    rows = df.select(key, F.col(text).alias("text"), F.lit(None).cast(kept).alias("found"))
+    for part in range(parts):
+        some = [(r.low, r["name"]) for r in named.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == part).collect()]  # of bounded size
+        shared, last = df.sparkSession.sparkContext.broadcast(some), part == parts - 1
+        rows = rows.withColumn("found", F.arrow_udf(mention_search(shared, last), pieces if last else kept)("text", "found"))
+        rows = rows if last else written(rows)
+    return rows.select(key, F.posexplode("found").alias("place", "x")).select(key, "place", "x.*")

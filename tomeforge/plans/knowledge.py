@@ -29,8 +29,13 @@ def _candidates(spark, sf):
     return entities.entity_candidates(_chunks(spark, sf), [NAME_PATTERN])
 
 
+HINTED = {"has_year": r"\b(19|20)[0-9]{2}\b", "has_insult": r"(?i)idiot|moron"}
+
+
 def _entities(spark, sf):
-    return entities.resolve_type(entities.aggregate_entities(_candidates(spark, sf), entities.score_chunks(_chunks(spark, sf), RULES), KINDS), KINDS)
+    chunks = _chunks(spark, sf)
+    scores = entities.score_chunks(chunks, RULES).join(entities.hint_chunks(chunks, HINTED, r"[0-9]{3,}"), "chunk_id")
+    return entities.resolve_type(entities.aggregate_entities(_candidates(spark, sf), scores, KINDS), KINDS)
 
 
 @R.add(SCORES)
@@ -38,16 +43,19 @@ def chunk_scores(spark, sf):
     return entities.score_chunks(_chunks(spark, sf), RULES)
 
 
-AGG = f"""WITH s AS ({SCORES}), c AS ({CANDIDATES}), a AS (SELECT name, count(*) AS mentions, count(DISTINCT chunk_id) AS sources, CAST(sum(alpha_score) AS BIGINT) AS alpha_score, CAST(sum(beta_score) AS BIGINT) AS beta_score FROM c JOIN s USING (chunk_id) GROUP BY name),
+AGG = f"""WITH s AS ({SCORES}), c AS ({CANDIDATES}), a AS (SELECT name, count(*) AS mentions, count(DISTINCT chunk_id) AS sources, CAST(sum(alpha_score) AS BIGINT) AS alpha_score, CAST(sum(beta_score) AS BIGINT) AS beta_score,
+  bool_or(regexp_matches(text, '\\b(19|20)[0-9]{{2}}\\b')) AS has_year, bool_or(regexp_matches(text, '(?i)idiot|moron')) AS has_insult,
+  arg_min(CASE WHEN regexp_matches(text, '[0-9]{{3,}}') THEN array_to_string(regexp_extract_all(text, '[0-9]{{3,}}')[:8], ' ') END, CASE WHEN regexp_matches(text, '[0-9]{{3,}}') THEN chunk_id END) AS stats
+  FROM c JOIN s USING (chunk_id) JOIN documents ON doc_id = chunk_id GROUP BY name),
 x AS (SELECT name, string_agg(context, '|' ORDER BY chunk_id) AS contexts, count(*) AS n_contexts FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY chunk_id) AS p FROM c) WHERE p <= 5 GROUP BY name),
 t AS (SELECT *, greatest(alpha_score, beta_score) AS top, least(alpha_score, beta_score) AS low FROM a JOIN x USING (name)),
 e AS (SELECT *, CASE WHEN top >= 5 OR (top >= 3 AND top - low >= 2) THEN CASE WHEN alpha_score >= beta_score THEN 'alpha' ELSE 'beta' END WHEN top >= 2 THEN 'desconhecido' ELSE 'generico' END AS type,
   CASE WHEN top >= 8 THEN 'alta' WHEN top >= 5 THEN 'media' WHEN top >= 3 AND top - low >= 2 THEN 'promovida' ELSE 'baixa' END AS confidence FROM t)"""
 
 
-@R.add(AGG + " SELECT name, mentions, sources, alpha_score, beta_score, contexts, type, confidence FROM e")
+@R.add(AGG + " SELECT name, mentions, sources, alpha_score, beta_score, has_year, has_insult, stats, contexts, type, confidence FROM e")
 def entity_types(spark, sf):
-    return _entities(spark, sf).select("name", "mentions", "sources", "alpha_score", "beta_score", F.array_join("contexts", "|").alias("contexts"), "type", "confidence")
+    return _entities(spark, sf).select("name", "mentions", "sources", "alpha_score", "beta_score", "has_year", "has_insult", "stats", F.array_join("contexts", "|").alias("contexts"), "type", "confidence")
 
 
 @R.add()
@@ -173,10 +181,20 @@ def weak_spans(spark, sf):
     return entities.weak_spans(table(spark, sf, "documents"), {"RUDE": ["idiot", "moron", "loser"]})
 
 
-@R.add(r"SELECT doc_id, CAST(n AS INT) AS n FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: w = 'idiot' OR w = 'moron')) AS n FROM documents) WHERE n > 0")
+LINKED = "SELECT name FROM (SELECT p_name AS name FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT n_name FROM nation UNION SELECT 'is' UNION SELECT 'this is not')"
+
+
+@R.add(f"""WITH n AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS p FROM (SELECT DISTINCT lower(name) AS name FROM ({LINKED}))), m AS (SELECT doc_id, text, regexp_extract_all(lower(text), p) AS found FROM documents, n)
+SELECT doc_id, len(found) AS mentions, md5(array_to_string(list_sort(found), '|')) AS names, md5(text) AS whole FROM m""")
 def linked_mentions(spark, sf):
-    found = entities.link_mentions(table(spark, sf, "documents"), spark.createDataFrame([("Idiot",), ("no such name",), ("moron",)], "name string"))
-    return found.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    """Mentions of the parts, their first words and the nations in all documents; the pieces of each text put together again."""
+    part = table(spark, sf, "part")
+    names = part.select(F.col("p_name").alias("name")).unionByName(part.select(F.substring_index("p_name", " ", 1).alias("name"))).unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("name")))
+    names = names.distinct().unionByName(spark.createDataFrame([("is",), ("this is not",)], "name string"))
+    found = entities.link_mentions(table(spark, sf, "documents"), names)
+    each = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "piece", "name"))).alias("p"))  # of one text
+    held = F.array_sort(F.transform(F.filter("p", lambda x: x["name"].isNotNull()), lambda x: F.lower(x["name"])))
+    return each.select("doc_id", F.size(held).cast("long").alias("mentions"), F.md5(F.array_join(held, "|").cast("binary")).alias("names"), F.md5(F.array_join(F.transform("p", lambda x: x["piece"]), "").cast("binary")).alias("whole"))
 
 
 @R.add("SELECT conv_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS labels FROM conversations GROUP BY conv_id")
