@@ -180,6 +180,35 @@ def test_streams_equal_batches(spark, tmp_path):
     assert memory_rows(spark, logs.feedback_means(feedback, "40 days"), "complete", "f").count() == 5
 
 
+def test_dormancies_of_a_stream(spark, tmp_path):
+    """A replayed log with late rows gives each dormancy once, as the table does up to the watermark; those who come back can be dormant again."""
+    hour = lambda h: f"2024-03-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    batches = [[(1, 0), (2, 3), (3, 5)], [(1, 30), (2, 9)], [(1, 12), (2, 26)], [(1, 90), (3, 100)], [(2, 118), (1, 119)], [(4, 200)]]  # 12 and 26 come late, within the delay
+    want, done = set(), {}
+    for b, rows in enumerate(batches):
+        spark.createDataFrame([(u, hour(h)) for u, h in rows], "user_id int, ts string").select("user_id", F.to_timestamp("ts").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"log/{b}"))
+    table = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
+    for user in (1, 2, 3, 4):
+        times = sorted(h for rows in batches for u, h in rows if u == user)
+        for a, b in zip(times, [*times[1:], None]):
+            if (b is None or b - a > 20) and a + 20 <= 200 - 24:
+                want.add((user, hour(a)))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
+    for name, rows in (("table", logs.dormancies(table, "20 hours").collect()), ("stream", memory_rows(spark, logs.dormancies(stream, "20 hours"), "append", "d").collect())):
+        assert sorted((r.user_id, str(r.last_seen)) for r in rows) == sorted(want), name
+    assert all((r.dormant_at - r.last_seen).total_seconds() == 20 * 3600 for r in rows)
+
+
+def test_normalize_job_counts_in_one_pass(spark, tmp_path):
+    cells = [("stats", {"nome": "a", "forca": "1", "habilidade": "1", "resistencia": "1", "armadura": "1", "pv": "2"}), ("stats", {"nome": "b"}), ("magias", {"nome": "c"}), ("other", {"nome": "d"}), ("magias", {})]
+    rows = spark.createDataFrame(cells, "table_type string, cells map<string,string>")
+    got = tables.normalize_job(rows, str(tmp_path / "n"))
+    counts = {r.table_type: r for r in tables.normalize_counts(tables.normalize_tables(rows)).collect()}
+    assert (got["processed"], got["normalized"], got["rejected"]) == (5, 2, 3)
+    assert all(got[f"{k}_{c}"] == counts[k][c] for k in ("stats", "magias") for c in ("normalized", "rejected")) and got["equipamentos_normalized"] == 0
+    assert spark.read.parquet(str(tmp_path / "n")).count() == 5
+
+
 def test_incremental_ingest(spark, tmp_path):
     def put(n, text):
         spark.createDataFrame([("s", n, text, "")], "source string, page int, text string, section string").write.mode("append").parquet(str(tmp_path / "p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, rules
@@ -118,6 +118,21 @@ def normalize_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("table_type").agg(F.count("*").alias("processed"), F.count_if(F.col("ok")).alias("normalized"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
+def normalize_job(rows: DataFrame, path: str, kinds: tuple[str, ...] = ("stats", "magias", "equipamentos")) -> dict[str, int]:
+    """Normalise and write rows below ``path``, rejected ones apart (``ok``); processed, normalized and rejected rows in all and by kind.
+
+    The counters are observed while the rows are written: one job, one pass.
+    """
+    counted = {"processed": F.count("*"), "normalized": F.count_if("ok"), "rejected": F.count_if(~F.col("ok"))}
+    for kind in kinds:
+        own = F.col("table_type") == kind
+        counted |= {f"{kind}_normalized": F.count_if(own & F.col("ok")), f"{kind}_rejected": F.count_if(own & ~F.col("ok"))}
+    seen = Observation()
+    watched = normalize_tables(rows).observe(seen, *[c.alias(name) for name, c in counted.items()])
+    watched.write.partitionBy("ok", "table_type").parquet(path)
+    return {name: seen.get[name] for name in counted}
+
+
 def repeated_names(df: DataFrame) -> DataFrame:
     """(table_type, nome, repeat): one row for each repeat of a name inside a type."""
     place = F.row_number().over(Window.partitionBy("table_type", "nome").orderBy("row_id"))

@@ -336,6 +336,13 @@ def last_seen(spark, sf):
     return logs.last_seen(table(spark, sf, "events"))
 
 
+@R.add("""WITH e AS (SELECT DISTINCT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events)
+SELECT user_id, ts AS last_seen, ts + INTERVAL 12 HOUR AS dormant_at FROM e WHERE (next IS NULL OR next > ts + INTERVAL 12 HOUR) AND ts + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def dormancies(spark, sf):
+    found = logs.dormancies(table(spark, sf, "events"), "12 hours")
+    return found.select("user_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), F.col("dormant_at").cast("timestamp_ntz").alias("dormant_at"))
+
+
 @R.add("SELECT event_type AS query, round(avg(user_id % 3 - 1), 6) AS mean, count(*) AS n FROM events GROUP BY 1")
 def feedback_means(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("query"), (F.col("user_id") % 3 - 1).alias("rating"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import chunking, tables
+from ..sources import io
 from .binding import EQUIPMENT_ROWS, STAT_ROWS, Registry, duck, equipment_table, stat_table, table
 
 R = Registry()
@@ -129,10 +130,25 @@ def table_chunks(spark, sf):
 @R.add("""SELECT CASE o_orderkey % 3 WHEN 0 THEN 'stats' WHEN 1 THEN 'magias' ELSE 'equipamentos' END AS table_type, count(*) AS processed,
   count(*) FILTER (o_orderkey % 3 > 0 OR o_custkey % 7 > 0) AS normalized, count(*) FILTER (o_orderkey % 3 = 0 AND o_custkey % 7 = 0) AS rejected FROM orders GROUP BY 1""")
 def normalize_counts(spark, sf):
+    return tables.normalize_counts(tables.normalize_tables(_order_cells(spark, sf)))
+
+
+def _order_cells(spark, sf):
     value = F.when(F.col("o_custkey") % 7 > 0, F.concat((F.col("o_custkey") % 50).cast("string"), F.lit("-x"))).otherwise("")
     cells = F.create_map(F.lit("nome"), F.col("o_orderpriority"), *[x for s in tables.STATS for x in (F.lit(s), value)])
     kind = F.element_at(F.array(F.lit("stats"), F.lit("magias"), F.lit("equipamentos")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return tables.normalize_counts(tables.normalize_tables(table(spark, sf, "orders").select(kind.alias("table_type"), cells.alias("cells"))))
+    return table(spark, sf, "orders").select(kind.alias("table_type"), cells.alias("cells"))
+
+
+@R.add("""WITH o AS (SELECT o_orderkey % 3 AS k, o_orderkey % 3 > 0 OR o_custkey % 7 > 0 AS ok FROM orders)
+SELECT count(*) AS processed, count(*) FILTER (ok) AS normalized, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (k = 0 AND ok) AS stats_normalized, count(*) FILTER (k = 0 AND NOT ok) AS stats_rejected,
+  count(*) FILTER (k = 1 AND ok) AS magias_normalized, 0 AS magias_rejected, count(*) FILTER (k = 2 AND ok) AS equipamentos_normalized, 0 AS equipamentos_rejected, count(*) FILTER (ok) AS written FROM o""")
+def normalize_job(spark, sf):
+    """The counters that the job observed, and the good rows that its table holds."""
+    with io.scratch_dir(spark) as path:
+        counted = tables.normalize_job(_order_cells(spark, sf), path)
+        counted["written"] = spark.read.parquet(path).where("ok = 'true'").count()
+    return spark.createDataFrame([counted])
 
 
 @R.add(r"""WITH q(query, k) AS (VALUES ('ring', 'ring'), ('the old Small RING', 'the old small ring'), ('RED widget', 'red widget'), ('no such', 'no such')), n AS (SELECT p_partkey, lower(p_name) AS k FROM part),

@@ -44,21 +44,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_dir(spark: SparkSession) -> Iterator[str]:
+    """A new shared folder that is deleted at the end of the block."""
+    path = work_dir(spark)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A function like ``written``, whose tables are deleted at the end of the block."""
-    root, n = work_dir(spark), 0
+    with scratch_dir(spark) as root:
+        n = 0
 
-    def keep(df: DataFrame) -> DataFrame:
-        nonlocal n
-        path, n = f"{root}/{n}", n + 1
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        def keep(df: DataFrame) -> DataFrame:
+            nonlocal n
+            path, n = f"{root}/{n}", n + 1
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
 
-    try:
         yield keep
-    finally:
-        delete(spark, root)
 
 
 def read_pages(spark: SparkSession, path: str, schema: str = "path string, page int, text string") -> DataFrame:

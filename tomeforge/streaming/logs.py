@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,6 +43,25 @@ def last_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.count("*").alias("events"))
 
 
+def dormancies(stream: DataFrame, quiet: str = "14 days", delay: str = "1 day", now: Column | None = None) -> DataFrame:
+    """(user_id, last_seen, dormant_at): one row each time that a user has been quiet for so long; append mode.
+
+    A session with a gap of ``quiet`` is open as long as its user is active: it is
+    emitted, once, when the watermark passes its end, so that late rows within
+    ``delay`` still prolong it, and a user who comes back can become dormant again. Of a
+    table those count that ended by ``now``, or else by its last event less the delay,
+    where the stream's watermark would stand.
+    """
+    width = F.expr(f"INTERVAL {quiet}")
+    rows = timed(stream, "ts", delay).groupBy(F.session_window("ts", quiet).alias("w"), "user_id").agg(F.max("ts").alias("last_seen"))
+    rows = rows.select("user_id", "last_seen", (F.col("last_seen") + width).alias("dormant_at"))
+    if stream.isStreaming:
+        return rows
+    last = F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {delay}")
+    end = stream.agg((last if now is None else F.any_value(now)).alias("end"))
+    return rows.crossJoin(F.broadcast(end)).where("dormant_at <= end").drop("end")  # one row
+
+
 def ingest(pages: DataFrame, path: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> StreamingQuery:
     """Chunk new pages (source, page, text, section) and append the chunks that the table at ``path`` lacks.
 
