@@ -255,6 +255,38 @@ def test_paired_negatives_are_exact(spark, monkeypatch):
     assert trainset.graph_triples(d.where("cluster_id = 0"), 10).count() == 0
 
 
+@pytest.mark.parametrize("tries", [1, 20])
+def test_negatives_outside_all_clusters(spark, monkeypatch, tries):
+    """Entities in several clusters, in none, and in one that nearly all are in: a negative shares none if any entity shares none, else it is another one."""
+    import random
+
+    monkeypatch.setattr(trainset, "TRIES", tries)
+    rnd = random.Random(tries)
+    clusters = {f"n{k}": set(rnd.sample(range(9), rnd.randrange(1, 6))) | ({99} if k % 20 else set()) for k in range(120)} | {"none": set(), "all": set(range(9)) | {99}}
+    d = spark.createDataFrame([(n, f"about {n}") for n in clusters], "name string, description string")
+    members = spark.createDataFrame([(n, c) for n, some in clusters.items() for c in some], "name string, cluster_id int")
+    rows = trainset.graph_triples(d, 1 << 30, members=members).collect()
+    assert sorted(r.anchor for r in rows) == sorted(clusters)
+    for r in rows:
+        own, other = clusters[r.anchor], r.negative.removeprefix("about ")
+        able = [n for n, some in clusters.items() if n != r.anchor and not own & some]
+        assert r.positive == f"about {r.anchor}" and (other in able or r.anchor == "none")
+    same = spark.createDataFrame([(n, 1) for n in clusters], "name string, cluster_id int")
+    rows = trainset.graph_triples(d, 1 << 30, members=same).collect()
+    assert len(rows) == len(clusters) and all(r.negative != r.positive for r in rows)
+
+
+@pytest.mark.parametrize("ring", [1000, 3])
+def test_mates_in_rings(spark, monkeypatch, ring):
+    """Each row of a cluster of two or more gets another one of it, whatever the rings; no window holds a cluster."""
+    monkeypatch.setattr(trainset, "RING", ring)
+    d = spark.createDataFrame([(f"n{k}", f"d{k}", 0 if k < 50 else k // 2) for k in range(61)], "name string, description string, cluster_id int")
+    rows = trainset.similarity_triples(d, 1 << 30).collect()
+    cluster = {f"d{k}": 0 if k < 50 else k // 2 for k in range(61)}
+    assert sorted(r.anchor for r in rows) == sorted(f"n{k}" for k in range(60))
+    assert all(r.positive[1:] != r.anchor[1:] and cluster[r.positive] == cluster[f"d{r.anchor[1:]}"] != cluster[r.negative] for r in rows)
+
+
 def test_synonym_pairs_by_brute_force(spark):
     import itertools
     import random

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
+from ..sources.io import written
 from .common import draw, first_by, small
 
 #: Places that an anchor tries in its bucket of the shuffled others.
@@ -23,48 +24,103 @@ def describe(entities: DataFrame, properties: DataFrame, most: int = 500) -> Dat
     return rows.select("name", F.substring(F.concat_ws(" ", "name", "type", F.array_join("contexts", " "), F.array_join("e", " ")), 1, most).alias("description"))
 
 
-def _paired(anchors: DataFrame, others: DataFrame, n: int, strategy: str, weight: float, seed: int, unlike: str) -> DataFrame:
+def _paired(anchors: DataFrame, others: DataFrame, n: int, strategy: str, weight: float, seed: int, unlike: str, disjoint: bool = False) -> DataFrame:
     """Each anchor (anchor, positive, <unlike>) with one of ``others`` (negative, <unlike>) that differs in ``unlike``.
 
     Anchors are dealt a place in the shuffled list of others; if that one is not eligible,
     the next ``TRIES`` places are tried, so that no anchor meets all others. Those left
     over get the first eligible of six rows, two of each of the three values that come
     first: whatever an anchor's own value and name, one of them is eligible if any is.
+    With ``disjoint`` the values are arrays that must have nothing in common; what is
+    left over then gets a row of the first array that differs, or any other row if all
+    overlap. Digests take part in the tries, and texts come back by them.
     """
     total = others.count()
     if not total:
         return anchors.select("anchor", "positive", F.lit("").alias("negative"), F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy")).limit(0)
+    anchors, others = anchors.withColumn("pid", F.md5("positive")), others.withColumn("nid", F.md5("negative"))
+    asked, given = anchors.select("anchor", "pid", unlike), others.select("nid", F.col(unlike).alias("other"))
     # places by a hash bucket and a rank inside it, so that no window holds all rows
     buckets = max(1, total // 1000)
-    key = F.pmod(F.conv(F.substring(F.md5("negative"), 1, 7), 16, 10).cast("long"), F.lit(buckets))
-    placed = others.withColumn("b", key).withColumn("p", F.row_number().over(Window.partitionBy("b").orderBy(draw("negative", seed=seed), "negative")) - 1)
+    key = F.pmod(F.conv(F.substring("nid", 1, 7), 16, 10).cast("long"), F.lit(buckets))
+    placed = given.withColumn("b", key).withColumn("p", F.row_number().over(Window.partitionBy("b").orderBy(draw("nid", seed=seed), "nid")) - 1)
     sizes = placed.groupBy("b").agg(F.count("*").alias("m"))
-    drawn = F.conv(F.substring(draw("anchor", "positive", seed=seed), 1, 7), 16, 10).cast("long")
-    tries = anchors.withColumn("b", F.pmod(drawn, F.lit(buckets))).join(sizes, "b").select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("m"), F.lit(TRIES)) - 1)).alias("t"))
+    drawn = F.conv(F.substring(draw("anchor", "pid", seed=seed), 1, 7), 16, 10).cast("long")
+    tries = asked.withColumn("b", F.pmod(drawn, F.lit(buckets))).join(sizes, "b").select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("m"), F.lit(TRIES)) - 1)).alias("t"))
     tries = tries.withColumn("p", F.pmod(F.floor(drawn / buckets) + F.col("t"), F.col("m")).cast("int"))
-    fit = ~F.col(unlike).eqNullSafe(F.col("other")) & (F.col("negative") != F.col("anchor"))
-    found = first_by(tries.join(placed.select("b", "p", "negative", F.col(unlike).alias("other")), ["b", "p"]).where(fit), ["anchor", "positive"], F.col("t"))
-    found = found.select("anchor", "positive", "negative")
-    listed = others.select("negative", F.col(unlike).alias("other")).distinct().withColumn("d", draw("negative", seed=seed))
-    values = listed.groupBy("other").agg(F.min("d").alias("first")).orderBy("first", "other").limit(3)
-    spare = first_by(listed.join(F.broadcast(values.withColumnRenamed("other", "v")), F.col("other").eqNullSafe(F.col("v"))), ["other"], F.col("d"), F.col("negative"), n=2)
-    left = anchors.join(found, ["anchor", "positive"], "left_anti").crossJoin(F.broadcast(spare.select("negative", "other", "d"))).where(fit)  # six rows
-    rest = first_by(left, ["anchor", "positive"], F.col("d"), F.col("negative")).select("anchor", "positive", "negative")
-    rows = found.unionByName(rest).select("*", F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy"))
+    differs = ~F.arrays_overlap(F.col(unlike), F.col("other")) if disjoint else ~F.col(unlike).eqNullSafe(F.col("other"))
+    own = F.col("nid") != F.md5("anchor")
+    found = first_by(tries.join(placed, ["b", "p"]).where(differs & own), ["anchor", "pid"], F.col("t")).select("anchor", "pid", "nid")
+    left = asked.join(found, ["anchor", "pid"], "left_anti").distinct()
+    if disjoint:
+        left = written(left)
+        rest = found.limit(0) if left.isEmpty() else _disjoint_rest(left, given, unlike, seed)
+    else:
+        listed = given.distinct().withColumn("d", draw("nid", seed=seed))
+        values = listed.groupBy("other").agg(F.min("d").alias("first")).orderBy("first", "other").limit(3)
+        spare = first_by(listed.join(F.broadcast(values.withColumnRenamed("other", "v")), F.col("other").eqNullSafe(F.col("v"))), ["other"], F.col("d"), F.col("nid"), n=2)
+        near = left.crossJoin(F.broadcast(spare.select("nid", "other", "d"))).where(differs & own)  # six rows
+        rest = first_by(near, ["anchor", "pid"], F.col("d"), F.col("nid")).select("anchor", "pid", "nid")
+    rows = found.unionByName(rest).join(anchors.select("anchor", "pid", "positive").dropDuplicates(["anchor", "pid"]), ["anchor", "pid"])
+    rows = rows.join(others.select("nid", "negative").dropDuplicates(["nid"]), "nid")
+    rows = rows.select("anchor", "positive", "negative", F.lit(weight).alias("weight"), F.lit(strategy).alias("strategy"))
     return rows.orderBy(draw("anchor", "positive", seed=seed), "anchor").limit(n)
 
 
-def graph_triples(described: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Anchor, its own description, a description from another cluster. ``described`` has (name, description, cluster_id, type)."""
-    a = described.select(F.col("name").alias("anchor"), F.col("description").alias("positive"), "cluster_id")
-    return _paired(a, described.select(F.col("description").alias("negative"), "cluster_id"), n, "graph", 1.0, seed, "cluster_id")
+def _disjoint_rest(left: DataFrame, given: DataFrame, unlike: str, seed: int) -> DataFrame:
+    """(anchor, pid, nid): for anchors whose tries all failed a row whose array has nothing in common with theirs, else any other row.
+
+    Distinct arrays are numbered; for each one asked for, those that share a value are
+    joined by it, and the least number that is missing among them is free. So arrays
+    meet only where they overlap, and rows not at all.
+    """
+    nids = given.groupBy("other").agg(F.min("nid").alias("a"), F.max("nid").alias("b"))
+    listed = written(nids.withColumn("number", F.row_number().over(Window.orderBy(draw("a", seed=seed), "a")) - 1))  # of distinct arrays
+    asked = left.select(unlike).distinct()
+    shared = asked.select(unlike, F.explode(unlike).alias("v")).join(listed.select("number", F.explode("other").alias("v")), "v").select(unlike, "number").distinct()
+    run = F.row_number().over(Window.partitionBy(unlike).orderBy("number")) - 1
+    free = shared.withColumn("run", run).where("run = number").groupBy(unlike).agg((F.max("number") + 1).cast("int").alias("number"))
+    free = asked.join(free, unlike, "left").select(unlike, F.coalesce("number", F.lit(0)).alias("number"))
+    fit = left.join(free, unlike).join(listed, "number").select("anchor", "pid", F.when(F.col("a") != F.md5("anchor"), F.col("a")).otherwise(F.col("b")).alias("nid"))
+    spare = given.agg(F.min("nid").alias("a"), F.max("nid").alias("b"))
+    none = left.join(fit.select("anchor", "pid"), ["anchor", "pid"], "left_anti").crossJoin(F.broadcast(spare))  # one row
+    other = F.when(~F.col("a").isin(F.col("pid"), F.md5("anchor")), F.col("a")).when(~F.col("b").isin(F.col("pid"), F.md5("anchor")), F.col("b"))
+    return fit.unionByName(none.select("anchor", "pid", other.alias("nid")).where("nid is not null"))
+
+
+def graph_triples(described: DataFrame, n: int, seed: int = 42, members: DataFrame | None = None) -> DataFrame:
+    """Anchor, its own description, the description of an entity outside its cluster, or outside all its clusters.
+
+    ``described`` has (name, description) and its ``cluster_id``, or else ``members``
+    (name, cluster_id) has all clusters of each entity; where every entity shares one
+    with the anchor, any other one serves.
+    """
+    if members is None:
+        a = described.select(F.col("name").alias("anchor"), F.col("description").alias("positive"), "cluster_id")
+        return _paired(a, described.select(F.col("description").alias("negative"), "cluster_id"), n, "graph", 1.0, seed, "cluster_id")
+    sets = members.groupBy("name").agg(F.sort_array(F.collect_set("cluster_id")).alias("clusters"))  # of one entity
+    kind = f"array<{dict(members.dtypes)['cluster_id']}>"
+    rows = written(described.select("name", "description").join(sets, "name", "left").withColumn("clusters", F.coalesce("clusters", F.array().cast(kind))))
+    return _paired(rows.select(F.col("name").alias("anchor"), F.col("description").alias("positive"), "clusters"), rows.select(F.col("description").alias("negative"), "clusters"), n, "graph", 1.0, seed, "clusters", disjoint=True)
 
 
 def similarity_triples(described: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Anchor, a mate of its cluster (the next in a shuffled ring), a description from another cluster."""
-    ring = Window.partitionBy("cluster_id").orderBy(draw("name", seed=seed), "name")
-    mates = described.withColumn("positive", F.lead("description").over(ring)).where("positive is not null")
-    return _paired(mates.select(F.col("name").alias("anchor"), "positive", "cluster_id"), described.select(F.col("description").alias("negative"), "cluster_id"), n, "similarity", 0.9, seed, "cluster_id")
+    """Anchor, a mate of its cluster, a description from another cluster.
+
+    Mates are the next rows in shuffled closed rings of about ``RING`` rows, into which
+    clusters are dealt; a row alone in its ring gets one of the cluster's first two.
+    Clusters of one row have no mates.
+    """
+    rows = described.select("name", "description", "cluster_id", F.md5(F.concat_ws("\u0000", "name", "description")).alias("id")).dropDuplicates(["id", "cluster_id"])
+    sizes = rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / RING).cast("int").alias("rings"), F.min("id").alias("least"), F.max("id").alias("most"))
+    dealt = rows.select("name", "id", "cluster_id").join(small(sizes), "cluster_id").withColumn("ring", F.pmod(F.xxhash64("id"), F.col("rings")))
+    ring = Window.partitionBy("cluster_id", "ring").orderBy(draw("id", seed=seed), "id")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("id").over(ring), F.first("id").over(whole))
+    mate = F.when(after != F.col("id"), after).when(F.col("least") != F.col("id"), F.col("least")).when(F.col("most") != F.col("id"), F.col("most"))
+    mates = dealt.select(F.col("name").alias("anchor"), "cluster_id", mate.alias("id")).where("id is not null")
+    mates = mates.join(rows.select("id", F.col("description").alias("positive")).dropDuplicates(["id"]), "id").select("anchor", "positive", "cluster_id")
+    return _paired(mates, described.select(F.col("description").alias("negative"), "cluster_id"), n, "similarity", 0.9, seed, "cluster_id")
 
 
 def relation_triples(entities: DataFrame, opposite: dict[str, str], n: int, seed: int = 42) -> DataFrame:

@@ -213,7 +213,19 @@ def graph_triples(spark, sf):
     return _eligible(trainset.graph_triples(d, 1 << 30), d)
 
 
-@R.add("SELECT 'similarity' AS strategy, count(*) - count(DISTINCT label) AS n, 0 AS wrong FROM embeddings")
+@R.add("SELECT 'graph' AS strategy, count(*) AS n, 0 AS wrong, 0 AS own FROM embeddings")
+def disjoint_triples(spark, sf):
+    """Entities in three clusters each: negatives outside all of them; ``wrong`` counts those that share one."""
+    d = _described(spark, sf).select("name", "description", "cluster_id")
+    members = d.select("name", F.explode(F.array(F.col("cluster_id"), 100 + F.length("name"), 200 + F.pmod(F.xxhash64("name"), F.lit(5)).cast("int"))).alias("cluster_id"))
+    triples = trainset.graph_triples(d, 1 << 30, members=members)
+    theirs = triples.select("anchor", "negative").join(d.select(F.col("description").alias("negative"), F.col("name").alias("other")), "negative")
+    shared = theirs.join(members.withColumnRenamed("name", "anchor"), "anchor").join(members.withColumnRenamed("name", "other"), ["other", "cluster_id"]).select("anchor").distinct()
+    able = d.select("name").join(shared.withColumnRenamed("anchor", "name"), "name", "left_semi")  # none of those that overlap has a free one
+    return triples.groupBy("strategy").agg(F.count("*").alias("n"), F.count_if(F.col("positive") == F.col("negative")).cast("int").alias("own")).crossJoin(F.broadcast(able.agg(F.count("*").cast("int").alias("wrong")))).select("strategy", "n", "wrong", "own")
+
+
+@R.add("SELECT 'similarity' AS strategy, CAST(sum(n) AS BIGINT) AS n, 0 AS wrong FROM (SELECT count(*) AS n FROM embeddings GROUP BY label HAVING count(*) > 1)")
 def similarity_triples(spark, sf):
     d = _described(spark, sf)
     return _eligible(trainset.similarity_triples(d, 1 << 30), d)
