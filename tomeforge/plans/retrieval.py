@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.vector import is_normalized, normalized
-from ..operators import graph, retrieval
+from ..operators import graph, indexes, retrieval
 from ..operators.common import first_by
 from ..plugins import embed_with_cache
+from ..sources import io
 from .binding import EQUIPMENT_ROWS, Registry, duck, equipment_table, table
 
 R = Registry()
@@ -64,6 +65,23 @@ def knn_by_cells(spark, sf):
     return retrieval.knn_cells(asked, vectors, cells=8, probes=6)
 
 
+@R.add(BM25 + " SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
+def bm25_stored(spark, sf):
+    """The rows of bm25_topk from postings that are written first."""
+    path = io.work_dir(spark)
+    indexes.build_postings(_docs(spark, sf), path)
+    return indexes.search_postings(_queries(spark, sf), path).withColumn("rank", F.col("rank").cast("long"))
+
+
+@R.add()
+def knn_by_codes(spark, sf):
+    """The neighbours of all queries from an index of cells that is written first; these vectors have no clusters, so most cells are probed."""
+    asked, vectors = _vectors(spark, sf)
+    path = io.work_dir(spark)
+    indexes.build_cells(vectors, path, cells=8)
+    return indexes.search_cells(asked, path, probes=6)
+
+
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
 
