@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tomeforge import plugins
 from tomeforge.functions import parse
 from tomeforge.functions import text as T
-from tomeforge.operators import catalog, chunking, entities, evaluation, graph, retrieval, tables, trainset
+from tomeforge.operators import catalog, chunking, domain, entities, evaluation, graph, retrieval, tables, trainset
 from tomeforge.sources import io
 from tomeforge.streaming import logs
 
@@ -385,3 +385,26 @@ def test_query_blocks_equal_one_broadcast(spark, sf, monkeypatch):
     some = registry.QUERIES["knn_topk"](spark, sf)
     plan = some._jdf.queryExecution().toString()
     assert sorted(map(tuple, some.collect())) == whole and "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") > 1
+
+
+def test_guessed_types_and_parameters(spark):
+    rows = [("custa quantos pm", "F: 3 e mais", None), ("um anel", "10 PE", "magia"), ("dragão e anel", "nada", "x"), ("oi", "a Escola negra", None), ("vampiro", None, "monstro")]
+    got = trainset.guess_types(spark.createDataFrame(rows, "query string, text string, kind string"), "kind").collect()
+    assert [(r.query_type, r.doc_type) for r in got] == [("MAGIA", "MONSTRO"), ("ITEM", "MAGIA"), ("MONSTRO", None), (None, "MAGIA"), ("MONSTRO", "MONSTRO")]
+    queries = spark.createDataFrame([(1, "um encontro difícil de nível 3 para 4 jogadores, força 12"), (2, "Bola de Fogo e bola de fogo ou Gelo"), (3, "nada fácil, impossivel")], "query_id int, query string")
+    found = {r.query_id: (r.difficulty, r.strength, r.level, r.party) for r in domain.classify_queries(queries).collect()}
+    assert found == {1: ("dificil", 12, 3, 4), 2: (None, None, None, None), 3: ("facil", None, None, None)}
+    names = spark.createDataFrame([("Gelo",), ("Bola de Fogo",), ("Bola",)], "name string")
+    assert {r.query_id: r.mentions for r in domain.query_mentions(queries, names).collect()} == {2: ["Bola de Fogo", "Gelo"]}
+
+
+def test_level_limits(spark):
+    costs = {"a1": 1, "a2": 2, "d1": -1, "d1b": -1, "d1c": -1, "d2": -2, "d3": -3, "d9": -9}
+    catalog = spark.createDataFrame(list(costs.items()), "name string, cost int")
+    builds = spark.createDataFrame([(1, "novato", ["a1"]), (2, "novato", ["a1", "a2", "d1"]), (3, "campeao", ["d1", "d2"]), (4, "lutador", ["d3"]), (5, "other", [])], "build_id int, level string, choices array<string>")
+    every = builds.select("build_id", F.explode(F.array(*map(F.lit, costs))).alias("name"))
+    got = {}
+    for r in domain.within_limits(every, builds, catalog).collect():
+        got.setdefault(r.build_id, set()).add(r["name"])
+    ones = {"d1", "d1b", "d1c", "d9"}
+    assert got == {1: {"a1", "a2", "d2"} | ones, 2: ones, 3: {"a1", "a2", "d2"} | ones, 4: {"a1", "a2"}}

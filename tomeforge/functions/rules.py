@@ -192,3 +192,10 @@ HINTS = {
     "item_has_bonus": r"(?iu)b[ôo]nus\s*[:]?.*?([+-]?\d+)\s*(em\s+)?(FA|FD|PV|PM|teste|dano)",
 }
 STATS = r"(?iu)\b(?:F|Força|H|Habilidade|R|Resistência|A|Agilidade)[\s:]*\d+|\bPV\s*:?\s*\d+|\bPM\s*:?\s*\d+"
+#: Words by which a query is one for a kind of text, in this order, and what marks a text as one of a kind: fixed values.
+QUERY_TYPES = {
+    "MAGIA": ["magia", "feiti", "escola", "pm", "custa"],
+    "MONSTRO": ["monstro", "criatura", "ghoul", "dragão", "dragao", "vampiro", "zumbi"],
+    "ITEM": ["item", "equipamento", "espada", "armadura", "anel"],
+}
+TEXT_TYPES = {"MONSTRO": r"(?iu)\b[FHRA]\s*[:=]\s*\d", "ITEM": r"(?iu)\b\d+\s*PE\b|preço|preco", "MAGIA": r"(?iu)magia|escola"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..functions.rules import STRONG_ABILITIES, WEAK_ABILITIES
 from ..functions.text import fold, slug, tokens
-from .common import first_by, meet_all, prioritised, small
+from .common import draw, first_by, meet_all, prioritised, small
 
 #: Experience needed for each level, from level 1: of the campaign ledger and of the player's sheet.
 CAMPAIGN_LEVELS = [0, 1000, 3000, 6000, 10000, 15000, 21000, 28000, 36000, 45000]
@@ -108,11 +108,48 @@ def check_builds(builds: DataFrame, catalog: DataFrame, points: int = 5) -> Data
     return rows.select("build_id", (stats + F.col("adv")).alias("spent"), left.alias("left"), (base + F.col("extra_pv") * 5).alias("pv"), (base + F.col("extra_pm") * 5).alias("pm"), F.filter(rules, lambda x: x.isNotNull()).alias("violations"))
 
 
+#: How many advantages a level may choose, and disadvantages of which costs; those of one row only without others: fixed values.
+LEVEL_LIMITS = [
+    ("pessoa_comum", "advantage", [1, 2, 3, 4], 2), ("novato", "advantage", [1, 2, 3, 4], 2), ("lutador", "advantage", [1, 2, 3, 4], 999), ("campeao", "advantage", [1, 2, 3, 4], 999), ("lenda", "advantage", [1, 2, 3, 4], 999),
+    ("pessoa_comum", "disadvantage", [1], 1), ("novato", "disadvantage", [1], 3), ("novato", "disadvantage", [2], 1), ("lutador", "disadvantage", [1], 3), ("lutador", "disadvantage", [2], 2),
+    ("lutador", "disadvantage", [3, 4], 1), ("campeao", "disadvantage", [1, 2], 3), ("campeao", "disadvantage", [3, 4], 2), ("lenda", "disadvantage", [1, 2, 3, 4], 3),
+]
+
+
+def within_limits(choices: DataFrame, builds: DataFrame, catalog: DataFrame, limits: list[tuple[str, str, list[int], int]] = LEVEL_LIMITS) -> DataFrame:
+    """Rows of ``choices`` (build_id, name) that the level of a build (build_id, level, choices) has room for.
+
+    A negative cost (name, cost) makes a disadvantage, of 1 to 4 points, other amounts
+    count as 1. A choice falls under the limit of its level, kind and points: there must
+    be fewer of these in the build than it says, and of disadvantages none under another
+    limit. Choices under no limit go; builds of unknown level can choose nothing more.
+    """
+    spark = choices.sparkSession
+    rules = spark.createDataFrame([(i, *row) for i, row in enumerate(limits)], "rule int, level string, kind string, points array<int>, most int")
+    points = F.abs("cost").cast("int")
+    kinds = catalog.select("name", F.when(F.col("cost") < 0, "disadvantage").otherwise("advantage").alias("kind"), F.when(points.between(1, 4), points).otherwise(1).alias("p"))
+    levels = builds.select("build_id", "level")
+
+    def ruled(rows: DataFrame) -> DataFrame:
+        """With the limit that a row falls under."""
+        known = rows.join(small(kinds), "name").join(levels, "build_id")
+        return known.join(F.broadcast(rules.withColumn("p", F.explode("points")).drop("points")), ["level", "kind", "p"])  # a list of rules
+
+    taken = ruled(builds.select("build_id", F.explode("choices").alias("name")))
+    held = taken.groupBy("build_id", "kind").agg(F.count("*").alias("all"))
+    own = taken.groupBy("build_id", "rule").agg(F.count("*").alias("own"))
+    rows = ruled(choices.select("build_id", "name")).join(held, ["build_id", "kind"], "left").join(own, ["build_id", "rule"], "left")
+    mine, every = F.coalesce("own", F.lit(0)), F.coalesce("all", F.lit(0))
+    return rows.where((mine < F.col("most")) & ((F.col("kind") == "advantage") | (mine == every))).select("build_id", "name")
+
+
 def allowed_choices(builds: DataFrame, catalog: DataFrame, excluded: DataFrame, exclusive: DataFrame, budget: Column) -> DataFrame:
     """(build_id, name): catalogue rows (name, cost, requires) a build may still take.
 
     Taken ones, those excluded for its race (race, name), those exclusive with a taken one
     (name, other), those whose requirement isn't taken and those beyond ``budget`` go.
+    The result has as many rows as builds have eligible choices; ``within_limits`` cuts
+    it by the counts that a level allows.
     """
     taken = builds.select("build_id", F.explode("choices").alias("name"))
     every = builds.withColumn("budget", budget).select("build_id", "race", "budget")
@@ -165,6 +202,21 @@ def dormant(last_seen: DataFrame, now: Column, days: int = 14) -> DataFrame:
     return last_seen.where(F.col("alive") & (gone > days)).select("character", gone.alias("days")).orderBy(F.desc("days"), "character")
 
 
+def callbacks(seen: DataFrame, threads: DataFrame, now: Column, days: int = 14, seed: int = 42) -> DataFrame:
+    """(campaign, kind, subject, detail): what to bring back into each campaign.
+
+    The living character (campaign, character, last_seen, alive) that is gone for longest,
+    if for more than ``days``, with the number of days; else one of the paused threads
+    (campaign, title, status, hook, involved) in a seeded order, with its hook and the
+    first three involved. Campaigns without either have no row.
+    """
+    gone = F.datediff(now, F.col("last_seen"))
+    away = seen.where(F.col("alive") & (gone > days)).select("campaign", F.lit("dormant").alias("kind"), F.col("character").alias("subject"), gone.cast("string").alias("detail"), F.lpad((1_000_000 - gone).cast("string"), 8, "0").alias("order"))
+    hook = F.concat_ws(" | ", F.coalesce("hook", F.lit("")), F.array_join(F.slice("involved", 1, 3), ", "))
+    paused = threads.where("status = 'pausado'").select("campaign", F.lit("paused").alias("kind"), F.col("title").alias("subject"), hook.alias("detail"), draw("campaign", "title", seed=seed).alias("order"))
+    return prioritised([away, paused], ["campaign"], F.col("order"), F.col("subject")).select("campaign", "kind", "subject", "detail")
+
+
 def session_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("session", "event_type").agg(F.count("*").alias("n"))
 
@@ -195,14 +247,30 @@ def progression(df: DataFrame, per_encounter: int = 100) -> DataFrame:
 QUERY_KINDS = [("comparacao", r"compar|versus|\bvs\b|melhor que"), ("recomendacao", r"recomend|qual.*(?:comprar|usar)|sugest"), ("encontro", r"encontro|desafio|monstros? para"), ("progressao", r"xp|experi[êe]ncia|n[íi]vel"), ("dados", r"\d+d\d*|dado"), ("regra", r"regra|como funciona|o que [ée]")]
 
 
+#: Words for a difficulty, the first that is in the query counts: fixed values.
+DIFFICULTY_WORDS = {"facil": ["facil", "fácil", "fraco"], "dificil": ["dificil", "difícil", "hard", "desafiador"], "mortal": ["mortal", "epico", "épico", "impossivel"]}
+
+
+def query_mentions(queries: DataFrame, names: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
+    """(key, mentions): the distinct catalogue names in a query, in their order; queries without any have no row."""
+    from .entities import link_mentions
+
+    found = link_mentions(queries, names, key, text).where("name is not null")
+    first = found.groupBy(key, "name").agg(F.min("place").alias("place"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("mentions"))  # of one query
+
+
 def classify_queries(queries: DataFrame, kinds: list[tuple[str, str]] = QUERY_KINDS, default: str = "geral") -> DataFrame:
-    """Add kind (the first rule that matches) and the numbers a query names: level, budget, party, dice."""
+    """Add kind (the first rule that matches) and what a query names: level, budget, party, dice, strength, and a difficulty of ``DIFFICULTY_WORDS``."""
     text = F.lower("query")
     kind = F.lit(default)
     for name, pattern in reversed(kinds):
         kind = F.when(text.rlike(pattern), name).otherwise(kind)
     number = lambda p: F.regexp_extract(text, p, 1).try_cast("int")
-    return queries.withColumns({"kind": kind, "level": number(r"n[íi]vel (\d+)"), "budget": number(r"(\d+) ?(?:pe|pontos)"), "party": number(r"(\d+) (?:jogadores|personagens)"), "dice": F.nullif(F.regexp_extract(text, r"(\d+d\d*(?:[+-]\d+)?)", 1), F.lit(""))})
+    difficulty = F.lit(None).cast("string")
+    for name, words in reversed(DIFFICULTY_WORDS.items()):
+        difficulty = F.when(text.rlike("|".join(words)), name).otherwise(difficulty)
+    return queries.withColumns({"kind": kind, "strength": number(r"for[çc]a\s+(\d+)"), "difficulty": difficulty, "level": number(r"n[íi]vel (\d+)"), "budget": number(r"(\d+) ?(?:pe|pontos)"), "party": number(r"(\d+) (?:jogadores|personagens)"), "dice": F.nullif(F.regexp_extract(text, r"(\d+d\d*(?:[+-]\d+)?)", 1), F.lit(""))})
 
 
 def catalog_view(df: DataFrame, kind: str | None = None, unique: bool = False, search: str = "", n: int = 50) -> DataFrame:

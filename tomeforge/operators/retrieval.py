@@ -299,12 +299,30 @@ def compare_systems(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def asset_search(assets: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """Assets (asset_id, kind, related, context, size) related to an entity or with it in their context, largest first."""
-    hit = F.exists("related", lambda x: F.lower(x) == query.lower()) | F.contains(F.lower("context"), F.lit(query.lower()))
+    """Assets (asset_id, kind, related, context, size) with the query in a related entity or in their context, largest first."""
+    low = F.lit(query.lower())
+    hit = F.exists("related", lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), low)) | F.contains(F.lower(F.coalesce("context", F.lit(""))), low)
     found = assets.where(hit if kind is None else hit & (F.col("kind") == kind))
     return found.orderBy(F.desc("size"), "asset_id")
 
 
+def assets_by_words(assets: DataFrame, query: str, kind: str | None = None, k: int = 10) -> DataFrame:
+    """The ``k`` assets whose context holds most distinct words of the query, with ``score``; those without any go."""
+    asked = F.array_distinct(tokens(F.lit(query)))
+    score = F.size(F.array_intersect(asked, tokens(F.coalesce("context", F.lit("")))))
+    rows = (assets if kind is None else assets.where(F.col("kind") == kind)).withColumn("score", score)
+    return rows.where("score > 0").orderBy(F.desc("score"), F.desc("size"), "asset_id").limit(k)
+
+
+def assets_of_kind(assets: DataFrame, kind: str) -> DataFrame:
+    return assets.where(F.col("kind") == kind)
+
+
+def asset_counts(assets: DataFrame) -> DataFrame:
+    """(kind, n, sources): assets and distinct sources of each kind."""
+    return assets.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
 def neighbour_ratio(triples: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b, c, ratio): distance of a to c over that of a to b for probe triples."""
     rows = triples

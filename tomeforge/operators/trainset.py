@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import QUERY_TYPES, TEXT_TYPES
 from ..functions.text import fold, tokens
 from ..sources.io import written
 from .common import draw, first_by, small
@@ -270,6 +271,19 @@ def synonym_pairs(df: DataFrame, share: float = 0.5, name: str = "name") -> Data
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def guess_types(pairs: DataFrame, declared: str | None = None, query_types: dict[str, list[str]] = QUERY_TYPES, text_types: dict[str, str] = TEXT_TYPES) -> DataFrame:
+    """Add query_type and doc_type to candidates (query, text): by the words of the query, and by the declared type if it is known, or else what the text holds; the first that fits, null if none does."""
+    low = F.lower("query")
+    asked, held = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, words in reversed(query_types.items()):
+        asked = F.when(reduce(lambda a, w: a | F.contains(low, F.lit(w)), words, F.lit(False)), kind).otherwise(asked)
+    for kind, pattern in reversed(text_types.items()):
+        held = F.when(F.col("text").rlike(pattern), kind).otherwise(held)
+    if declared:
+        held = F.when(F.upper(declared).isin(*text_types), F.upper(declared)).otherwise(held)
+    return pairs.withColumns({"query_type": asked, "doc_type": held})
+
+
 def label_pairs(pairs: DataFrame) -> DataFrame:
     """Add label and difficulty to candidates (query, text, rank, query_type, doc_type) by ordered rules; unlabelled ones go."""
     key = fold(F.col("query"))

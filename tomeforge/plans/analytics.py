@@ -75,6 +75,21 @@ def allowed_choices(spark, sf):
     return domain.allowed_choices(_builds(spark, sf), _costs(spark), excluded, exclusive, F.lit(4))
 
 
+@R.add("""WITH b AS (SELECT c_custkey AS k, c_custkey % 5 AS l, CASE WHEN c_custkey % 3 > 0 THEN 1 ELSE 0 END AS own FROM customer), c(name, p) AS (SELECT 'x' || i, i FROM range(1, 5) r(i)),
+t AS (SELECT *, c_custkey % 3 AS taken FROM customer)
+SELECT c_custkey AS build_id, name FROM t, c WHERE CASE c_custkey % 5 WHEN 0 THEN p = 1 AND taken <> 1 WHEN 1 THEN p = 1 AND taken < 2 OR p = 2 AND taken = 0 WHEN 2 THEN p = 1 AND taken < 2 OR p = 2 AND taken <> 1 OR p > 2 AND taken = 0
+  WHEN 3 THEN p < 3 OR taken = 0 ELSE true END""")
+def limited_choices(spark, sf):
+    """Disadvantages of one to four points that builds of five levels with none, one of one point or one of two have room for."""
+    k = F.col("c_custkey")
+    level = F.element_at(F.array(*map(F.lit, ("pessoa_comum", "novato", "lutador", "campeao", "lenda"))), (k % 5 + 1).cast("int"))
+    held = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("y"), (k % 3).cast("string"))))
+    builds = table(spark, sf, "customer").select(k.alias("build_id"), level.alias("level"), held.alias("choices"))
+    catalog = spark.createDataFrame([(f"x{i}", -i) for i in range(1, 5)] + [("y1", -1), ("y2", -2)], "name string, cost int")
+    every = builds.select("build_id", F.explode(F.array(*[F.lit(f"x{i}") for i in range(1, 5)])).alias("name"))
+    return domain.within_limits(every, builds, catalog)
+
+
 @R.add("SELECT c_custkey AS build_id, p_partkey AS spell FROM customer JOIN part ON c_custkey % 2 = 0 AND p_size % 5 < 2 AND c_custkey % 100 = p_partkey % 100")
 def eligible_spells(spark, sf):
     builds = table(spark, sf, "customer").select(F.col("c_custkey").alias("build_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 100).cast("string")).alias("path"), (1 - F.col("c_custkey") % 2).alias("value"))
@@ -137,6 +152,19 @@ def dormant(spark, sf):
     return domain.dormant(seen, F.lit("2024-02-20").cast("date"))
 
 
+@R.add("""WITH s AS (SELECT user_id % 10 AS campaign, user_id AS character, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-12') AS days FROM events GROUP BY user_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY days DESC, 'c' || character) AS p FROM s WHERE character % 7 = 0 AND days > 14)
+SELECT r.c AS campaign, CASE WHEN d.campaign IS NULL THEN 'paused' ELSE 'dormant' END AS kind, CASE WHEN d.campaign IS NULL THEN 'thread ' || r.c ELSE 'c' || character END AS subject, CASE WHEN d.campaign IS NULL THEN 'hook | a, b, c' ELSE CAST(days AS VARCHAR) END AS detail
+FROM range(10) r(c) LEFT JOIN d ON d.campaign = r.c AND p = 1 WHERE r.c % 3 > 0 OR d.campaign IS NOT NULL""")
+def callbacks(spark, sf):
+    """Users as characters of ten campaigns, one in seven alive; event sessions of each campaign that is no multiple of three have a paused thread."""
+    e = table(spark, sf, "events").withColumn("campaign", F.col("user_id") % 10)
+    seen = e.groupBy("campaign", "user_id").agg(F.max("ts").alias("last_seen")).select("campaign", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("character"), "last_seen", (F.col("user_id") % 7 == 0).alias("alive"))
+    status = F.when(F.col("campaign") % 3 > 0, "pausado").otherwise("ativo")
+    threads = e.select("campaign").distinct().select("campaign", F.concat(F.lit("thread "), F.col("campaign").cast("string")).alias("title"), status.alias("status"), F.lit("hook").alias("hook"), F.array(*map(F.lit, "abcd")).alias("involved"))
+    return domain.callbacks(seen, threads, F.lit("2024-02-12").cast("date"))
+
+
 @R.add("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def session_counts(spark, sf):
     return domain.session_counts(table(spark, sf, "events").withColumn("session", F.to_date("ts").cast("string")))

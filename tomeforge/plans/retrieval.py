@@ -335,6 +335,18 @@ def asset_search(spark, sf):
     return retrieval.asset_search(assets, "Brand#2", "ring").select("asset_id")
 
 
+@R.add("SELECT split_part(p_name, ' ', -1) AS kind, count(*) AS n, count(DISTINCT p_brand) AS sources FROM part GROUP BY 1")
+def asset_counts(spark, sf):
+    return retrieval.asset_counts(table(spark, sf, "part").select(F.element_at(F.split("p_name", " "), -1).alias("kind"), F.col("p_brand").alias("source")))
+
+
+@R.add(r"""WITH a AS (SELECT p_partkey AS asset_id, p_size, len(list_intersect(['small', 'economy', 'steel'], regexp_extract_all(lower(p_type), '[\p{L}\p{N}_]+'))) AS score FROM part)
+SELECT asset_id, CAST(score AS INT) AS score FROM a WHERE score > 0 ORDER BY score DESC, p_size DESC, asset_id LIMIT 30""")
+def assets_by_words(spark, sf):
+    assets = table(spark, sf, "part").select(F.col("p_partkey").alias("asset_id"), F.col("p_type").alias("context"), F.col("p_size").alias("size"))
+    return retrieval.assets_by_words(assets, "Small economy STEEL", k=30).select("asset_id", "score")
+
+
 @R.add("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget')")
 def results_by_entity(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.create_map(F.lit("ner_names"), F.array("p_name"), F.lit("other"), F.array("p_type")).alias("entities"))
