@@ -130,6 +130,37 @@ def test_lemma_and_alignment_by_brute_force():
         assert (k in found) == (best <= held.edits[k]) and found.get(k, best) == best
 
 
+def least_edits(text, passage):
+    """The fewest edits of a passage in any part of a text, by the plain table of alignments, a row at a time."""
+    codes, place = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(np.frombuffer(passage.encode("utf-32-le"), np.uint32).tolist()):
+        new = np.concatenate([[i + 1], np.minimum(row[:-1] + (codes != c), row[1:] + 1)])
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min())
+
+
+def test_decontamination_query_by_brute_force(spark, tmp_path):
+    """Whole documents and passages, and edited ones at and beyond their bounds, by alignments of all with all."""
+    items = {x["item_id"]: x["text"] for x in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
+    docs = {x["doc_id"]: x["text"] for x in pq.read_table(f"{SF}/documents.parquet").to_pylist() if len(x["text"] or "") < 900}
+    items |= {9000: "abcdefgh", 9001: "twelve chars", 9002: "twenty one characters", 9003: "thirty characters or near that"}
+    edited = {900_000 + k: f"before {items[9000 + k % 4][:-1] + '#' if k < 4 else items[9000 + k % 4].replace('e', '#', 1)} after" for k in range(8)}
+    rows = list({**docs, **edited}.items())
+    spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, item_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.op4_decontamination(spark, str(tmp_path)).collect()}
+    want = {}
+    for d, text in rows:
+        for i, passage in items.items():
+            m = len(decontaminate.normal(passage))
+            most = 0 if m < decontaminate.Q else min(m // 10, (m - 8) // 8)
+            edits = least_edits(decontaminate.normal(text), decontaminate.normal(passage))
+            if edits <= most:
+                want[d, i] = edits
+    assert got == want and len(want) > 5 and set(want.values()) > {0}
+
+
 def test_decontamination_tables(spark):
     benchmark = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog today"), (2, None), (3, ""), (4, "tiny"), (1, "The quick brown fox jumps over the lazy dog today")], "item_id long, text string")
     hit = "x " * 50_000 + "the  QUICK brown\nfox jumped over the lazy dog today" + " y" * 50_000

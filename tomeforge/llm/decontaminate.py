@@ -251,7 +251,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
     Both sides are lower-cased and their white space is made single spaces; start and
     end count characters of that form. A passage is found with up to ``rate`` of its
-    characters edited, one shorter than ``Q`` only unedited. Null and empty
+    characters edited, but with no more edits than leave one of its q-grams whole for
+    certain: at a tenth and q-grams of 8, passages of 10 to 15 characters unedited, of 20
+    to 23 with one edit and of 30 and 31 with two; one shorter than ``Q`` only unedited. Null and empty
     passages and texts match nothing; null ids stay null; repeated documents match
     each on its own, repeated passages once; other columns are left out. The
     benchmark goes to the tasks in slices of ``SLICE_CHARS`` characters, each with its
