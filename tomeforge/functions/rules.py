@@ -171,7 +171,7 @@ RELATIONS = [
     ("cost_pm", rf"(?i)({_SIDE})\s+gasta\s+(\d+)\s*PM"),
     ("cost_pm", r"(?i)custo\s*:?\s*(\d+)\s*PM"),
     ("requires", rf"(?i)({_SIDE})\s+requer\s+({_WIDE}){_STOP}"),
-    ("requires", rf"(?i)({_SIDE})\s+necessita\s+({_WIDE}){_STOP}"),
+    ("requires", rf"(?i)({_SIDE})\s+necessita\s+([A-Za-záéíóúâêôãõçÀ-ÿ0-9\s\-']+?){_STOP}"),
     ("school", rf"(?i)escola\s*:?\s*({_SIDE}){_STOP}"),
     ("element", rf"(?i)elemento\s*:?\s*({_SIDE}){_STOP}"),
     ("weakness", rf"(?i)({_SIDE})\s+é\s+fraco\s+contra\s+({_SIDE}){_STOP}"),
