@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
 from ..functions.vector import dot, norm, squared_distance
 from ..plugins import lexical_overlap
+from ..sources.io import written
 from .common import first_by, meet_all, prioritised, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -18,7 +18,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 of each query (query_id, query) over docs (doc_id, text).
 
     Two passes over the documents: one for the frequencies of all words, combined
-    before the shuffle and kept, from which lengths and the mean idf come as numbers;
+    before the shuffle and written, from which lengths and the mean idf come as numbers;
     one for the words of queries alone. A negative idf becomes a quarter of the mean
     idf over all words.
     """
@@ -32,7 +32,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
         each = F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("term"), F.lit(0).alias("length")))
         return F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(w).alias("length"))))
 
-    frequency = docs.select(rows(counted)).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")).persist(StorageLevel.DISK_ONLY)
+    frequency = written(docs.select(rows(counted)).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")))
     whole = frequency.where("term is null").first()
     n, avgdl = (whole.df, max(whole.length, 1) / whole.df) if whole else (0, 1.0)
     idf = frequency.where("term is not null").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))

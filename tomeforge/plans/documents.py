@@ -234,8 +234,9 @@ def stored_responses(spark, sf):
 @R.add("SELECT item_id AS query_id, text AS query, 'c' || item_id % 3 AS category FROM benchmark")
 def loaded_queries(spark, sf):
     path = io.work_dir(spark)
-    row = F.struct(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"))
-    table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(row))).write.text(path)  # one array, the form of a query file
+    items, row = table(spark, sf, "benchmark"), F.struct(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"))
+    files = F.pmod(F.xxhash64("item_id"), F.lit(1 + items.count() // 1000)).alias("file")
+    items.groupBy(files).agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("file").text(path)  # an array of about 1,000 a file, the form of query files
     return io.read_queries(spark, path).select("query_id", "query", "category")
 
 
