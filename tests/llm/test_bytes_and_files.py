@@ -261,6 +261,17 @@ def test_sketches_follow_descending_ids(spark):
     assert one[0].next_text == texts[0]
 
 
+def test_ranges_by_bisection():
+    from bisect import bisect_right
+
+    rnd = random.Random(7)
+    rows = sorted({(rnd.randrange(20), rnd.randrange(-50, 50)) for _ in range(300)})
+    for n in (1, 2, 40):
+        bounds = sorted([rows[0], *rnd.sample(rows[1:], n - 1)])
+        found, first = sketch.ranges_of(*np.array(rows).T, np.array(bounds).T)
+        assert found.tolist() == [bisect_right(bounds, r) - 1 for r in rows] and first.tolist() == [r in bounds for r in rows]
+
+
 def test_sketches_of_a_hot_id(spark):
     """Rows of one id, equal ones too, are dealt over ranges; each text has one successor and is one, null ids come last."""
     rows = [(1, "same")] * 400 + [(1, f"text {k}") for k in range(300)] + [(k, f"own {k}") for k in range(2, 200)] + [(None, "none"), (-(1 << 63), "least")]

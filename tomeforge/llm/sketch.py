@@ -8,7 +8,6 @@ other one estimates containment, however unequal the documents.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 WORDS, SCALE = 5, 4
-ROWS_A_RANGE = 10_000
+#: Bytes of text in a range of documents, and rows of one text that go through a range each.
+RANGE_BYTES, COPIES = 256 << 20, 10_000
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -92,16 +92,28 @@ def merge(df: DataFrame, key: str, hashes: str) -> DataFrame:
     return df.select(key, F.explode(hashes).alias("hash")).distinct()
 
 
-def with_next(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+def ranges_of(place: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range of each row, whether it is the first of its range), by the first rows (place, tie) of all ranges, ascending."""
+    places, ties = bounds
+    low, high = np.searchsorted(places, place, "left"), np.searchsorted(places, place, "right")
+    found = high - 1
+    for k in np.unique(low[low < high]).tolist():  # places at which ranges begin
+        rows = np.flatnonzero((low == k) & (low < high))
+        found[rows] = k - 1 + np.searchsorted(ties[k : high[rows[0]]], tie[rows], "right")
+    return found, (places[found] == place) & (ties[found] == tie)
+
+
+def with_next(docs: DataFrame, rows_a_range: int | None = None) -> DataFrame:
     """(doc_id, text, next_text): next_text is that of the next document in descending doc_id order, after the last the first.
 
     Null texts become empty. Rows of one id are in the order of their texts' hashes,
     null ids come last; other columns are left out. The order is cut into ranges of
-    about ``rows_a_range`` rows, found by a range shuffle of ids and hashes alone, so
-    that a repeated id is dealt over several ranges. The first row of each range also
+    about ``RANGE_BYTES`` of text, or ``rows_a_range`` rows if that is given, found by a
+    range shuffle of ids and hashes alone, so that a repeated id is dealt over several
+    ranges; two numbers for each range are shared with all tasks. The first row of each range also
     goes to the range before it: every range has all successors, no task more than
     its range, and texts are shuffled once. A row that is there more than
-    ``rows_a_range`` times goes that way once; the others are followed by their like.
+    ``COPIES`` (or ``rows_a_range``) times goes that way once; the others are followed by their like.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -112,17 +124,19 @@ def with_next(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
         F.coalesce(F.bitwise_not(doc_id), F.lit((1 << 63) - 1)).alias("place"),  # ascending, as ids descend
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
     )
-    many = rows.groupBy("place", "tie").count().where(F.col("count") > rows_a_range).select("place", "tie").collect()
+    copies_a_range = rows_a_range or COPIES
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    many = rows.groupBy("place", "tie").count().where(F.col("count") > copies_a_range).select("place", "tie").collect()
     copies = None
-    if many:  # at most one for each ``rows_a_range`` rows
+    if many:  # at most one for each ``copies_a_range`` rows
         listed = F.broadcast(spark.createDataFrame(many, "place long, tie long"))
         once = rows.join(listed, ["place", "tie"], "left_semi").groupBy("place", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
-        blocks = once.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1, F.lit(rows_a_range).cast("long"))).alias("first"))
-        last = F.least(F.col("first") + rows_a_range - 1, F.col("n") - 1)
+        blocks = once.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1, F.lit(copies_a_range).cast("long"))).alias("first"))
+        last = F.least(F.col("first") + copies_a_range - 1, F.col("n") - 1)
         copies = blocks.repartition("doc_id", "first").select("doc_id", "text", F.col("text").alias("next_text"), F.explode(F.sequence("first", last)).alias("k")).drop("k")
         rows = rows.join(listed, ["place", "tie"], "left_anti").select(rows.columns).unionByName(once.select(rows.columns))
-    n = docs.count()
-    parts = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_a_range))))
+    wanted = -(-n // rows_a_range) if rows_a_range else -(-size // RANGE_BYTES)
+    parts = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,19 +146,21 @@ def with_next(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
 
     # two numbers for each range
     heads = rows.select("place", "tie").repartitionByRange(parts, "place", "tie").sortWithinPartitions("place", "tie").mapInArrow(first, "place long, tie long")
-    bounds = sorted(tuple(x) for x in heads.collect())
+    bounds = np.array(sorted(tuple(x) for x in heads.collect()), np.int64).reshape(-1, 2).T
+    shared = spark.sparkContext.broadcast(bounds)
 
     @F.arrow_udf("array<int>")
     def ranges(place: pa.Array, tie: pa.Array) -> pa.Array:
         """The range of a row, and that before it if the row is its range's first."""
-        found = []
-        for row in zip(place.to_pylist(), tie.to_pylist()):
-            k = bisect_right(bounds, row) - 1
-            found.append([k, (k - 1) % len(bounds)] if bounds[k] == row else [k])
-        return pa.array(found, pa.list_(pa.int32()))
+        found, first = ranges_of(place.to_numpy(), tie.to_numpy(), shared.value)
+        sizes = 1 + first.astype(np.int64)
+        values = np.repeat(found, sizes)
+        ends = np.cumsum(sizes)
+        values[ends[first] - 1] = (found[first] - 1) % shared.value.shape[1]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
 
     placed = rows.select("*", F.posexplode(ranges("place", "tie")).alias("guest", "range"))
-    placed = placed.repartitionById(max(1, len(bounds)), F.col("range")).sortWithinPartitions("guest", "place", "tie").select("doc_id", "text", "guest")
+    placed = placed.repartitionById(max(1, bounds.shape[1]), F.col("range")).sortWithinPartitions("guest", "place", "tie").select("doc_id", "text", "guest")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
