@@ -276,13 +276,14 @@ def enriched_queries(spark, sf):
     return rows.select("query_id", "entity", F.array_join("relations", ";").alias("relations"), F.array_join("properties", ";").alias("properties"), F.coalesce(F.size("mates"), F.lit(0)).cast("long").alias("n_mates"))
 
 
-@R.add(r"""WITH c AS (SELECT p_partkey AS entry_id, lower(p_name) AS t, lower(p_type || ' ' || p_brand) AS x FROM part), q(query_id, q, words) AS (VALUES (1, 'red widget', ['red', 'widget']), (2, 'small economy ring', ['small', 'economy', 'ring'])),
+@R.add(r"""WITH c AS (SELECT p_partkey AS entry_id, lower(p_name) AS t, lower(p_type || ' ' || p_brand) AS x FROM part), q AS (SELECT min(p_partkey) AS query_id, lower(p_name) AS q, string_split(lower(p_name), ' ') AS words FROM part GROUP BY p_name UNION ALL SELECT -min(p_partkey), lower(p_type), string_split(lower(p_type), ' ') FROM part GROUP BY p_type),
 s AS (SELECT query_id, entry_id, CASE WHEN t = q THEN 400 ELSE 0 END + CASE WHEN contains(t, q) THEN 200 ELSE 0 END + CASE WHEN contains(x, q) THEN 90 ELSE 0 END + 40 * len(list_filter(words, lambda w: contains(t, w))) + 8 * len(list_filter(words, lambda w: contains(x, w)))
   + CASE WHEN len(list_filter(words, lambda w: contains(t, w))) = len(words) THEN 140 ELSE 0 END AS score FROM q, c WHERE len(list_intersect(words, regexp_extract_all(t || ' ' || x, '[\p{L}\p{N}_]+'))) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM s) SELECT query_id, entry_id, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 20""")
 def catalog_search(spark, sf):
     entries = table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("text"))
-    asked = spark.createDataFrame([(1, "red widget"), (2, "small economy ring")], "query_id int, query string")
+    p = table(spark, sf, "part")
+    asked = p.groupBy(F.col("p_name").alias("query")).agg(F.min("p_partkey").alias("query_id")).unionByName(p.groupBy(F.col("p_type").alias("query")).agg((-F.min("p_partkey")).alias("query_id")))
     return retrieval.catalog_search(asked, entries, k=20).select("query_id", "entry_id", F.col("score").cast("long"), F.col("rank").cast("long"))
 
 
