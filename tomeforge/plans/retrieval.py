@@ -314,12 +314,12 @@ def neighbour_ratio(spark, sf):
     return retrieval.neighbour_ratio(triples, v)
 
 
-@R.add("""WITH r AS (SELECT p_partkey AS row_id, p_name AS nome, p_brand AS table_id FROM part), e AS (SELECT p_partkey AS query_id, p_name AS entity FROM part WHERE p_size = 7), o AS (SELECT DISTINCT query_id, row_id, table_id FROM e JOIN r ON lower(entity) = lower(nome)),
+@R.add("""WITH r AS (SELECT p_partkey AS row_id, p_name AS nome, p_brand AS table_id FROM part), e AS (SELECT min(p_partkey) AS query_id, p_name AS entity FROM part GROUP BY p_name), o AS (SELECT DISTINCT query_id, row_id, table_id FROM e JOIN r ON lower(entity) = lower(nome)),
 b AS (SELECT query_id, row_id, 0.9 AS score FROM o UNION ALL SELECT DISTINCT query_id, r.row_id, 0.7 FROM (SELECT DISTINCT query_id, table_id FROM o) JOIN r USING (table_id)) SELECT query_id, row_id, CAST(max(score) AS DOUBLE) AS score FROM b GROUP BY ALL""")
 def entity_contexts(spark, sf):
     part = table(spark, sf, "part")
     rows = part.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("nome"), F.col("p_brand").alias("table_id"))
-    return retrieval.entity_contexts(part.where("p_size = 7").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("entity")), rows)
+    return retrieval.entity_contexts(part.groupBy(F.col("p_name").alias("entity")).agg(F.min("p_partkey").alias("query_id")), rows)
 
 
 @R.add("SELECT c_custkey AS query_id, list_sort([lower(c_name), 'customer']) AS entities FROM customer")
