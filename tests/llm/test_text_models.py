@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -163,3 +164,20 @@ def test_toxicity_of_repeated_and_conflicting_labels(spark):
     one, other = toxicity.train(docs, labels), toxicity.train(copies, many)
     assert (one.buckets == other.buckets).all() and (one.weights == other.weights).all() and one.bias == other.bias
     assert other.scorer()("you stupid idiot") > toxicity.THRESHOLD > other.scorer()("a fine day")
+
+
+def test_queries_on_held_out_rows(spark):
+    """Both classifiers against rows that they did not learn from, at ten times the documents of the other tests.
+
+    About half of the labels there mark texts without a single insult as toxic, so those with one count as found or missed.
+    """
+    large = "/root/testdata/sf0.1"
+    docs = {x["doc_id"]: x for x in pq.read_table(f"{large}/documents.parquet", columns=["doc_id", "lang", "text"]).to_pylist()}
+    toxic = {x["doc_id"]: x["toxic"] for x in pq.read_table(f"{large}/labels.parquet").to_pylist()}
+    insult = re.compile(r"idiot|moron|loser|pathetic|worthless|stupid", re.I)
+    rows_ = [r for r in toxicity.op6_toxicity(spark, large).collect() if r.held_out and r.doc_id in toxic]
+    bad = [r.predicted for r in rows_ if toxic[r.doc_id] == 1 and insult.search(docs[r.doc_id]["text"])]
+    good = [r.predicted for r in rows_ if toxic[r.doc_id] == 0]
+    assert len(bad) > 50 and np.mean(bad) > 0.9 and np.mean(good) < 0.01
+    found = [(r.lang_pred, docs[r.doc_id]["lang"]) for r in langid.op2_language_id(spark, large).collect() if r.held_out and docs[r.doc_id]["lang"] and len(docs[r.doc_id]["text"] or "") > 20]
+    assert len(found) > 1000 and np.mean([a == b for a, b in found]) > 0.97
