@@ -304,6 +304,18 @@ def test_sketch_query_by_brute_force(spark, tmp_path):
         assert abs(r.near_edited - near(own, changed)) < 1e-12 and abs(r.near_next - near(own, after)) < 1e-12
 
 
+def test_compared_batches_equal_columns(spark, monkeypatch):
+    """What the pairing worker makes of a batch is what the native columns say, for copies of a text too."""
+    rows = [(1, "the same text of these words " * 3)] * 30 + [(k, f"é own text {k} of some words and others " * (k % 9)) for k in range(2, 60)] + [(None, None), (70, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    native = sketch.sketch(sketch.edited(sketch.with_next(docs, 20)), "text", "edited", "next_text")
+    a, b, c = (F.col(f"{x}_sketch") for x in ("text", "edited", "next_text"))
+    native = native.select("doc_id", F.length("text").cast("long"), F.sha2("edited", 256), sketch.digits(a), sketch.digits(b), sketch.containment(a, b), sketch.containment(a, c))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    made = sketch.with_next(docs, 20, sketch.compare_next, schema)
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, map(tuple, native.collect())))
+
+
 def test_sketch_estimates_containment(spark):
     rng = np.random.default_rng(1)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 20_000)]

@@ -8,7 +8,8 @@ other one estimates containment, however unequal the documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .common import small_batches, table
 WORDS, SCALE = 5, 4
 #: Bytes of text in a range of documents, and rows of one text that go through a range each.
 RANGE_BYTES, COPIES = 256 << 20, 10_000
+NEXT = "doc_id long, text string, next_text string"
+COMPARED = pa.schema({"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()})
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -103,8 +106,8 @@ def ranges_of(place: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> tuple[n
     return found, (places[found] == place) & (ties[found] == tie)
 
 
-def with_next(docs: DataFrame, rows_a_range: int | None = None) -> DataFrame:
-    """(doc_id, text, next_text): next_text is that of the next document in descending doc_id order, after the last the first.
+def with_next(docs: DataFrame, rows_a_range: int | None = None, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = NEXT) -> DataFrame:
+    """(doc_id, text, next_text), or what ``then`` makes of batches of it, by its schema, in the worker that pairs them: next_text is that of the next document in descending doc_id order, after the last the first.
 
     Null texts become empty. Rows of one id are in the order of their texts' hashes,
     null ids come last; other columns are left out. The order is cut into ranges of
@@ -162,6 +165,8 @@ def with_next(docs: DataFrame, rows_a_range: int | None = None) -> DataFrame:
     placed = rows.select("*", F.posexplode(ranges("place", "tie")).alias("guest", "range"))
     placed = placed.repartitionById(max(1, bounds.shape[1]), F.col("range")).sortWithinPartitions("guest", "place", "tie").select("doc_id", "text", "guest")
 
+    then = then or (lambda batch: batch)
+
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -171,10 +176,12 @@ def with_next(docs: DataFrame, rows_a_range: int | None = None) -> DataFrame:
                     out.append((*held, text))
                 held = None if guest else (doc_id, text)
             columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "text", "next_text"])
+            yield then(pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "text", "next_text"]))
 
-    found = placed.mapInArrow(follow, "doc_id long, text string, next_text string")
-    return found.unionByName(copies) if copies is not None else found
+    found = placed.mapInArrow(follow, schema)
+    if copies is None:
+        return found
+    return found.unionByName(copies.mapInArrow(lambda batches: map(then, batches), schema))
 
 
 def edited(df: DataFrame) -> DataFrame:
@@ -184,18 +191,23 @@ def edited(df: DataFrame) -> DataFrame:
     return df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
 
 
+def compare_next(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of (doc_id, text, next_text) the fingerprints of text and edited text, and the likeness of the text's to the edited and the next text's."""
+    columns: dict[str, list] = {name: [] for name in COMPARED.names[1:]}
+    for text, follow in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        half = len(text) // 2
+        changed = text[: len(text) - half] + follow[:half]
+        own, other, after = (remembered(x, WORDS, SCALE) for x in (text, changed, follow))
+        near = [len(np.intersect1d(own, x, assume_unique=True)) / min(len(own), len(x)) for x in (other, after)]
+        hexed = [x.astype(">u8").tobytes().hex() for x in (own, other)]
+        for name, value in zip(columns, (len(text), sha256(changed.encode()).hexdigest(), *hexed, *near)):
+            columns[name].append(value)
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, COMPARED.field(name).type) for name, x in columns.items())], schema=COMPARED)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = edited(with_next(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    rows = sketch(rows, "text", "edited", "next_text")
-    return rows.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        digits(F.col("text_sketch")).alias("fingerprint"),
-        digits(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("text_sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("text_sketch"), F.col("next_text_sketch")).alias("near_next"),
-    )
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), then=compare_next, schema=schema)
 
 
 QUERIES = {"op8_fingerprints": op8_fingerprints}
