@@ -131,3 +131,25 @@ def test_located_entries_by_loops(spark, seed):
     got = {r["name"]: tuple(r) if r.doc_id is not None else tuple(r)[:4] for r in found.collect()}
     assert got == want
     assert len({w[2] for w in want.values()}) > 2 and found.columns[-5:] == list(catalog.ENTRY_FIELDS)
+
+
+def test_variants_by_loops(spark):
+    rnd = random.Random(6)
+    parts = ["soldado Orc, ", "SOLDADO  ORC negro. ", "Xamã goblin F 3 H l. ", "chefe de tudo ", "arqueiro x1 ", "o Mago", " mago Elfo-Alto; ", "F9 H8 R7 A6 PdF5 ", "words " * 60, "elite e ", "Líder Troll\n"]
+    texts = {k: "".join(rnd.choices(parts, k=rnd.randrange(0, 9))) for k in range(50)} | {99: None}
+    blocks = [(k, "Soldado orc") for k in range(0, 50, 2)]
+    got = {}
+    for r in catalog.variants(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), spark.createDataFrame(blocks, "doc_id int, nome string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.nome, r.forca, r.habilidade, r.pdf))
+    letters, want = "A-Za-zÀ-ÿ", {}
+    for k, text in texts.items():
+        seen = {"SOLDADO ORC"} if (k, "Soldado orc") in blocks else set()
+        for m in re.finditer(rf"(?i)(?<![{letters}\d])(?:{'|'.join(catalog.RANKS)})\s+[{letters}][{letters}-]+(?:\s+[{letters}-]+)?(?![{letters}\d])", text or ""):
+            words = m[0].upper().split()
+            if words[1].lower() in catalog.NO_KIND or " ".join(words) in seen:
+                continue
+            seen.add(" ".join(words))
+            near = text[max(0, m.start() - 250) : m.end() + 500]
+            stats = [re.search(rf"(?<![{letters}\d]){x}\s*([\dOolIS]+)", near) for x in ("F", "H", "PdF")]
+            want.setdefault(k, []).append((m.start(), " ".join(words), *(x and x[1].translate(str.maketrans("OolIS", "00115")) for x in stats)))
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 25

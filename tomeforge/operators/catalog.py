@@ -116,6 +116,30 @@ def stat_blocks(texts: DataFrame, layouts: list[tuple[str, dict[str, str]]] = LA
     return rows.select(key, *[f"x.b.{c}" for c in ("start", "end", "layout", *(["nome"] if "nome" not in names else []), *names)], F.col("x.d").alias("description"), *(["x.b.page"] if offsets is not None else []))
 
 
+#: Ranks that make a variant of a creature's name, and words that are no name: fixed values.
+RANKS = "SOLDADO ARQUEIRO XAMÃ XAMAN CAPITÃO CAPITAO SARGENTO CHEFE CAVALEIRO GUERREIRO MAGO BRUXO LÍDER LIDER ELITE VETERANO RECRUTA".split()
+NO_KIND = "de da do das dos e ou".split()
+#: Stats anywhere in a text, as the loose layout writes them.
+NEAR_FIELDS = {name: rf"(?<![\p{{L}}\d]){letter}\s*({_D})" for name, letter in (("forca", "F"), ("habilidade", "H"), ("resistencia", "R"), ("armadura", "A"), ("pdf", "PdF"))}
+
+
+def variants(texts: DataFrame, blocks: DataFrame, ranks: list[str] = RANKS, fields: dict[str, str] = NEAR_FIELDS, key: str = "doc_id", before: int = 250, after: int = 500) -> DataFrame:
+    """(key, start, nome, <fields>): variants of creatures that a text names by a rank and one or two words, whatever the case.
+
+    Those with a block (key, nome) of their own go, as do ranks before function words;
+    of a name in a text the first place counts. Stats are those of the surroundings,
+    from ``before`` characters ahead of the name to ``after`` behind it; null if none are.
+    """
+    pattern = rf"(?iu)(?<![\p{{L}}\d])(?:{'|'.join(ranks)})\s+\p{{L}}[\p{{L}}-]+(?:\s+[\p{{L}}-]+)?(?![\p{{L}}\d])"
+    parts = F.split(F.upper(F.trim("match")), r"\s+")
+    found = matches(texts.select(key, "text"), pattern, key).where(~F.lower(parts[1]).isin(*NO_KIND)).select(key, "start", "end", F.array_join(parts, " ").alias("nome"))
+    known = blocks.select(key, F.upper(F.regexp_replace(F.trim("nome"), r"\s+", " ")).alias("nome")).distinct()
+    first = first_by(found.join(known, [key, "nome"], "left_anti"), [key, "nome"], F.col("start"))
+    from_ = F.greatest(F.col("start") - before, F.lit(0))
+    near = first.join(texts.select(key, "text"), key).select(key, "start", "nome", F.substring("text", from_ + 1, F.col("end") + after - from_).alias("near"))
+    return near.select(key, "start", "nome", *[F.nullif(ocr_digits(F.regexp_extract("near", p, 1)), F.lit("")).alias(n) for n, p in fields.items()])
+
+
 def ocr_digits(text: Column) -> Column:
     """Digits that OCR reads as letters."""
     return F.translate(text, "OolIS", "00115")

@@ -31,6 +31,17 @@ def stat_blocks(spark, sf):
     return catalog.stat_blocks(blocks, offsets=offsets).select("doc_id", "nome", "armadura", "habilidades", "layout", "page", F.col("start").cast("int"), "description")
 
 
+@R.add("""SELECT p_partkey AS doc_id, 'SOLDADO ' || upper(split_part(p_name, ' ', 1)) || ' ' || upper(split_part(p_name, ' ', 2)) AS nome, CAST(p_size % 9 AS VARCHAR) AS forca, 4 AS start FROM part
+UNION ALL SELECT p_partkey, 'CHEFE ORC', CAST(p_size % 9 AS VARCHAR), 30 + length(p_name) FROM part WHERE p_partkey % 2 = 0""")
+def variant_blocks(spark, sf):
+    """Two variants named in each text, of which one has a block of its own in every other text."""
+    p = table(spark, sf, "part")
+    text = F.concat(F.lit("(um soldado "), "p_name", F.lit("; chefe de todos, chefe Orc: F"), (F.col("p_size") % 9).cast("string"), F.lit(" H2)"))
+    texts = p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    blocks = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("doc_id"), F.lit("Chefe  orc").alias("nome"))
+    return catalog.variants(texts, blocks).select("doc_id", "nome", "forca", F.col("start").cast("int"))
+
+
 @R.add("SELECT p_partkey AS doc_id, 'Fogo' AS nome, p_brand AS escola, CAST(p_size AS VARCHAR) || ' PMs' AS custo FROM part")
 def spell_blocks(spark, sf):
     return catalog.spell_blocks(_blocks(spark, sf)).select("doc_id", "nome", "escola", "custo")
