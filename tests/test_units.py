@@ -408,3 +408,12 @@ def test_level_limits(spark):
         got.setdefault(r.build_id, set()).add(r["name"])
     ones = {"d1", "d1b", "d1c", "d9"}
     assert got == {1: {"a1", "a2", "d2"} | ones, 2: ones, 3: {"a1", "a2", "d2"} | ones, 4: {"a1", "a2"}}
+
+
+def test_display_fixes(spark):
+    from tomeforge.functions.rules import DISPLAY_FIXES
+
+    shown = lambda text: one(spark, lambda c: T.sanitize(c, fixes=DISPLAY_FIXES), text)
+    assert shown("10-1 5 e 3-1 7 II TO 2 de xo FR S-6") == "10-15 e 3-17 AGI 2 DEX 0 FR 5-6"
+    assert shown("''.)ú111 um #\\taques # Ataques fll 90°10 e 5° 20 , li F3 .\x0c  fim") == "Só um #Ataques #Ataques [1] 90% e 5%, F3. fim"
+    assert shown(None) is None

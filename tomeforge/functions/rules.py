@@ -199,3 +199,23 @@ QUERY_TYPES = {
     "ITEM": ["item", "equipamento", "espada", "armadura", "anel"],
 }
 TEXT_TYPES = {"MONSTRO": r"(?iu)\b[FHRA]\s*[:=]\s*\d", "ITEM": r"(?iu)\b\d+\s*PE\b|preço|preco", "MAGIA": r"(?iu)magia|escola"}
+#: What OCR leaves in stat lines, and what stands there (pattern, replacement), in order: fixed values.
+DISPLAY_FIXES = [
+    (r"(\d+)-1\s+5\b", "$1-15"),
+    (r"(\d+)-1\s+(\d)\b", "$1-1$2"),
+    (r"(?i)\bII\s+TO\b", "AGI"),
+    (r"(?i)\bDE\s+XO\b", "DEX 0"),
+    (r"(?i)\bPE\s+R\b", "PER"),
+    (r"(?i)\bFR\s+S-", "FR 5-"),
+    (r"(?i)['\"]+\.\)?ú111\s*", "Só "),
+    (r"(?i)['\"]+\.\)?[úu]1+1*\s*", "Só "),
+    (r"(?i)#!?[\s\\]+taques", "#Ataques"),
+    (r"(?i)#!?[\s\\]+aques", "#Ataques"),
+    (r"(?i)#\s*Ataques\s+fll", "#Ataques [1]"),
+    (r"(\d+)°10\b", "$1%"),
+    (r"(\d+)°\s*(\d+)", "$1%"),
+    (r"(?i)\bli\s+F(\d)", " F$1"),
+    (r"\s{2,}", " "),
+    (r"\s+\.", "."),
+    (r"\s+,", ","),
+]

@@ -46,10 +46,13 @@ def expand_acronyms(text: Column, rules: list[tuple[str, str]] = ACRONYMS) -> Co
     return substitute(text, rules, "(?U)")
 
 
-def sanitize(text: Column, rules: list[tuple[str, str]] = ()) -> Column:
-    """For display: control characters out, OCR repaired, spaces squeezed."""
+def sanitize(text: Column, rules: list[tuple[str, str]] = (), fixes: list[tuple[str, str]] = ()) -> Column:
+    """For display: control characters out, OCR repaired, spaces squeezed; then ``fixes`` in order, for instance ``rules.DISPLAY_FIXES``."""
     text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return strip(F.regexp_replace(repair_ocr(text, rules), r"[ \t]{2,}", " "))
+    text = F.regexp_replace(repair_ocr(text, rules), r"[ \t]{2,}", " ")
+    for pattern, replacement in fixes:
+        text = F.regexp_replace(text, pattern, replacement)
+    return strip(text)
 
 
 def fold(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from ..operators import chunking
 from ..operators.catalog import map_titles
@@ -42,6 +43,20 @@ def sanitized_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.sanitize(F.col("text"), NOISE[:1]).alias("shown"))
 
 
+def _displayed() -> str:
+    """The fixes of displayed texts as SQL, around texts that hold what they mend."""
+    text = "'F3-1 5, li F2; # aques fll 10°10 .  PE R ' || replace(coalesce(text, ''), 'a', ' ,')"
+    for pattern, to in [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"[ \t]{2,}", " "), *rules.DISPLAY_FIXES, (r"^\s+|\s+$", "")]:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), to.replace("$", "\\"))
+    return f"SELECT doc_id, {text} AS shown FROM documents"
+
+
+@R.add(_displayed())
+def displayed_text(spark, sf):
+    text = F.concat(F.lit("F3-1 5, li F2; # aques fll 10°10 .  PE R "), F.replace(F.coalesce("text", F.lit("")), F.lit("a"), F.lit(" ,")))
+    return table(spark, sf, "documents").select("doc_id", T.sanitize(text, fixes=rules.DISPLAY_FIXES).alias("shown"))
+
+
 @R.add(r"""SELECT doc_id, translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy') AS folded,
   regexp_replace(regexp_replace(translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
 def folded_slugs(spark, sf):
