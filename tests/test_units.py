@@ -62,6 +62,40 @@ def test_recursive_chunks(spark):
     assert chunking.recursive_chunks(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(40, 10), (15, 0), (100, 30)])
+def test_recursive_chunks_of_random_texts(spark, size, overlap):
+    """Pieces stand in their text in order, with nothing but separators and white space between; chunks begin with the end of the one before."""
+    import random
+
+    rnd = random.Random(size)
+    parts = ["word", "longer words here", ". ", ", ", "\n", "\n\n", " ", "x" * 60, "é日", "", ".", "  "]
+    texts = {k: "".join(rnd.choices(parts, k=rnd.randrange(0, 60))) for k in range(80)} | {99: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+
+    def by_document(**how):
+        found = {}
+        for r in sorted(chunking.recursive_chunks(docs, size, **how).collect()):
+            assert r.chunk_no == len(found.setdefault(r.doc_id, []))
+            found[r.doc_id].append(r.chunk)
+        return found
+
+    pieces, whole, cut = by_document(overlap=0), by_document(overlap=overlap, truncate=False), by_document(overlap=overlap)
+    assert set(pieces) == {k for k, t in texts.items() if t and t.strip()}
+    for k, some in pieces.items():
+        at = 0
+        for piece in some:
+            assert 0 < len(piece) <= size and piece.strip()
+            place = texts[k].index(piece, at)
+            assert not texts[k][at:place].strip(" \n.,")
+            at = place + len(piece)
+        assert not texts[k][at:].strip(" \n.,")
+        assert len(whole[k]) == len(cut[k]) == len(some)
+        for n, (piece, chunk) in enumerate(zip(some, whole[k])):
+            tail = whole[k][n - 1][-overlap:] if n and overlap else ""
+            assert chunk == (piece if piece.startswith(tail) else tail + piece)
+        assert all(len(c) <= size for c in cut[k]) and cut[k][0] == some[0]
+
+
 def test_layout_chunks(spark):
     page = "before text here\nNome F H\nA 1 2\nafter text"
     pages = spark.createDataFrame([("s", 1, page)], "source string, page int, text string")
