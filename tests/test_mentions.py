@@ -48,7 +48,7 @@ def test_aggregates_by_loops(spark):
     chunks = [(k, f"s{k % 3}:{k % 2}", f"Força {k}, PV: {k} e H{k}" if k % 3 == 0 else "5 PO e bônus +1 FA" if k % 3 == 1 else None) for k in range(30)]
     rows = [(rnd.choice(chunks)[0], rnd.choice("AB"), k, f"context {k}") for k in range(200)]
     frame = spark.createDataFrame(chunks, "chunk_id int, source string, content string")
-    scores = entities.hint_chunks(frame).withColumn("x_score", F.col("chunk_id") % 4).join(frame.select("chunk_id", "source"), "chunk_id")
+    scores = frame.select("chunk_id", (F.col("chunk_id") % 4).alias("x_score"), *entities.hint_columns()).join(frame.select("chunk_id", "source"), "chunk_id")
     cands = spark.createDataFrame(rows, "chunk_id int, name string, pos int, context string")
     got = {r["name"]: r for r in entities.aggregate_entities(cands, scores, ["x"]).collect()}
     for name in "AB":

@@ -23,8 +23,8 @@ TYPES = ["monstro", "magia", "vantagem", "pericia", "item"]
 WEIGHTS = {"content": 5, "section": 3, "secondary": 2}
 
 
-def entity_candidates(chunks: DataFrame, patterns: list[str] = PATTERNS, before: int = 20, after: int = 60) -> DataFrame:
-    """(chunk_id, name, pos, context): names by patterns, each once a chunk, with text around it. Offsets need Python."""
+def entity_candidates(chunks: DataFrame, patterns: list[str] = PATTERNS, before: int = 20, after: int = 60, offsets: bool = False) -> DataFrame:
+    """(chunk_id, name, pos, context): names by patterns, each once a chunk, with text around it; with ``offsets`` (first, last) of that text instead. Offsets need Python."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [re.compile(p, re.M) for p in patterns]
@@ -36,11 +36,12 @@ def entity_candidates(chunks: DataFrame, patterns: list[str] = PATTERNS, before:
                     name = " ".join(match[1].split())
                     if name not in seen:
                         seen.add(name)
-                        rows.append((chunk, name, match.start(1), text[max(0, match.start() - before) : match.end() + after]))
-            yield pd.DataFrame(rows, columns=["chunk_id", "name", "pos", "context"])
+                        first, last = max(0, match.start() - before), match.end() + after
+                        rows.append((chunk, name, match.start(1), *((first, last) if offsets else (text[first:last],))))
+            yield pd.DataFrame(rows, columns=["chunk_id", "name", "pos", *(("first", "last") if offsets else ("context",))])
 
     kind = dict(chunks.dtypes)["chunk_id"]
-    return chunks.select("chunk_id", "content").mapInPandas(find, f"chunk_id {kind}, name string, pos int, context string")
+    return chunks.select("chunk_id", "content").mapInPandas(find, f"chunk_id {kind}, name string, pos int, " + ("first int, last int" if offsets else "context string"))
 
 
 def is_fragment(name: Column, blocked: list[str] = NOT_NAMES, patterns: list[str] = FRAGMENTS) -> Column:
@@ -56,8 +57,8 @@ def drop_fragments(df: DataFrame, **rules) -> DataFrame:
     return df.where(~is_fragment(F.col("name"), **rules))
 
 
-def score_chunks(chunks: DataFrame, rules: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """(chunk_id, <type>_score…): for each type the weights of its rules (place, pattern) that match, once for each chunk."""
+def score_chunks(chunks: DataFrame, rules: dict[str, list[tuple[str, str]]], more: list[Column] = ()) -> DataFrame:
+    """(chunk_id, <type>_score…): for each type the weights of its rules (place, pattern) that match, once for each chunk; ``more`` columns, of ``hint_columns`` say, in the same pass."""
 
     def total(of: list[tuple[str, str]]) -> Column:
         score = F.lit(0)
@@ -66,26 +67,27 @@ def score_chunks(chunks: DataFrame, rules: dict[str, list[tuple[str, str]]]) ->
             score = score + F.when(text.rlike(f"(?iu){pattern}"), WEIGHTS[place]).otherwise(0)
         return score
 
-    return chunks.select("chunk_id", *[total(of).alias(f"{kind}_score") for kind, of in rules.items()])
+    return chunks.select("chunk_id", *[total(of).alias(f"{kind}_score") for kind, of in rules.items()], *more)
 
 
-def hint_chunks(chunks: DataFrame, hints: dict[str, str] = HINTS, stats: str = STATS, most: int = 8) -> DataFrame:
-    """(chunk_id, <hint>…, stats): for each chunk whether each hint's pattern is in it, and its first stats in one text, null if it has none."""
+def hint_columns(hints: dict[str, str] = HINTS, stats: str = STATS, most: int = 8) -> list[Column]:
+    """Of a chunk's content whether each hint's pattern is in it, and as ``stats`` its first stats in one text, null if it has none."""
     found = F.slice(F.regexp_extract_all("content", F.lit(stats), F.lit(0)), 1, most)
     held = [F.coalesce(F.col("content").rlike(pattern), F.lit(False)).alias(name) for name, pattern in hints.items()]
-    return chunks.select("chunk_id", *held, F.nullif(F.array_join(found, " "), F.lit("")).alias("stats"))
+    return [*held, F.nullif(F.array_join(found, " "), F.lit("")).alias("stats")]
 
 
-def aggregate_entities(candidates: DataFrame, scores: DataFrame, kinds: list[str], contexts: int = 5) -> DataFrame:
+def aggregate_entities(candidates: DataFrame, scores: DataFrame, kinds: list[str], contexts: int = 5, chunks: DataFrame | None = None) -> DataFrame:
     """(name, mentions, contexts, sources, <type>_score…, <hint>…, stats): one row a name; first contexts in the order of chunks.
 
     Sources are the distinct values of a ``source`` column of the scores (a book and
     page, say), else the chunks. Boolean columns of the scores are hints, true for a
     name if they are for any of its chunks; of a ``stats`` column the first text by
-    chunk stays. Candidates are made once, joined and written, then read by both
-    aggregates: that of the sums and that of the first contexts.
+    chunk stays. Candidates and scores are made once and written, then read by both
+    aggregates: that of the sums and that of the first contexts. Candidates with offsets
+    instead of contexts keep that table small; the few contexts come from ``chunks``.
     """
-    both = written(candidates.join(scores, "chunk_id"))
+    both = written(candidates).join(written(scores), "chunk_id")  # else a chunk's patterns are searched again for each of its names
     given = dict(scores.dtypes)
     sums = [F.sum(f"{k}_score").alias(f"{k}_score") for k in kinds]
     hints = [F.bool_or(name).alias(name) for name, kind in given.items() if kind == "boolean"]
@@ -94,7 +96,11 @@ def aggregate_entities(candidates: DataFrame, scores: DataFrame, kinds: list[str
     totals = both.groupBy("name", F.col(source).alias("__source")).agg(F.count("*").alias("n"), *sums, *hints, *stats, *([F.min(F.when(F.col("stats").isNotNull(), F.col("chunk_id"))).alias("at")] if stats else []))
     merged = [F.sum(f"{k}_score").alias(f"{k}_score") for k in kinds] + [F.bool_or(name).alias(name) for name, kind in given.items() if kind == "boolean"]
     totals = totals.groupBy("name").agg(F.sum("n").alias("mentions"), F.count("*").alias("sources"), *merged, *([F.min_by("stats", "at").alias("stats")] if stats else []))
-    first = first_by(both.select("name", "chunk_id", "pos", F.substring("context", 1, 300).alias("context")), ["name"], F.col("chunk_id"), F.col("pos"), n=contexts, rank="p")  # bounded before anything is collected
+    place = ["name", "chunk_id", "pos", *(["context"] if chunks is None else ["first", "last"])]
+    first = first_by(both.select(place), ["name"], F.col("chunk_id"), F.col("pos"), n=contexts, rank="p")  # bounded before anything is collected
+    if chunks is not None:
+        first = first.join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("context", F.substring("content", F.col("first") + 1, F.col("last") - F.col("first")))
+    first = first.select("name", "p", F.substring("context", 1, 300).alias("context"))
     held = first.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.col("context").alias("c")))), lambda x: x["c"]).alias("contexts"))
     return totals.join(held, "name")
 

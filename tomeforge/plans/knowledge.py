@@ -34,8 +34,9 @@ HINTED = {"has_year": r"\b(19|20)[0-9]{2}\b", "has_insult": r"(?i)idiot|moron"}
 
 def _entities(spark, sf):
     chunks = _chunks(spark, sf)
-    scores = entities.score_chunks(chunks, RULES).join(entities.hint_chunks(chunks, HINTED, r"[0-9]{3,}"), "chunk_id")
-    return entities.resolve_type(entities.aggregate_entities(_candidates(spark, sf), scores, KINDS), KINDS)
+    scores = entities.score_chunks(chunks, RULES, entities.hint_columns(HINTED, r"[0-9]{3,}"))
+    found = entities.entity_candidates(chunks, [NAME_PATTERN], offsets=True)
+    return entities.resolve_type(entities.aggregate_entities(found, scores, KINDS, chunks=chunks), KINDS)
 
 
 @R.add(SCORES)
