@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vector import dot, squared_distance
+from ..functions.vector import squared_distance
+from . import tiles
 from .common import first_by, small
 from .retrieval import B, FLOOR, K1
 
@@ -121,10 +122,12 @@ def search_cells(queries: DataFrame, path: str, k: int = 10, probes: int = 4, ag
     """
     spark = queries.sparkSession
     asked = probed(queries, path, probes)
-    codes = spark.read.parquet(f"{path}/codes")
-    near = F.col("square") - 2 * F.col("scale") * dot(F.col("beyond"), F.col("code")) + dot(F.col("beyond"), F.col("beyond"))
-    rough = small(asked).join(codes, "cell").select("query_id", "q", "cell", "vec_id", near.alias("d"))
-    best = first_by(rough, ["query_id"], F.col("d"), F.col("vec_id"), n=again * k)
+    codes = spark.read.parquet(f"{path}/codes").select("cell", F.col("vec_id").alias("id"), "code", "scale", "square")
+    size = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cells = spark.read.parquet(f"{path}/centres").count()
+    rough = tiles.nearest(asked.select("cell", "query_id", "beyond"), codes, tiles.Coded, again * k, 64 + 8 * size, codes.count(), cells)
+    best = first_by(rough, ["query_id"], F.col("place"), F.col("id"), n=again * k).select("query_id", "cell", F.col("id").alias("vec_id"))
+    best = best.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     exact = best.join(spark.read.parquet(f"{path}/vectors"), ["cell", "vec_id"]).select("query_id", "vec_id", F.round(squared_distance(F.col("q"), F.col("embedding")), 6).alias("d"))
     ranked = first_by(exact, ["query_id"], F.col("d"), F.col("vec_id"), n=k, rank="rank")
     return ranked.select("query_id", "vec_id", F.round(1 / (1 + F.col("d")), 6).alias("similarity"), "rank")
