@@ -13,12 +13,14 @@ from ..functions.text import tokens
 from ..functions.vector import squared_distance
 from . import tiles
 from .common import first_by, small
-from .retrieval import B, FLOOR, K1
+from .retrieval import B, FLOOR, K1, bm25_ranks
 
 #: Folders that postings are dealt to by a hash of the word; a search reads those of its words.
 BUCKETS = 64
 #: Vectors of the sample for each cell.
 SAMPLE = 256
+#: Tasks that the postings of a bucket are dealt to, so that no frequent word lies with one.
+PARTS = 8
 
 
 def _bucket(term: str) -> Column:
@@ -32,11 +34,11 @@ def build_postings(docs: DataFrame, path: str) -> None:
     Null texts are no documents, empty ones have no words.
     """
     spark = docs.sparkSession
-    words = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    each = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), (F.size("w") - F.size(F.array_remove("w", x))).alias("tf")))
-    lengths = words.agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
-    rows = words.select("doc_id", "dl", F.inline(each)).withColumn("bucket", _bucket("term"))
-    rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    words = docs.where("text is not null").select("doc_id", tiles.counted_words(tokens(F.col("text"))).alias("words"))
+    lengths = docs.where("text is not null").select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
+    rows = words.select("doc_id", F.inline("words")).where("term is not null").select("doc_id", "dl", "term", "tf", _bucket("term").alias("bucket"))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
     whole = lengths.select("n", (F.greatest("length", F.lit(1)) / F.nullif("n", F.lit(0))).alias("avgdl"))
     idf = stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole.select("n")))  # one row
@@ -56,10 +58,9 @@ def search_postings(queries: DataFrame, path: str, k: int = 10) -> DataFrame:
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
     words, postings = (spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(buckets or [-1])) for name in ("words", "postings"))
     idf = F.when(F.col("idf") < 0, FLOOR * whole.mean).otherwise(F.col("idf"))
-    weights = asked.join(words, ["bucket", "term"]).select("query_id", "bucket", "term", (F.col("times") * idf).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / whole.avgdl))
-    scored = postings.join(small(weights), ["bucket", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return first_by(scored, ["query_id"], F.desc("score"), F.col("doc_id"), n=k, rank="rank")
+    weights = asked.join(words, ["bucket", "term"]).select("query_id", "term", (F.col("times") * idf).alias("weight"))
+    found = postings.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+    return bm25_ranks(tiles.bm25_scores(weights, found, k, whole.n, whole.avgdl, K1, B), k)
 
 
 def fit_centres(vectors: DataFrame, cells: int, seed: int = 1) -> DataFrame:
