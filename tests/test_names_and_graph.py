@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tomeforge.operators import catalog, common, entities, evaluation, graph, tables
+from tomeforge.operators import catalog, common, entities, evaluation, graph, tables, trainset
 
 
 def random_names(seed, n, parts=("a", "ab", "ba", "b", "supplier", "red", "dragon's")):
@@ -151,3 +151,25 @@ def test_lookups_by_part_of_a_name(spark):
     assert sorted((r.query, r.id, r.exact) for r in found) == [("red dragon", 1, True), ("sea", 3, False), ("the dragon", 2, False)]
     covered = evaluation.fuzzy_coverage(of(spark, ["Red Dragon", "dragon of the", "Elf"], "name"), rows.select(F.col("nome").alias("name")), {}, [])
     assert sorted((r.name, r.found, r.status) for r in covered.collect()) == [("Elf", None, "missing"), ("Red Dragon", "Red Dragon", "covered"), ("dragon of the", "Old Red Dragon of the Sea", "partial")]
+
+
+def test_synonym_mates(spark, monkeypatch):
+    """Every name with later partners has one of them, in sets of one ring or many, and for names of many words."""
+    import random
+
+    rng = random.Random(5)
+    names = sorted({" ".join(rng.sample("abcdefghijklmno", rng.choice([1, 2, 2, 3, 4, 5, 6, 7, 8]))) for _ in range(300)} | {"", "-"})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = {(r.a, r.b) for r in trainset.synonym_pairs(df).collect()}
+    sets = {n: set(n.split()) for n in names if n not in ("", "-")}
+    assert pairs == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * min(len(sets[a]), len(sets[b]))}
+    for ring in (1000, 7):
+        monkeypatch.setattr(trainset, "RING", ring)
+        mates = [(r.a, r.b) for r in trainset.synonym_mates(df).collect()]
+        assert set(mates) <= pairs and sorted(a for a, _ in mates) == sorted({a for a, _ in pairs})
+
+
+def test_synonym_mates_make_no_pairs(spark):
+    """20,000 names with one word in common make 200 million pairs; each name gets its partner all the same."""
+    df = spark.range(20_000).selectExpr("concat('e ', id) AS name")
+    assert trainset.synonym_mates(df).count() == 19_999

@@ -243,10 +243,10 @@ def second_triples(described: DataFrame, n: int, first: DataFrame | None = None,
     parts = [(attribute_triples(rows, same, unlike, n, strategy, seed=seed), share) for strategy, same, unlike, share in SECOND_SET]
     names = rows.select("name", "description", "type")
     a, b = names.select(F.col("name").alias("a"), F.col("description").alias("da"), F.col("type").alias("ta")), names.select(F.col("name").alias("b"), F.col("description").alias("db"), F.col("type").alias("tb"))
-    alike = synonym_pairs(names).join(a, "a").join(b, "b")
+    alike = synonym_mates(names).join(a, "a").join(b, "b")
     alike = first_by(alike, ["a"], draw("a", "b", seed=seed), F.col("b")).select(F.col("a").alias("anchor"), F.col("db").alias("positive"), F.col("ta").alias("type"))
     parts.append((_paired(alike, names.select(F.col("description").alias("negative"), "type"), n, "synonym", 1.0, seed, "type"), round(1 - sum(share for *_, share in SECOND_SET), 6)))
-    mixed = mix(parts, n, seed)
+    mixed = written(mix(parts, n, seed))
     return mixed if first is None else backfill(mixed, first, n, seed)
 
 
@@ -271,6 +271,35 @@ def synonym_pairs(df: DataFrame, share: float = 0.5, name: str = "name") -> Data
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def synonym_mates(df: DataFrame, share: float = 0.5, name: str = "name", most: int = 3, seed: int = 42) -> DataFrame:
+    """(a, b): for each name that :func:`synonym_pairs` holds as ``a`` one of its partners ``b``, without a join of names.
+
+    Two names belong together if they share as many words as the shorter one needs. Names
+    meet as members of the sets of so many of their words; any two members are partners
+    if the set has all that one of them needs. So a member takes the next later one by
+    name that fits: of its ring of about ``RING`` members, or else the last of the set.
+    Names that need more than ``most`` words have too many sets and meet as pairs.
+    """
+    words = df.select(F.col(name).alias("a"), F.array_sort(F.array_distinct(tokens(fold(F.col(name))))).alias("w")).where(F.size("w") > 0).distinct()
+    words = words.withColumn("need", F.greatest(F.lit(1), F.ceil(share * F.size("w"))).cast("int"))
+    sets = F.transform("w", lambda x: F.array(x))
+    members = words.where(F.lit(most >= 1)).select("a", "need", F.lit(1).alias("m"), F.explode(sets).alias("key"))
+    for m in range(2, most + 1):
+        # words are sorted: a set grows by the words behind its last one
+        sets = F.flatten(F.transform(sets, lambda s: F.transform(F.filter("w", lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x)))))
+        members = members.unionByName(words.where(F.col("need") >= m).select("a", "need", F.lit(m).alias("m"), F.explode(sets).alias("key")))
+    members = members.withColumn("short", F.when(F.col("need") == F.col("m"), F.col("a")))
+    large = members.groupBy("key").agg(F.ceil(F.count("*") / RING).cast("int").alias("rings"), F.max("a").alias("last"), F.max("short").alias("last_short")).where("rings > 1")
+    dealt = members.join(F.broadcast(large), "key", "left")  # a row for each ring at most
+    dealt = dealt.withColumn("ring", F.pmod(F.xxhash64("a"), F.coalesce("rings", F.lit(1))))
+    later = Window.partitionBy("key", "ring").orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.col("short").isNotNull()
+    mate = F.when(fits, F.coalesce(F.last("a").over(later), F.col("last"))).otherwise(F.coalesce(F.last("short", ignorenulls=True).over(later), F.col("last_short")))
+    mates = dealt.select("a", mate.alias("b")).where("b > a")
+    long = words.where(F.col("need") > most).select(F.col("a").alias("name"))
+    return first_by(mates.unionByName(synonym_pairs(long, share)), ["a"], draw("a", "b", seed=seed), F.col("b"))
+
+
 def guess_types(pairs: DataFrame, declared: str | None = None, query_types: dict[str, list[str]] = QUERY_TYPES, text_types: dict[str, str] = TEXT_TYPES) -> DataFrame:
     """Add query_type and doc_type to candidates (query, text): by the words of the query, and by the declared type if it is known, or else what the text holds; the first that fits, null if none does."""
     low = F.lower("query")
