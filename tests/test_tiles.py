@@ -63,3 +63,40 @@ def test_no_pair_of_document_and_query_is_shuffled(spark, tmp_path):
     want = sorted((-round(sum(part(w, t) for w in ("x", "y") if w in t), 6), k) for k, t in texts.items())[:4]
     got = rows.where("query_id = 1").orderBy("rank").collect()
     assert [(-r.score, r.doc_id) for r in got] == want
+
+
+def test_bm25_of_pairs_in_parts(spark, monkeypatch):
+    """Odd ids, copies and queries in many tiles: the ranks are those of all pairs, which no join makes."""
+    monkeypatch.setattr(tiles, "PAIRS", 64)
+    monkeypatch.setattr(tiles, "DOCS", 16)
+    monkeypatch.setattr(tiles, "TILE", 5)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9))) for _ in range(120)]
+    data = [(None if k % 40 == 7 else f"d{k % 110}", t) for k, t in enumerate(texts)] + [("none", None)]
+    queries = [(k, " ".join(rng.choice(list("abcdefghz"), 4))) for k in range(23)] + [(99, "")]
+    docs, asked = spark.createDataFrame(data, "doc_id string, text string"), spark.createDataFrame(queries, "query_id int, query string")
+    rows = retrieval.bm25(asked, docs, 6)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    words = [t.split() for t in texts]
+    df = {w: sum(w in t for t in words) for t in words for w in t}
+    n, avgdl = len(texts), sum(map(len, words)) / len(texts)  # a null text is no document
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    for q, query in queries:
+        scores: dict = {}
+        for (key, _), t in zip(data, words, strict=False):
+            shared = [w for w in query.split() if w in t]
+            if shared:
+                scores.setdefault(key, []).append((len(t), shared, t))
+        # rows of one id and one length count as one document
+        total = {}
+        for key, held in scores.items():
+            tf: dict = {}
+            for dl, shared, t in held:
+                for w in set(shared):
+                    tf[dl, w] = tf.get((dl, w), 0) + t.count(w)
+            total[key] = sum(query.split().count(w) * (idf[w] if idf[w] >= 0 else 0.25 * mean) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * dl / avgdl)) for (dl, w), c in tf.items())
+        want = sorted((-round(s, 6), key is not None, key or "") for key, s in total.items())[:6]
+        got = [(-r.score, r.doc_id is not None, r.doc_id or "") for r in rows.where(F.col("query_id") == q).orderBy("rank").collect()]
+        assert [g[1:] for g in got] == [w[1:] for w in want] and all(abs(g[0] - w[0]) < 2e-6 for g, w in zip(got, want, strict=True))
