@@ -469,3 +469,49 @@ def test_eligible_spells_of_many_paths(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
     assert got.rdd.getNumPartitions() > 20 and "HashAggregate(keys=[build_id" not in got._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
     assert domain.eligible_spells(builds.where("value > 9"), spark.createDataFrame(spells, "spell int, schools string"), paths).count() == 0
+
+
+def test_contexts_and_searches_without_grouped_pairs(spark):
+    """Rows of several tables, names and no table; entries of equal texts; levels of more monsters than are asked for: against plain loops."""
+    import random
+
+    from tomeforge.operators import domain, retrieval
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(40), rnd.choice(["Red", "red", "blue", "Old", None]), rnd.choice(["t1", "t2", "t3", "t4", None])) for _ in range(70)]
+    asked = [(1, "RED"), (1, "old"), (2, "blue"), (3, "none"), (4, None), (5, "red")]
+    want: dict = {}
+    for q, e in asked:
+        own = [r for r in rows if e and r[1] and e.lower() == r[1].lower()]
+        tables = {t for *_, t in own} - {None}
+        for r, _, t in rows:
+            if t in tables:
+                want[q, r] = max(want.get((q, r), 0), 0.7)
+        for r, *_ in own:
+            want[q, r] = 0.9
+    got = retrieval.entity_contexts(spark.createDataFrame(asked, "query_id int, entity string"), spark.createDataFrame(rows, "row_id int, nome string, table_id string"))
+    assert sorted((r.query_id, r.row_id, r.score) for r in got.collect()) == sorted((*k, v) for k, v in want.items())
+    assert not any("query_id" in x and "row_id" in x and "max(" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    entries = [(i, rnd.choice(["red ring", "blue", "ring"]), rnd.choice(["a red one", "big ring", ""])) for i in range(60)]
+    queries = [(1, "Red ring"), (2, "blue"), (3, "one big"), (4, "x"), (5, "")]
+    found = retrieval.catalog_search(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(entries, "entry_id int, title string, text string"), k=7)
+    got = sorted((r.query_id, r["rank"], r.entry_id, r.score) for r in found.collect())
+    want = []
+    for q, query in queries:
+        ws, scored = query.lower().split(), []
+        for i, t, x in entries:
+            title = sum(w in t for w in ws)
+            s = 400 * (t == query.lower()) + 200 * (query.lower() in t) + 90 * (query.lower() in x) + 40 * title + 8 * sum(w in x for w in ws) + 140 * (title == len(ws))
+            if set(ws) & set((t + " " + x).split()):
+                scored.append((-s, i))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:7])]
+    assert got == sorted(want)
+
+    monsters = [(f"m{i:03}", rnd.randrange(40)) for i in range(400)]
+    parties = [(p, rnd.randrange(1, 14)) for p in range(12)]
+    got = domain.encounter_candidates(spark.createDataFrame(parties, "party_id int, level int"), spark.createDataFrame(monsters, "monster string, power int"), 4)
+    want = sorted((p, n + 1, w, m) for p, l in parties for n, (w, m) in enumerate(sorted((w, m) for m, w in monsters if abs(w // 3 - l) <= 2)[:4]))
+    assert sorted((r.party_id, r["rank"], r.power, r.monster) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("WindowGroupLimit")  # levels are cut before they meet parties
