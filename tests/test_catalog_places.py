@@ -153,3 +153,14 @@ def test_variants_by_loops(spark):
             stats = [re.search(rf"(?<![{letters}\d]){x}\s*([\dOolIS]+)", near) for x in ("F", "H", "PdF")]
             want.setdefault(k, []).append((m.start(), " ".join(words), *(x and x[1].translate(str.maketrans("OolIS", "00115")) for x in stats)))
     assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 25
+
+
+@pytest.mark.parametrize("first", [1, 3, 100])
+def test_entries_in_late_books(spark, monkeypatch, first):
+    """A name that the first books only mention is found in a later one, whatever number of books is looked at first; books behind it are not."""
+    monkeypatch.setattr(catalog, "FIRST_BOOKS", first)
+    entry = "{}\nEscola: Fogo.\nCusto: 2 PMs.\nAlcance: longo; Duração: curta.\n"
+    books = [(k, "só Chama Azul e Vento") for k in range(10)] + [(10, entry.format("CHAMA AZUL")), (11, entry.format("Vento")), (12, entry.format("Chama Azul"))]
+    books += [(k, entry.format("Chama Azul") + entry.format("Vento")) for k in range(20, 40)]
+    found = catalog.locate_entries(spark.createDataFrame([("Chama Azul",), ("Vento",), ("Nada",)], "name string"), spark.createDataFrame(books, "doc_id int, text string"))
+    assert sorted((r.name, r.doc_id or 0, r.method) for r in found.collect()) == [("Chama Azul", 10, "case"), ("Nada", 0, "missing"), ("Vento", 11, "exact")]

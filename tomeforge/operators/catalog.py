@@ -192,6 +192,8 @@ ENTRY_FIELDS = {
 }
 INDICATOR, HEADING = rf"(?iu){_HEAD}", rf"(?iu)([\p{{L}}][\p{{L}} '-]{{3,50}}?)\s*\n\s*{_HEAD}"
 BEFORE, AFTER, NEAR = 100, 2500, 300
+#: Books of a name that are looked at first.
+FIRST_BOOKS = 8
 
 
 def entry_at(text: Column, at: Column, fields: dict[str, str]) -> Column:
@@ -236,39 +238,60 @@ def locate_entries(index: DataFrame, books: DataFrame, fields: dict[str, str] =
     texts = [F.col("text"), F.lower("text"), fold(F.col("text"))]
     with scratch(spark) as keep:
         held = contains_join(named.withColumn("f", fold(F.col("name"))), books.withColumn("t", fold(F.col("text"))), "f", "t", "doc_id")
+        held = keep(held.select("name", "doc_id", "turn"))
         tried = [F.when(F.contains(t, n), best_entry(F.col("text"), places_of(t, n, most), fields, floor, enough)) for t, n in zip(texts, kinds)]
         method = F.coalesce(*[F.when(e.isNotNull(), F.lit(m)) for e, m in zip(tried, ("exact", "case", "accent"))])
-        found = keep(held.select("name", "doc_id", "turn", method.alias("method"), F.coalesce(*tried).alias("entry")).where("entry is not null"))
 
-        def open_pairs(pairs: DataFrame) -> DataFrame:
-            """Those of books before the one that a name is settled on, without a result of their own."""
-            settled = found.where(F.col("entry.confidence") > floor).groupBy("name").agg(F.min("turn").alias("settled"))
-            pairs = pairs.join(found.select("name", "doc_id"), ["name", "doc_id"], "left_anti").join(settled, "name", "left")
-            return pairs.where("settled is null or turn < settled").drop("settled")
+        def entries(pairs: DataFrame) -> DataFrame:
+            rows = pairs.join(books.select("doc_id", "text"), "doc_id")
+            return keep(rows.select("name", "doc_id", "turn", method.alias("method"), F.coalesce(*tried).alias("entry")).where("entry is not null"))
 
-        marks = matches(books, INDICATOR).select("doc_id", "end")
-        marks = marks.join(books, "doc_id").withColumn("first", F.greatest(F.col("end") - NEAR, F.lit(0)))
+        def settled_names(found: DataFrame) -> DataFrame:
+            """Names with the book that they are settled on."""
+            settled = found.where(F.col("entry.confidence") > floor).groupBy("name").agg(F.min("turn").alias("settled"))
+            return keep(named.join(settled, "name", "left"))
+
+        def open_books(settled: DataFrame) -> DataFrame:
+            """Books before the last one that a name is settled on; all while a name has none."""
+            bound = settled.agg(F.count_if(F.col("settled").isNull()).alias("open"), F.max("settled").alias("last")).first()
+            return books if bound.open else books.where(F.col("turn") < F.lit(bound.last))
+
+        before = F.col("settled").isNull() | (F.col("turn") < F.col("settled"))
+        # the first books of each name settle most; others are looked at for names that these leave open
+        early = keep(first_by(held, ["name"], F.col("turn"), F.col("doc_id"), n=FIRST_BOOKS))
+        found = entries(early)
+        still = settled_names(found).where("settled is null").select("name")
+        found = found.unionByName(entries(held.join(still, "name", "left_semi").join(early, ["name", "doc_id"], "left_anti")))
+        known = settled_names(found)
+        ahead = open_books(known)
+
+        def without_own(pairs: DataFrame) -> DataFrame:
+            return pairs.join(found.select("name", "doc_id"), ["name", "doc_id"], "left_anti")
+
+        marks = matches(ahead, INDICATOR).select("doc_id", "end")
+        marks = marks.join(ahead, "doc_id").withColumn("first", F.greatest(F.col("end") - NEAR, F.lit(0)))
         windows = keep(marks.select("doc_id", "turn", "first", F.substring("text", F.col("first") + 1, F.col("end") - F.col("first")).alias("window")))
         first_word = F.get(F.split(F.trim("name"), r"\s+"), F.lit(0))
-        headed = named.withColumn("w", F.lower(first_word)).where("length(w) > 3")
-        keys = windows.select("doc_id", "first", F.explode(F.array_distinct(tokens(F.col("window")))).alias("w"))
-        near = keys.join(headed.select("name", F.get(tokens(F.col("w")), F.lit(0)).alias("w"), first_word.alias("word")), "w").drop("w")
-        near = open_pairs(near.join(windows, ["doc_id", "first"]))
+        headed = known.withColumn("w", F.lower(first_word)).where("length(w) > 3")
+        keys = windows.select("doc_id", "turn", "first", F.explode(F.array_distinct(tokens(F.col("window")))).alias("w"))
+        near = keys.join(headed.select("name", "settled", F.get(tokens(F.col("w")), F.lit(0)).alias("w"), first_word.alias("word")), "w").where(before).drop("w", "settled", "turn")
+        near = without_own(near.join(windows, ["doc_id", "first"]))
         spot = F.regexp_instr("window", F.concat(F.lit("(?iuU)(?<!\\w)\\Q"), F.col("word"), F.lit("\\E(?!\\w)")))
         near = near.withColumn("spot", spot).where("spot > 0").groupBy("name", "doc_id", "turn").agg(F.min(F.col("first") + F.col("spot") - 1).alias("at"))
         near = near.join(books.select("doc_id", "text"), "doc_id").select("name", "doc_id", "turn", F.lit("first word").alias("method"), entry_at(F.col("text"), F.col("at"), fields).alias("entry"))
         found = keep(found.unionByName(near))
+        known = settled_names(found)
 
-        heads = books.select("doc_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(HEADING), F.lit(1)))).alias("head"))
+        heads = open_books(known).select("doc_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(HEADING), F.lit(1)))).alias("head"))
         heads = heads.select("doc_id", "turn", strip(F.col("head")).alias("head")).where("length(head) >= 4").distinct()
 
         def keyed(df: DataFrame, column: str) -> DataFrame:
             folded = fold(F.col(column))
             return df.withColumn("w", F.explode(F.array_distinct(F.concat(tokens(folded), F.array(F.concat(F.lit("^"), F.substring(folded, 1, 2)))))))
 
-        close = keyed(named, "name").join(keyed(heads, "head"), "w").drop("w").distinct()
+        close = keyed(known, "name").join(keyed(heads, "head"), "w").where(before).drop("w", "settled").distinct()
         share = 1 - F.levenshtein("name", "head") / F.greatest(F.length("name"), F.length("head"))
-        close = first_by(open_pairs(close.withColumn("share", share).where(F.col("share") >= fuzzy)), ["name", "doc_id"], F.desc("share"), F.col("head"))
+        close = first_by(without_own(close.withColumn("share", share).where(F.col("share") >= fuzzy)), ["name", "doc_id"], F.desc("share"), F.col("head"))
         close = close.join(books.select("doc_id", "text"), "doc_id").withColumn("at", F.instr("text", F.col("head")) - 1)
         close = close.select("name", "doc_id", "turn", F.lit("fuzzy").alias("method"), entry_at(F.col("text"), F.col("at"), fields).alias("entry"))
         best = first_by(found.unionByName(close).where(F.col("entry.confidence") > floor), ["name"], F.col("turn"), F.col("doc_id"))
