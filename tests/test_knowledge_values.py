@@ -83,3 +83,14 @@ def test_every_property_pattern(spark):
     for kind, keys in samples.items():
         for key, text in keys.items():
             assert found[f"{kind}{key}", key] == re.search(PROPERTIES[kind][key], text)[1].strip()
+
+
+def test_taxonomy_reads_texts_for_counts_and_vectors_alone(spark):
+    """Nothing that holds words is kept in memory or read again by the fits: members come from written vectors."""
+    rows = [(f"n{i}", ["fogo chama calor brasa" if i % 2 else "gelo neve frio vento"]) for i in range(40)] + [("one", ["rare"]), ("none", [])]
+    members, terms = entities.discover_taxonomy(spark.createDataFrame(rows, "name string, contexts array<string>"), k=2)
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert "terms" not in plan and "contexts" not in plan
+    got = {r.name: r.cluster_id for r in members.collect()}
+    assert set(got) == {r[0] for r in rows[:-1]} and len({got[f"n{i}"] for i in range(0, 40, 2)}) == len({got[f"n{i}"] for i in range(1, 40, 2)}) == 1 and got["n0"] != got["n1"]
+    assert {t for r in terms.collect() for t in r.terms} == {"fogo", "chama", "calor", "brasa", "fogo chama", "chama calor", "calor brasa", "gelo", "neve", "frio", "vento", "gelo neve", "neve frio", "frio vento"}
