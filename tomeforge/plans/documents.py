@@ -91,7 +91,7 @@ def ocr_quality_gate(spark, sf):
 @R.add()
 def acronym_expansion(spark, sf):
     expanded = T.expand_acronyms(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", expanded.alias("expanded"), (T.expand_acronyms(expanded) == expanded).alias("stable"))
+    return table(spark, sf, "documents").select("doc_id", expanded.alias("expanded"), (~T.has_acronyms(expanded)).alias("stable"))
 
 
 @R.add()
