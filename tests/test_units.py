@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,29 @@ def test_locate_names(spark):
     assert got == {"Dragão": (1, "exact"), "FÊNIX": (2, "accent"), "Hidra de Lernz": (2, "fuzzy")}
 
 
+@pytest.mark.parametrize("offsets", [True, False])
+def test_entity_candidates_leave_in_slices(spark, monkeypatch, offsets):
+    """Names of one text and of several leave a worker a few at a time, all of them, by count and by characters."""
+    texts = [" ".join(f"Ab{'c' * (k % 90)}d{chr(97 + k // 90)}" for k in range(n)) for n in (0, 1, 700, 40, 90)] + [None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    taken = {}
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda df, f, schema: taken.update(find=f) or df)
+    entities.entity_candidates(chunks, [r"\b([A-Z]\w+)"], offsets=offsets)
+    monkeypatch.undo()
+    monkeypatch.setattr(entities, "SLICE_ROWS", 50)
+    monkeypatch.setattr(entities, "SLICE_CHARACTERS", 3000)
+    slices = list(taken["find"](iter(chunks.toArrow().combine_chunks().to_batches())))
+    assert len(slices) > 16 and max(s.num_rows for s in slices) <= 50
+    got = [tuple(r.values()) for s in slices for r in s.to_pylist()]
+    want = []
+    for i, text in enumerate(texts):
+        found = {}
+        for m in re.finditer(r"\b([A-Z]\w+)", text or ""):
+            found.setdefault(m[1], (max(0, m.start() - 20), m.end() + 60, m.start()))
+        want += [(i, name, at, *((first, last) if offsets else (text[first:last],))) for name, (first, last, at) in found.items()]
+    assert got == want and len(want) > 800
+
+
 def test_entities(spark):
     chunks = spark.createDataFrame([(1, "Goblin é um monstro. Goblin Rei: forte", "x")], "chunk_id long, content string, section string")
     names = {r.name for r in entities.entity_candidates(chunks).collect()}
