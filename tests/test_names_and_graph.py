@@ -173,3 +173,43 @@ def test_synonym_mates_make_no_pairs(spark):
     """20,000 names with one word in common make 200 million pairs; each name gets its partner all the same."""
     df = spark.range(20_000).selectExpr("concat('e ', id) AS name")
     assert trainset.synonym_mates(df).count() == 19_999
+
+
+def _random_texts(seed, n):
+    rnd = random.Random(seed)
+    words = ["red", "Red", "sacred", "fox", "box-fox", "fo", "ação", "AÇÃO", "b_1", "b", "1", "red fox", "fox.", "'fox", "--", "ΟΔΟΣ", "日本"]
+    return [rnd.choice([" ", ", ", "\n", "-"]).join(rnd.choices(words, k=rnd.randrange(0, 9))) for _ in range(n)]
+
+
+def _holds(text, name):
+    """The rule of contains_join in plain Python; the longest word, the last one by order of those."""
+    words = re.findall(r"[^\W]+", name.lower())
+    return bool(words) and max(words, key=lambda w: (len(w), w)) in re.findall(r"[^\W]+", text.lower()) and name.lower() in text.lower()
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_contains_join_by_brute_force(spark, monkeypatch, limit):
+    """Both ways give the same pairs; names that can be broadcast meet the texts without a shuffle, and rows that share an id are told apart."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    names = ["red", "fox", "Fox.", "red fox", "FOX, red", "ação", "b_1", "1", "", "--", "日本", "box-fox", "fo"]
+    texts = _random_texts(1, 300)
+    # beyond the broadcast, texts come back by id, which must be unique
+    docs = spark.createDataFrame([(i // 2 if limit else i, t) for i, t in enumerate([*texts, None])], "doc_id int, text string")
+    found = common.contains_join(spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")), docs, "name", "text", "doc_id")
+    assert sorted((r["name"], r.doc_id, r.text) for r in found.collect()) == sorted((n, i // 2 if limit else i, t) for i, t in enumerate(texts) for n in names if _holds(t, n))
+    assert ("hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (not limit)
+
+
+def test_ground_truth_by_brute_force(spark):
+    texts = _random_texts(2, 200)
+    asked = [(1, ["red", "fox"], True), (2, ["red", "red"], True), (3, ["red", "fox."], False), (4, ["Red", "b", "1"], True), (5, [], False), (6, ["red"], True), (6, ["fox"], True), (6, ["b"], False), (7, None, True)]
+    got = evaluation.ground_truth(spark.createDataFrame(asked, "query_id int, targets array<string>, comparison boolean"), spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    held = {}
+    for q, targets, comparison in asked:
+        for t in targets or []:
+            for i, text in enumerate(texts):
+                if _holds(text, t):
+                    held.setdefault((q, i, comparison), set()).add(t)
+    want = sorted((q, i) for (q, i, comparison), found in held.items() if len(found) >= 1 + comparison)
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == want and len(want) > 100
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(query_id") <= 2  # of the targets, and of the hits once

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
-from .common import draw, first_by, held_names
+from .common import contains_join, draw, first_by, held_names
 
 
 def ground_truth(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -14,12 +14,12 @@ def ground_truth(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``queries`` has (query_id, targets, comparison).
     """
-    from .common import contains_join
-
     targets = queries.select("query_id", F.explode("targets").alias("target"), F.when(F.col("comparison"), 2).otherwise(1).alias("least"))
+    targets = targets.withColumn("nth", F.dense_rank().over(Window.partitionBy("query_id", "least").orderBy("target")))
     hits = contains_join(targets, docs.select("doc_id", "text"), "target", "text", "doc_id")
-    found = hits.groupBy("query_id", "doc_id", "least").agg(F.count_distinct("target").alias("n"))
-    return found.where("n >= least").select("query_id", "doc_id")
+    # numbers of a fixed width are aggregated before the one shuffle: two distinct targets are a least and a greatest one
+    found = hits.groupBy("query_id", "doc_id", "least").agg(F.min("nth").alias("low"), F.max("nth").alias("high"))
+    return found.where("least = 1 or low < high").select("query_id", "doc_id")
 
 
 def ir_metrics(ranked: DataFrame, truth: DataFrame, queries: DataFrame, mrr_k: int = 10, recall_k: int = 5, ndcg_k: int = 5) -> DataFrame:
