@@ -213,3 +213,14 @@ def test_ground_truth_by_brute_force(spark):
     want = sorted((q, i) for (q, i, comparison), found in held.items() if len(found) >= 1 + comparison)
     assert sorted((r.query_id, r.doc_id) for r in got.collect()) == want and len(want) > 100
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(query_id") <= 2  # of the targets, and of the hits once
+
+
+def test_names_that_stand_in_texts_are_located_in_one_pass(spark):
+    """The result reads the table of places alone; texts are read anew for names that stand in none."""
+    docs = spark.createDataFrame(list(enumerate(["a fenix", "Fenix", "FÊNIX", "hidra da lernia", "x"])), "doc_id int, text string")
+    found = catalog.locate_names(spark.createDataFrame([("Fenix",), ("fênix",)], "name string"), docs)
+    assert {r["name"]: (r.doc_id, r.method) for r in found.collect()} == {"Fenix": (1, "exact"), "fênix": (2, "case")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "LogicalRDD" not in plan
+    found = catalog.locate_names(spark.createDataFrame([("Fenix",), ("Hidra da Lerna",), ("Kraken",)], "name string"), docs)
+    assert {r["name"]: (r.doc_id, r.method) for r in found.collect()} == {"Fenix": (1, "exact"), "Hidra da Lerna": (3, "fuzzy")}

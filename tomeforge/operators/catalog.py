@@ -161,23 +161,31 @@ def reconcile(index: DataFrame, extracted: DataFrame) -> DataFrame:
 
 
 def locate_names(index: DataFrame, docs: DataFrame, fuzzy: float = 0.75, longest: int = 4) -> DataFrame:
-    """(name, doc_id, method, confidence): where a name occurs, by the best of: exactly, whatever the case, without accents, nearly (Levenshtein from a place with the same first two letters, names of up to ``longest`` words)."""
-    named = index.select("name").distinct()
+    """(name, doc_id, method, confidence): where a name occurs, by the best of: exactly, whatever the case, without accents, nearly (Levenshtein from a place with the same first two letters, names of up to ``longest`` words).
+
+    Names are written, so that their size is known and few of them meet the texts in one
+    pass; so is the best place of each name that stands in a text. Texts are read once for
+    all names and once more for those that stand in none.
+    """
+    named = written(index.select("name").distinct())
     texts = docs.select("doc_id", "text")
     by_fold = contains_join(named.withColumn("f", fold(F.col("name"))), texts.withColumn("t", fold(F.col("text"))), "f", "t", "doc_id")
     level = F.when(F.contains("text", "name"), 1.0).when(F.contains(F.lower("text"), F.lower("name")), 0.9).otherwise(0.8)
-    found = by_fold.select("name", "doc_id", level.alias("confidence"))
-    rest = named.join(found.select("name").distinct(), "name", "left_anti").select("name", fold(F.col("name")).alias("f"), tokens(fold(F.col("name"))).alias("nw")).where(F.size("nw").between(1, longest))
-    wanted = [r.two for r in rest.select(F.substring("f", 1, 2).alias("two")).distinct().collect()]  # pairs of letters
-    spans = texts.select("doc_id", tokens(fold(F.col("text"))).alias("w"))
-    starts = F.filter(F.transform("w", lambda x, i: F.when(F.substring(x, 1, 2).isin(*wanted or [""]), i)), lambda i: i.isNotNull())
-    spans = spans.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(F.substring(F.get(F.col("w"), i), 1, 2).alias("two"), F.slice("w", i + 1, longest).alias("next")))).alias("s")).select("doc_id", "s.*")
-    near = spans.join(small(rest.withColumn("two", F.substring("f", 1, 2))), "two")
-    near = near.withColumn("span", F.array_join(F.slice("next", 1, F.size("nw")), " "))
-    share = 1 - F.levenshtein("span", "f") / F.greatest(F.length("span"), F.length("f"))
-    fuzzy_hits = near.select("name", "doc_id", F.round(share * 0.8, 6).alias("confidence")).where(F.col("confidence") >= fuzzy * 0.8)
+    best = [F.desc("confidence"), F.col("doc_id")]
+    found = written(first_by(by_fold.select("name", "doc_id", level.alias("confidence")), ["name"], *best))
     method = F.when(F.col("confidence") == 1.0, "exact").when(F.col("confidence") == 0.9, "case").when(F.col("confidence") == 0.8, "accent").otherwise("fuzzy")
-    return first_by(found.unionByName(fuzzy_hits), ["name"], F.desc("confidence"), F.col("doc_id")).select("name", "doc_id", method.alias("method"), "confidence")
+    rest = named.join(found.select("name"), "name", "left_anti").select("name", fold(F.col("name")).alias("f"), tokens(fold(F.col("name"))).alias("nw")).where(F.size("nw").between(1, longest))
+    wanted = [r.two for r in rest.select(F.substring("f", 1, 2).alias("two")).distinct().collect()]  # pairs of letters
+    if wanted:
+        spans = texts.select("doc_id", tokens(fold(F.col("text"))).alias("w"))
+        starts = F.filter(F.transform("w", lambda x, i: F.when(F.substring(x, 1, 2).isin(*wanted), i)), lambda i: i.isNotNull())
+        spans = spans.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(F.substring(F.get(F.col("w"), i), 1, 2).alias("two"), F.slice("w", i + 1, longest).alias("next")))).alias("s")).select("doc_id", "s.*")
+        near = spans.join(small(rest.withColumn("two", F.substring("f", 1, 2))), "two")
+        near = near.withColumn("span", F.array_join(F.slice("next", 1, F.size("nw")), " "))
+        share = 1 - F.levenshtein("span", "f") / F.greatest(F.length("span"), F.length("f"))
+        hits = near.select("name", "doc_id", F.round(share * 0.8, 6).alias("confidence")).where(F.col("confidence") >= fuzzy * 0.8)
+        found = found.unionByName(first_by(hits, ["name"], *best))
+    return found.select("name", "doc_id", method.alias("method"), "confidence")
 
 
 #: Fields of an entry, as written and as OCR reads them; these words are those of the books and fixed.
