@@ -515,6 +515,30 @@ def test_eligible_spells_of_many_paths(spark, monkeypatch):
     assert domain.eligible_spells(builds.where("value > 9"), spark.createDataFrame(spells, "spell int, schools string"), paths).count() == 0
 
 
+def test_eligible_spells_in_runs(spark, monkeypatch, tmp_path):
+    """Shares that are cut small lose and double no pair, null ids included; a written result takes a fraction of a byte a pair."""
+    import random
+
+    rnd = random.Random(5)
+    own = [(rnd.choice([*range(40), None]), rnd.choice(["fire", "ice", "air", None]), rnd.randrange(3)) for _ in range(90)]
+    spells = [(i or None, rnd.choice(["Fogo, Gelo", "Ar e Fogo", "ar", "nada", "Gelo/Ar/Gelo", "Fogo ou gelo, ar", None])) for i in range(70)]
+    paths = {"fogo": "fire", "gelo": "ice", "ar": "air"}
+    theirs = {i: {paths.get(w.strip().lower()) for w in re.split("[,/]| e | ou ", x or "")} - {None} for i, x in spells}
+    has = {b: {p for x, p, v in own if x == b and p and v >= 1} for b, _, _ in own}
+    want = sorted((b or -1, s or -1) for b in has for s in theirs if has[b] & theirs[s])
+    given = spark.createDataFrame(own, "build_id int, path string, value int"), spark.createDataFrame(spells, "spell int, schools string"), paths
+    for pairs, run, runs, held in ((8_000_000, 504, 32, 64), (8_000_000, 8, 2, 3), (20, 3, 1, 64), (1, 8, 3, 2)):
+        for name, value in (("PAIRS_A_TASK", pairs), ("SPELLS_A_RUN", run), ("RUNS", runs), ("BUILDS", held)):
+            monkeypatch.setattr(domain, name, value)
+        assert sorted((r.build_id or -1, r.spell or -1) for r in domain.eligible_spells(*given).collect()) == want and len(want) > 500
+    monkeypatch.undo()
+    builds = spark.range(100).selectExpr("1009 * id AS build_id", "'fire' AS path", "1 AS value")
+    many = spark.range(20_000).selectExpr("1009 * id AS spell", "'Fogo' AS schools")
+    domain.eligible_spells(builds, many, paths).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == spark.read.parquet(f"{tmp_path}/out").count() == 2_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1_000_000
+
+
 def test_contexts_and_searches_without_grouped_pairs(spark):
     """Rows of several tables, names and no table; entries of equal texts; levels of more monsters than are asked for: against plain loops."""
     import random
